@@ -6,19 +6,142 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terragrist.llm import minhash
+from pyspark.sql import functions as F
+
+from terragrist.llm import chat, decontaminate, forest, html_text, langid, licenses, minhash, packing, pii, quality
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=2, percent=80)
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = _table(spark, sf_dir, "labels").filter("quality = 1 and toxic = 0").select("doc_id")
+    return quality.classify(_table(spark, sf_dir, "documents"), trusted)
+
+
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return forest.nearest(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = langid.fit(docs.filter(~held_out))
+    return langid.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
+
+
+def op8_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.with_byte_tokens(_table(spark, sf_dir, "documents")), "doc_id", "n_tokens")
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = chat.conversation_events(_table(spark, sf_dir, "conversations"))
+    said = "</s>[INST] ok [/INST]"
+    own = spark.sql(f"SELECT -7L AS conv_id, at AS seq, 'message' AS kind, at AS message, role, '{said}' AS text FROM VALUES (1, 'user'), (2, 'assistant') AS t(at, role)")
+    return chat.digests(chat.read_back(chat.render(chat.fold_events(log.unionByName(own)))))
+
+
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.train(docs))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    f.__name__: f
+    for f in (
+        op1_minhash_near_dedup,
+        op2_html_extraction,
+        op3_quality_classifier,
+        op4_nearest_neighbours,
+        op5_license_scan,
+        op6_decontamination,
+        op7_language_id,
+        op8_length_packing,
+        op9_chat_format,
+        op10_personal_data,
+    )
 }
 
+
+def _decontamination_sql() -> str:
+    """Seeds as lists of words instead of hashes; the rest word by word."""
+    masks, span = decontaminate.MASKS, min(m[-1] for m in decontaminate.MASKS) + 1
+    split = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '')"
+    seeds = lambda t, i: " UNION ALL ".join(
+        f"SELECT {i} AS id, at, {k} AS mask, [{', '.join(f'w[at + {p + 1}]' for p in m)}] AS seed FROM (SELECT {i}, w, unnest(range(0, len(w) - {span} + 1)) AS at FROM {t} WHERE len(w) >= {span}) WHERE at + {m[-1]} < len(w)" for k, m in enumerate(masks)
+    )
+    return f"""
+WITH d AS (SELECT DISTINCT doc_id, {split} AS w FROM documents), b AS (SELECT item_id, {split} AS w FROM benchmark),
+ds AS ({seeds("d", "doc_id")}), bs AS ({seeds("b", "item_id")}),
+hits AS (SELECT DISTINCT ds.id AS doc_id, bs.id AS item_id, ds.at - bs.at AS shift FROM ds JOIN bs USING (mask, seed)),
+pairs AS (SELECT h.doc_id, h.item_id, shift, d.w AS dw, b.w AS iw, greatest(0, -shift) AS f, least(len(b.w), len(d.w) - shift) AS l
+  FROM hits h JOIN d USING (doc_id) JOIN b USING (item_id)),
+same AS (SELECT doc_id, item_id, shift, f, len(iw) AS n, [CASE WHEN iw[i + 1] = dw[i + shift + 1] THEN 1 ELSE 0 END for i in range(f, l)] AS s FROM pairs),
+best AS (SELECT *, least(12, n) AS k, list_max([list_sum(s[x + 1 : x + least(12, n)]) for x in range(0, len(s) - least(12, n) + 1)]) AS m FROM same),
+kept AS (SELECT doc_id, item_id, n, list_sum(s) AS e, f + shift AS at FROM best WHERE m * 100 >= k * 80)
+SELECT doc_id, item_id, CAST(e AS BIGINT) AS n_equal, CAST(n AS BIGINT) AS n_item, CAST(at AS BIGINT) AS first_word
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY e DESC, at) AS r FROM kept) WHERE r = 1"""
+
+
+def _packing_sql(buckets: int = 16, budget: int = 131072, bins: int = 1024, shards: int = 1024) -> str:
+    """The dynamic programme as one common table expression a bucket, and the way back through them."""
+    steps, back = [], []
+    for k in range(2, buckets + 1):
+        steps.append(
+            f"d{k} AS (SELECT j, x.cost AS cost, x.i AS i FROM (SELECT h.j, min(struct_pack(cost := p.cost + (h.c - q.c) * h.m - (h.s - q.s), i := p.j)) AS x "
+            f"FROM d{k - 1} p JOIN cum q ON q.j = p.j JOIN cum h ON h.j > p.j GROUP BY h.j))"
+        )
+    for k in range(buckets, 1, -1):
+        back.append(f"e{k - 1} AS (SELECT coalesce((SELECT d.i FROM d{k} d, e{k} WHERE d.j = e{k}.j AND {k} <= (SELECT least({buckets}, max(j)) FROM cum)), (SELECT j FROM e{k})) AS j)")
+    ends = " UNION ".join(f"SELECT j FROM e{k}" for k in range(1, buckets + 1))
+    return f"""
+WITH r AS (SELECT doc_id, CAST(coalesce(strlen(text), 0) + 1 AS BIGINT) AS n FROM documents),
+g AS (SELECT greatest(1, (max(n) + {bins - 1}) // {bins}) AS g FROM r),
+hist AS (SELECT (n + g - 1) // g AS bin, count(*) AS c, sum(n) AS s, max(n) AS m FROM r, g GROUP BY 1),
+cum AS (SELECT row_number() OVER o AS j, CAST(sum(c) OVER o AS BIGINT) AS c, CAST(sum(s) OVER o AS BIGINT) AS s, m FROM hist WINDOW o AS (ORDER BY bin)),
+d1 AS (SELECT j, c * m - s AS cost, CAST(NULL AS BIGINT) AS i FROM cum),
+{", ".join(steps)},
+e{buckets} AS (SELECT max(j) AS j FROM cum),
+{", ".join(back)},
+bounds AS (SELECT CAST(row_number() OVER (ORDER BY m) - 1 AS INTEGER) AS bucket, CAST(m AS BIGINT) AS bucket_len FROM cum WHERE j IN ({ends})),
+placed AS (SELECT doc_id, n, bucket, bucket_len, row_number() OVER (PARTITION BY bucket ORDER BY doc_id % {shards}, doc_id, n) - 1 AS place,
+  greatest(1, {budget} // bucket_len) AS per
+  FROM (SELECT doc_id, n, (SELECT min(bucket_len) FROM bounds WHERE bucket_len >= n) AS bucket_len FROM r) JOIN bounds USING (bucket_len))
+SELECT doc_id, n AS n_tokens, bucket, bucket_len, CAST(place // per AS BIGINT) AS batch, CAST(place % per AS BIGINT) AS slot FROM placed"""
+
+
+def _chat_sql() -> str:
+    esc = lambda c: "replace(replace(replace(replace(" + c + ", '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '[', '&#91;')"
+    return f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 1, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 2, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('<|' || {esc("role")} || '|>' || chr(10) || {esc("text")} || '<|end|>' || chr(10))) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_minhash_near_dedup": rf"""
 WITH RECURSIVE words AS (
@@ -40,4 +163,7 @@ links AS (
 ), least_seen AS (SELECT node, min(seen) AS c FROM reach GROUP BY node)
 SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, CAST(c AS BIGINT) AS component_id, doc_id = c AS kept
 FROM sized JOIN least_seen ON node = doc_id""",
+    "op6_decontamination": _decontamination_sql(),
+    "op8_length_packing": _packing_sql(),
+    "op9_chat_format": _chat_sql(),
 }
