@@ -1,15 +1,79 @@
-"""A corpus pipeline of five stages over `documents`; run() gives the rows of the last."""
+"""A corpus pipeline of five stages over `documents`; run() gives the rows of the last.
+
+All stages but the last return the columns of `documents`: texts of no known language go, one document of each group of near
+copies stays, documents with benchmark passages go, personal data is masked, and the rest is dealt into batches.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from terragrist.llm import decontaminate, langid, minhash, packing, pii
+from terragrist.llm.shared import Scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-STAGES: list[tuple[str, Stage]] = []
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose language is known and at least half certain."""
+    found = langid.identify(docs, langid.fit(docs), lang_out="__lang", score_out="__score")
+    return found.filter("__lang <> 'und' and __score >= 0.5").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    gone = minhash.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
+    return _without(docs, gone)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that overlap no benchmark item."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _without(docs, decontaminate.contaminated_ids(docs, items))
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data by its kind; n_chars follows."""
+    masked = pii.redact(docs, pii.train(docs))
+    return masked.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte-level lengths in optimal buckets and token-budget batches."""
+    return packing.pack(packing.with_byte_tokens(docs), "doc_id", "n_tokens")
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of other ids. Up to a million ids go to every task, more are joined by a shuffle; null ids stay."""
+    ids = Scratch(docs.sparkSession, "gone").table(ids, "ids")
+    if ids.count() <= minhash.BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, "doc_id", "left_anti")
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", identify_language),
+    ("near_dedup", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("personal_data", mask_personal_data),
+    ("packing", pack_batches),
+]
+
+#: A network, signatures and an estimated model have no SQL; tests compare the stages with plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The stages one after the other, each written to the shared folder and read again."""
+    scratch = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
+    for name, stage in STAGES:
+        docs = scratch.table(stage(spark, docs, sf_dir), name)
+        if before:
+            scratch.drop(before)
+        before = name
+    return docs
