@@ -86,21 +86,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 def _decontamination_sql() -> str:
     """Seeds as lists of words instead of hashes; the rest word by word."""
     masks, span = decontaminate.MASKS, min(m[-1] for m in decontaminate.MASKS) + 1
-    split = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '')"
+    split = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
     seeds = lambda t, i: " UNION ALL ".join(
-        f"SELECT {i} AS id, at, {k} AS mask, [{', '.join(f'w[at + {p + 1}]' for p in m)}] AS seed FROM (SELECT {i}, w, unnest(range(0, len(w) - {span} + 1)) AS at FROM {t} WHERE len(w) >= {span}) WHERE at + {m[-1]} < len(w)" for k, m in enumerate(masks)
+        f"SELECT {i} AS id, pos, {k} AS mask, [{', '.join(f'w[pos + {p + 1}]' for p in m)}] AS seed FROM (SELECT {i}, w, unnest(range(0, len(w) - {span} + 1)) AS pos FROM {t} WHERE len(w) >= {span}) WHERE pos + {m[-1]} < len(w)" for k, m in enumerate(masks)
     )
     return f"""
 WITH d AS (SELECT DISTINCT doc_id, {split} AS w FROM documents), b AS (SELECT item_id, {split} AS w FROM benchmark),
 ds AS ({seeds("d", "doc_id")}), bs AS ({seeds("b", "item_id")}),
-hits AS (SELECT DISTINCT ds.id AS doc_id, bs.id AS item_id, ds.at - bs.at AS shift FROM ds JOIN bs USING (mask, seed)),
+hits AS (SELECT DISTINCT ds.id AS doc_id, bs.id AS item_id, ds.pos - bs.pos AS shift FROM ds JOIN bs USING (mask, seed)),
 pairs AS (SELECT h.doc_id, h.item_id, shift, d.w AS dw, b.w AS iw, greatest(0, -shift) AS f, least(len(b.w), len(d.w) - shift) AS l
   FROM hits h JOIN d USING (doc_id) JOIN b USING (item_id)),
 same AS (SELECT doc_id, item_id, shift, f, len(iw) AS n, [CASE WHEN iw[i + 1] = dw[i + shift + 1] THEN 1 ELSE 0 END for i in range(f, l)] AS s FROM pairs),
 best AS (SELECT *, least(12, n) AS k, list_max([list_sum(s[x + 1 : x + least(12, n)]) for x in range(0, len(s) - least(12, n) + 1)]) AS m FROM same),
-kept AS (SELECT doc_id, item_id, n, list_sum(s) AS e, f + shift AS at FROM best WHERE m * 100 >= k * 80)
-SELECT doc_id, item_id, CAST(e AS BIGINT) AS n_equal, CAST(n AS BIGINT) AS n_item, CAST(at AS BIGINT) AS first_word
-FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY e DESC, at) AS r FROM kept) WHERE r = 1"""
+kept AS (SELECT doc_id, item_id, n, list_sum(s) AS e, f + shift AS pos FROM best WHERE m * 100 >= k * 80)
+SELECT doc_id, item_id, CAST(e AS BIGINT) AS n_equal, CAST(n AS BIGINT) AS n_item, CAST(pos AS BIGINT) AS first_word
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY e DESC, pos) AS r FROM kept) WHERE r = 1"""
 
 
 def _packing_sql(buckets: int = 16, budget: int = 131072, bins: int = 1024, shards: int = 1024) -> str:
