@@ -46,30 +46,30 @@ def return_period_columns(periods: Sequence[float]) -> list[str]:
     return names
 
 
-def closed_form(family: Column, shape: Column, location: Column, scale: Column, q: Column) -> Column:
-    """Quantile at q, itself a Column in [0, 1]; the ends give the support's bounds. Null for other families."""
-    low, high = q <= 0, q >= 1
-    inner = F.when(~low & ~high, q)  # logarithms see 0 < q < 1 only
+def closed_form(family: Column, shape: Column, location: Column, scale: Column, q: Column, interior: bool = False) -> Column:
+    """Quantile at q, a Column in [0, 1]; the ends give the support's bounds. Null for other families.
+
+    `interior` promises 0 < q < 1 where it matters, which keeps the expression small enough for generated code.
+    """
+    inner = q if interior else F.when((q > 0) & (q < 1), q)  # logarithms see 0 < q < 1 only
     e = -F.log(inner)
     u = -F.log(F.lit(1.0) - inner)
+    c = shape
     flat = F.coalesce(shape, F.lit(0.0)) == 0
-    c = F.when(~flat, shape)
-    ends = lambda at0, at1, body: F.when(low, at0).when(high, at1).otherwise(body)
-    gumbel = location - scale * F.log(e)
-    gev = ends(
-        F.when(flat | (c > 0), -_INF).otherwise(location + scale / c),
-        F.when(flat | (c < 0), _INF).otherwise(location + scale / c),
-        F.when(flat, gumbel).otherwise(location + scale * (F.lit(1.0) - F.pow(e, c)) / c),
-    )
-    pareto = ends(location, F.when(flat | (c > 0), _INF).otherwise(location - scale / c), F.when(flat, location + scale * u).otherwise(location + scale * (F.exp(c * u) - 1) / c))
-    return (
-        F.when(family == "gumbel_r", ends(F.lit(-_INF), F.lit(_INF), gumbel))
-        .when(family == "gumbel_l", ends(F.lit(-_INF), F.lit(_INF), location + scale * F.log(u)))
-        .when(family == "genextreme", gev)
-        .when(family == "weibull_min", ends(location, F.lit(_INF), location + scale * F.pow(u, F.lit(1.0) / c)))
-        .when(family == "weibull_max", ends(F.lit(-_INF), location, location - scale * F.pow(e, F.lit(1.0) / c)))
-        .when(family == "genpareto", pareto)
+    inside = (
+        F.when((family == "gumbel_r") | (family == "genextreme") & flat, location - scale * F.log(e))
+        .when(family == "gumbel_l", location + scale * F.log(u))
+        .when(family == "genextreme", location + scale * (F.lit(1.0) - F.pow(e, c)) / c)
+        .when(family == "weibull_min", location + scale * F.pow(u, F.lit(1.0) / c))
+        .when(family == "weibull_max", location - scale * F.pow(e, F.lit(1.0) / c))
+        .when(family == "genpareto", F.when(flat, location + scale * u).otherwise(location + scale * (F.exp(c * u) - 1) / c))
     )
+    if interior:
+        return inside
+    # bounds of the support; families not named here are open at that end
+    at0 = F.when(family.isin("weibull_min", "genpareto"), location).when((family == "genextreme") & (c < 0), location + scale / c).otherwise(-_INF)
+    at1 = F.when(family == "weibull_max", location).when((family == "genextreme") & (c > 0), location + scale / c).when((family == "genpareto") & (c < 0), location - scale / c).otherwise(_INF)
+    return F.when(~family.isin(*[f for f in FAMILIES if f != "skewnorm"]), None).when(q <= 0, at0).when(q >= 1, at1).otherwise(inside)
 
 
 _NODES, _WEIGHTS = np.polynomial.legendre.leggauss(48)
@@ -129,7 +129,9 @@ def quantile(probability: float | Column, *, skewnorm: bool = False, prefix: str
     a = col("atom_probability")
     hurdle = col("kind") == "hurdle"
     q = F.when(hurdle, (p - a) / (F.lit(1.0) - a)).otherwise(p)
-    value = closed_form(col("type"), col("shape"), col("location"), col("scale"), q)
+    # a number within (0, 1) stays there: at or below the atom's probability the tail is not asked
+    interior = not isinstance(probability, Column) and 0 < probability < 1
+    value = closed_form(col("type"), col("shape"), col("location"), col("scale"), q, interior)
     if skewnorm:
         asked = F.when(col("type") == "skewnorm", q)
         value = F.when(col("type") == "skewnorm", _skewnorm(asked, col("shape"), col("location"), col("scale"))).otherwise(value)

@@ -126,7 +126,7 @@ def from_wkt(text: str) -> bytes:
     m = re.match(r"\s*(?:SRID=\d+;)?\s*(MULTI)?(POINT|LINESTRING|POLYGON)\s*(?:Z|M|ZM)?\s*(\(.*\))\s*$", text, re.I | re.S)
     if not m:
         raise ValueError(f"cannot read WKT {text[:40]!r}")
-    nested = re.sub(r"([-+0-9.eE]+(?:[ \t]+[-+0-9.eE]+)+)", lambda p: "[" + ",".join(p[1].split()) + "]", m[3])
+    nested = re.sub(r"([-+0-9.eE]+(?:[ \t]+[-+0-9.eE]+)+)", lambda p: str([float(x) for x in p[1].split()]), m[3])
     c = json.loads(nested.replace("(", "[").replace(")", "]"))
     kind = ("Multi" if m[1] else "") + {"POINT": "Point", "LINESTRING": "LineString", "POLYGON": "Polygon"}[m[2].upper()]
     if kind == "Point":

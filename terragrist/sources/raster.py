@@ -84,8 +84,13 @@ class ZarrRaster:
         path = path.rstrip("/")
 
         def read(name: str) -> dict:
-            rows = spark.read.format("binaryFile").option("pathGlobFilter", name).load(f"{path}/{name}").select("content").collect()
-            return json.loads(bytes(rows[0][0]))
+            # names that begin with a dot are hidden from Spark's readers, not from its file systems
+            at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+            stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).open(at)
+            try:
+                return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            finally:
+                stream.close()
 
         out = cls(spark, path, metadata, read(".zarray"), read(".zattrs"))
         if len(out.info["shape"]) not in (2, 3):
