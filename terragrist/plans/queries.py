@@ -10,11 +10,11 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from terragrist import schema
-from terragrist.functions import cells, fitting, geometry
+from terragrist.functions import cells, fitting, geometry, hexgrid
 from terragrist.functions.curves import FAMILIES, quantile
 from terragrist.functions.impacts import ImpactSpec, LinearImpact, PiecewiseLinearImpact, SigmoidImpact
 from terragrist.operators import coverage as cov
-from terragrist.operators import lookup, tiles
+from terragrist.operators import indexing, lookup, tiles
 from terragrist.operators.portfolio import Assets, Evaluation
 from terragrist.plans import surrogates as s
 from terragrist.sources import raster
@@ -480,4 +480,46 @@ def coverage_stats(spark, sf_dir):
     return c.groupBy("adm0_iso").agg(F.count(F.lit(1)).alias("coverage_rows"), F.count_if(F.col("pct") < 1.0).alias("partial_pct_rows"), F.countDistinct("hex_id").alias("hexes"))
 
 
+@query()
+def latlng_to_cell(spark, sf_dir):
+    p = s.points(spark, sf_dir)
+    return p.select("event_id", cells.to_string(hexgrid.point_to_cell(7)(F.col("longitude"), F.col("latitude"))).alias("hex_id"))
+
+
+@query()
+def points_to_cells(spark, sf_dir):
+    return indexing.sample_to_cells(s.points(spark, sf_dir), 3, "max")
+
+
+@query()
+def pixels_to_cells(spark, sf_dir):
+    p = _located(s.pixels(spark, sf_dir).filter("axis_index = 0"))
+    return indexing.pixels_to_cells(p, 0.25, 0.25, resolution=4)
+
+
+@query()
+def polyfill(spark, sf_dir):
+    p, _ = _boxes(spark, sf_dir)
+    return indexing.polygon_candidates(p.filter("poly_rid <= 40"), 4)
+
+
+@query()
+def coverage_of_cells(spark, sf_dir):
+    p, _ = _boxes(spark, sf_dir)
+    p = p.filter("poly_rid <= 40")
+    cand = indexing.polygon_candidates(p, 4)
+    return cov.exploded_coverage(cand, p, indexing.cell_geometries(cand), ["adm0_iso"])
+
+
+@query()
+def portfolio_points(spark, sf_dir):
+    to_cell = hexgrid.point_to_cell(3)
+    sites = s.points(spark, sf_dir).select(F.col("event_id").alias("asset_id"), "longitude", "latitude")
+    cell = to_cell(F.col("longitude"), F.col("latitude"))
+    c = s.points(spark, sf_dir).select(cell.alias("cell_index")).distinct()
+    k = F.col("cell_index")
+    c = c.select(k, F.lit("s").alias("source_id"), F.lit(None).cast("binary").alias("source_geometry"), F.lit("flood").alias("hazard_name"), F.lit(2050).alias("horizon"), F.lit("ssp585").alias("pathway"), F.lit("fitted").alias("curve_kind"), F.lit("gumbel_r").alias("curve_type"), F.lit(None).cast("double").alias("curve_shape"), F.pmod(F.shiftright(k, 36), F.lit(40)).cast("double").alias("curve_location"), F.lit(2.0).alias("curve_scale"), F.lit(None).cast("double").alias("curve_atom_probability"), F.lit(None).cast("double").alias("curve_atom_location"))
+    return _rounded(Evaluation(c, Assets(sites), cell_of=to_cell).return_periods(PERIODS).evaluate(skewnorm=False))
+
+
 __all__ = ["FAMILIES", "ORACLE_SQL", "QUERIES", "Window"]
