@@ -11,12 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terragrist.llm.shared import Scratch
+
 #: Word positions that a seed looks at; of weight 6 over spans of 9 and 8 words.
 MASKS = ((0, 1, 3, 5, 6, 8), (0, 2, 3, 4, 6, 7))
 #: Letters, digits and non-ASCII characters make words; everything else separates.
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Benchmark seeds that may be broadcast (about 50 MB); more are joined by a shuffle.
-BROADCAST_SEEDS = 1_000_000
+#: Benchmark seeds, and hits, that may be broadcast (16 MB or so); more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def word_hashes(text: Column) -> Column:
@@ -26,46 +28,58 @@ def word_hashes(text: Column) -> Column:
 
 
 def _seeds(rows: DataFrame, words: str, at: str) -> DataFrame:
-    """A row for each position and mask: `at`, and the hash `seed`."""
+    """A row for each position and mask: `at`, and the hash `seed`. Texts under the shortest span have none."""
     n, span = F.size(words), min(m[-1] for m in MASKS) + 1
-    rows = rows.filter(n >= span).withColumn(at, F.explode(F.sequence(F.lit(0), F.size(words) - span)))
+    rows = rows.withColumn(at, F.explode(F.when(n >= span, F.sequence(F.lit(0), F.size(words) - span))))
     hashes = [F.when(F.col(at) + m[-1] < F.size(words), F.xxhash64(F.lit(k), *[F.get(words, F.col(at) + p) for p in m])) for k, m in enumerate(MASKS)]
     return rows.withColumn("seed", F.explode(F.array(*hashes))).filter("seed is not null")
 
 
-def _verified(hits: DataFrame, window: int, percent: int) -> DataFrame:
-    """Overlaps of aligned words; hits: (doc_id, item_id, shift, words, item_words), shift = place in document - place in item."""
+def _aligned(hits: DataFrame) -> DataFrame:
+    """Only the words that face each other; hits: (doc_id, item_id, shift, words, item_words), shift = place in document - place in item."""
     first = F.greatest(F.lit(0), -F.col("shift"))
-    last = F.least(F.size("item_words"), F.size("words") - F.col("shift"))
-    item = F.slice("item_words", first + 1, last - first)
-    doc = F.slice("words", first + F.col("shift") + 1, last - first)
-    h = hits.withColumn("same", F.zip_with(doc, item, lambda a, b: F.when(a == b, 1).otherwise(0)))
-    w = F.least(F.lit(window), F.size("item_words"))
+    length = F.least(F.size("item_words"), F.size("words") - F.col("shift")) - first
+    cut = hits.select("doc_id", "item_id", F.size("item_words").alias("n_item"), (first + F.col("shift")).alias("first_word"), F.slice("words", first + F.col("shift") + 1, length).alias("a"), F.slice("item_words", first + 1, length).alias("b"))
+    return cut.repartition("doc_id", "item_id")
+
+
+def _verified(aligned: DataFrame, window: int, percent: int) -> DataFrame:
+    """The best alignment of each document and item, if some stretch of it has enough equal words."""
+    h = aligned.withColumn("same", F.zip_with("a", "b", lambda x, y: F.when(x == y, 1).otherwise(0)))
+    w = F.least(F.lit(window), F.col("n_item"))
     starts = F.when(F.size("same") >= w, F.sequence(F.lit(0), F.size("same") - w)).otherwise(F.array().cast("array<int>"))
-    equal = F.transform(starts, lambda s: F.aggregate(F.slice("same", s + 1, w), F.lit(0), lambda a, x: a + x))
+    equal = F.transform(starts, lambda s: F.aggregate(F.slice("same", s + 1, w), F.lit(0), lambda t, x: t + x))
     h = h.withColumn("best", F.array_max(equal)).filter(F.col("best") * 100 >= w * percent)
-    return h.select("doc_id", "item_id", F.aggregate("same", F.lit(0), lambda a, x: a + x).cast("long").alias("n_equal"), F.size("item_words").cast("long").alias("n_item"), (first + F.col("shift")).cast("long").alias("first_word"))
+    h = h.select("doc_id", "item_id", F.aggregate("same", F.lit(0), lambda t, x: t + x).cast("long").alias("n_equal"), F.col("n_item").cast("long"), F.col("first_word").cast("long"))
+    best = h.groupBy("doc_id", "item_id", "n_item").agg(F.max(F.struct("n_equal", (-F.col("first_word")).alias("at"))).alias("b"))
+    return best.select("doc_id", "item_id", F.col("b.n_equal"), "n_item", (-F.col("b.at")).alias("first_word"))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", *, window: int = 12, percent: int = 80) -> DataFrame:
     """(doc_id, item_id, n_equal, n_item, first_word): each document and item with a tolerant overlap, once.
 
     `n_equal`: equal words on the best alignment, of the item's `n_item`; `first_word`: where in the document that
-    alignment begins (words from 0); ties to the earlier place. Items and documents under 8 words, null and empty texts, and empty tables give nothing.
-    Repeated rows of one id are one document; null ids are kept apart from all others. Other columns are not looked at.
+    alignment begins (words from 0); ties to the earlier place. Items and documents under 8 words, null and empty texts, rows with
+    null ids, and empty tables give nothing. Repeated rows of one id are one document. Other columns are not looked at.
+
+    Exploded positions carry no word lists: hits are found as (document, item, shift) first, and the few documents with hits are
+    read again for the words around them.
     """
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), word_hashes(F.col("text")).alias("item_words"))
-    seeds = _seeds(items, "item_words", "item_at")
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), word_hashes(F.col(text_col)).alias("words"))
-    found = _seeds(d, "words", "at")
-    shift = (F.col("at") - F.col("item_at")).alias("shift")
-    if seeds.count() <= BROADCAST_SEEDS:
-        hits = found.join(F.broadcast(seeds), "seed").select("doc_id", "item_id", shift, "words", "item_words")
-    else:
-        hits = found.select("doc_id", "seed", "at").join(seeds.select("item_id", "seed", "item_at"), "seed").select("doc_id", "item_id", shift).distinct()
-        hits = hits.join(d, "doc_id").join(items, "item_id")
-    best = _verified(hits, window, percent).groupBy("doc_id", "item_id", "n_item").agg(F.max(F.struct("n_equal", (-F.col("first_word")).alias("at"))).alias("b"))
-    return best.select("doc_id", "item_id", F.col("b.n_equal"), "n_item", (-F.col("b.at")).alias("first_word"))
+    scratch = Scratch(docs.sparkSession, "decontaminate")
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), word_hashes(F.col("text")).alias("item_words")).filter("item_id is not null")
+    seeds = scratch.table(_seeds(items, "item_words", "item_at").select("item_id", "item_at", "seed"), "seeds")
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
+    near = seeds
+    if seeds.count() <= BROADCAST_ROWS:
+        near, items = F.broadcast(seeds), F.broadcast(items)
+    found = _seeds(d.select("doc_id", word_hashes(F.col("text")).alias("words")), "words", "at").select("doc_id", "at", "seed")
+    hits = found.join(near, "seed").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    hits = scratch.table(hits, "hits")
+    ids = hits.select("doc_id").distinct()
+    if hits.count() <= BROADCAST_ROWS:
+        ids, hits = F.broadcast(ids), F.broadcast(hits)
+    words = d.join(ids, "doc_id", "left_semi").select("doc_id", word_hashes(F.col("text")).alias("words"))
+    return _verified(_aligned(words.join(hits, "doc_id").join(items, "item_id")), window, percent)
 
 
 def contaminated_ids(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:

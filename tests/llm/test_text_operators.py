@@ -127,10 +127,10 @@ def test_decontamination_tolerates_substitutions(spark):
     bench = spark.createDataFrame([(1, " ".join(item).upper()), (2, "short one"), (3, None)], "item_id long, text string")
     got = {r["doc_id"]: r for r in decontaminate.overlaps(df, bench).collect()}
     assert sorted(got) == [1, 2, 5] and (got[1]["n_equal"], got[1]["first_word"], got[2]["n_equal"]) == (30, 40, 25)
-    shuffled = decontaminate.BROADCAST_SEEDS
+    shuffled = decontaminate.BROADCAST_ROWS
     try:
-        decontaminate.BROADCAST_SEEDS = 0
+        decontaminate.BROADCAST_ROWS = 0
         assert {r["doc_id"]: r for r in decontaminate.overlaps(df, bench).collect()} == got
     finally:
-        decontaminate.BROADCAST_SEEDS = shuffled
+        decontaminate.BROADCAST_ROWS = shuffled
     assert decontaminate.overlaps(df, bench.limit(0)).collect() == [] and decontaminate.overlaps(df.limit(0), bench).collect() == []
