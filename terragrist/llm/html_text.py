@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -48,12 +49,16 @@ class _Page:
 
     def __init__(self) -> None:
         self.tag, self.parent, self.cut, self.texts = ["#root"], [-1], [False], []
+        # inside an article; inside a header of one and no heading
+        self.inside, self.header = [False], [False]
         self.block = 0
 
     def add(self, tag: str, parent: int, cut: bool) -> int:
         self.tag.append(tag)
         self.parent.append(parent)
         self.cut.append(cut or self.cut[parent])
+        self.inside.append(self.inside[parent] or tag in ("article", "main"))
+        self.header.append(tag not in HEADINGS and (tag == "header" or self.header[parent]))
         return len(self.tag) - 1
 
 
@@ -75,6 +80,7 @@ def _is_noise(tag: str, attributes: str, in_article: bool) -> bool:
 
 def parse(source: str) -> _Page:
     page, stack, at = _Page(), [0], 0
+    open_: Counter = Counter()
 
     def text(piece: str) -> None:
         if piece:
@@ -82,7 +88,9 @@ def parse(source: str) -> _Page:
 
     def pop_to(depth: int) -> None:
         while len(stack) > depth:
-            if page.tag[stack.pop()] in BLOCK:
+            name = page.tag[stack.pop()]
+            open_[name] -= 1
+            if name in BLOCK:
                 page.block += 1
 
     length = len(source)
@@ -97,7 +105,7 @@ def parse(source: str) -> _Page:
         if not tag:
             continue
         if m[1] or m[4]:
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1, 0, -1) if open_[tag] else ():
                 name = page.tag[stack[depth]]
                 if name == tag:
                     pop_to(depth)
@@ -124,10 +132,9 @@ def parse(source: str) -> _Page:
                 if name in bounds:
                     break
         attributes = m[3] or m[6] or ""
-        if tag == "body" and "head" in (page.tag[i] for i in stack):
+        if tag == "body" and open_["head"]:
             pop_to(next(d for d, i in enumerate(stack) if page.tag[i] == "head"))
-        in_article = any(page.tag[i] in ("article", "main") for i in stack)
-        cut = _is_noise(tag, attributes, in_article)
+        cut = _is_noise(tag, attributes, page.inside[stack[-1]])
         if tag in BLOCK:
             page.block += 1
         node = page.add(tag, stack[-1], cut)
@@ -138,6 +145,7 @@ def parse(source: str) -> _Page:
             at = end.end() if end else length
             continue
         stack.append(node)
+        open_[tag] += 1
     return page
 
 
@@ -198,23 +206,12 @@ def main_text(source: str) -> str:
         chosen[i] = chosen[i] or chosen[p] or (p in on_path and i not in on_path and density[i] >= threshold and page.tag[i] not in ("html", "body"))
     blocks: dict[int, list[str]] = {}
     for node, block, piece in page.texts:
-        if chosen[node] and not page.cut[node] and not _in_header(page, node) or node == 0 and core == 0:
+        if chosen[node] and not page.cut[node] and not page.header[node] or node == 0 and core == 0:
             blocks.setdefault(block, []).append(piece)
     lines = (" ".join(html.unescape("".join(b)).split()) for _, b in sorted(blocks.items()))
     return "\n".join(x for x in lines if x)
 
 
-def _in_header(page: _Page, node: int) -> bool:
-    """True for text of a header inside an article that is no heading."""
-    while node > 0:
-        if page.tag[node] in HEADINGS:
-            return False
-        if page.tag[node] == "header":
-            return True
-        node = page.parent[node]
-    return False
-
-
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) for each row of `pages`, from its whole html.
 

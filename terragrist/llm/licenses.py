@@ -151,14 +151,17 @@ class Scanner:
         low = text.translate(_LOWER)
         words = _WORD.findall(low)
         line = f" {' '.join(words)} "
-        starts, base, more, tagged = [], set(), set(), False
+        places, base, more, tagged = [], set(), set(), False
         for end, phrase in self.auto.iter(line):
             if phrase in self.base:
-                starts.append(line.count(" ", 0, end - len(phrase)) - 1 + 0)
+                places.append(end - len(phrase) - 1)
                 base.add(self.base[phrase])
             if phrase in self.notices:
                 more.add(self.notices[phrase])
             tagged = tagged or phrase == TAG
+        # spaces before the first and the last place, each counted once
+        places.sort()
+        starts = [line.count(" ", 0, p) for p in (places[0], places[-1])] if places else []
         openness = [float(x in OPEN) for x in more | base]
         if tagged:
             for m in _TAGGED.finditer(low):
@@ -167,7 +170,7 @@ class Scanner:
                     more |= e.labels
                     openness.append(e.openness)
         score = min(openness) if openness else 0.0
-        return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | more)), score
+        return len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | more)), score
 
 
 FOUND = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"

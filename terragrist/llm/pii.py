@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -129,9 +130,14 @@ def candidates(text: str, base: list[Span]) -> list[Span]:
         out += [(m.start(1), m.end(1), "name") for m in _NAME.finditer(text)]
     if not out:
         return out
-    taken, kept = sorted(base), []
+    kept: list[Span] = []
+    starts, ends, most = [s for s, _, _ in base], [], 0
+    for _, e, _ in base:
+        most = max(most, e)
+        ends.append(most)
     for s in sorted(out, key=lambda s: (s[0], _ORDER[s[2]])):
-        if all(s[1] <= a or s[0] >= b for a, b, _ in taken) and (not kept or s[0] >= kept[-1][1]):
+        before = bisect_left(starts, s[1])  # base spans that begin before this one ends
+        if (not before or ends[before - 1] <= s[0]) and (not kept or s[0] >= kept[-1][1]):
             kept.append(s)
     return kept
 
