@@ -304,3 +304,114 @@ def geojson_to_wkb(text: pd.Series) -> pd.Series:
 def box_wkb(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
     """Rectangles, counter-clockwise."""
     return pd.Series([write_polygon([[(a, b), (c, b), (c, d), (a, d)]]) for a, b, c, d in zip(x0, y0, x1, y1)], dtype=object)
+
+
+def _edges(polys: list[Polygon]) -> np.ndarray:
+    """(x0, y0, x1, y1) of all edges that are not vertical, from left to right."""
+    out = []
+    for p in polys:
+        for r in p:
+            a, b = r, np.roll(r, -1, axis=0)
+            e = np.concatenate([a, b], axis=1)
+            e = e[e[:, 0] != e[:, 2]]
+            flip = e[:, 0] > e[:, 2]
+            e[flip] = e[flip][:, [2, 3, 0, 1]]
+            out.append(e)
+    return np.concatenate(out) if out else np.empty((0, 4))
+
+
+def intersection_area(a: list[Polygon], b: list[Polygon]) -> float:
+    """Area that two polygons share, concave ones and holes included.
+
+    Vertical slabs between all vertices and all crossings of edges: within a slab both polygons are stacks of
+    trapezoids that do not cross, so the shared length at its middle times its width is exact.
+    """
+    ea, eb = _edges(a), _edges(b)
+    if not len(ea) or not len(eb):
+        return 0.0
+    lo, hi = max(ea[:, 0].min(), eb[:, 0].min()), min(ea[:, 2].max(), eb[:, 2].max())
+    if lo >= hi:
+        return 0.0
+    ea, eb = ea[(ea[:, 2] > lo) & (ea[:, 0] < hi)], eb[(eb[:, 2] > lo) & (eb[:, 0] < hi)]
+    if not len(ea) or not len(eb):
+        return 0.0
+    slope = lambda e: (e[:, 3] - e[:, 1]) / (e[:, 2] - e[:, 0])
+    sa, sb = slope(ea), slope(eb)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        x = ((eb[:, 1] - sb * eb[:, 0])[None, :] - (ea[:, 1] - sa * ea[:, 0])[:, None]) / (sa[:, None] - sb[None, :])
+    inside = (x > np.maximum(ea[:, 0][:, None], eb[:, 0][None, :])) & (x < np.minimum(ea[:, 2][:, None], eb[:, 2][None, :]))
+    xs = np.unique(np.concatenate([ea[:, [0, 2]].ravel(), eb[:, [0, 2]].ravel(), x[inside], [lo, hi]]))
+    xs = xs[(xs >= lo) & (xs <= hi)]
+    total = 0.0
+    for left, right in zip(xs, xs[1:]):
+        mid = (left + right) / 2
+        cuts = []
+        for e, s in ((ea, sa), (eb, sb)):
+            on = (e[:, 0] < mid) & (e[:, 2] > mid)
+            cuts.append(np.sort(e[on, 1] + s[on] * (mid - e[on, 0])))
+        ya, yb = cuts
+        n = 0.0
+        i = j = 0
+        while i + 1 < len(ya) and j + 1 < len(yb):
+            n += max(0.0, min(ya[i + 1], yb[j + 1]) - max(ya[i], yb[j]))
+            if ya[i + 1] < yb[j + 1]:
+                i += 2
+            else:
+                j += 2
+        total += n * (right - left)
+    return total
+
+
+@F.pandas_udf(T.DoubleType())
+def shared_area(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """(polygon WKB, polygon WKB): area of the intersection."""
+    cache = _Cache()
+    for left, right in batches:
+        yield pd.Series([None if x is None or y is None else intersection_area(cache.get(x), cache.get(y)) for x, y in zip(left, right)], dtype=float)
+
+
+#: WGS 84 ellipsoid; fixed values.
+_A, _F = 6378137.0, 1 / 298.257223563
+
+
+def to_degrees(points: np.ndarray, epsg: int) -> np.ndarray:
+    """Longitude and latitude of web Mercator (3857) or UTM (326xx, 327xx) coordinates; 4326 and its axis-swapped aliases pass."""
+    if epsg in (4326, 4979):
+        return points
+    x, y = points[:, 0], points[:, 1]
+    if epsg == 3857:
+        return np.degrees(np.stack([x / _A, np.arctan(np.sinh(y / _A))], axis=1))
+    zone, south = epsg % 100, epsg // 100 == 327
+    if epsg // 100 not in (326, 327) or not 1 <= zone <= 60:
+        raise ValueError(f"EPSG:{epsg} is not supported")
+    n = _F / (2 - _F)
+    radius = _A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    xi, eta = (y - (1e7 if south else 0.0)) / (0.9996 * radius), (x - 5e5) / (0.9996 * radius)
+    beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
+    delta = (2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15)
+    xi2, eta2 = xi.copy(), eta.copy()
+    for k, b in enumerate(beta, 1):
+        xi2 -= b * np.sin(2 * k * xi) * np.cosh(2 * k * eta)
+        eta2 -= b * np.cos(2 * k * xi) * np.sinh(2 * k * eta)
+    chi = np.arcsin(np.sin(xi2) / np.cosh(eta2))
+    lat = chi + sum(d * np.sin(2 * k * chi) for k, d in enumerate(delta, 1))
+    lon = np.radians(6 * zone - 183) + np.arctan2(np.sinh(eta2), np.cos(xi2))
+    return np.degrees(np.stack([lon, lat], axis=1))
+
+
+def reproject(data: bytes, epsg: int) -> bytes:
+    """WKB in degrees."""
+    kind, parts_ = read_wkb(data)
+    move = lambda r: to_degrees(r, epsg)
+    moved = [[move(r) for r in p] for p in parts_] if "Polygon" in kind else [move(p) for p in parts_]
+    return write_wkb(kind, moved)
+
+
+def reprojected(epsg: int):
+    """A function of a WKB column."""
+
+    @F.pandas_udf(T.BinaryType())
+    def run(wkb: pd.Series) -> pd.Series:
+        return pd.Series([None if g is None else reproject(bytes(g), epsg) for g in wkb], dtype=object)
+
+    return run

@@ -439,6 +439,18 @@ def clip_area(spark, sf_dir):
     return j.select("hex_id", "poly_rid", geometry.overlap_area("geom_wkb", "cell_wkb").alias("area")).filter("area > 1e-9").withColumn("area", r6("area"))
 
 
+_SHARED = "greatest(0.0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0.0, least(a.y1, b.y1) - greatest(a.y0, b.y0))"
+
+
+@query(f"WITH {_BOXES} SELECT a.poly_rid AS a, b.poly_rid AS b, {_r6(_SHARED)} AS area FROM polys a JOIN polys b ON a.adm0 = b.adm0 AND a.poly_rid < b.poly_rid WHERE {_SHARED} > 1e-9")
+def overlay_area(spark, sf_dir):
+    p, _ = _boxes(spark, sf_dir)
+    a, b = p.alias("a"), p.alias("b")
+    j = a.join(b, (F.col("a.adm0_iso") == F.col("b.adm0_iso")) & (F.col("a.poly_rid") < F.col("b.poly_rid")) & cov.boxes_meet("a", "b"))
+    out = j.select(F.col("a.poly_rid").alias("a"), F.col("b.poly_rid").alias("b"), geometry.shared_area("a.geom_wkb", "b.geom_wkb").alias("area"))
+    return out.filter("area > 1e-9").withColumn("area", r6("area"))
+
+
 @query(f"WITH {_BOXES} SELECT CAST(hex AS VARCHAR) AS hex_id, poly_rid FROM polys, squares WHERE cx + 0.15 BETWEEN x0 AND x1 AND cy + 0.15 BETWEEN y0 AND y1")
 def point_in_polygon(spark, sf_dir):
     p, c = _boxes(spark, sf_dir)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terragrist.functions.geometry import geojson_to_wkb, wkt_to_wkb
+from terragrist.sources.shapefile import read_shapefile
 
-FORMATS = ("geojson", "geoparquet", "parquet", "wkt", "wkb")
+FORMATS = ("geojson", "geoparquet", "parquet", "wkt", "wkb", "shapefile")
 _GEOJSON = "type string, features array<struct<type: string, properties: map<string, string>, geometry: string>>"
 
 
@@ -18,7 +20,7 @@ def read_vector(spark: SparkSession, path: str | list[str], fmt: str, geometry:
     """All columns of the file and `geom_wkb`; `keep_source` names a copy of the source geometry (the text, for WKT).
 
     geojson: properties become string columns. geoparquet and parquet: `geometry` holds WKB. wkt and wkb: CSV with a header, the geometry as
-    text or hexadecimal.
+    text or hexadecimal. shapefile: paths of .shp files with their .dbf.
     """
     fmt = fmt.lower()
     if fmt not in FORMATS:
@@ -29,6 +31,9 @@ def read_vector(spark: SparkSession, path: str | list[str], fmt: str, geometry:
         names = [r[0] for r in f.select(F.explode(F.map_keys("f.properties"))).distinct().collect()]
         df = f.select(*[F.col("f.properties")[n].alias(n) for n in sorted(names)], geojson_to_wkb(F.col("f.geometry")).alias("geom_wkb"))
         return df.withColumn(keep_source, F.col("geom_wkb")) if keep_source else df
+    if fmt == "shapefile":
+        df = reduce(DataFrame.unionByName, [read_shapefile(spark, p) for p in paths])
+        return df.withColumn(keep_source, F.col("geom_wkb")) if keep_source else df
     if fmt in ("geoparquet", "parquet"):
         df = spark.read.option("mergeSchema", "true").parquet(*paths)
         df = df.withColumn(keep_source, F.col(geometry)) if keep_source else df
