@@ -18,9 +18,9 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is known and at least half certain."""
+    """Keeps documents whose language is known and at least 0.4 certain."""
     found = langid.identify(docs, langid.fit(docs), lang_out="__lang", score_out="__score")
-    return found.filter("__lang <> 'und' and __score >= 0.5").select(*docs.columns)
+    return found.filter("__lang <> 'und' and __score >= 0.4").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
