@@ -66,10 +66,23 @@ def _features(width: int, k: int, seed: int):
     return run
 
 
+def pack_set(shingles: np.ndarray) -> bytes:
+    """A set as the upper six bytes of its hashes: for sets of a thousand, one pair in 10^8 or so would be miscounted, by one."""
+    high = np.unique(shingles >> np.uint64(16)).astype("<u8")
+    return high.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpack_set(data: pa.Buffer) -> np.ndarray:
+    six = np.frombuffer(data, dtype=np.uint8).reshape(-1, 6)
+    out = np.zeros((len(six), 8), dtype=np.uint8)
+    out[:, :6] = six
+    return out.view("<u8").ravel()
+
+
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingle_set(word_hashes(v), width).tobytes() if v is not None else b"" for v in utf8_views(batch.column(1))]
+            found = [pack_set(shingle_set(word_hashes(v), width)) if v is not None else b"" for v in utf8_views(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["doc_id", "shingles"])
 
     return run
@@ -135,7 +148,7 @@ def _verify(percent: int):
                     key, rows = now, {x: [] for x in names}
                 for x in names[:3]:
                     rows[x].append(cols[x][i])
-                rows["shingles"].append(np.frombuffer(raw[i].as_buffer(), dtype=np.uint64))
+                rows["shingles"].append(unpack_set(raw[i].as_buffer()))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["u", "v"])
             found = []
         found += links(rows)
@@ -182,9 +195,9 @@ def near_duplicates(
     classes = sized.groupBy("n", "fa", "fb").agg(F.min("doc_id").alias("rep"))
     # Sets of n and n + 1 shingles cannot be linked below this n; such sets are linked with equal sets only.
     least = math.ceil(p / (1 - p) - 1e-9) if p < 1 else 1 << 62
-    # equal sets have equal signatures, so the class is found again by its key, and any member's will do
-    reps = sized.filter(F.col("n") >= least).join(classes.select("n", "fa", "fb", F.col("rep").alias("doc_id")), ["n", "fa", "fb", "doc_id"], "left_semi")
-    reps = scratch.table(reps.select("doc_id", "n", "sig").dropDuplicates(["doc_id"]), "classes")
+    reps = sized.filter(F.col("n") >= least).select("doc_id", "n", "fa", "fb", "sig")
+    copies = sized.select("doc_id", "n", "fa", "fb").join(classes, ["n", "fa", "fb"]).filter("doc_id <> rep").select("doc_id").distinct()
+    reps = reps.join(_small(scratch.table(copies, "copies")), "doc_id", "left_anti").select("doc_id", "sig")
 
     star = _star(reps, scratch, matches)
     edges = _links(docs, star, scratch, width, percent)
@@ -196,40 +209,51 @@ def near_duplicates(
     members = members.unionByName(feats.filter("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id")))
     kept: Column = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     out = scratch.table(members.select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept")), "result")
-    scratch.drop("features", "classes", "postings", "star", "sets", "first", "second")
+    scratch.drop("features", "copies", "postings", "star", "sets", "first", "second")
     return out
 
 
+def _small(ids: DataFrame) -> DataFrame:
+    """Marks ids for broadcasting if they are few enough; otherwise they are joined by a shuffle."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def _star(reps: DataFrame, scratch: Scratch, matches: int) -> DataFrame:
-    """(hub, doc_id): the members that meet a hub in a prefix list."""
+    """(hub, doc_id, near): the members that meet a hub in a prefix list; near, if they match it in enough coordinates."""
     tokens = reps.select("doc_id", F.posexplode("sig").alias("at", "value"))
     tokens = tokens.select("doc_id", F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("token"))
     tokens = tokens.withColumn("freq", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("freq > 1")
-    lists = tokens.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("freq", "token"))).alias("shared"), F.sum("freq").alias("weight"))
+    # Any order of values serves, as long as it is the same for all: by frequency in eighths of an octave, then value, in one number.
+    ranked = F.shiftleft(F.floor(F.log2("freq") * 8).cast("long"), 48).bitwiseOR(F.col("token"))
+    lists = tokens.groupBy("doc_id").agg(F.sort_array(F.collect_set(ranked)).alias("shared"), F.sum("freq").alias("weight"))
     lists = lists.filter(F.size("shared") >= matches)
-    postings = lists.select("doc_id", "weight", F.explode(F.slice("shared", F.lit(1), F.size("shared") - (matches - 1))).alias("t")).select("t.token", "doc_id", "weight")
+    postings = lists.select("doc_id", "weight", F.explode(F.slice("shared", F.lit(1), F.size("shared") - (matches - 1))).alias("token"))
     postings = scratch.table(postings, "postings")
     hubs = postings.groupBy("token").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("neg"))).alias("best"), F.count(F.lit(1)).alias("size"))
     hubs = hubs.filter("size > 1").select("token", (-F.col("best.neg")).alias("hub"), "size")
     star = postings.join(hubs, "token").filter("doc_id <> hub").groupBy("hub", "doc_id").agg(F.max("size").alias("size"))
     # Signatures decide on pairs that stand alone in their lists; members of longer lists stay, for each other's sake.
-    sig = reps.select("doc_id", "sig")
+    star = scratch.table(star, "met")
+    ids = star.select("doc_id").unionByName(star.select(F.col("hub").alias("doc_id"))).distinct()
+    sig = reps.join(_small(ids), "doc_id", "left_semi").select("doc_id", "sig")
     star = star.join(sig, "doc_id").join(sig.select(F.col("doc_id").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
     same = F.aggregate(F.zip_with("sig", "hub_sig", lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
-    return scratch.table(star.withColumn("same", same).filter((F.col("same") >= matches) | (F.col("size") > 2)).select("hub", "doc_id", "same"), "star")
+    star = star.withColumn("near", same >= matches).filter("near or size > 2").select("hub", "doc_id", "near").distinct()
+    star = scratch.table(star, "star")
+    scratch.drop("postings", "met")
+    return star
 
 
 def _links(docs: DataFrame, star: DataFrame, scratch: Scratch, width: int, percent: int) -> DataFrame:
     """(u, v): confirmed links between classes that connect whatever links of any two members of a list connect."""
     family = star.select(F.col("hub").alias("family"), "doc_id").unionByName(star.select(F.col("hub").alias("family"), F.col("hub").alias("doc_id")).distinct())
     ids = family.select("doc_id").distinct()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    texts = docs.filter("doc_id is not null").join(ids, "doc_id", "left_semi")
-    sets = scratch.table(texts.mapInArrow(_sets(width), "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "sets")
+    texts = docs.filter("doc_id is not null").join(_small(ids), "doc_id", "left_semi")
+    sets = scratch.table(texts.mapInArrow(_sets(width), "doc_id long, shingles binary"), "sets")
 
-    sizes = star.groupBy("hub").agg(F.count(F.lit(1)).alias("n_right")).withColumn("n_left", F.lit(1))
-    right = star.join(sizes, "hub").select(F.col("hub").alias("family"), "doc_id", F.col("doc_id").alias("comp"), "n_left", "n_right")
+    near = star.filter("near")
+    sizes = near.groupBy("hub").agg(F.count(F.lit(1)).alias("n_right")).withColumn("n_left", F.lit(1))
+    right = near.join(sizes, "hub").select(F.col("hub").alias("family"), "doc_id", F.col("doc_id").alias("comp"), "n_left", "n_right")
     left = sizes.select(F.col("hub").alias("family"), F.col("hub").alias("doc_id"), F.col("hub").alias("comp"), "n_left", "n_right")
     first = scratch.table(_block_links(left, right, sets, percent), "first")
 
