@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -117,6 +117,13 @@ class LookupCatalog:
     def version_uri(self) -> str:
         return f"{self.root}/.version"
 
+    def assignments(self, spark: SparkSession, resolution: int = 7, partition_resolution: int | None = None, parent: str | None = None) -> DataFrame:
+        """The lookup of a resolution; with a partition resolution its partitioned form, of one parent only the directory of that parent."""
+        if partition_resolution is None:
+            return spark.read.parquet(self.lookup_uri(resolution))
+        df = spark.read.parquet(self.partitioned_root(resolution))
+        return df if parent is None else df.filter(F.col(f"h3_r{partition_resolution}") == parent)
+
 
 def country_cells(table: DataFrame, iso: str, *, field: str = "adm0_iso") -> DataFrame:
     """Sorted distinct cells of a country: of a lookup those whose best or any path is in it, of exploded coverage those with a share."""

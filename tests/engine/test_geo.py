@@ -89,6 +89,9 @@ def test_partitioned_lookup(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "p").glob("h3_r0=*")) == ["h3_r0=8029fffffffffff", "h3_r0=8075fffffffffff"]
     with pytest.raises(ValueError):
         lookup.write_partitioned(df, str(tmp_path / "q"), 8, 8)
+    lookup.write_partitioned(df, str(tmp_path / "r8"), 8)
+    rows = lookup.LookupCatalog(str(tmp_path)).assignments(spark, 8, 0, "8029fffffffffff")
+    assert [r["v"] for r in rows.collect()] == [1] and "PartitionFilters: [isnotnull(h3_r0" in rows._jdf.queryExecution().executedPlan().toString()
     c = lookup.LookupCatalog("/x/")
     assert c.partitioned_uri(7, 0) == "/x/r7/h3_r0=*/*.parquet" and c.exploded_uri(7) == "/x/r7_exploded.parquet"
 

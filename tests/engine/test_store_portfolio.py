@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from terragrist import schema
 from terragrist.functions.geometry import write_polygon
-from terragrist.operators.portfolio import Assets, Evaluation, scenario_filter
+from terragrist.operators.portfolio import Assets, Evaluation, scenario_filter, with_quantiles
 from terragrist.schema import HAZARD_SCHEMA, HazardMetadata, Source
 from terragrist.sources.hazard import HazardQuery, LocalProvider, read_hazard, read_metadata, write_hazard
 from terragrist.streaming import portfolio as live
@@ -109,3 +109,12 @@ def test_write_keeps_metadata_and_empty_results(spark, tmp_path):
 
 def test_duplicate_keys(spark):
     assert schema.duplicate_keys(_hazard(spark, _row(), _row(), _row(5))).count() == 1
+
+
+def test_quantiles_without_a_join(spark):
+    c = _hazard(spark, _row(), _row(2, kind="hurdle", atom=0.7, x0=0.5)).withColumn("province", F.lit("p"))
+    out = with_quantiles(c, [0.6], ["depth_m"], ["cell_index", "province"])
+    assert out.columns == ["cell_index", "province", "depth_m"]
+    assert {r[0]: round(r[2], 6) for r in out.collect()} == {1: 4.015181, 2: 0.5}
+    with pytest.raises(ValueError):
+        with_quantiles(c, [0.5, 0.6], ["a", "a"], [])
