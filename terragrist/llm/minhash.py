@@ -209,12 +209,12 @@ def near_duplicates(
     members = members.unionByName(feats.filter("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id")))
     kept: Column = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     out = scratch.table(members.select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept")), "result")
-    scratch.drop("features", "copies", "postings", "star", "sets", "first", "second")
+    scratch.drop("features", "copies", "postings", "star", "sets", "hubs", "families", "apart", "first", "second")
     return out
 
 
 def _small(ids: DataFrame) -> DataFrame:
-    """Marks ids for broadcasting if they are few enough; otherwise they are joined by a shuffle."""
+    """Marks a table of ids for broadcasting if it is short enough; otherwise it is joined by a shuffle."""
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
@@ -252,17 +252,18 @@ def _links(docs: DataFrame, star: DataFrame, scratch: Scratch, width: int, perce
     sets = scratch.table(texts.mapInArrow(_sets(width), "doc_id long, shingles binary"), "sets")
 
     near = star.filter("near")
-    sizes = near.groupBy("hub").agg(F.count(F.lit(1)).alias("n_right")).withColumn("n_left", F.lit(1))
-    right = near.join(sizes, "hub").select(F.col("hub").alias("family"), "doc_id", F.col("doc_id").alias("comp"), "n_left", "n_right")
+    sizes = scratch.table(near.groupBy("hub").agg(F.count(F.lit(1)).alias("n_right")).withColumn("n_left", F.lit(1)), "hubs")
+    right = near.join(_small(sizes), "hub").select(F.col("hub").alias("family"), "doc_id", F.col("doc_id").alias("comp"), "n_left", "n_right")
     left = sizes.select(F.col("hub").alias("family"), F.col("hub").alias("doc_id"), F.col("hub").alias("comp"), "n_left", "n_right")
     first = scratch.table(_block_links(left, right, sets, percent), "first")
 
     comps = connected_components(first, scratch, "round").withColumnRenamed("node", "doc_id")
     family = family.join(comps, "doc_id", "left").select("family", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
+    family = scratch.table(family, "families")
     of_hub = family.filter("doc_id = family").select("family", F.col("comp").alias("hub_comp"))
-    family = family.join(of_hub, "family")
+    family = family.join(_small(of_hub), "family")
     sizes = family.groupBy("family").agg(F.count(F.lit(1)).alias("n_right"), F.count_if(F.col("comp") != F.col("hub_comp")).alias("n_left")).filter("n_left > 1 or n_left = 1 and n_right > 2")
-    family = family.join(sizes, "family")
+    family = family.join(_small(scratch.table(sizes, "apart")), "family")
     second = _block_links(family.filter("comp <> hub_comp").drop("hub_comp"), family.drop("hub_comp"), sets, percent)
     second = scratch.table(second, "second")
     return first.unionByName(second)
