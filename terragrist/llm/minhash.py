@@ -192,7 +192,8 @@ def near_duplicates(
     feats = docs.mapInArrow(_features(width, coordinates, seed), "doc_id long, n long, fa long, fb long, sig array<int>")
     feats = scratch.table(feats, "features")
     sized = feats.filter("n > 0 and doc_id is not null")
-    classes = sized.groupBy("n", "fa", "fb").agg(F.min("doc_id").alias("rep"))
+    # Written, so that joins with it shuffle both sides plainly and a hot class can be split.
+    classes = scratch.table(sized.groupBy("n", "fa", "fb").agg(F.min("doc_id").alias("rep")), "classes")
     # Sets of n and n + 1 shingles cannot be linked below this n; such sets are linked with equal sets only.
     least = math.ceil(p / (1 - p) - 1e-9) if p < 1 else 1 << 62
     reps = sized.filter(F.col("n") >= least).select("doc_id", "n", "fa", "fb", "sig")
@@ -209,7 +210,7 @@ def near_duplicates(
     members = members.unionByName(feats.filter("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id")))
     kept: Column = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     out = scratch.table(members.select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept")), "result")
-    scratch.drop("features", "copies", "postings", "star", "sets", "hubs", "families", "apart", "first", "second")
+    scratch.drop("features", "classes", "copies", "postings", "star", "sets", "hubs", "families", "apart", "first", "second")
     return out
 
 
