@@ -1,47 +1,72 @@
 """Length-bucketed packing with optimal buckets.
 
-A histogram of lengths over all rows (at most `bins` bins, whatever the table) goes to the driver, where dynamic programming
-chooses the bucket boundaries of least total padding. Rows of a bucket are then dealt into batches of as many rows as fit
+The counts of the exact lengths of all rows go to the driver, where dynamic programming chooses the bucket boundaries of least
+total padding, without rounding. Different lengths are few: d of them take at least d * d / 2 tokens together, so a
+table of 10^12 tokens has 1.5 million at most. Rows of a bucket are then dealt into batches of as many rows as fit
 the token budget at the bucket's padded length. Places within a bucket come from counts per shard and row numbers
 within a shard, so no task ever holds a whole bucket.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def optimal_buckets(counts: list[int], totals: list[int], longest: list[int], buckets: int) -> list[int]:
+def optimal_buckets(counts: Sequence[int], totals: Sequence[int], longest: Sequence[int], buckets: int) -> list[int]:
     """Last bin of each bucket, such that the sum of padding to each bucket's longest row is least; ties to earlier splits.
 
-    counts, totals and longest: rows, summed lengths and largest length of each non-empty bin, by length.
+    counts, totals and longest: rows, summed lengths and largest length of each non-empty bin, by length. The padding of a bucket
+    fulfils the quadrangle inequality, so the best split never moves back as the end grows. Each step halves the
+    ends between those already solved, which costs buckets * n * log(n) time and memory in proportion to buckets * n.
     """
     n = len(counts)
     if not n:
         return []
-    c = np.concatenate([[0], np.cumsum(np.array(counts, dtype=np.int64))])
-    s = np.concatenate([[0], np.cumsum(np.array(totals, dtype=np.int64))])
-    m = np.array(longest, dtype=np.int64)
-    # cost[i, j]: padding of bins i..j in one bucket
-    cost = (c[None, 1:] - c[:-1, None]) * m[None, :] - (s[None, 1:] - s[:-1, None])
-    big = np.int64(1) << np.int64(61)
-    cost[np.tril_indices(n, -1)] = big
-    best, came = cost[0].copy(), []
-    for _ in range(1, min(buckets, n)):
-        total = np.minimum(best[:-1, None] + cost[1:, :], big)
-        split = total.argmin(axis=0)
+    large = sum(int(x) for x in counts) * max(abs(int(x)) for x in longest) >= 1 << 61
+    kind = object if large else np.int64  # Python's integers, where 64 bits could overflow
+    c = np.concatenate([[0], np.cumsum(np.array(counts, dtype=kind))]).astype(kind)
+    s = np.concatenate([[0], np.cumsum(np.array(totals, dtype=kind))]).astype(kind)
+    m = np.array(longest, dtype=kind)
+    best, came = c[1:] * m - s[1:], []
+    for k in range(1, min(buckets, n)):
+        best, split = _next_bucket(best, c, s, m, k)
         came.append(split)
-        best = total[split, np.arange(n)]
     ends = [n - 1]
     for split in reversed(came):
         ends.append(int(split[ends[-1]]))
     return ends[::-1]
 
 
-def pack(rows: DataFrame, id_col: str, length_col: str, *, buckets: int = 16, token_budget: int = 131072, bins: int = 1024, shards: int = 1024) -> DataFrame:
+def _next_bucket(best: np.ndarray, c: np.ndarray, s: np.ndarray, m: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least padding of bins 0..j in k + 1 buckets, and the last bin of all but the last of them, for each j >= k."""
+    n = len(m)
+    after, split = best.copy(), np.zeros(n, dtype=np.int64)
+    first, last = np.array([k]), np.array([n - 1])  # open ranges of ends, and the splits that they may have
+    low, high = np.array([k - 1]), np.array([n - 2])
+    while len(first):
+        mid = (first + last) // 2
+        top = np.minimum(high, mid - 1)
+        size = top - low + 1
+        start = np.cumsum(size) - size
+        of = np.repeat(np.arange(len(mid)), size)
+        i, j = np.arange(len(of)) - start[of] + low[of], mid[of]
+        total = best[i] + (c[j + 1] - c[i + 1]) * m[j] - (s[j + 1] - s[i + 1])
+        least = np.minimum.reduceat(total, start)
+        hit = np.flatnonzero(total == least[of])
+        at = i[hit[np.unique(of[hit], return_index=True)[1]]]
+        after[mid], split[mid] = least, at
+        first, last, low, high = (np.concatenate(x) for x in ((first, mid + 1), (mid - 1, last), (low, at), (at, high)))
+        some = first <= last
+        first, last, low, high = first[some], last[some], low[some], high[some]
+    return after, split
+
+
+def pack(rows: DataFrame, id_col: str, length_col: str, *, buckets: int = 16, token_budget: int = 131072, shards: int = 1024) -> DataFrame:
     """(doc_id, n_tokens, bucket, bucket_len, batch, slot) for each row of `rows`.
 
     `bucket_len` is the padded length of the row's bucket, `batch` a number within the bucket. A batch holds
@@ -50,12 +75,11 @@ def pack(rows: DataFrame, id_col: str, length_col: str, *, buckets: int = 16, to
     empty result.
     """
     r = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(length_col).cast("long"), F.lit(0)).alias("n_tokens"))
-    top = r.agg(F.max("n_tokens")).first()[0] or 0
-    grid = max(1, -(-top // bins))
-    binned = F.expr(f"(n_tokens + {grid - 1}) div {grid}")
-    hist = sorted(tuple(x) for x in r.groupBy(binned.alias("bin")).agg(F.count(F.lit(1)), F.sum("n_tokens"), F.max("n_tokens")).collect())
-    ends = optimal_buckets([x[1] for x in hist], [x[2] for x in hist], [x[3] for x in hist], buckets)
-    bounds = [hist[e][3] for e in ends] or [0]
+    hist = r.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    lengths, counts = (hist.column(x).to_numpy() for x in ("n_tokens", "n"))
+    order = lengths.argsort()
+    lengths, counts = lengths[order], counts[order]
+    bounds = [int(lengths[e]) for e in optimal_buckets(counts, counts * lengths, lengths, buckets)] or [0]
     bucket = F.lit(len(bounds) - 1)
     size = F.lit(bounds[-1])
     for k in reversed(range(len(bounds) - 1)):

@@ -44,6 +44,26 @@ def test_optimal_buckets_equal_brute_force():
             assert cost(packing.optimal_buckets(counts, totals, longest, k)) == best
 
 
+def test_one_very_long_row_leaves_the_buckets_exact(spark):
+    rng = random.Random(4)
+    lengths = [rng.randrange(1, 3000) for _ in range(800)] + [50_000_000]
+    got = packing.pack(spark.createDataFrame(list(enumerate(lengths)), "doc_id long, n long"), "doc_id", "n").collect()
+    padding = sum(r["bucket_len"] - r["n_tokens"] for r in got)
+    distinct = sorted(set(lengths))
+    rows = [0, *itertools.accumulate(lengths.count(v) for v in distinct)]
+    sums = [0, *itertools.accumulate(lengths.count(v) * v for v in distinct)]
+    best = [rows[j + 1] * v - sums[j + 1] for j, v in enumerate(distinct)]
+    for _ in range(15):
+        best = [min([best[j]] + [best[i] + (rows[j + 1] - rows[i + 1]) * v - (sums[j + 1] - sums[i + 1]) for i in range(j)]) for j, v in enumerate(distinct)]
+    assert padding == best[-1] and len({r["bucket"] for r in got}) == 16
+
+
+def test_buckets_beyond_64_bits():
+    counts, longest = [1 << 40, 3, 1 << 41, 5], [1, 1 << 29, 1 << 30, 1 << 31]
+    totals = [c * m for c, m in zip(counts, longest)]
+    assert packing.optimal_buckets(counts, totals, longest, 3) == [0, 2, 3]
+
+
 def test_packing_places_every_row_once(spark):
     rng = random.Random(3)
     rows = [(rng.randrange(200) if i % 50 else None, rng.choice([None, 0, 5, 17, 300, 5000])) for i in range(500)]
