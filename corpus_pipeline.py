@@ -32,7 +32,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that overlap no benchmark item."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, decontaminate.contaminated_ids(docs, items))
+    texts = docs.withColumn("__text", F.xxhash64("text"))  # by text, as ids may be null or come with other texts
+    gone = decontaminate.contaminated_ids(texts, items, id_col="__text")
+    return _without(texts, gone.withColumnRenamed("doc_id", "__text"), "__text").select(*docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,12 +48,12 @@ def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return packing.pack(packing.with_byte_tokens(docs), "doc_id", "n_tokens")
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of other ids. Up to a million ids go to every task, more are joined by a shuffle; null ids stay."""
+def _without(docs: DataFrame, ids: DataFrame, on: str = "doc_id") -> DataFrame:
+    """The rows of other ids (column `on`). Up to a million ids go to every task, more are joined by a shuffle; null ids stay."""
     ids = Scratch(docs.sparkSession, "gone").table(ids, "ids")
     if ids.count() <= minhash.BROADCAST_IDS:
         ids = F.broadcast(ids)
-    return docs.join(ids, "doc_id", "left_anti")
+    return docs.join(ids, on, "left_anti")
 
 
 STAGES: list[tuple[str, Stage]] = [
