@@ -1,7 +1,7 @@
 """Main text of web pages by composite text density (after Sun, Song and Liao, 2011).
 
 A small tolerant parser builds the tree of a page with implied end tags. Parts that are no article by their tag, class, id or
-visibility are cut. Every remaining node gets a density: characters per tag, lowered where much of the text is link
+visibility are cut, but no part goes for its name alone that holds an article or most of the page's text. Every remaining node gets a density: characters per tag, lowered where much of the text is link
 text. The container whose children's densities have the largest sum is the core; the threshold is the least density on
 its path to the body, and what hangs off that path with at least that density belongs to the text too.
 """
@@ -32,13 +32,17 @@ ENDS_P = BLOCK - frozenset("br body html head td th tr caption tbody thead tfoot
 #: Start tags that end open elements of these names, up to a container that bounds the search.
 IMPLIED = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",))}
 #: Elements that hold no article text.
-CUT = frozenset("head script style noscript template nav footer aside form button select option textarea input label fieldset iframe object embed svg canvas audio video map dialog menu".split())
+CUT = frozenset("head script style noscript template nav footer aside button select option textarea input label iframe object embed svg canvas audio video map dialog menu".split())
 #: Words of class, id and role names of parts that are no article.
 NOISE = frozenset(
     "ad ads adv advert adverts advertisement advertising adsbygoogle sponsor sponsored promo promotion banner sidebar aside menu navbar nav navigation navigationbar breadcrumb breadcrumbs header masthead footer "
     "comment comments commentlist disqus respond reply replies cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended pagination pager "
     "toolbar widget copyright legal disclaimer complementary contentinfo search skip".split()
 )
+#: Words that only say where or how such a part stands: a name of these and words of NOISE is noise, as `comment-list`; `has-sidebar` is not.
+PLACES = frozenset("list area box wrapper wrap container section block item items inner outer body bar top bottom left right site main page post posts links text title group row".split())
+#: Elements that are cut unless they hold an article or most of the text, as parts with a name of noise.
+MOSTLY = frozenset("form fieldset".split())
 #: Elements that may be the core: containers, no paragraphs or inline parts.
 CONTAINER = frozenset("html body article main section div td blockquote center figure details ul ol dl table tbody tr span #root".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -49,33 +53,64 @@ class _Page:
 
     def __init__(self) -> None:
         self.tag, self.parent, self.cut, self.texts = ["#root"], [-1], [False], []
+        # cut in any case; named as noise; a marked article
+        self.hard, self.named, self.marked = [False], [False], [False]
         # inside an article; inside a header of one and no heading
         self.inside, self.header = [False], [False]
         self.block = 0
 
-    def add(self, tag: str, parent: int, cut: bool) -> int:
+    def add(self, tag: str, parent: int, hard: bool, named: bool) -> int:
         self.tag.append(tag)
         self.parent.append(parent)
-        self.cut.append(cut or self.cut[parent])
+        self.cut.append(False)
+        self.hard.append(hard or self.hard[parent])
+        self.named.append(named and tag not in ("article", "main", *HEADINGS))
+        self.marked.append(tag in ("article", "main") and not named and not self.hard[-1])
         self.inside.append(self.inside[parent] or tag in ("article", "main"))
         self.header.append(tag not in HEADINGS and (tag == "header" or self.header[parent]))
         return len(self.tag) - 1
 
 
-def _is_noise(tag: str, attributes: str, in_article: bool) -> bool:
+def _is_noise(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element is cut in any case, and whether its name says that it is no article."""
     if tag in CUT or tag == "header" and not in_article:
-        return True
+        return True, True
+    named = tag in MOSTLY
     if not attributes or tag in ("html", "body"):
-        return False
+        return False, named
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return True, True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if name in ("class", "id", "role") and tag not in ("article", "main", *HEADINGS) and not NOISE.isdisjoint(re.split(r"[^a-z]+", value)):
-            return True
-    return False
+            return True, True
+        if name in ("class", "id", "role") and not named:
+            words = ({w for w in re.split(r"[^a-z]+", token) if w} for token in value.split())
+            named = any(not NOISE.isdisjoint(w) and w <= NOISE | PLACES for w in words)
+    return False, named
+
+
+def _settle(page: _Page) -> None:
+    """Cuts the named parts, but none that holds text of a marked article, or most of the page's text outside of links, while no article stands elsewhere."""
+    n = len(page.tag)
+    in_link, in_marked = [False] * n, list(page.marked)
+    own, marked, below = [0] * n, [0] * n, [False] * n
+    for i in range(1, n):
+        in_link[i] = in_link[page.parent[i]] or page.tag[i] == "a"
+        in_marked[i] = in_marked[i] or in_marked[page.parent[i]]
+    for node, _, piece in page.texts:
+        if not page.hard[node] and not in_link[node]:
+            size = len("".join(piece.split()))
+            own[node] += size
+            marked[node] += size if in_marked[node] else 0
+    for i in range(n - 1, 0, -1):
+        p = page.parent[i]
+        own[p] += own[i]
+        marked[p] += marked[i]
+        below[p] = below[p] or below[i] or page.marked[i] and own[i] > 0
+    for i in range(1, n):
+        most = 2 * own[i] > own[0] and 4 * (marked[0] - marked[i]) < own[i]
+        page.cut[i] = page.cut[page.parent[i]] or page.hard[i] or page.named[i] and not below[i] and not most
 
 
 def parse(source: str) -> _Page:
@@ -134,10 +169,10 @@ def parse(source: str) -> _Page:
         attributes = m[3] or m[6] or ""
         if tag == "body" and open_["head"]:
             pop_to(next(d for d, i in enumerate(stack) if page.tag[i] == "head"))
-        cut = _is_noise(tag, attributes, page.inside[stack[-1]])
+        hard, named = _is_noise(tag, attributes, page.inside[stack[-1]])
         if tag in BLOCK:
             page.block += 1
-        node = page.add(tag, stack[-1], cut)
+        node = page.add(tag, stack[-1], hard, named)
         if tag in VOID or attributes.endswith("/") and tag not in BLOCK:
             continue
         if tag in RAW:
@@ -146,6 +181,7 @@ def parse(source: str) -> _Page:
             continue
         stack.append(node)
         open_[tag] += 1
+    _settle(page)
     return page
 
 
