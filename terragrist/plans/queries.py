@@ -405,23 +405,35 @@ squares AS (SELECT p_partkey AS hex, p_partkey % 40 * 0.3 AS cx, p_partkey // 40
 _OVERLAP = "greatest(0.0, least(x1, cx + 0.3) - greatest(x0, cx)) * greatest(0.0, least(y1, cy + 0.3) - greatest(y0, cy))"
 
 
-def _boxes(spark, sf_dir):
-    sup = s.table(spark, sf_dir, "supplier").filter("s_suppkey <= 100")
-    k = F.col("s_suppkey")
-    p = sup.select(k.alias("poly_rid"), F.col("s_nationkey").cast("string").alias("adm0_iso"), (k % 10).cast("double").alias("xmin"), (F.floor(k / 10) % 10).cast("double").alias("ymin"), (k % 10 + 1 + F.col("s_nationkey") % 5 * 0.25).alias("xmax"), (F.floor(k / 10) % 10 + 1.5).alias("ymax"))
-    q = F.col("p_partkey")
-    c = s.table(spark, sf_dir, "part").filter("p_partkey <= 1600").select(q.cast("string").alias("hex_id"), (q % 40 * 0.3).alias("xmin"), (F.floor(q / 40) % 40 * 0.3).alias("ymin"))
+def _boxes(spark, sf_dir, globe: bool = False):
+    """All suppliers and parts: 100 polygons and 1600 cells a tile of 12 by 12, as in the SQL's only one; more tiles follow to the north, on the `globe` eastwards first.
+
+    Each tile holds as many whatever the table, so work grows with the rows. On the globe tiles are used again after 98.
+    """
+    k, q = F.col("s_suppkey"), F.col("p_partkey")
+
+    def shift(tile):
+        return (F.pmod(tile, F.lit(14)) * 12.0, F.pmod(F.floor(tile / 14), F.lit(7)) * 12.0) if globe else (F.lit(0.0), tile * 12.0)
+
+    dx, dy = shift(F.floor((k - 1) / 100))
+    p = s.table(spark, sf_dir, "supplier").select(k.alias("poly_rid"), F.col("s_nationkey").cast("string").alias("adm0_iso"), (k % 10 + dx).alias("xmin"), (F.floor(k / 10) % 10 + dy).alias("ymin"), (k % 10 + 1 + F.col("s_nationkey") % 5 * 0.25 + dx).alias("xmax"), (F.floor(k / 10) % 10 + 1.5 + dy).alias("ymax"))
+    dx, dy = shift(F.floor((q - 1) / 1600))
+    c = s.table(spark, sf_dir, "part").select(q.cast("string").alias("hex_id"), (q % 40 * 0.3 + dx).alias("xmin"), (F.floor(q / 40) % 40 * 0.3 + dy).alias("ymin"))
     c = c.withColumn("xmax", F.col("xmin") + 0.3).withColumn("ymax", F.col("ymin") + 0.3)
     wkb = geometry.box_wkb("xmin", "ymin", "xmax", "ymax")
     return p.withColumn("geom_wkb", wkb), c.withColumn("cell_wkb", wkb)
 
 
-def _box_candidates(p: DataFrame, c: DataFrame) -> DataFrame:
-    """Cells and polygons that meet, by an equi-join on unit grid squares that both lie in."""
+def _in_squares(boxes: DataFrame) -> DataFrame:
+    """A row for each unit grid square that a box lies in."""
     lo, hi = (F.floor(F.col(x) - 1e-9).cast("int") for x in ("xmin", "ymin")), (F.floor(F.col(x) + 1e-9).cast("int") for x in ("xmax", "ymax"))
     (x0, y0), (x1, y1) = lo, hi
-    spread = lambda t: t.withColumn("gx", F.explode(F.sequence(x0, x1))).withColumn("gy", F.explode(F.sequence(y0, y1)))
-    a, b = spread(p.drop("geom_wkb")).alias("p"), spread(c.drop("cell_wkb")).alias("c")
+    return boxes.withColumn("gx", F.explode(F.sequence(x0, x1))).withColumn("gy", F.explode(F.sequence(y0, y1)))
+
+
+def _box_candidates(p: DataFrame, c: DataFrame) -> DataFrame:
+    """Cells and polygons that meet, by an equi-join on unit grid squares that both lie in."""
+    a, b = _in_squares(p.drop("geom_wkb")).alias("p"), _in_squares(c.drop("cell_wkb")).alias("c")
     return a.join(b, (F.col("p.gx") == F.col("c.gx")) & (F.col("p.gy") == F.col("c.gy")) & cov.boxes_meet("p", "c")).select("c.hex_id", "p.poly_rid").distinct()
 
 
@@ -445,9 +457,11 @@ _SHARED = "greatest(0.0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0.
 @query(f"WITH {_BOXES} SELECT a.poly_rid AS a, b.poly_rid AS b, {_r6(_SHARED)} AS area FROM polys a JOIN polys b ON a.adm0 = b.adm0 AND a.poly_rid < b.poly_rid WHERE {_SHARED} > 1e-9")
 def overlay_area(spark, sf_dir):
     p, _ = _boxes(spark, sf_dir)
-    a, b = p.alias("a"), p.alias("b")
-    j = a.join(b, (F.col("a.adm0_iso") == F.col("b.adm0_iso")) & (F.col("a.poly_rid") < F.col("b.poly_rid")) & cov.boxes_meet("a", "b"))
-    out = j.select(F.col("a.poly_rid").alias("a"), F.col("b.poly_rid").alias("b"), geometry.shared_area("a.geom_wkb", "b.geom_wkb").alias("area"))
+    a, b = _in_squares(p.drop("geom_wkb")).alias("a"), _in_squares(p.drop("geom_wkb")).alias("b")
+    same = (F.col("a.gx") == F.col("b.gx")) & (F.col("a.gy") == F.col("b.gy"))
+    pairs = a.join(b, same & (F.col("a.adm0_iso") == F.col("b.adm0_iso")) & (F.col("a.poly_rid") < F.col("b.poly_rid")) & cov.boxes_meet("a", "b")).select(F.col("a.poly_rid").alias("a"), F.col("b.poly_rid").alias("b")).distinct()
+    side = lambda n: p.select(F.col("poly_rid").alias(n), F.col("geom_wkb").alias(f"{n}_wkb"))
+    out = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", geometry.shared_area("a_wkb", "b_wkb").alias("area"))
     return out.filter("area > 1e-9").withColumn("area", r6("area"))
 
 
@@ -511,14 +525,13 @@ def pixels_to_cells(spark, sf_dir):
 
 @query()
 def polyfill(spark, sf_dir):
-    p, _ = _boxes(spark, sf_dir)
-    return indexing.polygon_candidates(p.filter("poly_rid <= 40"), 4)
+    p, _ = _boxes(spark, sf_dir, globe=True)
+    return indexing.polygon_candidates(p, 4)
 
 
 @query()
 def coverage_of_cells(spark, sf_dir):
-    p, _ = _boxes(spark, sf_dir)
-    p = p.filter("poly_rid <= 40")
+    p, _ = _boxes(spark, sf_dir, globe=True)
     cand = indexing.polygon_candidates(p, 4)
     return cov.exploded_coverage(cand, p, indexing.cell_geometries(cand), ["adm0_iso"])
 
