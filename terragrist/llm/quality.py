@@ -1,175 +1,286 @@
-"""Text quality by an interpolated modified Kneser-Ney model of symbol n-grams, trained on trusted text.
+"""Text quality by an interpolated modified Kneser-Ney model of word n-grams, trained on trusted text.
 
-Bytes are mapped to an alphabet of 64 symbols (letters without case but with a sign for capitals, single marks of punctuation, classes of
-digits and of non-ASCII bytes), and the model is of order 4. So there are at most 64^4 n-grams whatever the corpus: the counts
-come from all trusted text and are summed in shards, the probabilities come from joins of the count tables, and the finished
-tables have a proven bound and can go to every task.
+N-grams of all trusted text are counted and turned into probabilities by joins of written tables: counts, continuation counts,
+context totals. All of these grow with the corpus and stay in shards. A document's log probability is then a sum over its
+n-grams, because the interpolated model can be written with gains:
 
-A document's perplexity is compared with a quantile of the trusted documents of its language.
+    log p(w | context) = log p(unknown word) + gain(w) + sum over longer n-grams of gain(n-gram) + weight(context)
+
+where n-grams and contexts that trusted text does not have add 0. So every document is exploded to (document, n-gram, times), joined with
+the gains, and summed. Tables and documents go through this in `rounds`, each for one range of n-gram hashes, so
+that no more than a part of all n-grams is on disk at a time.
+
+A document's perplexity is compared with a quantile of trusted documents of its language that the model was not trained on.
 """
 
 from __future__ import annotations
 
-import math
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terragrist.llm.shared import Scratch
-from terragrist.llm.words import utf8_views
+from terragrist.llm.words import column_words, mix
 
-ORDER = 4
-SYMBOLS = 64
 #: Trusted ids that may be broadcast (16 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Languages whose limits may be broadcast (4 MB or so); more are joined by a shuffle.
 BROADCAST_LANGUAGES = 100_000
+#: Stands before the first word of a text.
+START = np.uint64(0x5BF0_3635_A5F4_1D27)
 
 
-def _alphabet() -> np.ndarray:
-    a = np.zeros(256, dtype=np.uint32)
-    a[97:123] = np.arange(1, 27)
-    a[65:91] = 27
-    a[48:58] = 28
-    a[32], a[10] = 29, 30
-    for i, mark in enumerate(b".,!?;:'\"()-/&%$#*|_=+<"):
-        a[mark] = 31 + i
-    a[0x80:0xC0] = 53 + np.arange(64) % 8
-    a[0xC0:0xE0], a[0xE0:] = 61, 62
-    return a
+def grams(rows: np.ndarray, words: np.ndarray, order: int) -> list[np.ndarray]:
+    """The hash of the k-gram that ends at each word, k = 1 to `order`; texts are preceded by as many START words as needed.
 
+    The hash of a k-gram joins those of its first and its last k - 1 words, so it determines both.
+    """
+    out, first = [words], new_text(rows)
+    for start in starts(order)[: order - 1]:
+        out.append(_joined(before(out[-1], first, start), out[-1]))
+    return out
 
-ALPHABET = _alphabet()
-#: Stands before a text.
-START = 63
 
+def new_text(rows: np.ndarray) -> np.ndarray:
+    """True for the first word of each text."""
+    return np.concatenate([np.ones(min(1, len(rows)), bool), rows[1:] != rows[:-1]])
 
-def ngrams(view: np.ndarray) -> np.ndarray:
-    """The n-gram that ends at each byte, as one integer, six bits a symbol."""
-    s = np.concatenate([np.full(ORDER - 1, START, np.uint32), ALPHABET[view]])
-    out = np.zeros(len(view), dtype=np.uint32)
-    for k in range(ORDER):
-        out = (out << np.uint32(6)) | s[k : k + len(view)]
+
+def before(gram: np.ndarray, first: np.ndarray, start: np.uint64) -> np.ndarray:
+    """The n-gram that ends one word earlier."""
+    out = np.empty_like(gram)
+    out[1:] = gram[:-1]
+    out[first] = start
     return out
 
 
-def count_ngrams(texts: DataFrame) -> DataFrame:
-    """(code, n) over all texts (one column); each task sends one row for each distinct n-gram of a batch."""
+def _joined(context: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(context * np.uint64(0xD6E8FEB86659FD93) + tail)
+
+
+def starts(order: int) -> list[np.uint64]:
+    """The hash of k START words, k = 1 to `order`."""
+    out = [np.array([START])]
+    for _ in range(1, order):
+        out.append(_joined(out[-1], out[-1]))
+    return [x[0] for x in out]
+
+
+def _in_range(gram: np.ndarray, part: int, parts: int) -> np.ndarray:
+    return (gram >> np.uint64(40)) % np.uint64(parts) == np.uint64(part)
+
+
+def _long(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
+
+
+def count_ngrams(texts: DataFrame, k: int, part: int = 0, parts: int = 1) -> DataFrame:
+    """(context, tail, gram, n) of the k-grams, k > 1, of texts (one column) whose hash is in one range; each task sends a row for each n-gram of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start = starts(k)[k - 2]
         for batch in batches:
-            codes = [ngrams(v) for v in utf8_views(batch.column(0)) if v is not None and len(v)]
-            u, n = np.unique(np.concatenate(codes), return_counts=True) if codes else (np.empty(0, np.uint32), np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(u.astype(np.int64)), pa.array(n.astype(np.int64))], ["code", "n"])
+            rows, words = column_words(batch.column(0))
+            *_, tail, gram = grams(rows, words, k)
+            mine = np.flatnonzero(_in_range(gram, part, parts))
+            context = before(tail, new_text(rows), start)
+            found, at, n = np.unique(gram[mine], return_index=True, return_counts=True)
+            at = mine[at]
+            yield pa.RecordBatch.from_arrays([_long(context[at]), _long(tail[at]), _long(found), pa.array(n.astype(np.int64))], ["context", "tail", "gram", "n"])
+
+    counted = texts.mapInArrow(run, "context long, tail long, gram long, n long")
+    return counted.groupBy("context", "tail", "gram").agg(F.sum("n").alias("n"))
 
-    return texts.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
+def _free() -> None:
+    """Lets Spark clear the shuffle files of finished rounds, which it does once their plans are gone."""
+    from pyspark.sql import SparkSession
 
-def kneser_ney(counts: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(level, code, p) of seen n-grams of every level, and (level, context, gamma), the weight that a context gives to the level below.
+    gc.collect()
+    SparkSession.getActiveSession()._jvm.System.gc()
 
-    Level 4 uses counts, lower levels the number of distinct symbols seen before (continuation counts). Discounts come
-    from the counts of counts of each level.
+
+def discounts(ones: int, twos: int, threes: int, fours: int) -> tuple[float, float, float]:
+    """What counts of one, two, and three or more give to the level below, from the numbers of n-grams with counts 1 to 4.
+
+    Where so few n-grams are known that the estimate leaves (0, count], it is cut to 0.1 or the count.
     """
-    levels = {ORDER: scratch.table(counts, f"level-{ORDER}")}
-    for k in range(ORDER - 1, 0, -1):
-        lower = levels[k + 1].groupBy((F.col("code") % SYMBOLS**k).alias("code")).agg(F.count(F.lit(1)).alias("n"))
-        levels[k] = scratch.table(lower, f"level-{k}")
-    seen, weights, below = [], [], None
-    for k in range(1, ORDER + 1):
-        level = levels[k]
-        if k == 1:
-            total = level.agg(F.sum(F.col("n") + 0.5)).first()[0] or 1.0
-            p = level.select("code", ((F.col("n") + 0.5) / F.lit(float(total))).alias("p"))
-        else:
-            n1, n2, n3, n4 = (x or 0 for x in level.agg(*[F.count_if(F.col("n") == i) for i in (1, 2, 3, 4)]).first())
-            y = n1 / max(1, n1 + 2 * n2)
-            d1, d2, d3 = (min(max(v, 0.1), top) for v, top in ((1 - 2 * y * n2 / max(1, n1), 1.0), (2 - 3 * y * n3 / max(1, n2), 2.0), (3 - 4 * y * n4 / max(1, n3), 3.0)))
-            off = F.when(F.col("n") == 1, F.least(F.lit(d1), F.lit(1.0))).when(F.col("n") == 2, d2).otherwise(d3)
-            level = level.withColumn("off", off).withColumn("context", F.expr(f"code div {SYMBOLS}")).withColumn("suffix", F.col("code") % SYMBOLS ** (k - 1))
-            contexts = level.groupBy("context").agg(F.sum("n").alias("total"), (F.sum("off") / F.sum("n")).alias("gamma"))
-            p = level.join(contexts, "context").join(below.select(F.col("code").alias("suffix"), F.col("p").alias("lower")), "suffix")
-            p = p.select("code", ((F.col("n") - F.col("off")) / F.col("total") + F.col("gamma") * F.col("lower")).alias("p"))
-            weights.append(contexts.select(F.lit(k).alias("level"), "context", "gamma"))
-        below = scratch.table(p, f"p-{k}")
-        seen.append(below.select(F.lit(k).alias("level"), "code", "p"))
-    u = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(u(parts[1:]))
-    return u(seen), u(weights)
+    y = ones / max(1, ones + 2 * twos)
+    raw = (1 - 2 * y * twos / max(1, ones), 2 - 3 * y * threes / max(1, twos), 3 - 4 * y * fours / max(1, threes))
+    return tuple(min(max(v, 0.1), float(top)) for v, top in zip(raw, (1, 2, 3)))
+
+
+def _discount(n: Column, d: tuple[float, float, float]) -> Column:
+    return F.when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2])
+
+
+def _tally(level: DataFrame) -> tuple[float, float, float]:
+    return discounts(*(int(x or 0) for x in level.agg(*[F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2, 3, 4)]).first()))
 
 
 class Model:
-    """Log probabilities of all 64^4 n-grams, filled once a worker from the tables of seen ones."""
-
-    _dense: dict[int, np.ndarray] = {}
-
-    def __init__(self, seen: dict[int, tuple[np.ndarray, np.ndarray]], gammas: dict[int, tuple[np.ndarray, np.ndarray]]) -> None:
-        self.seen, self.gammas = seen, gammas
-        self.key = hash(tuple(len(x[0]) for x in seen.values()) + tuple(float(x[1].sum()) for x in seen.values()))
-
-    def table(self) -> np.ndarray:
-        if self.key not in self._dense:
-            self._dense.clear()
-            p = np.full(SYMBOLS, 1e-6, dtype=np.float32)
-            code, value = self.seen.get(1, (np.empty(0, int), np.empty(0)))
-            p[code] = value
-            for k in range(2, ORDER + 1):
-                gamma = np.ones(SYMBOLS ** (k - 1), dtype=np.float32)
-                at, g = self.gammas.get(k, (np.empty(0, int), np.empty(0)))
-                gamma[at] = g
-                # contexts share the lower level of their own last symbols
-                p = (gamma.reshape(SYMBOLS, -1, 1) * p.reshape(1, -1, SYMBOLS)).reshape(-1)
-                code, value = self.seen.get(k, (np.empty(0, int), np.empty(0)))
-                p[code] = value
-            np.log(np.maximum(p, np.float32(1e-9), out=p), out=p)
-            self._dense[self.key] = p
-        return self._dense[self.key]
-
-
-def train(trusted: DataFrame, scratch: Scratch, text_col: str = "text") -> Model:
-    seen, weights = kneser_ney(count_ngrams(trusted.select(F.col(text_col).cast("string").alias("text"))), scratch)
-    s, w = seen.toPandas(), weights.toPandas()
-    by = lambda t, key, value: {int(k): (g[key].to_numpy(np.int64), g[value].to_numpy(np.float64)) for k, g in t.groupby("level")}
-    return Model(by(s, "code", "p"), by(w, "context", "gamma"))
-
-
-def perplexity(docs: DataFrame, model: Model, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """(doc_id, lang, perplexity) of each row, over its whole text; null for null and empty texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """`gains`: (gram, gain, weight) rows of n-grams seen and of their contexts; `unknown`: log probability of a word that trusted text does not have."""
+
+    def __init__(self, gains: list[DataFrame], unknown: float, order: int) -> None:
+        self.gains, self.unknown, self.order = gains, unknown, order
+
+
+def train(trusted: DataFrame, scratch: Scratch, text_col: str = "text", *, order: int = 2, rounds: int = 8) -> Model:
+    """Gains of all n-grams of up to `order` words of the trusted texts, in `rounds` tables by ranges of hashes."""
+    texts = trusted.select(F.col(text_col).cast("string").alias("text"))
+    levels: dict[int, list[DataFrame]] = {}
+    for k in range(order, 1, -1):
+        levels[k] = []
+        for r in range(rounds):
+            level = count_ngrams(texts, k, r, rounds)
+            if k < order:  # lower levels count the different words seen before
+                own = [x.groupBy(F.col("tail").alias("gram")).agg(F.count(F.lit(1)).alias("n")) for x in levels[k + 1]]
+                level = level.drop("n").join(_sum(own, "gram"), "gram").select("context", "tail", "gram", "n")
+            levels[k].append(scratch.table(level.sortWithinPartitions("context", "tail"), f"level-{k}-{r}"))
+            _free()
+    words = scratch.table(_sum([x.groupBy(F.col("tail").alias("gram")).agg(F.count(F.lit(1)).alias("n")) for x in levels[2]], "gram"), "level-1")
+    _free()
+    d = _tally(words)
+    known, total, given = words.agg(F.count(F.lit(1)), F.sum("n"), F.sum(_discount(F.col("n"), d))).first()
+    if not known:
+        return Model([], 0.0, order)
+    unknown = given / total / (known + 1)
+    lower = [scratch.table(words.select("gram", F.log((F.col("n") - _discount(F.col("n"), d)) / float(total) + F.lit(unknown)).alias("lp")), "lp-1")]
+    parts: list[list[DataFrame]] = [[x.select("gram", (F.col("lp") - F.log(F.lit(unknown))).cast("float").alias("gain"), F.lit(0.0).cast("float").alias("weight"))] for x in lower]
+    for k in range(2, order + 1):
+        d = _tally(_union(levels[k]))
+        off = _discount(F.col("n"), d)
+        contexts = [x.groupBy("context").agg(F.sum("n").alias("total"), F.sum(off).alias("off")) for x in levels[k]]
+        contexts = _union(contexts).groupBy("context").agg(F.sum("total").cast("double").alias("total"), F.log(F.sum("off") / F.sum("total")).alias("weight"))
+        contexts = scratch.table(contexts, f"contexts-{k}")
+        _free()
+        gained, here = [], []
+        below = _union(lower).withColumnRenamed("gram", "tail").withColumnRenamed("lp", "below")
+        for r, level in enumerate(levels[k]):
+            p = level.select("gram", "context", "tail", (F.col("n") - off).alias("rest")).join(contexts, "context").join(below, "tail")
+            p = p.withColumn("lp", F.log(F.col("rest") / F.col("total") + F.exp(F.col("weight") + F.col("below"))))
+            keep = ["lp"] if k < order else []
+            p = scratch.table(p.select("gram", (F.col("lp") - F.col("weight") - F.col("below")).cast("float").alias("gain"), *keep), f"gains-{k}-{r}")
+            scratch.drop(f"level-{k}-{r}")
+            gained.append(p.select("gram", "gain", F.lit(0.0).cast("float").alias("weight")))
+            here.append(p.select("gram", "lp") if keep else None)
+            _free()
+        parts.append(gained)
+        parts.append([contexts.select(F.col("context").alias("gram"), F.lit(0.0).cast("float").alias("gain"), F.col("weight").cast("float").alias("weight"))])
+        lower = here
+    return Model([_union([x[r] if len(x) > 1 else x[0].filter(_of_range(r, rounds)) for x in parts]) for r in range(rounds)], float(np.log(unknown)), order)
+
+
+def _of_range(part: int, parts: int) -> Column:
+    return F.pmod(F.shiftrightunsigned("gram", 40), F.lit(parts)) == part
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def _sum(counts: list[DataFrame], key: str) -> DataFrame:
+    return _union(counts).groupBy(key).agg(F.sum("n").alias("n"))
+
+
+def _document_ngrams(order: int, part: int, parts: int):
+    """(key, gram, times, as_context) of each text (column 1) for one range of hashes; key (column 0) tells texts apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs = shared.value.table()
+        before_text = np.array(starts(order))
         for batch in batches:
-            found = [math.exp(-float(logs[ngrams(v)].mean(dtype=np.float64))) if v is not None and len(v) else None for v in utf8_views(batch.column(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], ["doc_id", "lang", "perplexity"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang string, perplexity double")
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            rows, words = column_words(batch.column(1))
+            if not len(rows):
+                continue
+            last = np.concatenate([rows[1:] != rows[:-1], [True]])
+            firsts = np.flatnonzero(new_text(rows))
+            doc, gram, times, context = [], [], [], []
+            for k, g in enumerate(grams(rows, words, order), 1):
+                mine = np.flatnonzero(_in_range(g, part, parts))
+                doc.append(rows[mine])
+                gram.append(g[mine])
+                times.append(np.ones(len(mine), np.int32))
+                context.append((~last[mine]).astype(np.int32) if k < order else np.zeros(len(mine), np.int32))
+                if k < order and _in_range(before_text[k - 1 : k], part, parts)[0]:
+                    doc.append(rows[firsts])
+                    gram.append(np.full(len(firsts), before_text[k - 1]))
+                    times.append(np.zeros(len(firsts), np.int32))
+                    context.append(np.ones(len(firsts), np.int32))
+            doc, gram, times, context = (np.concatenate(x) for x in (doc, gram, times, context))
+            if not len(doc):
+                continue
+            at = np.lexsort((gram, doc))
+            doc, gram, times, context = doc[at], gram[at], times[at], context[at]
+            new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (gram[1:] != gram[:-1])]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys[doc[new]]), _long(gram[new]), *(pa.array(np.add.reduceat(x, new).astype(np.int32)) for x in (times, context))], ["key", "gram", "times", "as_context"]
+            )
+
+    return run
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows, _ = column_words(batch.column(3))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.bincount(rows, minlength=len(batch)).astype(np.int64))], ["key", "doc_id", "lang", "words"])
+
+
+def perplexity(docs: DataFrame, model: Model, scratch: Scratch, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """(doc_id, lang, perplexity) of each row, over its whole text; null for texts without words."""
+    doc_id, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    # Rows of one id and text share a key: their sums and their words grow alike, and what counts is the ratio.
+    rows = docs.select(F.xxhash64(doc_id, text).alias("key"), doc_id.alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), text.alias("text"))
+    base = scratch.table(rows.mapInArrow(_count_words, "key long, doc_id long, lang string, words long"), "words")
+    sums = []
+    for r, gains in enumerate(model.gains):
+        found = rows.select("key", "text").mapInArrow(_document_ngrams(model.order, r, len(model.gains)), "key long, gram long, times int, as_context int")
+        part = found.join(gains.hint("shuffle_hash"), "gram").groupBy("key").agg(F.sum(F.col("times") * F.col("gain").cast("double") + F.col("as_context") * F.col("weight").cast("double")).alias("gained"))
+        sums.append(scratch.table(part, f"sums-{r}"))
+        _free()
+    if not sums:
+        return base.select("doc_id", "lang", F.when(F.col("words") > 0, 1.0).alias("perplexity"))
+    sums.append(base.select("key", F.lit(0.0).alias("gained"), "words"))
+    total = _union([x if "words" in x.columns else x.withColumn("words", F.lit(0).cast("long")) for x in sums]).groupBy("key").agg(F.sum("gained").alias("gained"), F.sum("words").alias("all_words"))
+    out = base.join(total, "key")
+    return out.select("doc_id", "lang", F.when(F.col("words") > 0, F.exp(-F.lit(model.unknown) - F.col("gained") / F.col("all_words"))).alias("perplexity"))
 
 
 def classify(
-    docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, quantile: float = 0.99
+    docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, quantile: float = 0.99, order: int = 2, held_out: int = 5, rounds: int = 8
 ) -> DataFrame:
     """(doc_id, lang, perplexity, threshold, kept) for each row of `docs`.
 
-    `trusted_ids`: one id column; the model learns from all texts of these. A document is kept if its perplexity is at most the `quantile`
-    of the trusted documents of its language (of all trusted documents, if its language has none; null lang counts as `und`).
+    `trusted_ids`: one id column. One in `held_out` of these (by a hash of the id) is kept out of training and gives the limits: a
+    document is kept if its perplexity is at most the `quantile` of the held-out documents of its language (of all held-out
+    documents, if its language has none; null lang counts as `und`). `order`: words of the longest n-grams.
 
-    Null and empty texts have a null perplexity and are not kept. Without trusted text every document with text is kept, with a
-    null threshold. Repeated rows are each answered and each count; other columns are not looked at.
+    Texts without words (null, empty, white space) have a null perplexity and are not kept. Without trusted text every document with words has
+    perplexity 1; without held-out text every document with words is kept, with a null threshold. Repeated rows are each answered and each
+    count; rows with a null id are never trusted; other columns are not looked at.
     """
     scratch = Scratch(docs.sparkSession, "quality")
     ids = trusted_ids.toDF("doc_id").select(F.col("doc_id").cast("long")).filter("doc_id is not null").distinct()
-    ids = scratch.table(ids, "trusted")
+    ids = scratch.table(ids.withColumn("held", F.pmod(F.xxhash64("doc_id"), F.lit(held_out)) == 0), "trusted")
     near = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    model = train(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(near, "doc_id", "left_semi"), scratch)
-    scored = scratch.table(perplexity(docs, model, id_col, text_col, lang_col), "scored")
-    known = scored.join(near, "doc_id", "left_semi")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    model = train(texts.join(near.filter("not held"), "doc_id", "left_semi"), scratch, order=order, rounds=rounds)
+    scored = scratch.table(perplexity(docs, model, scratch, id_col, text_col, lang_col), "scored")
+    known = scored.join(near.filter("held"), "doc_id", "left_semi")
     limits = scratch.table(known.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10000).alias("own")), "limits")
     limits = F.broadcast(limits) if limits.count() <= BROADCAST_LANGUAGES else limits  # one language may hold most rows
     overall = known.agg(F.percentile_approx("perplexity", quantile, 10000)).first()[0]
     out = scored.join(limits, "lang", "left")
     threshold = F.coalesce("own", F.lit(overall).cast("double"))
-    return out.select("doc_id", "lang", "perplexity", threshold.alias("threshold"), F.coalesce(F.col("perplexity") <= threshold, F.col("perplexity").isNotNull() & threshold.isNull()).alias("kept"))
+    out = out.select("doc_id", "lang", "perplexity", threshold.alias("threshold"), F.coalesce(F.col("perplexity") <= threshold, F.col("perplexity").isNotNull() & threshold.isNull()).alias("kept"))
+    out = scratch.table(out, "result")
+    scratch.drop_all_but("result")
+    return out

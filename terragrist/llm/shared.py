@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (as in tests), a temporary folder is put there."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a local session (as in tests) gets a temporary folder; on a cluster it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = getattr(spark.sparkContext, "_terragrist_folder", None) or tempfile.mkdtemp(prefix="terragrist-")
         spark.sparkContext._terragrist_folder = folder
     return folder.rstrip("/")
@@ -29,13 +31,20 @@ class Scratch:
         path = spark._jvm.org.apache.hadoop.fs.Path(self.folder)
         self._fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
         self._fs.deleteOnExit(path)
+        self._written: set[str] = set()
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write and reread; the schema is given, so that an empty table reads as well."""
         path = f"{self.folder}/{name}"
+        self._written.add(name)
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
         for name in names:
+            self._written.discard(name)
             self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}"), True)
+
+    def drop_all_but(self, *names: str) -> None:
+        """Deletes every other table that this operator call has written."""
+        self.drop(*[n for n in self._written if n not in names])

@@ -60,16 +60,54 @@ def word_spans(data: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, np.
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+#: Bytes that are hashed in one go; only a single word that is longer takes more memory.
+BLOCK = 1 << 18
+
+
 def word_hashes(data: np.ndarray, separator: np.ndarray = SPACE) -> np.ndarray:
     """A 64-bit hash of each word of the lower-cased text."""
-    starts, ends = word_spans(data, separator)
-    if not len(starts):
-        return np.empty(0, dtype=np.uint64)
-    up, down = _powers.get(len(data) + 1)
-    with np.errstate(over="ignore"):
-        sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum((LOWER[data].astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    return _hashes(LOWER[data], *word_spans(data, separator))
+
+
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of data[start:end], in blocks of whole words, so that a long text needs no more memory than its words' places."""
+    out = np.empty(len(starts), dtype=np.uint64)
+    at = 0
+    while at < len(starts):
+        stop = max(at + 1, int(np.searchsorted(ends, starts[at] + BLOCK, side="right")))
+        lo, hi = int(starts[at]), int(ends[stop - 1])
+        up, down = _powers.get(hi - lo + 1)
+        sums = np.zeros(hi - lo + 1, dtype=np.uint64)
+        s, e = starts[at:stop] - lo, ends[at:stop] - lo
+        with np.errstate(over="ignore"):
+            np.cumsum((data[lo:hi].astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
+            out[at:stop] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
+        at = stop
+    return out
+
+
+def column_words(column: pa.Array, separator: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of each word of a whole string column, case kept, in order; nulls have no words."""
+    if not (pa.types.is_large_string(column.type) or pa.types.is_string(column.type)):
+        column = column.cast(pa.large_string())
+    if not len(column) or column.buffers()[2] is None:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    off = np.frombuffer(column.buffers()[1], dtype=kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2], dtype=np.uint8)[off[0] : off[-1]]
+    off = off - off[0]
+    inside = np.zeros(len(data) + 2, dtype=bool)
+    inside[1:-1] = ~separator[data]
+    cut = np.zeros(len(data) + 1, dtype=bool)
+    cut[off] = True  # a word ends where its text ends
+    starts = np.flatnonzero(inside[1:] & (~inside[:-1] | cut))
+    ends = np.flatnonzero(inside[:-1] & (~inside[1:] | cut))
+    rows = np.searchsorted(off, starts, side="right") - 1
+    hashes = _hashes(data, starts, ends)
+    if column.null_count:
+        valid = column.is_valid().to_numpy(zero_copy_only=False)[rows]
+        rows, hashes = rows[valid], hashes[valid]
+    return rows, hashes
 
 
 def shingle_set(words: np.ndarray, width: int) -> np.ndarray:

@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 
-from terragrist.llm import decontaminate, html_text, langid, licenses, pii, quality
+from terragrist.llm import decontaminate, html_text, langid, licenses, pii
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -79,30 +79,6 @@ def test_language_id_held_out(spark):
     assert langid.identify(odd, langid.fit(odd.limit(0))).filter("lang_pred <> 'und'").count() == 0
 
 
-def test_quality_separates_junk(spark):
-    rng = random.Random(6)
-    word = lambda: "".join(rng.choice(["ba", "ko", "ri", "te"]) for _ in range(rng.randrange(1, 4)))
-    good = [(i, " ".join(word() for _ in range(60)), "xx") for i in range(100)]
-    junk = [(200 + i, " ".join(f"{word().upper()}!!%%" for _ in range(60)), "xx") for i in range(20)]
-    df = spark.createDataFrame(good + junk + [(300, None, None), (301, "", "xx"), (302, "bakori", None)], "doc_id long, text string, lang string")
-    ids = spark.range(0, 60).toDF("doc_id")
-    got = {r["doc_id"]: r for r in quality.classify(df, ids).collect()}
-    assert sum(got[i]["kept"] for i in range(100)) >= 85 and not any(got[200 + i]["kept"] for i in range(20))
-    assert not got[300]["kept"] and not got[301]["kept"] and got[302]["threshold"] is not None
-    assert quality.classify(df, ids.limit(0)).filter("kept").count() == 121
-
-
-def test_kneser_ney_is_a_distribution(spark):
-    from terragrist.llm.shared import Scratch
-
-    df = spark.createDataFrame([("the cat sat on the mat. The dog ate 12 of them",), ("a cat",)], "text string")
-    table = quality.train(df, Scratch(spark, "kn")).table()
-    import numpy as np
-
-    sums = np.exp(table.astype(float)).reshape(-1, 64).sum(axis=1)
-    assert abs(sums - 1).max() < 0.02
-
-
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header><a href=/>Home</a></header><nav><ul><li><a href="/a">a</a><li><a href="/b">b</a></ul></nav><div class="ad">Buy now</div>
 <div id="content"><h1>Head &amp; line</h1><p><b>First long paragraph of the article with many words<br><p>Second&nbsp;one is
