@@ -130,6 +130,12 @@ class Model:
         self.gains, self.unknown, self.order = gains, unknown, order
 
 
+def rounds_for(docs: DataFrame, text_col: str, most: int = 8, least_bytes: int = 64 << 20) -> int:
+    """Rounds by the size of all texts: at most `most`, and none for less than `least_bytes`. They change how much is on disk at a time, no results."""
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    return max(1, min(most, size // least_bytes))
+
+
 def train(trusted: DataFrame, scratch: Scratch, text_col: str = "text", *, order: int = 2, rounds: int = 8) -> Model:
     """Gains of all n-grams of up to `order` words of the trusted texts, in `rounds` tables by ranges of hashes."""
     texts = trusted.select(F.col(text_col).cast("string").alias("text"))
@@ -203,27 +209,21 @@ def _document_ngrams(order: int, part: int, parts: int):
                 continue
             last = np.concatenate([rows[1:] != rows[:-1], [True]])
             firsts = np.flatnonzero(new_text(rows))
-            doc, gram, times, context = [], [], [], []
+            parts_of: list[tuple[np.ndarray, ...]] = []
             for k, g in enumerate(grams(rows, words, order), 1):
                 mine = np.flatnonzero(_in_range(g, part, parts))
-                doc.append(rows[mine])
-                gram.append(g[mine])
-                times.append(np.ones(len(mine), np.int32))
-                context.append((~last[mine]).astype(np.int32) if k < order else np.zeros(len(mine), np.int32))
+                # by text, then by what of the hash fits beside it: should that split an n-gram in two, both halves count
+                mine = mine[np.argsort((rows[mine].astype(np.uint64) << np.uint64(40)) | (g[mine] & np.uint64((1 << 40) - 1)))]
+                doc, gram = rows[mine], g[mine]
+                new = np.flatnonzero(np.concatenate([np.ones(min(1, len(mine)), bool), (doc[1:] != doc[:-1]) | (gram[1:] != gram[:-1])]))
+                times = np.diff(new, append=len(mine))
+                context = times - np.add.reduceat(last[mine], new, dtype=np.int64) if k < order and len(new) else np.zeros(len(new), np.int64)
+                parts_of.append((doc[new], gram[new], times, context))
                 if k < order and _in_range(before_text[k - 1 : k], part, parts)[0]:
-                    doc.append(rows[firsts])
-                    gram.append(np.full(len(firsts), before_text[k - 1]))
-                    times.append(np.zeros(len(firsts), np.int32))
-                    context.append(np.ones(len(firsts), np.int32))
-            doc, gram, times, context = (np.concatenate(x) for x in (doc, gram, times, context))
-            if not len(doc):
-                continue
-            at = np.lexsort((gram, doc))
-            doc, gram, times, context = doc[at], gram[at], times[at], context[at]
-            new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (gram[1:] != gram[:-1])]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[doc[new]]), _long(gram[new]), *(pa.array(np.add.reduceat(x, new).astype(np.int32)) for x in (times, context))], ["key", "gram", "times", "as_context"]
-            )
+                    one = np.ones(len(firsts), np.int64)
+                    parts_of.append((rows[firsts], np.full(len(firsts), before_text[k - 1]), one - 1, one))
+            doc, gram, times, context = (np.concatenate(x) for x in zip(*parts_of))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[doc]), _long(gram), pa.array(times.astype(np.int32)), pa.array(context.astype(np.int32))], ["key", "gram", "times", "as_context"])
 
     return run
 
@@ -255,13 +255,13 @@ def perplexity(docs: DataFrame, model: Model, scratch: Scratch, id_col: str, tex
 
 
 def classify(
-    docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, quantile: float = 0.99, order: int = 2, held_out: int = 5, rounds: int = 8
+    docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, quantile: float = 0.99, order: int = 2, held_out: int = 5, rounds: int | None = None
 ) -> DataFrame:
     """(doc_id, lang, perplexity, threshold, kept) for each row of `docs`.
 
     `trusted_ids`: one id column. One in `held_out` of these (by a hash of the id) is kept out of training and gives the limits: a
     document is kept if its perplexity is at most the `quantile` of the held-out documents of its language (of all held-out
-    documents, if its language has none; null lang counts as `und`). `order`: words of the longest n-grams.
+    documents, if its language has none; null lang counts as `und`). `order`: words of the longest n-grams. `rounds`: see rounds_for.
 
     Texts without words (null, empty, white space) have a null perplexity and are not kept. Without trusted text every document with words has
     perplexity 1; without held-out text every document with words is kept, with a null threshold. Repeated rows are each answered and each
@@ -272,6 +272,7 @@ def classify(
     ids = scratch.table(ids.withColumn("held", F.pmod(F.xxhash64("doc_id"), F.lit(held_out)) == 0), "trusted")
     near = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rounds = rounds or rounds_for(docs, text_col)
     model = train(texts.join(near.filter("not held"), "doc_id", "left_semi"), scratch, order=order, rounds=rounds)
     scored = scratch.table(perplexity(docs, model, scratch, id_col, text_col, lang_col), "scored")
     known = scored.join(near.filter("held"), "doc_id", "left_semi")

@@ -61,7 +61,7 @@ def word_spans(data: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, np.
 
 
 #: Bytes that are hashed in one go; only a single word that is longer takes more memory.
-BLOCK = 1 << 18
+BLOCK = 1 << 15
 
 
 def word_hashes(data: np.ndarray, separator: np.ndarray = SPACE) -> np.ndarray:
