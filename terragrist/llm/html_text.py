@@ -11,28 +11,30 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_NAME = re.compile(r"/?[a-zA-Z][^\s/<>\"']*")
+_STOP, _QUOTED_STOP = re.compile(r"[<>]"), re.compile(r"[<>\"']")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
 # Names of HTML elements by the part they play in parsing; fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 BLOCK = frozenset(
-    "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 #: Start tags that end an open p.
-ENDS_P = BLOCK - frozenset("br body html head td th tr caption tbody thead tfoot".split())
+ENDS_P = BLOCK - frozenset("body html head td th tr caption tbody thead tfoot".split())
 #: Start tags that end open elements of these names, up to a container that bounds the search.
 IMPLIED = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",))}
 #: Elements that hold no article text.
-CUT = frozenset("head script style noscript template nav footer aside button select option textarea input label iframe object embed svg canvas audio video map dialog menu".split())
+CUT = frozenset("head script style noscript template nav footer aside button select option textarea input iframe object embed svg canvas audio video map dialog menu".split())
 #: Words of class, id and role names of parts that are no article.
 NOISE = frozenset(
     "ad ads adv advert adverts advertisement advertising adsbygoogle sponsor sponsored promo promotion banner sidebar aside menu navbar nav navigation navigationbar breadcrumb breadcrumbs header masthead footer "
@@ -41,8 +43,11 @@ NOISE = frozenset(
 )
 #: Words that only say where or how such a part stands: a name of these and words of NOISE is noise, as `comment-list`; `has-sidebar` is not.
 PLACES = frozenset("list area box wrapper wrap container section block item items inner outer body bar top bottom left right site main page post posts links text title group row".split())
+#: Elements within a line, and those that hold lines: what is within a line of these is never cut for its name.
+INLINE = frozenset("a abbr b bdi bdo big cite code data dfn em font i ins kbd label mark q s samp small span strong sub sup time tt u var".split())
+LINES = frozenset("p li dd dt td th h1 h2 h3 h4 h5 h6 blockquote pre caption figcaption".split())
 #: Elements that are cut unless they hold an article or most of the text, as parts with a name of noise.
-MOSTLY = frozenset("form fieldset".split())
+MOSTLY = frozenset("form fieldset label".split())
 #: Elements that may be the core: containers, no paragraphs or inline parts.
 CONTAINER = frozenset("html body article main section div td blockquote center figure details ul ol dl table tbody tr span #root".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -55,8 +60,8 @@ class _Page:
         self.tag, self.parent, self.cut, self.texts = ["#root"], [-1], [False], []
         # cut in any case; named as noise; a marked article
         self.hard, self.named, self.marked = [False], [False], [False]
-        # inside an article; inside a header of one and no heading
-        self.inside, self.header = [False], [False]
+        # inside an article; inside a header of one and no heading; in a line of an element of LINES
+        self.inside, self.header, self.line = [False], [False], [False]
         self.block = 0
 
     def add(self, tag: str, parent: int, hard: bool, named: bool) -> int:
@@ -64,7 +69,9 @@ class _Page:
         self.parent.append(parent)
         self.cut.append(False)
         self.hard.append(hard or self.hard[parent])
-        self.named.append(named and tag not in ("article", "main", *HEADINGS))
+        self.line.append(tag in LINES or tag in INLINE and self.line[parent])
+        in_line = tag in INLINE and self.line[parent] or tag in ("td", "th", "tr")
+        self.named.append(named and not in_line and tag not in ("article", "main", *HEADINGS))
         self.marked.append(tag in ("article", "main") and not named and not self.hard[-1])
         self.inside.append(self.inside[parent] or tag in ("article", "main"))
         self.header.append(tag not in HEADINGS and (tag == "header" or self.header[parent]))
@@ -113,9 +120,61 @@ def _settle(page: _Page) -> None:
         page.cut[i] = page.cut[page.parent[i]] or page.hard[i] or page.named[i] and not below[i] and not most
 
 
+class _Markup:
+    """One pass over the markup of a page. Comments, declarations and instructions end at their own marks, or with the page.
+
+    A tag ends at the first `>` outside of quotes; where quotes do not close, or a `<` stands outside of them, at the next `>` before any
+    `<`. A `<` that starts none of these is text. Steps through quotes that end in no tag are counted, and once they
+    cost more than four passes over the page, quotes are not looked at any more; so time stays in proportion to the page.
+    """
+
+    def __init__(self, source: str) -> None:
+        self.source, self.at, self.last, self.spent = source, 0, source.rfind(">"), 0
+
+    def next(self) -> tuple[str, str, str, bool]:
+        """(text before, name of the tag, its attributes, whether this was the last piece); the name is empty where there is no tag."""
+        source, done, at = self.source, self.at, self.at
+        while (at := source.find("<", at)) >= 0:
+            after = source[at + 1 : at + 2]
+            if after in ("!", "?"):
+                mark = "-->" if source.startswith("<!--", at) else ">"
+                end = source.find(mark, at + 2 if mark == ">" else at + 4)
+                self.at = len(source) if end < 0 else end + len(mark)
+                return source[done:at], "", "", False
+            name = _NAME.match(source, at + 1) if at < self.last else None
+            if name:
+                end = self._end(name.end())
+                if end >= 0:
+                    self.at = end + 1
+                    return source[done:at], name[0].lower(), source[name.end() : end], False
+            at += 1
+        self.at = len(source)
+        return source[done:], "", "", True
+
+    def _end(self, start: int) -> int:
+        """The place of the `>` of a tag, or -1."""
+        source, at = self.source, start
+        while self.spent <= 4 * len(source):
+            m = _QUOTED_STOP.search(source, at)
+            if m and m[0] == ">":
+                return m.start()
+            close = source.find(m[0], m.end()) if m and m[0] != "<" else -1
+            if close < 0:
+                self.spent += (len(source) if m and m[0] != "<" else at) - start
+                break
+            at = close + 1
+        m = _STOP.search(source, start)
+        return m.start() if m and m[0] == ">" else -1
+
+    def jump(self, end: int) -> None:
+        self.at = end
+
+
 def parse(source: str) -> _Page:
-    page, stack, at = _Page(), [0], 0
-    open_: Counter = Counter()
+    page, stack = _Page(), [0]
+    # depths of the open elements of each name, and of all open blocks
+    open_: dict[str, list[int]] = defaultdict(list)
+    blocks: list[int] = []
 
     def text(piece: str) -> None:
         if piece:
@@ -124,51 +183,34 @@ def parse(source: str) -> _Page:
     def pop_to(depth: int) -> None:
         while len(stack) > depth:
             name = page.tag[stack.pop()]
-            open_[name] -= 1
+            open_[name].pop()
             if name in BLOCK:
+                blocks.pop()
                 page.block += 1
 
-    length = len(source)
-    while at < length:
-        m = _TOKEN.search(source, at)
-        if not m:
-            text(source[at:])
-            break
-        text(source[at : m.start()])
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+    deepest = lambda names: max((open_[x][-1] for x in names if open_[x]), default=0)
+    markup, ended = _Markup(source), False
+    while not ended:
+        piece, tag, attributes, ended = markup.next()
+        text(piece)
         if not tag:
             continue
-        if m[1] or m[4]:
-            for depth in range(len(stack) - 1, 0, -1) if open_[tag] else ():
-                name = page.tag[stack[depth]]
-                if name == tag:
-                    pop_to(depth)
-                    break
-                # an inline end tag does not close blocks
-                if tag not in BLOCK and name in BLOCK:
-                    break
+        if tag[0] == "/":
+            tag = tag[1:]
+            # an inline end tag does not close blocks
+            if open_[tag] and (tag in BLOCK or not blocks or open_[tag][-1] > blocks[-1]):
+                pop_to(open_[tag][-1])
             continue
-        if tag in ENDS_P:
-            for depth in range(len(stack) - 1, 0, -1):
-                name = page.tag[stack[depth]]
-                if name == "p":
-                    pop_to(depth)
-                    break
-                if name in BLOCK:
-                    break
+        if tag == "br":
+            text(" ")
+        if tag in ENDS_P and blocks and page.tag[stack[blocks[-1]]] == "p":
+            pop_to(blocks[-1])
         if tag in IMPLIED:
             names, bounds = IMPLIED[tag]
-            for depth in range(len(stack) - 1, 0, -1):
-                name = page.tag[stack[depth]]
-                if name in names:
-                    pop_to(depth)
-                    break
-                if name in bounds:
-                    break
-        attributes = m[3] or m[6] or ""
+            if deepest(names) > deepest(bounds):
+                pop_to(deepest(names))
         if tag == "body" and open_["head"]:
-            pop_to(next(d for d, i in enumerate(stack) if page.tag[i] == "head"))
+            pop_to(open_["head"][0])
         hard, named = _is_noise(tag, attributes, page.inside[stack[-1]])
         if tag in BLOCK:
             page.block += 1
@@ -176,11 +218,14 @@ def parse(source: str) -> _Page:
         if tag in VOID or attributes.endswith("/") and tag not in BLOCK:
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*[^>]*>", re.I).search(source, at)
-            at = end.end() if end else length
+            close = _RAW_END[tag].search(source, markup.at)
+            end = source.find(">", close.end()) if close else -1
+            markup.jump(end + 1 if end >= 0 else len(source))
             continue
+        open_[tag].append(len(stack))
+        if tag in BLOCK:
+            blocks.append(len(stack))
         stack.append(node)
-        open_[tag] += 1
     _settle(page)
     return page
 
