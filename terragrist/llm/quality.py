@@ -130,7 +130,7 @@ class Model:
         self.gains, self.unknown, self.order = gains, unknown, order
 
 
-def rounds_for(docs: DataFrame, text_col: str, most: int = 8, least_bytes: int = 64 << 20) -> int:
+def rounds_for(docs: DataFrame, text_col: str, most: int = 8, least_bytes: int = 16 << 20) -> int:
     """Rounds by the size of all texts: at most `most`, and none for less than `least_bytes`. They change how much is on disk at a time, no results."""
     size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     return max(1, min(most, size // least_bytes))
