@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terragrist.llm.shared import Scratch
-from terragrist.llm.words import column_words, mix
+from terragrist.llm.words import column_words
 
 #: Trusted ids that may be broadcast (16 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -40,8 +40,8 @@ def grams(rows: np.ndarray, words: np.ndarray, order: int) -> list[np.ndarray]:
     The hash of a k-gram joins those of its first and its last k - 1 words, so it determines both.
     """
     out, first = [words], new_text(rows)
-    for start in starts(order)[: order - 1]:
-        out.append(_joined(before(out[-1], first, start), out[-1]))
+    for k, start in enumerate(starts(order)[: order - 1], 2):
+        out.append(_joined(before(out[-1], first, start), out[-1], k))
     return out
 
 
@@ -58,16 +58,23 @@ def before(gram: np.ndarray, first: np.ndarray, start: np.uint64) -> np.ndarray:
     return out
 
 
-def _joined(context: np.ndarray, tail: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return mix(context * np.uint64(0xD6E8FEB86659FD93) + tail)
+def _joined(context: np.ndarray, tail: np.ndarray, k: int) -> np.ndarray:
+    """Hash of a k-gram. Hashes of words are well mixed, so turning one and adding the other bit by bit will do; see _gram, too."""
+    turn = np.uint64(2 * k + 1)
+    return ((context << turn) | (context >> (np.uint64(64) - turn))) ^ tail
+
+
+def _gram(k: int) -> Column:
+    """The same of the columns context and tail."""
+    turned = F.shiftleft("context", 2 * k + 1).bitwiseOR(F.shiftrightunsigned("context", 63 - 2 * k))
+    return turned.bitwiseXOR(F.col("tail")).alias("gram")
 
 
 def starts(order: int) -> list[np.uint64]:
     """The hash of k START words, k = 1 to `order`."""
     out = [np.array([START])]
-    for _ in range(1, order):
-        out.append(_joined(out[-1], out[-1]))
+    for k in range(2, order + 1):
+        out.append(_joined(out[-1], out[-1], k))
     return [x[0] for x in out]
 
 
@@ -80,7 +87,7 @@ def _long(x: np.ndarray) -> pa.Array:
 
 
 def count_ngrams(texts: DataFrame, k: int, part: int = 0, parts: int = 1) -> DataFrame:
-    """(context, tail, gram, n) of the k-grams, k > 1, of texts (one column) whose hash is in one range; each task sends a row for each n-gram of a batch."""
+    """(context, tail, n) of the k-grams, k > 1, of texts (one column) whose hash is in one range; each task sends a row for each n-gram of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = starts(k)[k - 2]
@@ -89,12 +96,12 @@ def count_ngrams(texts: DataFrame, k: int, part: int = 0, parts: int = 1) -> Dat
             *_, tail, gram = grams(rows, words, k)
             mine = np.flatnonzero(_in_range(gram, part, parts))
             context = before(tail, new_text(rows), start)
-            found, at, n = np.unique(gram[mine], return_index=True, return_counts=True)
+            _, at, n = np.unique(gram[mine], return_index=True, return_counts=True)
             at = mine[at]
-            yield pa.RecordBatch.from_arrays([_long(context[at]), _long(tail[at]), _long(found), pa.array(n.astype(np.int64))], ["context", "tail", "gram", "n"])
+            yield pa.RecordBatch.from_arrays([_long(context[at]), _long(tail[at]), pa.array(n.astype(np.int64))], ["context", "tail", "n"])
 
-    counted = texts.mapInArrow(run, "context long, tail long, gram long, n long")
-    return counted.groupBy("context", "tail", "gram").agg(F.sum("n").alias("n"))
+    counted = texts.mapInArrow(run, "context long, tail long, n long")
+    return counted.groupBy("context", "tail").agg(F.sum("n").alias("n"))
 
 
 def _free() -> None:
@@ -146,7 +153,7 @@ def train(trusted: DataFrame, scratch: Scratch, text_col: str = "text", *, order
             level = count_ngrams(texts, k, r, rounds)
             if k < order:  # lower levels count the different words seen before
                 own = [x.groupBy(F.col("tail").alias("gram")).agg(F.count(F.lit(1)).alias("n")) for x in levels[k + 1]]
-                level = level.drop("n").join(_sum(own, "gram"), "gram").select("context", "tail", "gram", "n")
+                level = level.select("context", "tail", _gram(k)).join(_sum(own, "gram"), "gram").select("context", "tail", "n")
             levels[k].append(scratch.table(level.sortWithinPartitions("context", "tail"), f"level-{k}-{r}"))
             _free()
     words = scratch.table(_sum([x.groupBy(F.col("tail").alias("gram")).agg(F.count(F.lit(1)).alias("n")) for x in levels[2]], "gram"), "level-1")
@@ -168,7 +175,7 @@ def train(trusted: DataFrame, scratch: Scratch, text_col: str = "text", *, order
         gained, here = [], []
         below = _union(lower).withColumnRenamed("gram", "tail").withColumnRenamed("lp", "below")
         for r, level in enumerate(levels[k]):
-            p = level.select("gram", "context", "tail", (F.col("n") - off).alias("rest")).join(contexts, "context").join(below, "tail")
+            p = level.select(_gram(k), "context", "tail", (F.col("n") - off).alias("rest")).join(contexts, "context").join(below, "tail")
             p = p.withColumn("lp", F.log(F.col("rest") / F.col("total") + F.exp(F.col("weight") + F.col("below"))))
             keep = ["lp"] if k < order else []
             p = scratch.table(p.select("gram", (F.col("lp") - F.col("weight") - F.col("below")).cast("float").alias("gain"), *keep), f"gains-{k}-{r}")

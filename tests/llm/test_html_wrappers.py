@@ -63,7 +63,7 @@ def test_long_odd_pages_take_linear_time(tail):
     assert got.startswith("Words of an article.") and time.time() - began < 20
 
 
-def _plain_densities(tree, share):
+def _plain_densities(tree, share, linked=False):
     """Densities and sums of (tag, children or text) trees, by recursion; `share`: of the page's text in links."""
     tag, inner = tree
     chars = links = tags = link_tags = 0
@@ -80,10 +80,11 @@ def _plain_densities(tree, share):
                 link_tags += x[0] == "a"
                 walk(x, in_link or x[0] == "a")
 
-    walk(tree, tag == "a")
+    linked = linked or tag == "a"
+    walk(tree, linked)
     for x in inner:
         if not isinstance(x, str):
-            d, rest = _plain_densities(x, share)
+            d, rest = _plain_densities(x, share, linked)
             total += d
             all_ += rest
     t, lt = max(1, tags), max(1, link_tags)
