@@ -24,9 +24,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies: five-word shingles, similarity 0.8 or more."""
-    gone = minhash.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return _without(docs, gone)
+    """Keeps the row with the smallest id of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    return minhash.drop_copies(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +47,8 @@ def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return packing.pack(packing.with_byte_tokens(docs), "doc_id", "n_tokens")
 
 
-def _without(docs: DataFrame, ids: DataFrame, on: str = "doc_id") -> DataFrame:
-    """The rows of other ids (column `on`). Up to a million ids go to every task, more are joined by a shuffle; null ids stay."""
+def _without(docs: DataFrame, ids: DataFrame, on: str) -> DataFrame:
+    """The rows with other values in column `on`. Up to a million values go to every task, more are joined by a shuffle."""
     ids = Scratch(docs.sparkSession, "gone").table(ids, "ids")
     if ids.count() <= minhash.BROADCAST_IDS:
         ids = F.broadcast(ids)

@@ -12,8 +12,10 @@
    So a list whose members all join its hub costs its length, not its square, and no link is left out.
 4. Links become components.
 
-The chance that a pair at exactly the similarity s is missed is P(Binomial(K, s) < T): with K = 128, T = 76 and
-s = 0.8 about 2e-7. Confirmed links are exact.
+The chance that a pair at exactly the similarity s is missed is P(Binomial(K, s) < T): with K = 128, T = 77 and
+s = 0.8 about 8e-8. Links are confirmed on the full sets of 64-bit shingle hashes, the same that are counted as n_shingles.
+
+A class is known by the number of its first row, written with the features, so ids may repeat, also with different texts.
 """
 
 from __future__ import annotations
@@ -28,11 +30,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from terragrist.llm.components import connected_components
-from terragrist.llm.shared import Scratch
+from terragrist.llm.shared import Scratch, free
 from terragrist.llm.words import mix, shingle_set, utf8_views, word_hashes
 
 #: Documents of one side of a block whose sets are compared in one go.
 BLOCK = 256
+#: Members of a hub that meet one copy of its signature.
+MEMBERS = 1024
 #: Ids that may be broadcast (16 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -54,10 +58,10 @@ def _features(width: int, k: int, seed: int):
         for batch in batches:
             n, fa, fb, sig = [], [], [], []
             for view in utf8_views(batch.column(1)):
-                s = shingle_set(word_hashes(view), width) if view is not None else np.empty(0, np.uint64)
+                s = _shingles(view, width)
                 n.append(len(s))
-                fa.append(int(mix(s).sum(dtype=np.uint64).astype(np.int64)))
-                fb.append(int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)))
+                for out, x in zip((fa, fb), fingerprint(s)):
+                    out.append(x)
                 sig.append(_signature(s, mul, add).view(np.int32))
             flat = np.concatenate(sig) if sig else np.empty(0, np.int32)
             lists = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, k, dtype=np.int32), flat)
@@ -66,24 +70,24 @@ def _features(width: int, k: int, seed: int):
     return run
 
 
-def pack_set(shingles: np.ndarray) -> bytes:
-    """A set as the upper six bytes of its hashes: for sets of a thousand, one pair in 10^8 or so would be miscounted, by one."""
-    high = np.unique(shingles >> np.uint64(16)).astype("<u8")
-    return high.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def _shingles(view: np.ndarray | None, width: int) -> np.ndarray:
+    return shingle_set(word_hashes(view), width) if view is not None else np.empty(0, np.uint64)
 
 
-def unpack_set(data: pa.Buffer) -> np.ndarray:
-    six = np.frombuffer(data, dtype=np.uint8).reshape(-1, 6)
-    out = np.zeros((len(six), 8), dtype=np.uint8)
-    out[:, :6] = six
-    return out.view("<u8").ravel()
+def fingerprint(shingles: np.ndarray) -> tuple[int, int]:
+    """128 bits that tell sets of one size apart."""
+    return tuple(int(x.sum(dtype=np.uint64).astype(np.int64)) for x in (mix(shingles), mix(shingles ^ np.uint64(0x5851F42D4C957F2D))))
 
 
 def _sets(width: int):
+    """(doc_id, n, fa, fb, shingles): the whole set of each text, eight bytes a shingle."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [pack_set(shingle_set(word_hashes(v), width)) if v is not None else b"" for v in utf8_views(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["doc_id", "shingles"])
+            found = [_shingles(v, width) for v in utf8_views(batch.column(1))]
+            marks = [(len(x), *fingerprint(x)) for x in found]
+            columns = [pa.array([m[i] for m in marks], pa.int64()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array([x.astype("<u8").tobytes() for x in found], pa.binary())], ["doc_id", "n", "fa", "fb", "shingles"])
 
     return run
 
@@ -118,7 +122,7 @@ def _verify(percent: int):
 
     def links(rows: dict) -> Iterator[tuple[int, int]]:
         side = np.asarray(rows["side"])
-        ids, comp, sets = np.asarray(rows["doc_id"]), np.asarray(rows["comp"]), rows["shingles"]
+        ids, comp, sets = np.asarray(rows["node"]), np.asarray(rows["comp"]), rows["shingles"]
         le, ri = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         if not len(le) or not len(ri):
             return
@@ -135,7 +139,7 @@ def _verify(percent: int):
                 yield int(ids[le[i]]), int(ids[ri[j]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("side", "doc_id", "comp", "shingles")
+        names = ("side", "node", "comp", "shingles")
         key, rows = None, {x: [] for x in names}
         found: list[tuple[int, int]] = []
         for batch in batches:
@@ -148,7 +152,7 @@ def _verify(percent: int):
                     key, rows = now, {x: [] for x in names}
                 for x in names[:3]:
                     rows[x].append(cols[x][i])
-                rows["shingles"].append(unpack_set(raw[i].as_buffer()))
+                rows["shingles"].append(np.frombuffer(raw[i].as_buffer(), dtype="<u8"))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["u", "v"])
             found = []
         found += links(rows)
@@ -160,11 +164,11 @@ def _verify(percent: int):
 def _block_links(left: DataFrame, right: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """left and right: (family, doc_id, comp, n_left, n_right), the latter two the family's rows on each side."""
     nl, nr = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("n_left", "n_right"))
-    own = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    rows = left.select("family", "doc_id", "comp", own(nl).alias("lb"), every(nr).alias("rb"), F.lit(0).alias("side"))
-    rows = rows.unionByName(right.select("family", "doc_id", "comp", every(nl).alias("lb"), own(nr).alias("rb"), F.lit(1).alias("side")))
-    rows = rows.join(sets, "doc_id").repartition("family", "lb", "rb").sortWithinPartitions("family", "lb", "rb", "side", "doc_id")
+    rows = left.select("family", "node", "comp", own(nl).alias("lb"), every(nr).alias("rb"), F.lit(0).alias("side"))
+    rows = rows.unionByName(right.select("family", "node", "comp", every(nl).alias("lb"), own(nr).alias("rb"), F.lit(1).alias("side")))
+    rows = rows.join(sets, "node").repartition("family", "lb", "rb").sortWithinPartitions("family", "lb", "rb", "side", "node")
     return rows.mapInArrow(_verify(percent), "u long, v long")
 
 
@@ -178,40 +182,75 @@ def near_duplicates(
     below what a pair at the threshold has on average.
 
     Defined results: null, empty and wordless texts have n_shingles 0 and are linked with nothing; fewer words than
-    `width` make one shingle. Rows with the same id and text are returned as often as they come and share a component; a row
-    with a null id is returned with a null component_id and kept. An empty table gives an empty result. Other
+    `width` make one shingle. Every row of `docs` has a row of its own in the result. Rows with equal texts share a component, whatever their ids; one
+    id with different texts is answered for each of them. component_id is the smallest id in the component; `kept` where it is the
+    row's own. Rows with a null id are linked with nothing, have a null component_id and are kept. An empty table gives an empty result. Other
     columns of `docs` are not looked at.
     """
+    classes, feats, comps, scratch = _components(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), width, percent, coordinates, matches, seed)
+    members = _in_classes(feats.filter("n > 0 and doc_id is not null").select("doc_id", "n", "fa", "fb"), classes, comps).select("doc_id", "n", "component_id")
+    members = members.unionByName(feats.filter("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    kept: Column = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    out = scratch.table(members.select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept")), "result")
+    scratch.drop_all_but("result")
+    return out
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, percent: int = 80, coordinates: int = 128, matches: int | None = None, seed: int = 20) -> DataFrame:
+    """The rows of `docs`, with all columns, but one row of each group of near copies.
+
+    Texts are grouped whatever their ids. Of a group the row with the smallest id stays (null ids last); where that id has several
+    texts of the group, the one with the smallest hash; of equal rows one. Texts without words are no copies of anything and all stay. An
+    empty table stays empty.
+    """
+    marks = {"__text": F.xxhash64(text_col), "__no_id": F.col(id_col).isNull(), "__id": F.coalesce(F.col(id_col).cast("long"), F.lit(0))}
+    key = list(marks)
+    marked = docs.select("*", *[c.alias(x) for x, c in marks.items()])
+    texts = docs.select(marks["__text"].alias("doc_id"), F.col(text_col).alias("text"))
+    classes, feats, comps, scratch = _components(texts, width, percent, coordinates, matches, seed)
+    groups = _in_classes(feats.filter("n > 0").select("doc_id", "n", "fa", "fb").distinct(), classes, comps)
+    rows = marked.groupBy(*key).agg(F.count(F.lit(1)).alias("times"))
+    rows = scratch.table(rows.join(groups.select(F.col("doc_id").alias("__text"), F.col("component_id").alias("group")), "__text"), "rows")
+    firsts = rows.groupBy("group").agg(F.min(F.struct("__no_id", "__id", "__text")).alias("first"))
+    rows = scratch.table(rows.join(firsts, "group").withColumn("gone", F.struct("__no_id", "__id", "__text") != F.col("first")).filter("gone or times > 1").select(*key, "gone"), "marked")
+    few = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    gone, repeated = few(rows.select(*key)), few(rows.filter("not gone").select(*key))
+    once = marked.join(gone, key, "left_anti").select(*docs.columns)
+    return once.unionByName(marked.join(repeated, key, "left_semi").dropDuplicates(key).select(*docs.columns))
+
+
+def _in_classes(rows: DataFrame, classes: DataFrame, comps: DataFrame) -> DataFrame:
+    """`rows` (doc_id, n, fa, fb) with the smallest id of their component."""
+    of_class = classes.join(comps, "node", "left").select("n", "fa", "fb", "rep", F.coalesce("component", "node").alias("component"))
+    least = of_class.groupBy("component").agg(F.min("rep").alias("component_id"))
+    return rows.join(of_class.join(least, "component"), ["n", "fa", "fb"])
+
+
+def _components(docs: DataFrame, width: int, percent: int, coordinates: int, matches: int | None, seed: int) -> tuple[DataFrame, DataFrame, DataFrame, Scratch]:
+    """(classes, features, components, scratch) of docs (doc_id, text)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-duplicates")
     p = percent / 100
     if matches is None:
         matches = max(1, math.floor(coordinates * p - 5.5 * math.sqrt(coordinates * p * (1 - p))))
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     feats = docs.mapInArrow(_features(width, coordinates, seed), "doc_id long, n long, fa long, fb long, sig array<int>")
-    feats = scratch.table(feats, "features")
+    feats = scratch.table(feats.withColumn("row", F.monotonically_increasing_id()), "features")
     sized = feats.filter("n > 0 and doc_id is not null")
     # Written, so that joins with it shuffle both sides plainly and a hot class can be split.
-    classes = scratch.table(sized.groupBy("n", "fa", "fb").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = sized.groupBy("n", "fa", "fb").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    classes = scratch.table(classes.select("n", "fa", "fb", F.col("first.doc_id").alias("rep"), F.col("first.row").alias("node")), "classes")
     # Sets of n and n + 1 shingles cannot be linked below this n; such sets are linked with equal sets only.
     least = math.ceil(p / (1 - p) - 1e-9) if p < 1 else 1 << 62
-    reps = sized.filter(F.col("n") >= least).select("doc_id", "n", "fa", "fb", "sig")
-    copies = sized.select("doc_id", "n", "fa", "fb").join(classes, ["n", "fa", "fb"]).filter("doc_id <> rep").select("doc_id").distinct()
-    reps = reps.join(_small(scratch.table(copies, "copies")), "doc_id", "left_anti").select("doc_id", "sig")
+    reps = sized.filter(F.col("n") >= least).select(F.col("row").alias("node"), "sig")
+    copies = sized.select("row", "n", "fa", "fb").join(classes, ["n", "fa", "fb"]).filter("row <> node").select(F.col("row").alias("node"))
+    reps = reps.join(_small(scratch.table(copies, "copies")), "node", "left_anti")
 
     star = _star(reps, scratch, matches)
-    edges = _links(docs, star, scratch, width, percent)
-    comps = connected_components(edges, scratch, "final")
-    comps = comps.select(F.col("node").alias("rep"), "component")
-
-    members = sized.select("doc_id", "n", "fa", "fb").join(classes, ["n", "fa", "fb"]).select("doc_id", "n", "rep")
-    members = members.join(comps, "rep", "left").select("doc_id", "n", F.coalesce("component", "rep").alias("component_id"))
-    members = members.unionByName(feats.filter("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id")))
-    kept: Column = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
-    out = scratch.table(members.select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept")), "result")
-    scratch.drop("features", "classes", "copies", "postings", "star", "sets", "hubs", "families", "apart", "first", "second")
-    return out
+    edges = _links(docs, classes, star, scratch, width, percent)
+    comps = scratch.table(connected_components(edges, scratch, "final"), "components")
+    scratch.drop("copies", "star", "sets", "hubs", "families", "apart", "first", "second")
+    return classes, feats.drop("sig"), comps, scratch
 
 
 def _small(ids: DataFrame) -> DataFrame:
@@ -220,51 +259,64 @@ def _small(ids: DataFrame) -> DataFrame:
 
 
 def _star(reps: DataFrame, scratch: Scratch, matches: int) -> DataFrame:
-    """(hub, doc_id, near): the members that meet a hub in a prefix list; near, if they match it in enough coordinates."""
-    tokens = reps.select("doc_id", F.posexplode("sig").alias("at", "value"))
-    tokens = tokens.select("doc_id", F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("token"))
-    tokens = tokens.withColumn("freq", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("freq > 1")
+    """(hub, node, near): the members that meet a hub in a prefix list; near, if they match it in enough coordinates."""
+    tokens = reps.select("node", F.posexplode("sig").alias("at", "value"))
+    tokens = tokens.select("node", F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("token"))
+    shared = scratch.table(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("freq")).filter("freq > 1"), "shared")
+    free()
     # Any order of values serves, as long as it is the same for all: by frequency in eighths of an octave, then value, in one number.
     ranked = F.shiftleft(F.floor(F.log2("freq") * 8).cast("long"), 48).bitwiseOR(F.col("token"))
-    lists = tokens.groupBy("doc_id").agg(F.sort_array(F.collect_set(ranked)).alias("shared"), F.sum("freq").alias("weight"))
+    lists = tokens.join(shared, "token").groupBy("node").agg(F.sort_array(F.collect_set(ranked)).alias("shared"), F.sum("freq").alias("weight"))
     lists = lists.filter(F.size("shared") >= matches)
-    postings = lists.select("doc_id", "weight", F.explode(F.slice("shared", F.lit(1), F.size("shared") - (matches - 1))).alias("token"))
+    postings = lists.select("node", "weight", F.explode(F.slice("shared", F.lit(1), F.size("shared") - (matches - 1))).alias("token"))
     postings = scratch.table(postings, "postings")
-    hubs = postings.groupBy("token").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("neg"))).alias("best"), F.count(F.lit(1)).alias("size"))
+    free()
+    hubs = postings.groupBy("token").agg(F.max(F.struct("weight", (-F.col("node")).alias("neg"))).alias("best"), F.count(F.lit(1)).alias("size"))
     hubs = hubs.filter("size > 1").select("token", (-F.col("best.neg")).alias("hub"), "size")
-    star = postings.join(hubs, "token").filter("doc_id <> hub").groupBy("hub", "doc_id").agg(F.max("size").alias("size"))
+    star = postings.join(hubs, "token").filter("node <> hub").groupBy("hub", "node").agg(F.max("size").alias("size"))
     # Signatures decide on pairs that stand alone in their lists; members of longer lists stay, for each other's sake.
     star = scratch.table(star, "met")
-    ids = star.select("doc_id").unionByName(star.select(F.col("hub").alias("doc_id"))).distinct()
-    sig = reps.join(_small(ids), "doc_id", "left_semi").select("doc_id", "sig")
-    star = star.join(sig, "doc_id").join(sig.select(F.col("doc_id").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
+    ids = scratch.table(star.select("node").unionByName(star.select(F.col("hub").alias("node"))).distinct(), "known")
+    sig = reps.join(_small(ids), "node", "left_semi").select("node", "sig")
+    # The members of a hub are dealt to as many copies of it as they need.
+    copies = star.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("copies"))
+    hub_sig = sig.select(F.col("node").alias("hub"), F.col("sig").alias("hub_sig")).join(copies, "hub")
+    hub_sig = hub_sig.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    many = scratch.table(copies.filter("copies > 1"), "many")
+    star = star.join(_small(many), "hub", "left").withColumn("copy", F.pmod(F.xxhash64("node"), F.coalesce("copies", F.lit(1))).cast("int")).drop("copies")
+    star = star.join(sig, "node").join(hub_sig.drop("copies"), ["hub", "copy"])
     same = F.aggregate(F.zip_with("sig", "hub_sig", lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
-    star = star.withColumn("near", same >= matches).filter("near or size > 2").select("hub", "doc_id", "near").distinct()
+    star = star.withColumn("near", same >= matches).filter("near or size > 2").select("hub", "node", "near")
     star = scratch.table(star, "star")
-    scratch.drop("postings", "met")
+    scratch.drop("postings", "shared", "met", "known", "many")
     return star
 
 
-def _links(docs: DataFrame, star: DataFrame, scratch: Scratch, width: int, percent: int) -> DataFrame:
+def _links(docs: DataFrame, classes: DataFrame, star: DataFrame, scratch: Scratch, width: int, percent: int) -> DataFrame:
     """(u, v): confirmed links between classes that connect whatever links of any two members of a list connect."""
-    family = star.select(F.col("hub").alias("family"), "doc_id").unionByName(star.select(F.col("hub").alias("family"), F.col("hub").alias("doc_id")).distinct())
-    ids = family.select("doc_id").distinct()
-    texts = docs.filter("doc_id is not null").join(_small(ids), "doc_id", "left_semi")
-    sets = scratch.table(texts.mapInArrow(_sets(width), "doc_id long, shingles binary"), "sets")
+    family = star.select(F.col("hub").alias("family"), "node").unionByName(star.select(F.col("hub").alias("family"), F.col("hub").alias("node")).distinct())
+    nodes = family.select("node").distinct().join(classes, "node").select("node", F.col("rep").alias("doc_id"), "n", "fa", "fb")
+    nodes = scratch.table(nodes, "nodes")
+    texts = docs.join(_small(nodes.select("doc_id").distinct()), "doc_id", "left_semi")
+    sets = texts.mapInArrow(_sets(width), "doc_id long, n long, fa long, fb long, shingles binary")
+    sets = scratch.table(sets.join(_small(nodes), ["doc_id", "n", "fa", "fb"]).select("node", "shingles"), "sets")
 
     near = star.filter("near")
     sizes = scratch.table(near.groupBy("hub").agg(F.count(F.lit(1)).alias("n_right")).withColumn("n_left", F.lit(1)), "hubs")
-    right = near.join(_small(sizes), "hub").select(F.col("hub").alias("family"), "doc_id", F.col("doc_id").alias("comp"), "n_left", "n_right")
-    left = sizes.select(F.col("hub").alias("family"), F.col("hub").alias("doc_id"), F.col("hub").alias("comp"), "n_left", "n_right")
+    right = near.join(_small(sizes), "hub").select(F.col("hub").alias("family"), "node", F.col("node").alias("comp"), "n_left", "n_right")
+    left = sizes.select(F.col("hub").alias("family"), F.col("hub").alias("node"), F.col("hub").alias("comp"), "n_left", "n_right")
     first = scratch.table(_block_links(left, right, sets, percent), "first")
+    free()
 
-    comps = connected_components(first, scratch, "round").withColumnRenamed("node", "doc_id")
-    family = family.join(comps, "doc_id", "left").select("family", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
+    comps = connected_components(first, scratch, "round")
+    family = family.join(comps, "node", "left").select("family", "node", F.coalesce("component", "node").alias("comp"))
     family = scratch.table(family, "families")
-    of_hub = family.filter("doc_id = family").select("family", F.col("comp").alias("hub_comp"))
+    of_hub = family.filter("node = family").select("family", F.col("comp").alias("hub_comp"))
     family = family.join(_small(of_hub), "family")
     sizes = family.groupBy("family").agg(F.count(F.lit(1)).alias("n_right"), F.count_if(F.col("comp") != F.col("hub_comp")).alias("n_left")).filter("n_left > 1 or n_left = 1 and n_right > 2")
     family = family.join(_small(scratch.table(sizes, "apart")), "family")
     second = _block_links(family.filter("comp <> hub_comp").drop("hub_comp"), family.drop("hub_comp"), sets, percent)
     second = scratch.table(second, "second")
+    scratch.drop("nodes")
+    free()
     return first.unionByName(second)

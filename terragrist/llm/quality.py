@@ -15,7 +15,6 @@ A document's perplexity is compared with a quantile of trusted documents of its
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terragrist.llm.shared import Scratch
+from terragrist.llm.shared import Scratch, free
 from terragrist.llm.words import column_words
 
 #: Trusted ids that may be broadcast (16 MB); more are joined by a shuffle.
@@ -104,14 +103,6 @@ def count_ngrams(texts: DataFrame, k: int, part: int = 0, parts: int = 1) -> Dat
     return counted.groupBy("context", "tail").agg(F.sum("n").alias("n"))
 
 
-def _free() -> None:
-    """Lets Spark clear the shuffle files of finished rounds, which it does once their plans are gone."""
-    from pyspark.sql import SparkSession
-
-    gc.collect()
-    SparkSession.getActiveSession()._jvm.System.gc()
-
-
 def discounts(ones: int, twos: int, threes: int, fours: int) -> tuple[float, float, float]:
     """What counts of one, two, and three or more give to the level below, from the numbers of n-grams with counts 1 to 4.
 
@@ -155,9 +146,9 @@ def train(trusted: DataFrame, scratch: Scratch, text_col: str = "text", *, order
                 own = [x.groupBy(F.col("tail").alias("gram")).agg(F.count(F.lit(1)).alias("n")) for x in levels[k + 1]]
                 level = level.select("context", "tail", _gram(k)).join(_sum(own, "gram"), "gram").select("context", "tail", "n")
             levels[k].append(scratch.table(level.sortWithinPartitions("context", "tail"), f"level-{k}-{r}"))
-            _free()
+            free()
     words = scratch.table(_sum([x.groupBy(F.col("tail").alias("gram")).agg(F.count(F.lit(1)).alias("n")) for x in levels[2]], "gram"), "level-1")
-    _free()
+    free()
     d = _tally(words)
     known, total, given = words.agg(F.count(F.lit(1)), F.sum("n"), F.sum(_discount(F.col("n"), d))).first()
     if not known:
@@ -171,7 +162,7 @@ def train(trusted: DataFrame, scratch: Scratch, text_col: str = "text", *, order
         contexts = [x.groupBy("context").agg(F.sum("n").alias("total"), F.sum(off).alias("off")) for x in levels[k]]
         contexts = _union(contexts).groupBy("context").agg(F.sum("total").cast("double").alias("total"), F.log(F.sum("off") / F.sum("total")).alias("weight"))
         contexts = scratch.table(contexts, f"contexts-{k}")
-        _free()
+        free()
         gained, here = [], []
         below = _union(lower).withColumnRenamed("gram", "tail").withColumnRenamed("lp", "below")
         for r, level in enumerate(levels[k]):
@@ -182,7 +173,7 @@ def train(trusted: DataFrame, scratch: Scratch, text_col: str = "text", *, order
             scratch.drop(f"level-{k}-{r}")
             gained.append(p.select("gram", "gain", F.lit(0.0).cast("float").alias("weight")))
             here.append(p.select("gram", "lp") if keep else None)
-            _free()
+            free()
         parts.append(gained)
         parts.append([contexts.select(F.col("context").alias("gram"), F.lit(0.0).cast("float").alias("gain"), F.col("weight").cast("float").alias("weight"))])
         lower = here
@@ -252,7 +243,7 @@ def perplexity(docs: DataFrame, model: Model, scratch: Scratch, id_col: str, tex
         found = rows.select("key", "text").mapInArrow(_document_ngrams(model.order, r, len(model.gains)), "key long, gram long, times int, as_context int")
         part = found.join(gains.hint("shuffle_hash"), "gram").groupBy("key").agg(F.sum(F.col("times") * F.col("gain").cast("double") + F.col("as_context") * F.col("weight").cast("double")).alias("gained"))
         sums.append(scratch.table(part, f"sums-{r}"))
-        _free()
+        free()
     if not sums:
         return base.select("doc_id", "lang", F.when(F.col("words") > 0, 1.0).alias("perplexity"))
     sums.append(base.select("key", F.lit(0.0).alias("gained"), "words"))

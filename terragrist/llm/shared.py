@@ -5,6 +5,7 @@ A written table survives the loss of any executor and cuts the lineage of what i
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -22,6 +23,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def free() -> None:
+    """Lets Spark clear the shuffle files of finished steps, which it does once their plans are gone."""
+    gc.collect()
+    session = SparkSession.getActiveSession()
+    if session is not None:
+        session._jvm.System.gc()
+
+
 class Scratch:
     """Intermediate tables of one operator call, under one folder of their own."""
 

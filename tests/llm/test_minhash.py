@@ -83,3 +83,35 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7)], "u long, v long")
     got = {r["node"]: r["component"] for r in connected_components(edges, Scratch(spark, "t"), "c").collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
+
+
+def test_one_id_with_several_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(1, a), (5, a), (5, b), (6, b), (5, b)]
+    got = sorted(tuple(r) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([(1, 26, 1, True), (5, 26, 1, False), (5, 26, 5, True), (5, 26, 5, True), (6, 26, 5, False)])
+
+
+def test_one_row_of_each_group_stays(spark):
+    rows = [(*r, i) for i, r in enumerate(_texts(120, seed=11))]
+    rows += [(i % 7, f"{rows[i][1]}", 1000 + i) for i in range(40)]  # ids with several texts
+    rows += [(None, rows[i][1], 2000 + i) for i in range(60)] + rows[:20] + [(None, "only without an id " * 3, 5), (None, "only without an id " * 3, 6), (3, None, 7), (3, None, 7), (4, " ", 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __kept int")
+    got = minhash.drop_copies(df).collect()
+    texts = sorted({t for _, t, _ in rows if t and t.split()})
+    group = _brute(list(enumerate(texts)), 5)
+    of = {t: group[i][1] for i, t in enumerate(texts)}
+    kept = [(r[0], r[1]) for r in got if r[1] and r[1].split()]
+    assert sorted(of[t] for _, t in kept) == sorted(set(of.values()))
+    for i, t in kept:
+        ids = [x for x, u, _ in rows if u and u.split() and of[u] == of[t]]
+        assert i == min((x for x in ids if x is not None), default=None)
+    assert sorted(r[2] for r in got if not (r[1] and r[1].split())) == [7, 7, 8]
+    assert minhash.drop_copies(df.limit(0)).collect() == []
+
+
+def test_a_very_long_text(spark):
+    words = [f"w{i % 50_021}" for i in range(1_000_000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:-9], *["new"] * 9])), (3, "x" * 3_000_000)]
+    got = {r[0]: r[2] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
