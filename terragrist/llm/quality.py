@@ -238,9 +238,10 @@ def perplexity(docs: DataFrame, model: Model, scratch: Scratch, id_col: str, tex
     # Rows of one id and text share a key: their sums and their words grow alike, and what counts is the ratio.
     rows = docs.select(F.xxhash64(doc_id, text).alias("key"), doc_id.alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), text.alias("text"))
     base = scratch.table(rows.mapInArrow(_count_words, "key long, doc_id long, lang string, words long"), "words")
-    sums = []
-    for r, gains in enumerate(model.gains):
-        found = rows.select("key", "text").mapInArrow(_document_ngrams(model.order, r, len(model.gains)), "key long, gram long, times int, as_context int")
+    sums, parts = [], 2 * len(model.gains)  # documents have several times the n-grams of the model, so they go in smaller parts
+    for r in range(parts):
+        gains = model.gains[r % len(model.gains)].filter(_of_range(r, parts))
+        found = rows.select("key", "text").mapInArrow(_document_ngrams(model.order, r, parts), "key long, gram long, times int, as_context int")
         part = found.join(gains.hint("shuffle_hash"), "gram").groupBy("key").agg(F.sum(F.col("times") * F.col("gain").cast("double") + F.col("as_context") * F.col("weight").cast("double")).alias("gained"))
         sums.append(scratch.table(part, f"sums-{r}"))
         free()
