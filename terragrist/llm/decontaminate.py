@@ -26,8 +26,6 @@ COMPLETE = {
     (11, 2): ((0, 1, 3, 5, 6), (0, 1, 2, 5, 6)),
     (12, 2): ((0, 1, 2, 4, 6, 7), (0, 1, 2, 3, 5, 6), (0, 1, 4, 5, 6, 7)),
 }
-#: The masks of the registered SQL, which leave some overlaps without a hit.
-MASKS = ((0, 1, 3, 5, 6, 8), (0, 2, 3, 4, 6, 7))
 #: Letters, digits and non-ASCII characters make words; everything else separates.
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Benchmark seeds, and hits, that may be broadcast (16 MB or so); more are joined by a shuffle.

@@ -71,7 +71,7 @@ def pack(rows: DataFrame, id_col: str, length_col: str, *, buckets: int = 16, to
 
     `bucket_len` is the padded length of the row's bucket, `batch` a number within the bucket. A batch holds
     max(1, token_budget // bucket_len) rows, so a row longer than the budget is a batch of its own. Null lengths count as
-    0. Repeated rows and ids each take a place (null ids too). Rows of a bucket are placed by id modulo `shards`, then id, then length. An empty table gives an
+    0. Repeated rows and ids each take a place (null ids too). Rows of a bucket are placed by shard (from the id), then id, then length. An empty table gives an
     empty result.
     """
     r = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(length_col).cast("long"), F.lit(0)).alias("n_tokens"))
@@ -85,14 +85,19 @@ def pack(rows: DataFrame, id_col: str, length_col: str, *, buckets: int = 16, to
     for k in reversed(range(len(bounds) - 1)):
         inside = F.col("n_tokens") <= bounds[k]
         bucket, size = F.when(inside, k).otherwise(bucket), F.when(inside, F.lit(bounds[k])).otherwise(size)
-    r = r.select("doc_id", "n_tokens", bucket.cast("int").alias("bucket"), size.cast("long").alias("bucket_len"), F.coalesce(F.pmod("doc_id", F.lit(shards)), F.lit(0)).alias("shard"))
-    counts = r.groupBy("bucket", "shard").agg(F.count(F.lit(1)).alias("n"))
+    shard = F.pmod(F.coalesce(F.col("doc_id") + F.expr(f"doc_id div {shards}"), F.col("n_tokens")), F.lit(shards))
+    # Equal rows are one row with a count until the end, so that one id or many null ids cannot fill a shard.
+    r = r.groupBy("doc_id", "n_tokens").agg(F.count(F.lit(1)).alias("rows"))
+    r = r.select("doc_id", "n_tokens", "rows", bucket.cast("int").alias("bucket"), size.cast("long").alias("bucket_len"), shard.alias("shard"))
+    counts = r.groupBy("bucket", "shard").agg(F.sum("rows").alias("n"))
     before = Window.partitionBy("bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("bucket", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    within = Window.partitionBy("bucket", "shard").orderBy("doc_id", "n_tokens")
-    placed = r.withColumn("at", F.row_number().over(within)).join(F.broadcast(offsets), ["bucket", "shard"])  # buckets * shards rows at most
-    place, per = F.col("before") + F.col("at") - 1, F.greatest(F.lit(1), F.expr(f"{token_budget} div bucket_len"))
-    placed = placed.withColumn("place", place).withColumn("per", F.when(F.col("bucket_len") > 0, per).otherwise(F.lit(token_budget)))
+    within = Window.partitionBy("bucket", "shard").orderBy("doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = r.withColumn("end", F.sum("rows").over(within)).join(F.broadcast(offsets), ["bucket", "shard"])  # buckets * shards rows at most
+    first = F.col("before") + F.col("end") - F.col("rows")
+    placed = placed.withColumn("place", F.explode(F.sequence(first, first + F.col("rows") - 1)))
+    per = F.greatest(F.lit(1), F.expr(f"{token_budget} div bucket_len"))
+    placed = placed.withColumn("per", F.when(F.col("bucket_len") > 0, per).otherwise(F.lit(token_budget)))
     return placed.select("doc_id", "n_tokens", "bucket", "bucket_len", F.expr("place div per").alias("batch"), (F.col("place") % F.col("per")).alias("slot"))
 
 

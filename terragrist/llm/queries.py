@@ -84,16 +84,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def _decontamination_sql() -> str:
-    """Seeds as lists of words instead of hashes; the rest word by word."""
-    masks, span = decontaminate.MASKS, min(m[-1] for m in decontaminate.MASKS) + 1
+    """No masks: whatever few words of a stretch may differ, they leave a run of m equal ones somewhere in it, so alignments are those with such a run."""
     split = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
-    seeds = lambda t, i: " UNION ALL ".join(
-        f"SELECT {i} AS id, pos, {k} AS mask, [{', '.join(f'w[pos + {p + 1}]' for p in m)}] AS seed FROM (SELECT {i}, w, unnest(range(0, len(w) - {span} + 1)) AS pos FROM {t} WHERE len(w) >= {span}) WHERE pos + {m[-1]} < len(w)" for k, m in enumerate(masks)
-    )
+    runs = lambda t, i: f"SELECT {i}, m, pos, w[pos + 1 : pos + m] AS run FROM (SELECT *, unnest(range(0, len(w) - m + 1)) AS pos FROM {t} WHERE len(w) >= m)"
     return f"""
 WITH d AS (SELECT DISTINCT doc_id, {split} AS w FROM documents), b AS (SELECT item_id, {split} AS w FROM benchmark),
-ds AS ({seeds("d", "doc_id")}), bs AS ({seeds("b", "item_id")}),
-hits AS (SELECT DISTINCT ds.id AS doc_id, bs.id AS item_id, ds.pos - bs.pos AS shift FROM ds JOIN bs USING (mask, seed)),
+e AS (SELECT item_id, w, k, CAST(ceil(k * 0.8) AS INTEGER) AS equal FROM (SELECT *, least(12, len(w)) AS k FROM b) WHERE k > 0),
+i AS (SELECT item_id, w, CAST(ceil(equal / (k - equal + 1)) AS INTEGER) AS m FROM e),
+dm AS (SELECT doc_id, w, m FROM d, (SELECT DISTINCT m FROM i)),
+ds AS ({runs("dm", "doc_id")}), bs AS ({runs("i", "item_id")}),
+hits AS (SELECT DISTINCT doc_id, item_id, ds.pos - bs.pos AS shift FROM ds JOIN bs USING (m, run)),
 pairs AS (SELECT h.doc_id, h.item_id, shift, d.w AS dw, b.w AS iw, greatest(0, -shift) AS f, least(len(b.w), len(d.w) - shift) AS l
   FROM hits h JOIN d USING (doc_id) JOIN b USING (item_id)),
 same AS (SELECT doc_id, item_id, shift, f, len(iw) AS n, [CASE WHEN iw[i + 1] = dw[i + shift + 1] THEN 1 ELSE 0 END for i in range(f, l)] AS s FROM pairs),
@@ -103,7 +103,7 @@ SELECT doc_id, item_id, CAST(e AS BIGINT) AS n_equal, CAST(n AS BIGINT) AS n_ite
 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY e DESC, pos) AS r FROM kept) WHERE r = 1"""
 
 
-def _packing_sql(buckets: int = 16, budget: int = 131072, bins: int = 1024, shards: int = 1024) -> str:
+def _packing_sql(buckets: int = 16, budget: int = 131072, shards: int = 1024) -> str:
     """The dynamic programme as one common table expression a bucket, and the way back through them."""
     steps, back = [], []
     for k in range(2, buckets + 1):
@@ -116,15 +116,14 @@ def _packing_sql(buckets: int = 16, budget: int = 131072, bins: int = 1024, shar
     ends = " UNION ".join(f"SELECT j FROM e{k}" for k in range(1, buckets + 1))
     return f"""
 WITH r AS (SELECT doc_id, CAST(coalesce(strlen(text), 0) + 1 AS BIGINT) AS n FROM documents),
-g AS (SELECT greatest(1, (max(n) + {bins - 1}) // {bins}) AS g FROM r),
-hist AS (SELECT (n + g - 1) // g AS bin, count(*) AS c, sum(n) AS s, max(n) AS m FROM r, g GROUP BY 1),
-cum AS (SELECT row_number() OVER o AS j, CAST(sum(c) OVER o AS BIGINT) AS c, CAST(sum(s) OVER o AS BIGINT) AS s, m FROM hist WINDOW o AS (ORDER BY bin)),
+hist AS (SELECT n AS m, count(*) AS c, sum(n) AS s FROM r GROUP BY 1),
+cum AS (SELECT row_number() OVER o AS j, CAST(sum(c) OVER o AS BIGINT) AS c, CAST(sum(s) OVER o AS BIGINT) AS s, m FROM hist WINDOW o AS (ORDER BY m)),
 d1 AS (SELECT j, c * m - s AS cost, CAST(NULL AS BIGINT) AS i FROM cum),
 {", ".join(steps)},
 e{buckets} AS (SELECT max(j) AS j FROM cum),
 {", ".join(back)},
 bounds AS (SELECT CAST(row_number() OVER (ORDER BY m) - 1 AS INTEGER) AS bucket, CAST(m AS BIGINT) AS bucket_len FROM cum WHERE j IN ({ends})),
-placed AS (SELECT doc_id, n, bucket, bucket_len, row_number() OVER (PARTITION BY bucket ORDER BY doc_id % {shards}, doc_id, n) - 1 AS place,
+placed AS (SELECT doc_id, n, bucket, bucket_len, row_number() OVER (PARTITION BY bucket ORDER BY (doc_id + doc_id // {shards}) % {shards}, doc_id, n) - 1 AS place,
   greatest(1, {budget} // bucket_len) AS per
   FROM (SELECT doc_id, n, (SELECT min(bucket_len) FROM bounds WHERE bucket_len >= n) AS bucket_len FROM r) JOIN bounds USING (bucket_len))
 SELECT doc_id, n AS n_tokens, bucket, bucket_len, CAST(place // per AS BIGINT) AS batch, CAST(place % per AS BIGINT) AS slot FROM placed"""
