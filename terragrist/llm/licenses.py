@@ -39,7 +39,7 @@ NOTICE_PHRASES = {
 }
 TAG = "spdx license identifier"
 
-#: Lower-case identifiers of an expression to labels. Fixed values; others are labelled by their own name.
+#: Lower-case identifiers of an expression to labels. Fixed values; others count if they belong to a family or are references.
 IDENTIFIERS = {"mit": "mit", "apache-2.0": "apache", "isc": "isc", "cc0-1.0": "cc0", "unlicense": "unlicense"}
 FAMILIES = ("agpl", "lgpl", "gpl", "bsd", "mpl", "epl", "cc-by-nc", "cc-by-sa", "cc-by-nd", "cc-by", "apache")
 
@@ -52,9 +52,12 @@ _TOKEN = re.compile(r"\(|\)|[a-z0-9.+-]+")
 _TAGGED = re.compile(r"spdx-license-identifier:[ \t]*([a-z0-9.+() \t-]*)")
 
 
-def label_of(identifier: str) -> str:
-    name = identifier.rstrip("+")
-    return IDENTIFIERS.get(name) or next((f for f in FAMILIES if name == f or name.startswith(f"{f}-")), name)
+def label_of(identifier: str) -> str | None:
+    """The label of a licence identifier; None for any other word."""
+    name = identifier.strip(".-").rstrip("+")
+    if name.startswith(("licenseref-", "documentref-")):
+        return name
+    return IDENTIFIERS.get(name) or next((f for f in FAMILIES if name == f or name.startswith(f"{f}-")), None)
 
 
 @dataclass(frozen=True)
@@ -68,7 +71,8 @@ class Expression:
 def parse_expression(text: str) -> Expression | None:
     """Shunting-yard over lower-case `a AND (b OR c WITH d)`: WITH binds closest, then AND, then OR.
 
-    Reads the longest well-formed head of the text, as a tag may be followed by prose; None if there is no identifier.
+    Reads the longest well-formed head of the text, as a tag may be followed by prose: it ends before the first word that is no known
+    identifier, or after WITH no exception. Exceptions are labels of their own. None if there is no identifier.
     """
     strength = {"or": 1, "and": 2, "with": 3}
     tokens = _TOKEN.findall(text)
@@ -90,7 +94,8 @@ def parse_expression(text: str) -> Expression | None:
             head.append(t)
             continue
         else:
-            if operand:
+            known = "exception" in t if head and head[-1] == "with" else label_of(t)
+            if operand or not known:
                 break
             operand = True
         head.append(t)
@@ -105,7 +110,7 @@ def parse_expression(text: str) -> Expression | None:
     def apply() -> None:
         op, b, a = ops.pop(), values.pop(), values.pop()
         if op == "with":
-            values.append(a)
+            values.append(Expression(a.labels | b.labels, a.openness))
         elif op == "and":
             values.append(Expression(a.labels | b.labels, min(a.openness, b.openness)))
         else:
@@ -124,8 +129,8 @@ def parse_expression(text: str) -> Expression | None:
                 apply()
             ops.append(t)
         else:
-            label = label_of(t.strip(".-"))
-            values.append(Expression(frozenset([label] if label else []), float(label in OPEN)))
+            label = t.strip(".-") if ops and ops[-1] == "with" else label_of(t)
+            values.append(Expression(frozenset([label]), float(label in OPEN)))
     while ops:
         if ops[-1] == "(":
             ops.pop()
@@ -138,7 +143,10 @@ class Scanner:
     """The automaton over ' '-joined words; made once a task."""
 
     def __init__(self, base: dict[str, str], notices: dict[str, str]) -> None:
-        import ahocorasick
+        try:
+            import ahocorasick
+        except ImportError as e:
+            raise ImportError("the licence scan needs the package pyahocorasick on all executors") from e
 
         self.auto = ahocorasick.Automaton()
         for phrase in {*base, *notices, TAG}:

@@ -89,12 +89,14 @@ _SECRET = re.compile(r"(?i:token|secret|api[_-]?key|key|password|passwd)[ \t]*[=
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+.-])(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9.-])")
 _HIDDEN_AT = ("(at)", "[at]")
-_HIDDEN = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{1,64}) ?[(\[]at[)\]] ?[A-Za-z0-9-]+(?: ?(?:\.|[(\[]dot[)\]]) ?[A-Za-z0-9-]+)+")
+_HIDDEN = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]++) ?[(\[]at[)\]] ?[A-Za-z0-9-]+(?: ?(?:\.|[(\[]dot[)\]]) ?[A-Za-z0-9-]+)+")
 #: Titles before a person's name; fixed values of the name gazetteer.
 TITLES = ("Mr.", "Mrs.", "Ms.", "Dr.", "Prof.", "Herr ", "Frau ", "Señor ", "Señora ", "Madame ", "Monsieur ")
 _NAME = re.compile(r"(?:Mr\.|Mrs\.|Ms\.|Dr\.|Prof\.|Herr|Frau|Señora|Señor|Madame|Monsieur) ?([A-ZÀ-Þ][\w'-]+(?: [A-ZÀ-Þ][\w'-]+)?)")
 #: Common given names; fixed values of the name gazetteer.
-GIVEN = frozenset("james john robert michael william david mary patricia jennifer linda elizabeth maria anna hans peter klaus jean pierre marie luis carlos juan carmen ana sofia paul thomas".split())
+GIVEN = frozenset(
+    "james john robert michael william david richard joseph charles daniel matthew mark steven andrew george edward brian kevin jason mary patricia jennifer linda elizabeth susan jessica sarah karen nancy lisa margaret sandra ashley emily laura helen anna emma hans peter klaus juergen wolfgang stefan andreas matthias markus ursula monika petra sabine heike claudia katrin birgit jean pierre michel philippe alain nicolas julien marie nathalie isabelle sylvie catherine sophie camille claire luis carlos juan jose antonio miguel javier fernando carmen ana sofia isabel pilar lucia elena maria paul thomas martin alexander".split()
+)
 #: Top-level domains that mark an address as real or as an example.
 TLDS = frozenset("com org net edu gov io de fr es uk info eu".split())
 #: Known prefixes of access tokens.
@@ -149,7 +151,7 @@ def _entropy(s: str) -> float:
 def votes(text: str, span: Span) -> tuple[int, int, int, int]:
     """1 for, 0 against, -1 abstains: strict pattern, gazetteer, context, shape."""
     start, end, kind = span
-    s = text[start : end if end - start <= 4096 else start + 4096]
+    s = text[start:end]
     before = text[max(0, start - 40) : start].lower()
     context = 1 if any(w in before for w in CONTEXT[kind]) else 0 if any(w in before for w in AGAINST) else -1
     digits = _digits(s)
@@ -200,25 +202,46 @@ class SpanModel:
     reliability: dict[str, float]
 
 
+#: What share of the candidates of a kind is expected to be personal data, before any vote: base patterns are checked, others less.
+PRIOR = {k: 0.9 if k in BASE_KINDS else 0.7 for k in KINDS}
+#: Spans that the first guess of each reliability and of each share counts for; large corpora outvote it.
+GUESS = 20.0
+
+
+def _estimate(v: np.ndarray, n: np.ndarray, share: float, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Posterior of each vote pattern and the labelers' chance to vote for true spans, by expectation-maximisation with a beta prior on every parameter."""
+    guess = np.array([0.8, 0.3])  # votes for true spans, votes for false ones
+    rate = np.repeat(guess[:, None], v.shape[1], axis=1)
+    first, cast, said = share, v >= 0, v == 1
+    for _ in range(rounds):
+        like = np.stack([np.prod(np.where(said, r, np.where(cast, 1 - r, 1.0)), axis=1) for r in rate])
+        true = share * like[0]
+        post = true / np.maximum(true + (1 - share) * like[1], 1e-300)
+        share = ((n * post).sum() + GUESS * first) / (n.sum() + GUESS)
+        for k, w in enumerate((n * post, n * (1 - post))):
+            rate[k] = ((w[:, None] * said).sum(axis=0) + GUESS * guess[k]) / ((w[:, None] * cast).sum(axis=0) + GUESS)
+    return post, rate[0]
+
+
 def fit(counts: dict[str, int], rounds: int = 50) -> SpanModel:
-    """EM over vote patterns (labelers independent given the truth), then a logistic classifier on all features."""
+    """EM over the vote patterns of each kind (labelers independent given the truth), then a logistic classifier on all features.
+
+    No span is a seed: base spans are kept whatever the model says, but it learns about their labelers as about any other.
+    """
     if not counts:
         return SpanModel({}, {})
     keys = sorted(counts)
     parts = [k.split("|") for k in keys]
     n = np.array([counts[k] for k in keys], dtype=float)
     v = np.array([[int(x) for x in p[1:5]] for p in parts])
-    base = np.array([p[0] in BASE_KINDS for p in parts])
-    like = lambda acc, prior: prior * np.prod(np.where(v == 1, acc, np.where(v == 0, 1 - acc, 1.0)), axis=1)
-    yes, no, prior = np.full(4, 0.8), np.full(4, 0.3), 0.7
-    for _ in range(rounds):
-        p1, p0 = like(yes, prior), like(no, 1 - prior)
-        post = np.where(base, 0.98, p1 / np.maximum(p1 + p0, 1e-12))
-        prior = float(np.clip((n * post).sum() / n.sum(), 0.05, 0.95))
-        for j in range(4):
-            cast = v[:, j] >= 0
-            for acc, w in ((yes, n * post), (no, n * (1 - post))):
-                acc[j] = np.clip(((w * (v[:, j] == 1))[cast].sum() + 1) / (w[cast].sum() + 2), 0.02, 0.98)
+    kinds = np.array([p[0] for p in parts])
+    post, reliability = np.zeros(len(keys)), {}
+    for kind in KINDS:  # a labeler means something else for each kind
+        own = kinds == kind
+        if own.any():
+            post[own], yes = _estimate(v[own], n[own], PRIOR[kind], rounds)
+            reliability |= {f"{kind}.{labeler}": float(x) for labeler, x in zip(("pattern", "gazetteer", "context", "shape"), yes)}
+    parts = [[*p, *(f"{p[0]}.{i}.{x}" for i, x in enumerate(p[1:5]))] for p in parts]  # votes by kind as well
     names = sorted({f"{i}={x}" for p in parts for i, x in enumerate(p)})
     at = {x: i for i, x in enumerate(names)}
     x = np.zeros((len(keys), len(names) + 1))
@@ -231,7 +254,7 @@ def fit(counts: dict[str, int], rounds: int = 50) -> SpanModel:
         p = 1 / (1 + np.exp(-x @ w))
         w -= 2.0 * (x.T @ (weight * (p - post)) + 1e-4 * w)
     p = 1 / (1 + np.exp(-x @ w))
-    return SpanModel(dict(zip(keys, p.tolist())), dict(zip(("pattern", "gazetteer", "context", "shape"), yes.tolist())))
+    return SpanModel(dict(zip(keys, p.tolist())), reliability)
 
 
 def train(docs: DataFrame, text_col: str = "text") -> SpanModel:
@@ -258,26 +281,27 @@ def all_spans(text: str, model: SpanModel, threshold: float) -> tuple[list[Span]
     return base, sorted([*base, *more], key=lambda s: (s[0], _ORDER[s[2]]))
 
 
-FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"
 
 
 def find(docs: DataFrame, model: SpanModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """One row per row of `docs`, with counts of base spans, a digest of them, and all spans as kind:start:end (code points).
+    """One row per row of `docs`, with counts of base spans, a digest of them, all spans as kind:start:end (code points), and their number.
 
     Null and empty texts have no spans. Repeated rows are each answered; null ids stay null; other columns are not looked at.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, digests, spans = [], [], []
+            counts, digests, spans, total = [], [], [], []
             for text in batch.column(1):
                 base, every = all_spans(text.as_py() or "", model, threshold) if text.is_valid else ([], [])
                 c = Counter(k for _, _, k in base)
                 counts.append([c[k] for k in BASE_KINDS])
                 digests.append(hashlib.sha256(join_spans(base).encode()).hexdigest())
                 spans.append(join_spans(every))
+                total.append(len(every))
             cols = [pa.array([c[i] for c in counts], pa.int64()) for i in range(4)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols, pa.array(digests, pa.string()), pa.array(spans, pa.string())], [x.split()[0] for x in FOUND.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols, pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(total, pa.int64())], [x.split()[0] for x in FOUND.split(", ")])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, FOUND)
 

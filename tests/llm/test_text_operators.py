@@ -43,6 +43,39 @@ def test_pii_rows_and_redaction(spark):
     assert pii.find(df.limit(0), pii.train(df.limit(0))).collect() == []
 
 
+def test_no_length_hides_a_span(spark):
+    long_one = "x" * 70 + " (at) site (dot) org"
+    key = "ab1" * 3000
+    rows = [(1, f"write to {long_one} now", 0), (2, f"token = {key} end", 0), (3, "a" * 100_000 + "@b.org", 0), (4, "1" * 300_000 + ".1.1.1 " + "a.b" * 200_000, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_email int")
+    got = {r["doc_id"]: r["spans"] for r in pii.find(df, pii.train(df)).collect()}
+    assert got == {1: f"hidden_email:9:{9 + len(long_one)}", 2: f"secret:8:{8 + len(key)}", 3: "email:0:100006", 4: ""}
+
+
+def test_planted_spans_and_reliabilities(spark):
+    rng = random.Random(4)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    true = [lambda: f"api_key = {rng.randbytes(20).hex()}", lambda: f"my ssn {rng.randrange(100, 600)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)}", lambda: f"call ({rng.randrange(200, 999)}) 555-{digits(4)}", lambda: f"mail {rng.choice('abc')}smith (at) site (dot) com"]
+    false = [lambda: "key: management", lambda: f"isbn 000-{rng.randrange(10, 99)}-0000", lambda: "version 111-111-1111"]
+    rows, planted = [], set()
+    for i in range(2000):
+        make = rng.choice(true) if i % 3 == 0 else rng.choice(false) if i % 3 == 1 else lambda: f"just words, a{i}@b.com"
+        planted |= {i} if i % 3 == 0 else set()
+        rows.append((i, f"some words {make()} and more"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = pii.train(df)
+    assert all(0.05 < x < 0.999 for x in model.reliability.values()) and len({round(x, 3) for x in model.reliability.values()}) >= 6
+    found = {r["doc_id"] for r in pii.find(df, model).collect() if r["n_spans"] > r["n_email"]}
+    assert len(found & planted) / len(planted) > 0.95 and len(found & planted) / len(found) > 0.9
+
+
+def test_license_scan_of_odd_tables(spark):
+    df = spark.createDataFrame([(None, "cc by", 1), (1, "cc by", 2), (1, "cc by", 2), (2, "cc by " * 200_000, 3)], "doc_id long, text string, labels int")
+    got = sorted(((r["doc_id"], r["n_base"], r["last_word"], r["labels"]) for r in licenses.scan_licenses(df).collect()), key=str)
+    assert got == sorted([(None, 1, 0, "cc-by"), (1, 1, 0, "cc-by"), (1, 1, 0, "cc-by"), (2, 200_000, 399_998, "cc-by")], key=str)
+    assert licenses.scan_licenses(df.limit(0)).collect() == []
+
+
 def test_license_places_and_labels(spark):
     text = "CC-BY cc by CC BY. The General\nPublic License; all rights  reserved. SPDX-License-Identifier: (MIT OR GPL-2.0-only) AND BSD-3-Clause\n"
     rows = [(1, text), (2, None), (3, ""), (4, "accc by by cc"), (5, "cc by cc by")]
@@ -59,7 +92,9 @@ def test_license_expressions():
     parse = licenses.parse_expression
     assert parse("mit or gpl-2.0 and bsd-3-clause") == licenses.Expression(frozenset({"mit", "gpl", "bsd"}), 1.0)
     assert parse("(mit or gpl-2.0) and gpl-3.0+").openness == 0.0
-    assert parse("gpl-2.0 with classpath-exception-2.0 or apache-2.0").labels == {"gpl", "apache"}
+    assert parse("gpl-2.0 with classpath-exception-2.0 or apache-2.0").labels == {"gpl", "classpath-exception-2.0", "apache"}
+    assert parse("see the file below") is None and parse("mit or see below").labels == {"mit"} and parse("gpl-2.0 with thanks to all").labels == {"gpl"}
+    assert parse("licenseref-own and (mit or isc)").labels == {"licenseref-own", "mit", "isc"}
     assert parse("mit the rest is prose").labels == {"mit"}
     assert parse(") and (") is None and parse("") is None
 
