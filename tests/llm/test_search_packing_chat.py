@@ -30,11 +30,11 @@ def test_recall_and_exact_scores(spark):
     assert [i for i, _ in got[7][:2]] == [5, 6]
     twice = df.filter("vec_id < 30").unionByName(spark.createDataFrame([(3, [float(v) for v in x[40]])], "vec_id long, embedding array<double>"))
     asked = twice.filter("vec_id = 3").unionByName(twice.filter("vec_id = 3")).selectExpr("*", "0 AS score")
-    found = forest.nearest(twice, asked, k=4).collect()
+    found = forest.nearest(twice, asked, k=10).collect()
     want = []
     for v in (x[3], x[40]):
         d = sorted((float(np.sqrt(((x[i] - v) ** 2).sum())), i) for i in range(30) if i != 3)
-        want += [(3, r + 1, i, round(s, 9)) for r, (s, i) in enumerate(d[:4])]
+        want += [(3, r + 1, i, round(s, 9)) for r, (s, i) in enumerate(d[:10])]
     assert sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in found) == sorted(want)
     assert forest.nearest(df.limit(0)).collect() == [] and forest.nearest(odd).collect() == []
 
