@@ -247,6 +247,19 @@ class _Cache:
         return self.seen[data]
 
 
+class _EdgeCache(_Cache):
+    """The same, with all edges beside the polygons."""
+
+    def get(self, data: bytes) -> tuple[list[Polygon], np.ndarray]:
+        data = bytes(data)
+        if data not in self.seen:
+            if len(self.seen) >= self.size:
+                self.seen.pop(next(iter(self.seen)))
+            polys = polygons(data)
+            self.seen[data] = polys, _all_edges(polys)
+        return self.seen[data]
+
+
 @F.pandas_udf(T.BooleanType())
 def covers_point(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """(polygon WKB, longitude, latitude): boundary included; null if any is null."""
@@ -263,6 +276,38 @@ def overlap_area(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.
         yield pd.Series([None if g is None or c is None else clip_area(cache.get(g), polygons(bytes(c))) for g, c in zip(wkb, cell)], dtype=float)
 
 
+def share_of_cell(polys: list[Polygon], edges: np.ndarray, cell: list[Polygon]) -> float:
+    """Share of a convex cell that polygons cover; `edges` are theirs (x0, y0, x1, y1).
+
+    Where no edge meets the cell's bounds, the cell lies inside or outside as a whole, and one of its corners decides.
+    """
+    if not cell or not len(edges):
+        return 0.0
+    w = cell[0][0]
+    (x0, y0), (x1, y1) = w.min(axis=0), w.max(axis=0)
+    near = (np.minimum(edges[:, 0], edges[:, 2]) <= x1) & (np.maximum(edges[:, 0], edges[:, 2]) >= x0) & (np.minimum(edges[:, 1], edges[:, 3]) <= y1) & (np.maximum(edges[:, 1], edges[:, 3]) >= y0)
+    if not near.any():
+        return float(covers(polys, *w[0]))
+    whole = area(cell)
+    return clip_area(polys, cell) / whole if whole else 0.0
+
+
+def _all_edges(polys: list[Polygon]) -> np.ndarray:
+    rings = [np.concatenate([r, np.roll(r, -1, axis=0)], axis=1) for p in polys for r in p]
+    return np.concatenate(rings) if rings else np.empty((0, 4))
+
+
+@F.pandas_udf(T.DoubleType())
+def _cell_share(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    cache = _EdgeCache()
+    for wkb, cell in batches:
+        yield pd.Series([None if g is None or c is None else share_of_cell(*cache.get(g), polygons(bytes(c))) for g, c in zip(wkb, cell)], dtype=float)
+
+
+#: (polygon WKB, convex cell WKB): share of the cell that the polygon covers. Filters on the result do not compute it again.
+cell_share = _cell_share.asNondeterministic()
+
+
 @F.pandas_udf(T.DoubleType())
 def polygon_area(wkb: pd.Series) -> pd.Series:
     return pd.Series([None if g is None else area(polygons(bytes(g))) for g in wkb], dtype=float)
@@ -300,10 +345,28 @@ def geojson_to_wkb(text: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else from_geojson(json.loads(t)) for t in text], dtype=object)
 
 
+def _packed(head: bytes, numbers: list[np.ndarray]) -> pd.Series:
+    """Little-endian doubles of each row behind the same head; all rows of a batch in one array."""
+    values = np.stack([np.asarray(x, dtype="<f8") for x in numbers], axis=1)
+    rows = np.empty((len(values), len(head) + values.shape[1] * 8), dtype=np.uint8)
+    rows[:, : len(head)] = np.frombuffer(head, dtype=np.uint8)
+    rows[:, len(head) :] = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1)
+    return pd.Series([r.tobytes() for r in rows], dtype=object)
+
+
 @F.pandas_udf(T.BinaryType())
 def box_wkb(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
     """Rectangles, counter-clockwise."""
-    return pd.Series([write_polygon([[(a, b), (c, b), (c, d), (a, d)]]) for a, b, c, d in zip(x0, y0, x1, y1)], dtype=object)
+    return _packed(struct.pack("<BIII", 1, 3, 1, 5), [x0, y0, x1, y0, x1, y1, x0, y1, x0, y0])
+
+
+@F.pandas_udf(T.BinaryType())
+def point_wkb(x: pd.Series, y: pd.Series) -> pd.Series:
+    return _packed(struct.pack("<BI", 1, 1), [x, y])
+
+
+#: Pairs of edges that are looked at together.
+EDGE_PAIRS = 1 << 20
 
 
 def _edges(polys: list[Polygon]) -> np.ndarray:
@@ -324,17 +387,33 @@ def intersection_area(a: list[Polygon], b: list[Polygon]) -> float:
     """Area that two polygons share, concave ones and holes included.
 
     Vertical slabs between all vertices and all crossings of edges: within a slab both polygons are stacks of
-    trapezoids that do not cross, so the shared length at its middle times its width is exact.
+    trapezoids that do not cross, so the shared length at its middle times its width is exact. Where many edges meet many, the
+    range is halved at the middle vertex first, so memory stays bounded.
     """
     ea, eb = _edges(a), _edges(b)
     if not len(ea) or not len(eb):
         return 0.0
     lo, hi = max(ea[:, 0].min(), eb[:, 0].min()), min(ea[:, 2].max(), eb[:, 2].max())
-    if lo >= hi:
-        return 0.0
-    ea, eb = ea[(ea[:, 2] > lo) & (ea[:, 0] < hi)], eb[(eb[:, 2] > lo) & (eb[:, 0] < hi)]
-    if not len(ea) or not len(eb):
-        return 0.0
+    total, open_ = 0.0, [(lo, hi, ea, eb)]
+    while open_:
+        lo, hi, ea, eb = open_.pop()
+        if lo >= hi:
+            continue
+        ea, eb = ea[(ea[:, 2] > lo) & (ea[:, 0] < hi)], eb[(eb[:, 2] > lo) & (eb[:, 0] < hi)]
+        if not len(ea) or not len(eb):
+            continue
+        if len(ea) * len(eb) > EDGE_PAIRS:
+            ends = np.concatenate([ea[:, [0, 2]].ravel(), eb[:, [0, 2]].ravel()])
+            ends = ends[(ends > lo) & (ends < hi)]
+            if len(ends):
+                mid = np.partition(ends, len(ends) // 2)[len(ends) // 2]
+                open_ += [(lo, mid, ea, eb), (mid, hi, ea, eb)]
+                continue
+        total += _slab_area(lo, hi, ea, eb)
+    return total
+
+
+def _slab_area(lo: float, hi: float, ea: np.ndarray, eb: np.ndarray) -> float:
     slope = lambda e: (e[:, 3] - e[:, 1]) / (e[:, 2] - e[:, 0])
     sa, sb = slope(ea), slope(eb)
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -363,13 +442,16 @@ def intersection_area(a: list[Polygon], b: list[Polygon]) -> float:
 
 
 @F.pandas_udf(T.DoubleType())
-def shared_area(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+def _shared_area(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """(polygon WKB, polygon WKB): area of the intersection."""
     cache = _Cache()
     for left, right in batches:
         yield pd.Series([None if x is None or y is None else intersection_area(cache.get(x), cache.get(y)) for x, y in zip(left, right)], dtype=float)
 
 
+#: The same, computed once where filters follow.
+shared_area = _shared_area.asNondeterministic()
+
 #: WGS 84 ellipsoid; fixed values.
 _A, _F = 6378137.0, 1 / 298.257223563
 

@@ -7,19 +7,19 @@ from pyspark.sql import functions as F
 
 from terragrist.functions.geometry import extent, shared_area
 from terragrist.operators.coverage import boxes_meet
-from terragrist.operators.lookup import max_overlap
 
 
 def enrich_districts(adm2: DataFrame, adm1: DataFrame, *, group: str = "adm0_iso", geometry: str = "geom_wkb") -> DataFrame:
     """`adm2` (adm2_rid, group, geometry, ...) with adm1_id and adm1_name of the district of its group with the largest shared area.
 
-    An equi-join on the group with the bounds as a residual filter in generated code; areas are computed for what is left. Districts
-    without a match keep null names; equal areas go to the smaller id and name, each on its own.
+    An equi-join on the group with the bounds as a residual filter in generated code; the shared area is computed once for what is left. Districts
+    without a match keep null names. Id and name come from the district with the largest area (equal areas: smaller id, then name);
+    where that one has no id or no name, from the next one that has.
     """
     box = lambda d: d.withColumn("e", extent(geometry)).select("*", "e.xmin", "e.ymin", "e.xmax", "e.ymax").drop("e", "cx", "cy")
     a = box(adm2.select("adm2_rid", group, geometry)).alias("a")
     b = box(adm1.select("adm1_id", "adm1_name", group, geometry)).alias("b")
     pairs = a.join(b, (F.col(f"a.{group}") == F.col(f"b.{group}")) & boxes_meet("a", "b"))
     pairs = pairs.select("adm2_rid", "adm1_id", "adm1_name", shared_area(f"a.{geometry}", f"b.{geometry}").alias("area")).filter("area > 0")
-    best = lambda c: max_overlap(pairs, "adm2_rid", c, "area").select("adm2_rid", c)
-    return adm2.join(best("adm1_id"), "adm2_rid", "left").join(best("adm1_name"), "adm2_rid", "left")
+    best = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct((-F.col("area")).alias("a"), "adm1_id", "adm1_name")))[c].alias(c)
+    return adm2.join(pairs.groupBy("adm2_rid").agg(best("adm1_id"), best("adm1_name")), "adm2_rid", "left")

@@ -1,8 +1,7 @@
 """Exact coverage of cells by polygons.
 
-A candidate (cell, polygon) whose cell has no other candidate and lies inside its polygon has share 1 without any
-geometry work beyond the containment test; all others get the area of the clipped polygon over the cell's area. One window
-count replaces the count tables, and one projection the union of branches.
+A candidate (cell, polygon) whose cell no edge of the polygon comes near has share 1 or 0 by one corner; only cells at the edge are
+clipped, whatever the number of their candidates. The share is computed once, in one projection.
 """
 
 from __future__ import annotations
@@ -12,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from terragrist.functions.cells import coverage_parent_resolution, parent_of_string
-from terragrist.functions.geometry import overlap_area, polygon_area
+from terragrist.functions.geometry import cell_share
+from terragrist.sources.publish import publish
 
 #: A polygon contains a cell if it covers all of its area but for rounding.
 TOUCH = 1e-9
@@ -29,7 +29,7 @@ def with_counts(candidates: DataFrame) -> DataFrame:
 def shares(candidates: DataFrame, polys: DataFrame, cells: DataFrame, rid: str = "poly_rid", geom: str = "geom_wkb") -> DataFrame:
     """(hex_id, poly_rid, cnt, pct): candidates with their share of the cell, not clamped, zero shares dropped."""
     j = with_counts(candidates).join(polys.select(F.col(rid).alias("poly_rid"), F.col(geom).alias("g")), "poly_rid").join(cells.select("hex_id", "cell_wkb"), "hex_id")
-    return j.select("hex_id", "poly_rid", "cnt", (overlap_area("g", "cell_wkb") / polygon_area("cell_wkb")).alias("pct")).filter("pct > 0")
+    return j.select("hex_id", "poly_rid", "cnt", cell_share("g", "cell_wkb").alias("pct")).filter("pct > 0")
 
 
 def edge_hexes(candidates: DataFrame, polys: DataFrame, cells: DataFrame) -> DataFrame:
@@ -63,6 +63,12 @@ def coverage_stats(coverage: DataFrame) -> DataFrame:
     return coverage.agg(F.count(F.lit(1)).alias("coverage_rows"), F.count_if(F.col("pct") < 1.0).alias("partial_pct_rows"), F.countDistinct("hex_id").alias("hexes"))
 
 
+def write_exploded_coverage(coverage: DataFrame, path: str, *, mode: str = "errorifexists") -> dict[str, int]:
+    """Writes exploded coverage whole or not at all and gives its statistics, read from what was written."""
+    written = publish(coverage, path, mode=mode)
+    return coverage_stats(written).first().asDict()
+
+
 def envelopes(polys: DataFrame, group: str) -> DataFrame:
     """Bounds of each group from bounds columns."""
     return polys.groupBy(group).agg(F.min("xmin").alias("xmin"), F.min("ymin").alias("ymin"), F.max("xmax").alias("xmax"), F.max("ymax").alias("ymax"))

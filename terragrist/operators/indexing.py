@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terragrist.functions.cells import from_string, max_pixel_spacing_m, pixel_resolution, subsample_offsets, to_string
 from terragrist.functions.geometry import extent, overlap_area, polygon_area
 from terragrist.functions.hexgrid import boundary_wkb, point_to_cell, polygon_cells
 from terragrist.sources.raster import reduce_cells
-from terragrist.sources.vector import explode_parts
+from terragrist.sources.vector import explode_parts, read_vector
 
 MODES = ("centroid", "overlap", "contains", "exact_intersection")
 
@@ -84,15 +84,22 @@ def pixels_to_cells(pixels: DataFrame, pixel_x: float, pixel_y: float, *, resolu
     return sample_to_cells(spread, res, how)
 
 
+def index_file(spark: SparkSession, path: str | list[str], fmt: str, resolution: int, mode: str = "overlap", **how) -> DataFrame:
+    """index_polygons of a vector file."""
+    return index_polygons(read_vector(spark, path, fmt), resolution, mode, **how)
+
+
 def resolution_estimates(polys: DataFrame, resolutions: list[int], *, geometry: str = "geom_wkb") -> DataFrame:
-    """(resolution, cell_count, error): cells over all polygons, and the area in which cells and polygons differ over the polygons' area."""
+    """(resolution, cell_count, error): cells over all polygons, those of several counted for each, and the area in which the cells and the polygons
+    differ over the polygons' area. Polygons are taken not to overlap each other.
+    """
+    source = polys.agg(F.sum(polygon_area(geometry)).alias("a"))
     out = None
     for r in resolutions:
-        c = polys.select(F.monotonically_increasing_id().alias("row"), F.col(geometry).alias("g")).withColumn("cell", F.explode(polygon_cells(r)("g")))
+        c = polys.select(F.col(geometry).alias("g")).withColumn("cell", F.explode(polygon_cells(r)("g")))
         each = c.select("cell", overlap_area("g", boundary_wkb("cell")).alias("shared"))
         cells = each.groupBy("cell").agg(F.sum("shared").alias("shared"), F.count(F.lit(1)).alias("n")).withColumn("whole", polygon_area(boundary_wkb("cell")))
-        t = cells.agg(F.sum("n").alias("cell_count"), F.sum("whole").alias("c"), F.sum("shared").alias("s"))
-        t = t.select(F.lit(r).alias("resolution"), "cell_count", ((F.col("c") - F.col("s")) / F.col("s")).alias("error"))
+        t = cells.agg(F.sum("n").alias("cell_count"), F.sum("whole").alias("c"), F.sum("shared").alias("s")).join(source)
+        t = t.select(F.lit(r).alias("resolution"), "cell_count", ((F.col("a") + F.col("c") - 2 * F.col("s")) / F.col("a")).alias("error"))
         out = t if out is None else out.unionByName(t)
     return out
-

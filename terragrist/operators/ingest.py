@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 from terragrist.functions.fitting import FitPolicy, fit_curves
 from terragrist.functions.geometry import extent, write_polygon
 from terragrist.functions.hexgrid import polygon_cells
-from terragrist.schema import COLUMNS, HazardMetadata, Source, conform
+from terragrist.schema import COLUMNS, ROW_KEY, HazardMetadata, Source, conform
+from terragrist.sources.publish import publish
 from terragrist.sources.raster import Affine, Bounds, ZarrRaster, owning_tile
 
 
@@ -72,3 +73,9 @@ def canonicalize(raster: ZarrRaster, policy: IngestPolicy, bounds: Bounds | None
 def with_tiles(rows: DataFrame, bounds: Bounds, degrees: float) -> DataFrame:
     """Rows with the number of the tile that owns their source pixel, for writing one directory a tile without repeats on shared edges."""
     return rows.withColumn("__e", extent("source_geometry")).withColumn("__x", F.col("__e.cx")).withColumn("__y", F.col("__e.cy")).withColumn("tile", owning_tile("__x", "__y", bounds, degrees)).drop("__e", "__x", "__y")
+
+
+def write_tiles(rows: DataFrame, bounds: Bounds, degrees: float, path: str, *, mode: str = "errorifexists") -> DataFrame:
+    """Canonical rows in one directory `tile=N` a tile, whole or not at all; tiles without rows have none. Gives the tiles with their rows."""
+    tiled = with_tiles(rows, bounds, degrees).filter("tile is not null").repartition("tile").sortWithinPartitions("tile", *ROW_KEY)
+    return publish(tiled, path, mode=mode, partition_by=("tile",)).groupBy("tile").agg(F.count(F.lit(1)).alias("rows"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from terragrist.functions.cells import parent_of_string
+from terragrist.sources.publish import publish
 
 PATH = ["adm0_iso", "adm1_id", "adm1_name", "adm2_id", "adm2_name"]
 
@@ -43,36 +44,49 @@ def candidate_counts(coverage: DataFrame) -> DataFrame:
     )
 
 
+def _path_order(a: Column, b: Column) -> Column:
+    out = F.when(a["pct"] > b["pct"], -1).when(a["pct"] < b["pct"], 1)
+    for c in ("adm0_iso", "adm1_id", "adm2_id"):
+        x, y = a[c], b[c]
+        out = out.when(x.isNull() & y.isNotNull(), 1).when(x.isNotNull() & y.isNull(), -1).when(x < y, -1).when(x > y, 1)
+    return out.otherwise(0)
+
+
 def nested_coverage(coverage: DataFrame) -> DataFrame:
     """(hex_id, coverage): paths by share, largest first; then by adm0, adm1 and adm2 id, nulls last."""
 
-    def after(a: Column, b: Column) -> Column:
-        out = F.when(a["pct"] > b["pct"], -1).when(a["pct"] < b["pct"], 1)
-        for c in ("adm0_iso", "adm1_id", "adm2_id"):
-            x, y = a[c], b[c]
-            out = out.when(x.isNull() & y.isNotNull(), 1).when(x.isNotNull() & y.isNull(), -1).when(x < y, -1).when(x > y, 1)
-        return out.otherwise(0)
-
-    return coverage.groupBy("hex_id").agg(F.array_sort(F.collect_list(F.struct(*PATH, "pct")), after).alias("coverage"))
+    return coverage.groupBy("hex_id").agg(F.array_sort(F.collect_list(F.struct(*PATH, "pct")), _path_order).alias("coverage"))
 
 
 def lookup_contract(exploded: DataFrame, resolution: int, *, include_coverage: bool = True, interior_threshold: float = 0.999999) -> DataFrame:
     """One row per cell: best path, parents at resolutions 3 to 7 (null if finer than the cell), rolled-up shares and counts of
     the best path, interior flags, and optionally all paths. Cells of a best path without adm0 have no rollup and drop out.
 
-    All steps group by cell, so Spark shuffles the coverage by cell once for each grouping and joins co-partitioned sides.
+    The coverage is shuffled by cell once; shares, counts, list and best path are windows within a cell, which has few rows.
     """
-    c = conform_coverage(exploded)
-    a0 = rollup_adm0(c).withColumnRenamed("adm0_iso", "best_adm0")
-    a1 = rollup_adm1(c).select("hex_id", F.col("adm0_iso").alias("x0"), F.col("adm1_id").alias("x1"), F.col("adm1_name").alias("x2"), "adm1_pct")
-    out = best_paths(c).join(candidate_counts(c), "hex_id").join(a0, ["hex_id", "best_adm0"])
-    out = out.join(a1.withColumnRenamed("hex_id", "h"), (F.col("hex_id") == F.col("h")) & (F.col("best_adm0") == F.col("x0")) & F.col("best_adm1_id").eqNullSafe(F.col("x1")) & F.col("best_adm1_name").eqNullSafe(F.col("x2")))
+    c = conform_coverage(exploded).repartition("hex_id")
+    cell = Window.partitionBy("hex_id")
+    capped = lambda *by: F.least(F.lit(1.0), F.sum("pct").over(Window.partitionBy("hex_id", *by)))
+    distinct = lambda x: F.size(F.collect_set(x).over(cell))
+    c = c.withColumn("adm1_pct", capped("adm0_iso", "adm1_id", "adm1_name")).withColumn("adm0_pct", capped("adm0_iso"))
+    c = c.withColumn("adm0_count", distinct("adm0_iso")).withColumn("adm1_count", distinct(F.struct("adm0_iso", F.coalesce("adm1_id", "adm1_name"))))
+    c = c.withColumn("adm2_count", F.count(F.lit(1)).over(cell).cast("int"))
+    if include_coverage:
+        c = c.withColumn("coverage", F.array_sort(F.collect_list(F.struct(*PATH, "pct")).over(cell), _path_order))
+    best = Window.partitionBy("hex_id").orderBy(F.desc_nulls_last("pct"), *(F.asc_nulls_last(x) for x in PATH))
+    c = c.withColumn("r", F.row_number().over(best)).filter("r = 1 and adm0_iso is not null")
     interior = lambda n, share: (F.col(n) == 1) & (F.col(share) >= interior_threshold)
     parents = [(parent_of_string(F.col("hex_id"), r) if r <= resolution else F.lit(None).cast("string")).alias(f"h3_r{r}") for r in range(3, 8)]
-    cols = ["hex_id", *parents, *[f"best_{p.replace('_iso', '')}" for p in PATH], "best_pct", "adm0_pct", "adm1_pct", "adm0_count", "adm1_count", "adm2_count"]
-    cols += [interior("adm0_count", "adm0_pct").alias("is_adm0_interior"), interior("adm1_count", "adm1_pct").alias("is_adm1_interior"), interior("adm2_count", "best_pct").alias("is_adm2_interior")]
-    out = out.select(*cols)
-    return out.join(nested_coverage(c), "hex_id") if include_coverage else out
+    cols = ["hex_id", *parents, *[F.col(p).alias(f"best_{p.replace('_iso', '')}") for p in PATH], F.col("pct").alias("best_pct"), "adm0_pct", "adm1_pct", "adm0_count", "adm1_count", "adm2_count"]
+    cols += [interior("adm0_count", "adm0_pct").alias("is_adm0_interior"), interior("adm1_count", "adm1_pct").alias("is_adm1_interior"), interior("adm2_count", "pct").alias("is_adm2_interior")]
+    return c.select(*cols, *(["coverage"] if include_coverage else []))
+
+
+def write_lookup(lookup: DataFrame, path: str, *, sort: bool = False, mode: str = "errorifexists") -> DataFrame:
+    """Writes a lookup whole or not at all; sorted by parent cell and cell if asked, which narrows the key ranges of files."""
+    if sort:
+        lookup = lookup.repartitionByRange("h3_r3", "hex_id").sortWithinPartitions("h3_r3", "hex_id")
+    return publish(lookup, path, mode=mode)
 
 
 def write_partitioned(lookup: DataFrame, path: str, resolution: int, partition_resolution: int = 0, *, mode: str = "errorifexists") -> None:

@@ -6,9 +6,11 @@ curve's source polygon. Return-period values and impacts are Column expressions
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +18,14 @@ from terragrist.functions.curves import quantile, return_period_columns, return_
 from terragrist.functions.geometry import covers_point
 from terragrist.functions.impacts import ImpactSpec
 from terragrist.schema import COLUMNS, CURVE_COLUMNS
+from terragrist.sources.publish import publish
 
-RESULT = ["hazard_name", "horizon", "pathway", "source_id", "spatial_match"]
+SCENARIO = ["hazard_name", "horizon", "pathway"]
+RESULT = [*SCENARIO, "source_id", "spatial_match"]
+#: Scenarios that may be listed to every task.
+SCENARIOS = 100_000
+#: Where written evaluations and quantiles say what they hold, in the field of the first column.
+EVALUATION_KEY = "terragrist.evaluation"
 
 
 def scenario_filter(column: str, values: Sequence | None) -> Column | None:
@@ -125,27 +133,44 @@ class Evaluation:
         m = m.filter(none | covers_point(F.when(~none, F.col("source_geometry")), F.col("longitude"), F.col("latitude")))
         return m.withColumn("spatial_match", F.when(none, "h3_cell").otherwise("exact_geometry"))
 
+    def match_counts(self) -> DataFrame:
+        """Curves of each asset and scenario, as (asset_id, hazard_name, horizon, pathway, n)."""
+        return self.matched().groupBy("asset_id", *SCENARIO).agg(F.count(F.lit(1)).alias("n"))
+
     def ambiguous(self) -> DataFrame:
         """Assets with more than one curve of a scenario."""
-        return self.matched().groupBy("asset_id", "hazard_name", "horizon", "pathway").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-
-    def missing(self) -> DataFrame:
-        """Assets without a curve of some selected scenario. Scenarios are few: distinct (hazard, horizon, pathway)."""
-        scenarios = self.curves().select("hazard_name", "horizon", "pathway").distinct()
-        listed = scenarios.agg(F.collect_set(F.struct("hazard_name", "horizon", "pathway")).alias("s"))
-        wanted = self.located().select("asset_id").withColumn("k", F.lit(1)).join(F.broadcast(listed.withColumn("k", F.lit(1))), "k").select("asset_id", F.explode("s").alias("s"))
-        wanted = wanted.select("asset_id", "s.hazard_name", "s.horizon", "s.pathway")
-        return wanted.join(self.matched(), ["asset_id", "hazard_name", "horizon", "pathway"], "left_anti")
+        return self.match_counts().filter("n > 1")
+
+    def missing(self, counts: DataFrame | None = None) -> DataFrame:
+        """Assets without a curve of some selected scenario.
+
+        Only assets with fewer scenarios than there are get the list of scenarios; it is counted first and refused above `SCENARIOS`.
+        """
+        counts = self.match_counts() if counts is None else counts
+        scenarios = self.curves().select(*SCENARIO).distinct()
+        listed = scenarios.limit(SCENARIOS + 1).collect()
+        if len(listed) > SCENARIOS:
+            raise ValueError(f"more than {SCENARIOS} scenarios are selected; select fewer")
+        spark = self.hazard.sparkSession
+        ids = self.located().select("asset_id").join(counts.groupBy("asset_id").agg(F.count(F.lit(1)).alias("have")), "asset_id", "left")
+        short = ids.filter(F.coalesce("have", F.lit(0)) < len(listed)).select("asset_id", F.lit(1).alias("k"))
+        every = spark.createDataFrame(listed, scenarios.schema).agg(F.collect_list(F.struct(*SCENARIO)).alias("s")).withColumn("k", F.lit(1))
+        wanted = short.join(F.broadcast(every), "k").select("asset_id", F.explode("s").alias("s")).select("asset_id", *[F.col(f"s.{c}").alias(c) for c in SCENARIO])
+        return wanted.join(counts, ["asset_id", *SCENARIO], "left_anti")
 
     def guard(self) -> None:
-        """Raises ValueError for null or repeated ids, LookupError for ambiguous or missing curves, with up to ten rows."""
+        """Raises ValueError for null or repeated ids, LookupError for ambiguous or missing curves, with up to ten rows. The join runs once for both."""
         ids = self.located().groupBy("asset_id").agg(F.count(F.lit(1)).alias("n")).filter("asset_id is null or n > 1").limit(10).collect()
         if ids:
             raise ValueError(f"asset ids are null or repeat: {[r.asDict() for r in ids]}")
-        for what, rows in (("ambiguous", self.ambiguous()), ("missing", self.missing())):
-            found = rows.limit(10).collect()
-            if found:
-                raise LookupError(f"{what} hazard curves: {[r.asDict() for r in found]}")
+        counts = self.match_counts().persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            for what, rows in (("ambiguous", counts.filter("n > 1")), ("missing", self.missing(counts))):
+                found = rows.limit(10).collect()
+                if found:
+                    raise LookupError(f"{what} hazard curves: {[r.asDict() for r in found]}")
+        finally:
+            counts.unpersist()
 
     def evaluate(self, *, skewnorm: bool = True) -> DataFrame:
         """One row per asset and scenario, with a value for each return period, or its impact."""
@@ -159,28 +184,44 @@ class Evaluation:
             values.append((self.spec.apply(v) if self.spec else v).alias(name))
         return m.select("asset_id", *self.assets.passthrough, *place, "cell_index", *RESULT, *values)
 
-    def metadata(self) -> dict:
-        out = {"return_periods": {c: {"return_period": p, "probability": q} for c, p, q in zip(return_period_columns(self.periods), self.periods, return_period_probabilities(self.periods))}}
+    def metadata(self, unit: str | None = None) -> dict:
+        """What the values are: return periods and probabilities by column, their unit, and the impact that they went through."""
+        periods = {c: {"return_period": p, "probability": q} for c, p, q in zip(return_period_columns(self.periods), self.periods, return_period_probabilities(self.periods))}
+        out = {"return_periods": periods, "unit": self.spec.unit if self.spec else unit}
         if self.spec:
-            out["impact"] = {"name": self.spec.name, "unit": self.spec.unit, "semantics": self.spec.semantics, "interpretation": "event_aligned"}
+            out["impact"] = {"name": self.spec.name, "unit": self.spec.unit, "semantics": self.spec.semantics, "interpretation": "event_aligned", "source_unit": unit}
         return out
 
-    def write(self, path: str, *, compression: str = "zstd", mode: str = "errorifexists") -> None:
-        """Guards, evaluates and writes; an empty selection gives a typed, empty dataset. The request's metadata stands with the first column."""
-        import json
-
+    def write(self, path: str, *, unit: str | None = None, compression: str = "zstd", mode: str = "errorifexists") -> DataFrame:
+        """Guards, evaluates and writes whole or not at all; an empty selection gives a typed, empty dataset. The request's metadata stands with the first column."""
         self.guard()
-        out = self.evaluate()
-        first = F.col("asset_id").alias("asset_id", metadata={"terragrist.evaluation": json.dumps(self.metadata(), sort_keys=True)})
-        out.select(first, *out.columns[1:]).write.mode(mode).option("compression", compression).parquet(path)
+        return publish(_described(self.evaluate(), self.metadata(unit)), path, compression=compression, mode=mode)
+
+
+def _described(df: DataFrame, metadata: dict) -> DataFrame:
+    first = df.columns[0]
+    return df.select(F.col(first).alias(first, metadata={EVALUATION_KEY: json.dumps(metadata, sort_keys=True)}), *df.columns[1:])
 
 
 def with_quantiles(curves: DataFrame, probabilities: Sequence[float], columns: Sequence[str], passthrough: Sequence[str], spec: ImpactSpec | None = None) -> DataFrame:
-    """Passthrough columns and one double column for each probability, without a join."""
+    """Passthrough columns and one double column for each probability, without a join. What an impact reads besides the value need not be passed through."""
     if len(probabilities) != len(columns) or len(set(columns)) < len(columns):
         raise ValueError("columns must be distinct, one for each probability")
     values = [(spec.apply(quantile(p, skewnorm=True)) if spec else quantile(p, skewnorm=True)).alias(c) for p, c in zip(probabilities, columns)]
     return curves.select(*passthrough, *values)
 
 
-__all__ = ["Assets", "CURVE_COLUMNS", "Evaluation", "scenario_filter", "with_quantiles"]
+def write_quantiles(
+    curves: DataFrame, probabilities: Sequence[float], path: str, *, columns: Sequence[str], passthrough: Sequence[str], spec: ImpactSpec | None = None, metadata: dict | None = None, mode: str = "errorifexists"
+) -> int:
+    """Writes with_quantiles whole or not at all, with its metadata; the rows written. Without curves the dataset is empty and typed."""
+    said = {"probabilities": dict(zip(columns, probabilities))} | (metadata or {})
+    return publish(_described(with_quantiles(curves, probabilities, columns, passthrough, spec), said), path, mode=mode).count()
+
+
+def write_quantile(curves: DataFrame, probability: float, path: str, *, passthrough: Sequence[str], column: str = "depth_m", **how) -> int:
+    """One probability, in one column."""
+    return write_quantiles(curves, [probability], path, columns=[column], passthrough=passthrough, **how)
+
+
+__all__ = ["Assets", "CURVE_COLUMNS", "Evaluation", "scenario_filter", "with_quantiles", "write_quantile", "write_quantiles"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -44,6 +45,14 @@ def write_hazard(df: DataFrame, path: str, metadata: HazardMetadata, *, compress
     rows.select(first, *COLUMNS[1:]).write.mode(mode).option("compression", compression).parquet(path)
 
 
+def write_hazard_batches(spark: SparkSession, batches: Iterable[DataFrame], path: str, metadata: HazardMetadata, **how) -> None:
+    """All batches as one dataset; no batch at all gives an empty, typed one."""
+    rows = spark.createDataFrame([], HAZARD_SCHEMA)
+    for b in batches:
+        rows = rows.unionByName(conform(b))
+    write_hazard(rows, path, metadata, **how)
+
+
 def read_metadata(spark: SparkSession, path: str) -> HazardMetadata:
     """Raises if the dataset has other columns or no metadata."""
     schema = spark.read.parquet(path).schema

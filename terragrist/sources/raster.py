@@ -1,7 +1,7 @@
 """Gridded arrays and GeoTIFF bands as DataFrames of pixels.
 
 Files are listed and read by Spark (`binaryFile`), so any store that Spark reaches will do; a task decodes chunks or strips into Arrow
-batches. Chunks outside the asked window are not read.
+batches. The names of a window's chunks go into the pattern of the paths that are read, so other chunks are not opened.
 """
 
 from __future__ import annotations
@@ -15,9 +15,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terragrist.sources.publish import file_system
+
 Bounds = tuple[float, float, float, float]
 
 
@@ -43,19 +45,27 @@ class Affine:
         return self.a * x + self.b * y + self.c, self.d * x + self.e * y + self.f
 
 
-def pixel_window(t: Affine, bounds: Bounds | None, rows: int, cols: int) -> tuple[int, int, int, int]:
-    """(first row, last row, first column, last column), half-open, that covers world bounds; raises if they miss the raster."""
+def pixel_window(t: Affine, bounds: Bounds | None, rows: int, cols: int, *, rounded: bool = False) -> tuple[int, int, int, int]:
+    """(first row, last row, first column, last column), half-open, that covers world bounds; raises if they miss the raster.
+
+    `rounded`: offsets and lengths are rounded to whole pixels instead, as for GeoTIFF bands.
+    """
     if bounds is None:
         return 0, rows, 0, cols
     x0, y0, x1, y1 = bounds
     if x0 >= x1 or y0 >= y1:
-        raise ValueError("bounds do not intersect the raster")
+        raise ValueError("no pixel of the raster lies in the bounds")
     corners = [t.inverse().apply(x, y) for x in (x0, x1) for y in (y0, y1)]
     c0, c1 = math.floor(min(c for c, _ in corners) + 1e-9), math.ceil(max(c for c, _ in corners) - 1e-9)
     r0, r1 = math.floor(min(r for _, r in corners) + 1e-9), math.ceil(max(r for _, r in corners) - 1e-9)
+    if rounded:
+        near = lambda v: math.floor(v + 0.5)
+        (ca, cb), (ra, rb) = ((min(v), max(v)) for v in ([c for c, _ in corners], [r for _, r in corners]))
+        c0, r0 = near(ca), near(ra)
+        c1, r1 = c0 + near(cb - ca), r0 + near(rb - ra)
     r0, r1, c0, c1 = max(0, r0), min(rows, r1), max(0, c0), min(cols, c1)
     if r0 >= r1 or c0 >= c1:
-        raise ValueError("bounds do not intersect the raster")
+        raise ValueError("no pixel of the raster lies in the bounds")
     return r0, r1, c0, c1
 
 
@@ -156,9 +166,22 @@ class ZarrRaster:
         grid = self.spark.range(1).select(seq(0, (n - 1) // ck).alias("k")).select("k", seq(r0 // cr, (r1 - 1) // cr).alias("i")).select("k", "i", seq(c0 // cc, (c1 - 1) // cc).alias("j"))
         key = [F.col(x).cast("string") for x in (("i", "j") if flat else ("k", "i", "j"))]
         grid = grid.withColumn("key", F.concat_ws(sep, *key))
-        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(self.path)
-        files = files.select(F.regexp_extract("path", r"([0-9]+(?:[./][0-9]+)*)$", 1).alias("key"), "content").filter("key <> ''")
-        return grid.join(files, "key", "left").select("k", "i", "j", "content").mapInArrow(decode, "row long, col long, axis_index int, value double")
+        schema = "row long, col long, axis_index int, value double"
+        pattern = self._pattern(sep, None if flat else (0, (n - 1) // ck), (r0 // cr, (r1 - 1) // cr), (c0 // cc, (c1 - 1) // cc))
+        fs, at = file_system(self.spark, pattern)
+        if not len(fs.globStatus(at) or []):
+            return grid.select("k", "i", "j", F.lit(None).cast("binary").alias("content")).mapInArrow(decode, schema)
+        place = F.split(F.regexp_extract("path", r"([0-9]+(?:[./][0-9]+)*)$", 1), r"[./]")
+        files = self.spark.read.format("binaryFile").load(pattern)
+        at_end = lambda x: F.element_at(place, x).cast("int")
+        files = files.select((F.lit(0) if flat else at_end(-3)).alias("k"), at_end(-2).alias("i"), at_end(-1).alias("j"), "content")
+        absent = grid.join(files.select("k", "i", "j"), ["k", "i", "j"], "left_anti").select("k", "i", "j", F.lit(None).cast("binary").alias("content"))
+        return files.mapInArrow(decode, schema).unionByName(absent.mapInArrow(decode, schema))
+
+    def _pattern(self, sep: str, *ranges: tuple[int, int] | None) -> str:
+        """A path pattern of the chunks in these ranges."""
+        names = ["{" + ",".join(str(x) for x in range(r[0], r[1] + 1)) + "}" for r in ranges if r is not None]
+        return f"{self.path}/{sep.join(names)}"
 
     def scan(self, bounds: Bounds | None = None) -> DataFrame:
         """Pixel centres with axis and metadata columns."""
@@ -217,8 +240,8 @@ def tiff_tags(raw: bytes) -> tuple[str, dict[int, tuple]]:
     return order, tags
 
 
-def scan_geotiff(spark: SparkSession, path: str, bounds: Bounds | None = None, band: int = 1) -> DataFrame:
-    """(longitude, latitude, value float) of each finite pixel that is not nodata, for plain or deflated strips in degrees."""
+def scan_geotiff(spark: SparkSession, path: str, bounds: Bounds | None = None, band: int = 1, mask: Column | None = None) -> DataFrame:
+    """(longitude, latitude, value float) of each finite pixel that is not nodata, for plain or deflated strips in degrees; `mask`: a condition on these columns that pixels must also meet."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -232,7 +255,7 @@ def scan_geotiff(spark: SparkSession, path: str, bounds: Bounds | None = None, b
                 tie = t[33922]
                 tr = (sx, tie[3] - tie[0] * sx, -sy, tie[4] + tie[1] * sy)
                 affine = Affine(tr[0], 0, tr[1], 0, tr[2], tr[3])
-                r0, r1, c0, c1 = pixel_window(affine, bounds, rows, cols)
+                r0, r1, c0, c1 = pixel_window(affine, bounds, rows, cols, rounded=True)
                 kind = {1: "u", 2: "i", 3: "f"}[t.get(339, (1,))[0]] + str(t.get(258, (8,))[0] // 8)
                 bands = t.get(277, (1,))[0]
                 nodata = float(bytes(t[42113]).rstrip(b"\0 ")) if 42113 in t else float("nan")
@@ -253,7 +276,8 @@ def scan_geotiff(spark: SparkSession, path: str, bounds: Bounds | None = None, b
                 yield pa.RecordBatch.from_arrays([pa.array(tr[1] + tr[0] * (cc[ok] + 0.5)), pa.array(tr[3] + tr[2] * (rr[ok] + 0.5)), pa.array(v[ok])], ["longitude", "latitude", "value"])
 
     strips = spark.read.format("binaryFile").load(path).select("content").mapInArrow(split, "head string, strip binary")
-    return strips.repartition(F.xxhash64("head")).mapInArrow(decode, "longitude double, latitude double, value float")
+    out = strips.repartition(F.xxhash64("head")).mapInArrow(decode, "longitude double, latitude double, value float")
+    return out if mask is None else out.filter(mask)
 
 
 def reduce_cells(values: DataFrame, how: str = "max", cell: str = "cell", value: str = "value") -> DataFrame:

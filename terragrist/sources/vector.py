@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 from pathlib import Path
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terragrist.functions.geometry import geojson_to_wkb, wkt_to_wkb
+from terragrist.sources.publish import file_system
 from terragrist.sources.shapefile import read_shapefile
 
 FORMATS = ("geojson", "geoparquet", "parquet", "wkt", "wkb", "shapefile")
@@ -73,6 +75,32 @@ def measure(spark: SparkSession, path: str, geometry: str | None = None) -> tupl
     return size, (df.filter(F.col(geometry).isNotNull()) if geometry else df).count()
 
 
+def geo_metadata(spark: SparkSession, path: str) -> dict | None:
+    """What the footer of the first Parquet file says about geometry columns and their reference system; None where it says nothing readable."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    files = sorted(r[0] for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).select("path").limit(1000).collect())
+    if not files:
+        return None
+    # the file's last bytes are enough: the footer, its length and the mark
+    fs, at = file_system(spark, files[0])
+    size = fs.getFileStatus(at).getLen()
+    stream = fs.open(at)
+    try:
+        stream.seek(size - 8)
+        length = int.from_bytes(bytes(stream.readNBytes(4)), "little")
+        stream.seek(size - 8 - length)
+        tail = bytes(stream.readNBytes(length + 8))
+    finally:
+        stream.close()
+    found = pq.read_metadata(pa.BufferReader(b"PAR1" + tail)).metadata or {}
+    try:
+        return json.loads(found[b"geo"])
+    except (KeyError, ValueError):
+        return None
+
+
 def explode_parts(df: DataFrame, geom: str = "geom_wkb") -> DataFrame:
     """One row for each polygon of a multipolygon."""
     from terragrist.functions.geometry import parts
