@@ -29,6 +29,8 @@ from terragrist.llm.words import column_words
 BROADCAST_IDS = 1_000_000
 #: Languages whose limits may be broadcast (4 MB or so); more are joined by a shuffle.
 BROADCAST_LANGUAGES = 100_000
+#: The most frequent n-grams of trusted text go to every task (1 MB): they are in most documents and need no shuffle.
+HEAD = 1 << 16
 #: Stands before the first word of a text.
 START = np.uint64(0x5BF0_3635_A5F4_1D27)
 
@@ -121,11 +123,30 @@ def _tally(level: DataFrame) -> tuple[float, float, float]:
     return discounts(*(int(x or 0) for x in level.agg(*[F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2, 3, 4)]).first()))
 
 
+class Head:
+    """The most frequent n-grams, sorted, with gain and weight."""
+
+    def __init__(self, gram: np.ndarray, gain: np.ndarray, weight: np.ndarray) -> None:
+        order = np.argsort(gram)
+        self.gram, self.gain, self.weight = gram[order], gain[order], weight[order]
+
+    @classmethod
+    def of(cls, table: pa.Table) -> Head:
+        return cls(table["gram"].to_numpy().view(np.uint64), table["gain"].to_numpy().astype(float), table["weight"].to_numpy().astype(float))
+
+    def find(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the head, whether it is there) of each n-gram."""
+        if not len(self.gram):
+            return np.zeros(len(gram), np.int64), np.zeros(len(gram), bool)
+        at = np.minimum(np.searchsorted(self.gram, gram), len(self.gram) - 1)
+        return at, self.gram[at] == gram
+
+
 class Model:
     """`gains`: (gram, gain, weight) rows of n-grams seen and of their contexts; `unknown`: log probability of a word that trusted text does not have."""
 
-    def __init__(self, gains: list[DataFrame], unknown: float, order: int) -> None:
-        self.gains, self.unknown, self.order = gains, unknown, order
+    def __init__(self, gains: list[DataFrame], unknown: float, order: int, head: Head) -> None:
+        self.gains, self.unknown, self.order, self.head = gains, unknown, order, head
 
 
 def rounds_for(docs: DataFrame, text_col: str, most: int = 8, least_bytes: int = 16 << 20) -> int:
@@ -147,15 +168,16 @@ def train(trusted: DataFrame, scratch: Scratch, text_col: str = "text", *, order
                 level = level.select("context", "tail", _gram(k)).join(_sum(own, "gram"), "gram").select("context", "tail", "n")
             levels[k].append(scratch.table(level.sortWithinPartitions("context", "tail"), f"level-{k}-{r}"))
             free()
-    words = scratch.table(_sum([x.groupBy(F.col("tail").alias("gram")).agg(F.count(F.lit(1)).alias("n")) for x in levels[2]], "gram"), "level-1")
+    words = _union([x.groupBy(F.col("tail").alias("gram")).agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("times")) for x in levels[2]])
+    words = scratch.table(words.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("times").alias("times")), "level-1")
     free()
     d = _tally(words)
     known, total, given = words.agg(F.count(F.lit(1)), F.sum("n"), F.sum(_discount(F.col("n"), d))).first()
     if not known:
-        return Model([], 0.0, order)
+        return Model([], 0.0, order, Head(np.empty(0, np.uint64), np.empty(0), np.empty(0)))
     unknown = given / total / (known + 1)
-    lower = [scratch.table(words.select("gram", F.log((F.col("n") - _discount(F.col("n"), d)) / float(total) + F.lit(unknown)).alias("lp")), "lp-1")]
-    parts: list[list[DataFrame]] = [[x.select("gram", (F.col("lp") - F.log(F.lit(unknown))).cast("float").alias("gain"), F.lit(0.0).cast("float").alias("weight"))] for x in lower]
+    lower = [scratch.table(words.select("gram", "times", F.log((F.col("n") - _discount(F.col("n"), d)) / float(total) + F.lit(unknown)).alias("lp")), "lp-1")]
+    parts: list[list[DataFrame]] = [[x.select("gram", (F.col("lp") - F.log(F.lit(unknown))).cast("float").alias("gain"), F.lit(0.0).cast("float").alias("weight"), "times")] for x in lower]
     for k in range(2, order + 1):
         d = _tally(_union(levels[k]))
         off = _discount(F.col("n"), d)
@@ -164,20 +186,23 @@ def train(trusted: DataFrame, scratch: Scratch, text_col: str = "text", *, order
         contexts = scratch.table(contexts, f"contexts-{k}")
         free()
         gained, here = [], []
-        below = _union(lower).withColumnRenamed("gram", "tail").withColumnRenamed("lp", "below")
+        below = _union(lower).select(F.col("gram").alias("tail"), F.col("lp").alias("below"))
         for r, level in enumerate(levels[k]):
-            p = level.select(_gram(k), "context", "tail", (F.col("n") - off).alias("rest")).join(contexts, "context").join(below, "tail")
+            p = level.select(_gram(k), "context", "tail", "n", (F.col("n") - off).alias("rest")).join(contexts, "context").join(below, "tail")
             p = p.withColumn("lp", F.log(F.col("rest") / F.col("total") + F.exp(F.col("weight") + F.col("below"))))
             keep = ["lp"] if k < order else []
-            p = scratch.table(p.select("gram", (F.col("lp") - F.col("weight") - F.col("below")).cast("float").alias("gain"), *keep), f"gains-{k}-{r}")
+            p = scratch.table(p.select("gram", (F.col("lp") - F.col("weight") - F.col("below")).cast("float").alias("gain"), F.col("n").alias("times"), *keep), f"gains-{k}-{r}")
             scratch.drop(f"level-{k}-{r}")
-            gained.append(p.select("gram", "gain", F.lit(0.0).cast("float").alias("weight")))
+            gained.append(p.select("gram", "gain", F.lit(0.0).cast("float").alias("weight"), "times"))
             here.append(p.select("gram", "lp") if keep else None)
             free()
         parts.append(gained)
-        parts.append([contexts.select(F.col("context").alias("gram"), F.lit(0.0).cast("float").alias("gain"), F.col("weight").cast("float").alias("weight"))])
+        parts.append([contexts.select(F.col("context").alias("gram"), F.lit(0.0).cast("float").alias("gain"), F.col("weight").cast("float").alias("weight"), F.col("total").cast("long").alias("times"))])
         lower = here
-    return Model([_union([x[r] if len(x) > 1 else x[0].filter(_of_range(r, rounds)) for x in parts]) for r in range(rounds)], float(np.log(unknown)), order)
+    every = _union([t for part in parts for t in part])
+    top = scratch.table(every.orderBy(F.desc("times"), "gram").limit(HEAD).select("gram").distinct(), "top")
+    head = every.join(F.broadcast(top), "gram").groupBy("gram").agg(F.sum("gain").alias("gain"), F.sum("weight").alias("weight")).toArrow()  # HEAD rows at most
+    return Model([_union([x[r] if len(x) > 1 else x[0].filter(_of_range(r, rounds)) for x in parts]) for r in range(rounds)], float(np.log(unknown)), order, Head.of(head))
 
 
 def _of_range(part: int, parts: int) -> Column:
@@ -195,8 +220,8 @@ def _sum(counts: list[DataFrame], key: str) -> DataFrame:
     return _union(counts).groupBy(key).agg(F.sum("n").alias("n"))
 
 
-def _document_ngrams(order: int, part: int, parts: int):
-    """(key, gram, times, as_context) of each text (column 1) for one range of hashes; key (column 0) tells texts apart."""
+def _document_ngrams(order: int, part: int, parts: int, head: Head):
+    """(key, gram, times, as_context) of each text (column 1) for one range of hashes, without the head; key (column 0) tells texts apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before_text = np.array(starts(order))
@@ -210,6 +235,7 @@ def _document_ngrams(order: int, part: int, parts: int):
             parts_of: list[tuple[np.ndarray, ...]] = []
             for k, g in enumerate(grams(rows, words, order), 1):
                 mine = np.flatnonzero(_in_range(g, part, parts))
+                mine = mine[~head.find(g[mine])[1]]
                 # by text, then by what of the hash fits beside it: should that split an n-gram in two, both halves count
                 mine = mine[np.argsort((rows[mine].astype(np.uint64) << np.uint64(40)) | (g[mine] & np.uint64((1 << 40) - 1)))]
                 doc, gram = rows[mine], g[mine]
@@ -217,7 +243,7 @@ def _document_ngrams(order: int, part: int, parts: int):
                 times = np.diff(new, append=len(mine))
                 context = times - np.add.reduceat(last[mine], new, dtype=np.int64) if k < order and len(new) else np.zeros(len(new), np.int64)
                 parts_of.append((doc[new], gram[new], times, context))
-                if k < order and _in_range(before_text[k - 1 : k], part, parts)[0]:
+                if k < order and _in_range(before_text[k - 1 : k], part, parts)[0] and not head.find(before_text[k - 1 : k])[1][0]:
                     one = np.ones(len(firsts), np.int64)
                     parts_of.append((rows[firsts], np.full(len(firsts), before_text[k - 1]), one - 1, one))
             doc, gram, times, context = (np.concatenate(x) for x in zip(*parts_of))
@@ -226,10 +252,26 @@ def _document_ngrams(order: int, part: int, parts: int):
     return run
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows, _ = column_words(batch.column(3))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.bincount(rows, minlength=len(batch)).astype(np.int64))], ["key", "doc_id", "lang", "words"])
+def _count_words(order: int, head: Head):
+    """(key, doc_id, lang, words, gained): words of each text, and what the head's n-grams give it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before_text = np.array(starts(order))
+        for batch in batches:
+            rows, words = column_words(batch.column(3))
+            count = np.bincount(rows, minlength=len(batch))
+            gained = np.zeros(len(batch))
+            last = np.concatenate([rows[1:] != rows[:-1], np.ones(min(1, len(rows)), bool)])
+            for k, g in enumerate(grams(rows, words, order), 1):
+                at, there = head.find(g)
+                value = head.gain[at[there]] + (head.weight[at[there]] * ~last[there] if k < order else 0.0)
+                gained += np.bincount(rows[there], weights=value, minlength=len(batch))
+                at, there = head.find(before_text[k - 1 : k])
+                if k < order and there[0]:
+                    gained += head.weight[at[0]] * (count > 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(count.astype(np.int64)), pa.array(gained)], ["key", "doc_id", "lang", "words", "gained"])
+
+    return run
 
 
 def perplexity(docs: DataFrame, model: Model, scratch: Scratch, id_col: str, text_col: str, lang_col: str) -> DataFrame:
@@ -237,19 +279,19 @@ def perplexity(docs: DataFrame, model: Model, scratch: Scratch, id_col: str, tex
     doc_id, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
     # Rows of one id and text share a key: their sums and their words grow alike, and what counts is the ratio.
     rows = docs.select(F.xxhash64(doc_id, text).alias("key"), doc_id.alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), text.alias("text"))
-    base = scratch.table(rows.mapInArrow(_count_words, "key long, doc_id long, lang string, words long"), "words")
+    base = scratch.table(rows.mapInArrow(_count_words(model.order, model.head), "key long, doc_id long, lang string, words long, gained double"), "words")
     sums, parts = [], 2 * len(model.gains)  # documents have several times the n-grams of the model, so they go in smaller parts
     for r in range(parts):
         gains = model.gains[r % len(model.gains)].filter(_of_range(r, parts))
-        found = rows.select("key", "text").mapInArrow(_document_ngrams(model.order, r, parts), "key long, gram long, times int, as_context int")
-        part = found.join(gains.hint("shuffle_hash"), "gram").groupBy("key").agg(F.sum(F.col("times") * F.col("gain").cast("double") + F.col("as_context") * F.col("weight").cast("double")).alias("gained"))
+        found = rows.select("key", "text").mapInArrow(_document_ngrams(model.order, r, parts, model.head), "key long, gram long, times int, as_context int")
+        part = found.join(gains.drop("times").hint("shuffle_hash"), "gram").groupBy("key").agg(F.sum(F.col("times") * F.col("gain").cast("double") + F.col("as_context") * F.col("weight").cast("double")).alias("gained"))
         sums.append(scratch.table(part, f"sums-{r}"))
         free()
     if not sums:
         return base.select("doc_id", "lang", F.when(F.col("words") > 0, 1.0).alias("perplexity"))
-    sums.append(base.select("key", F.lit(0.0).alias("gained"), "words"))
+    sums.append(base.select("key", "gained", "words"))
     total = _union([x if "words" in x.columns else x.withColumn("words", F.lit(0).cast("long")) for x in sums]).groupBy("key").agg(F.sum("gained").alias("gained"), F.sum("words").alias("all_words"))
-    out = base.join(total, "key")
+    out = base.drop("gained").join(total, "key")
     return out.select("doc_id", "lang", F.when(F.col("words") > 0, F.exp(-F.lit(model.unknown) - F.col("gained") / F.col("all_words"))).alias("perplexity"))
 
 
