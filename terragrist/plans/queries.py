@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from terragrist import schema
@@ -19,6 +18,7 @@ from terragrist.operators.portfolio import Assets, Evaluation
 from terragrist.plans import surrogates as s
 from terragrist.sources import raster
 from terragrist.sources.hazard import HazardQuery, hazard_names, select_rows, sort_rows
+from terragrist.sources.publish import work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -286,7 +286,9 @@ def cell_to_string(spark, sf_dir):
 
 @query(f"SELECT lower(printf('%x', (cell & ~(15::BIGINT << 52)) | {(1 << 45) - 1})) AS h3_r0, count(*) AS n FROM {_CELLS} GROUP BY 1")
 def partitioned_counts(spark, sf_dir):
-    return _cells(spark, sf_dir).groupBy(cells.to_string(cells.parent(F.col("cell"), 0)).alias("h3_r0")).agg(F.count(F.lit(1)).alias("n"))
+    catalog = lookup.LookupCatalog(work_folder(spark, "lookup"))
+    lookup.write_partitioned(_cells(spark, sf_dir).select(cells.to_string(F.col("cell")).alias("hex_id")), catalog.partitioned_root(8), 8)
+    return catalog.assignments(spark, 8, 0).groupBy("h3_r0").agg(F.count(F.lit(1)).alias("n"))
 
 
 _PIXEL = '"row", col, -10 + 0.25 * (col + 0.5) AS longitude, 50 - 0.25 * ("row" + 0.5) AS latitude, axis_index'
@@ -298,28 +300,39 @@ def _located(df: DataFrame) -> DataFrame:
 
 @query(f"{s.with_sql('pixels')} SELECT {_PIXEL}, value FROM pixels")
 def raster_scan(spark, sf_dir):
-    return _located(s.pixels(spark, sf_dir))
+    return s.stored_raster(spark, sf_dir).scan().filter("value is not null").select("row", "col", "longitude", "latitude", "axis_index", "value")
 
 
 @query(f'{s.with_sql("pixels")} SELECT {_PIXEL}, value FROM pixels WHERE "row" >= 20 AND "row" < 41 AND col >= 8 AND col < 31')
 def raster_window(spark, sf_dir):
-    r0, r1, c0, c1 = raster.pixel_window(raster.Affine(0.25, 0, -10, 0, -0.25, 50), (-8.0, 39.9, -2.4, 45.0), 97, 89)
-    return _located(s.pixels(spark, sf_dir).filter((F.col("row") >= r0) & (F.col("row") < r1) & (F.col("col") >= c0) & (F.col("col") < c1)))
+    return s.stored_raster(spark, sf_dir).scan((-8.0, 39.9, -2.4, 45.0)).filter("value is not null").select("row", "col", "longitude", "latitude", "axis_index", "value")
 
 
 @query(f'{s.with_sql("pixels")} SELECT event_id, axis_index, p.value FROM (SELECT event_id, event_id % 97 AS "row", user_id % 89 AS col FROM events) e JOIN pixels p USING ("row", col)')
 def raster_point_sample(spark, sf_dir):
-    e = s.table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 97).alias("row"), (F.col("user_id") % 89).alias("col"))
-    return s.pixels(spark, sf_dir).join(e, ["row", "col"]).select("event_id", "axis_index", "value")
+    e = s.table(spark, sf_dir, "events").select("event_id", (-10 + 0.25 * (F.col("user_id") % 89 + 0.5)).alias("longitude"), (50 - 0.25 * (F.col("event_id") % 97 + 0.5)).alias("latitude"))
+    return s.stored_raster(spark, sf_dir).points(e).filter("value is not null").select("event_id", "axis_index", "value")
 
 
 @query(f"""{s.with_sql("pixels")} SELECT "row", col, CAST(count(*) AS INTEGER) AS n, string_agg(axis_index || ':' || CAST(round(value * 100) AS BIGINT), ' ' ORDER BY axis_index) AS curve FROM pixels GROUP BY "row", col""")
 def raster_curves(spark, sf_dir):
-    c = s.pixels(spark, sf_dir).groupBy("row", "col").agg(F.sort_array(F.collect_list(F.struct("axis_index", "value"))).alias("k"))
+    c = s.stored_raster(spark, sf_dir).curves().withColumn("k", F.filter("knots", lambda x: x["value"].isNotNull())).filter(F.size("k") > 0)
     text = F.transform("k", lambda x: F.concat(x["axis_index"].cast("string"), F.lit(":"), F.round(x["value"] * 100).cast("long").cast("string")))
     return c.select("row", "col", F.size("k").alias("n"), F.array_join(text, " ").alias("curve"))
 
 
+@query(f'{s.with_sql("pixels")} SELECT "row", col, {_r6("1 - 1.0 / [2, 5, 10, 25, 50, 100, 1000][axis_index + 1]")} AS probability, value FROM pixels')
+def raster_knots(spark, sf_dir):
+    return s.stored_raster(spark, sf_dir).knots().withColumn("probability", r6("probability"))
+
+
+@query(f'{s.with_sql("pixels")} SELECT {_PIXEL.replace(", axis_index", "")}, CAST(CAST(value AS REAL) AS DOUBLE) AS value FROM pixels WHERE axis_index = 0 AND "row" BETWEEN 10 AND 49 AND col BETWEEN 4 AND 63 AND value < 90000'.replace('"row", col, ', ""))
+def geotiff_scan(spark, sf_dir):
+    path = s.stored_geotiff(spark, sf_dir)
+    found = raster.scan_geotiff(spark, path, (-9.0, 37.5, 6.0, 47.5), mask=F.col("value") < 90000)
+    return found.withColumn("value", F.col("value").cast("double"))
+
+
 @query("SELECT user_id AS cell, max(value) AS value FROM events GROUP BY user_id")
 def reduce_max(spark, sf_dir):
     return raster.reduce_cells(s.table(spark, sf_dir, "events"), "max", cell="user_id").withColumnRenamed("user_id", "cell")
@@ -488,22 +501,16 @@ def maxoverlap_parent(spark, sf_dir):
     "SELECT chr(30) || '{\"type\":\"Feature\",\"tippecanoe\":{\"layer\":\"suppliers\",\"minzoom\":0,\"maxzoom\":9},\"geometry\":{\"type\":\"Point\",\"coordinates\":[' || (s_suppkey % 180) || '.5,' || (s_nationkey) || '.25]},\"properties\":{\"s_suppkey\":' || s_suppkey || ',\"s_name\":\"' || s_name || '\",\"note\":null}}' || chr(10) AS feature FROM supplier"
 )
 def feature_rows(spark, sf_dir):
-    point = F.unhex(F.concat(F.lit("0101000000"), *[_double_hex(c) for c in (F.col("s_suppkey") % 180 + 0.5, F.col("s_nationkey") + 0.25)]))
+    point = geometry.point_wkb(F.col("s_suppkey") % 180 + 0.5, F.col("s_nationkey") + 0.25)
     rows = s.table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.lit(None).cast("string").alias("note"), "s_acctbal", point.alias("geom"))
     return tiles.features([tiles.Layer("suppliers", rows, tiles.ZoomRange(0, 9), ("s_suppkey", "s_name", "note"))])
 
 
-@F.pandas_udf(T.StringType())
-def _double_hex(v):
-    import struct as st
-
-    return v.map(lambda x: st.pack("<d", x).hex())
-
-
-@query(f"{s.with_sql('coverage')} SELECT adm0_iso, count(*) AS coverage_rows, count(*) FILTER (WHERE pct < 1.0) AS partial_pct_rows, count(DISTINCT hex_id) AS hexes FROM coverage GROUP BY 1")
+@query(f"{s.with_sql('coverage')} SELECT count(*) AS coverage_rows, count(*) FILTER (WHERE pct < 1.0) AS partial_pct_rows, count(DISTINCT hex_id) AS hexes FROM coverage")
 def coverage_stats(spark, sf_dir):
-    c = lookup.conform_coverage(s.coverage(spark, sf_dir))
-    return c.groupBy("adm0_iso").agg(F.count(F.lit(1)).alias("coverage_rows"), F.count_if(F.col("pct") < 1.0).alias("partial_pct_rows"), F.countDistinct("hex_id").alias("hexes"))
+    path = f"{work_folder(spark, 'coverage')}/exploded.parquet"
+    stats = cov.write_exploded_coverage(lookup.conform_coverage(s.coverage(spark, sf_dir)), path)
+    return spark.createDataFrame([stats], "coverage_rows long, partial_pct_rows long, hexes long")
 
 
 @query()
@@ -547,4 +554,6 @@ def portfolio_points(spark, sf_dir):
     return _rounded(Evaluation(c, Assets(sites), cell_of=to_cell).return_periods(PERIODS).evaluate(skewnorm=False))
 
 
-__all__ = ["FAMILIES", "ORACLE_SQL", "QUERIES", "Window"]
+from terragrist.plans import stored  # noqa: E402  registers the queries over written stores
+
+__all__ = ["FAMILIES", "ORACLE_SQL", "QUERIES", "Window", "stored"]

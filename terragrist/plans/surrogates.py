@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import struct
+import zlib
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terragrist.sources.publish import work_folder, write_bytes
+from terragrist.sources.raster import RasterMetadata, ZarrRaster
+
 FAMILY_BY_KEY = ("gumbel_r", "gumbel_l", "genextreme", "weibull_min", "weibull_max", "genpareto")
 SHAPE_BY_KEY = (None, None, 0.1, 1.5, 1.5, 0.1)
 
@@ -70,6 +78,55 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.groupBy((F.col("l_orderkey") % 97).alias("row"), (F.col("l_partkey") % 89).alias("col"), (F.col("l_linenumber") - 1).cast("int").alias("axis_index")).agg(F.max("l_extendedprice").alias("value"))
 
 
+SHAPE, CHUNKS, PERIODS = (7, 97, 89), (3, 25, 30), [2, 5, 10, 25, 50, 100, 1000]
+
+
+def _array(spark: SparkSession, sf_dir: str) -> np.ndarray:
+    """The pixels as an array; of 7 x 97 x 89 values whatever the table."""
+    out, t = np.full(SHAPE, np.nan), pixels(spark, sf_dir).toArrow()
+    out[tuple(t[x].to_numpy().astype(int) for x in ("axis_index", "row", "col"))] = t["value"].to_numpy()
+    return out
+
+
+def stored_raster(spark: SparkSession, sf_dir: str) -> ZarrRaster:
+    """The pixels as a chunked array in the shared folder; chunks without any value are left out."""
+    folder, data = f"{work_folder(spark, 'array')}/depth", _array(spark, sf_dir)
+    info = {"zarr_format": 2, "shape": SHAPE, "chunks": CHUNKS, "dtype": "<f8", "compressor": {"id": "zlib", "level": 1}, "fill_value": "NaN", "order": "C", "filters": None}
+    about = {"transform_mat3x3": [0.25, 0, -10, 0, -0.25, 50, 0, 0, 1], "index_values": PERIODS, "index_name": "return period (years)"}
+    for name, said in ((".zarray", info), (".zattrs", about)):
+        write_bytes(spark, f"{folder}/{name}", json.dumps(said).encode())
+    for at in np.ndindex(*(-(-n // c) for n, c in zip(SHAPE, CHUNKS))):
+        block = np.full(CHUNKS, np.nan)
+        part = data[tuple(slice(i * c, (i + 1) * c) for i, c in zip(at, CHUNKS))]
+        block[tuple(slice(0, n) for n in part.shape)] = part
+        if np.isfinite(part).any():
+            write_bytes(spark, f"{folder}/{'.'.join(map(str, at))}", zlib.compress(block.astype("<f8").tobytes(), 1))
+    return ZarrRaster.open(spark, folder, RasterMetadata("flood", "depth", "ssp585", 2050, "metres", "array/depth"))
+
+
+def stored_geotiff(spark: SparkSession, sf_dir: str) -> str:
+    """The first layer of the pixels as a band of deflated strips of 16 rows, with a nodata value."""
+    data = np.nan_to_num(_array(spark, sf_dir)[0], nan=-9999.0).astype("<f4")
+    strips = [zlib.compress(data[i : i + 16].tobytes()) for i in range(0, len(data), 16)]
+    floats = {33550: struct.pack("<3d", 0.25, 0.25, 0), 33922: struct.pack("<6d", 0, 0, 0, -10, 50, 0)}
+    at, body, where = 8, b"", []
+    for x in strips:
+        where.append(at)
+        body, at = body + x, at + len(x)
+    extra = {}
+    for tag, x in {273: struct.pack(f"<{len(strips)}I", *where), 279: struct.pack(f"<{len(strips)}I", *map(len, strips)), 42113: b"-9999\0\0\0", **floats}.items():
+        extra[tag], body, at = at, body + x, at + len(x)
+    one = {256: (4, data.shape[1]), 257: (4, data.shape[0]), 258: (3, 32), 259: (3, 8), 262: (3, 1), 277: (3, 1), 278: (4, 16), 339: (3, 3)}
+    many = {273: (4, len(strips)), 279: (4, len(strips)), 33550: (12, 3), 33922: (12, 6), 42113: (2, 8)}
+    tags = b""
+    for tag in sorted(one | many):
+        kind, n, value = (one[tag][0], 1, one[tag][1]) if tag in one else (*many[tag], extra[tag])
+        tags += struct.pack("<HHI", tag, kind, n) + (struct.pack("<HH", value, 0) if kind == 3 else struct.pack("<I", value))
+    path = f"{work_folder(spark, 'band')}/depth.tif"
+    write_bytes(spark, path, b"II*\0" + struct.pack("<I", at) + body + struct.pack("<H", len(one | many)) + tags + struct.pack("<I", 0))
+    return path
+
+
 def knots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(l_suppkey, period, probability, value), whole cents, so that sums do not depend on their order by much."""
     li = table(spark, sf_dir, "lineitem")

@@ -138,8 +138,10 @@ class ZarrRaster:
 
     def cells(self, bounds: Bounds | None = None) -> DataFrame:
         """(row, col, axis_index, value) of the window; values that are not finite are null, absent chunks hold the fill value."""
-        (n, rows, cols), (ck, cr, cc) = self.shape, self._chunks()
-        r0, r1, c0, c1 = pixel_window(self.transform, bounds, rows, cols)
+        return self._cells(*pixel_window(self.transform, bounds, *self.shape[1:]))
+
+    def _cells(self, r0: int, r1: int, c0: int, c1: int) -> DataFrame:
+        n, (ck, cr, cc) = self.shape[0], self._chunks()
         sep, flat = self.info.get("dimension_separator", "."), len(self.info["shape"]) == 2
         dtype, order = np.dtype(self.info["dtype"]), self.info.get("order", "C")
         fill = self.info.get("fill_value")
@@ -187,24 +189,31 @@ class ZarrRaster:
         """Pixel centres with axis and metadata columns."""
         return self.located(self.cells(bounds))
 
-    def located(self, cells: DataFrame) -> DataFrame:
+    def located(self, cells: DataFrame, *more: str) -> DataFrame:
         t, m = self.transform, self.metadata
         x, y = F.col("col") + 0.5, F.col("row") + 0.5
         lon, lat = (F.lit(p) * x + F.lit(q) * y + F.lit(o) for p, q, o in ((t.a, t.b, t.c), (t.d, t.e, t.f)))
         values = F.array(*[F.lit(v) for v in self.axis_values()])
         lits = {"hazard_type": m.hazard_type, "indicator_id": m.indicator_id, "scenario": m.scenario, "year": m.year, "units": m.units, "axis_name": self.axis_name(), "source_path": m.path or self.path}
-        return cells.select("row", "col", lon.alias("longitude"), lat.alias("latitude"), "axis_index", F.get(values, F.col("axis_index")).alias("axis_value"), "value", *[F.lit(v).alias(k) for k, v in lits.items()])
+        return cells.select("row", "col", lon.alias("longitude"), lat.alias("latitude"), "axis_index", F.get(values, F.col("axis_index")).alias("axis_value"), "value", *[F.lit(v).alias(k) for k, v in lits.items()], *more)
 
     def points(self, at: DataFrame, longitude: str = "longitude", latitude: str = "latitude") -> DataFrame:
-        """All axis values at points, at the centres of their pixels; points outside raise."""
+        """All axis values at points, at the centres of their pixels, with the other columns of `at`; points outside raise.
+
+        The points' own window is read, no more.
+        """
         i = self.transform.inverse()
         _, rows, cols = self.shape
         x, y = F.col(longitude), F.col(latitude)
         col, row = (F.floor(F.lit(p) * x + F.lit(q) * y + F.lit(o)) for p, q, o in ((i.a, i.b, i.c), (i.d, i.e, i.f)))
-        p = at.select(row.alias("row"), col.alias("col"))
-        outside = (F.col("row") < 0) | (F.col("row") >= rows) | (F.col("col") < 0) | (F.col("col") >= cols)
-        p = p.withColumn("row", F.when(outside, F.raise_error(F.lit("a point lies outside the raster")).cast("long")).otherwise(F.col("row")))
-        return self.located(self.cells().join(p, ["row", "col"]))
+        more = [c for c in at.columns if c not in (longitude, latitude, "row", "col", "value", "axis_index")]
+        p = at.select(row.alias("row"), col.alias("col"), *more)
+        r0, r1, c0, c1 = p.agg(F.min("row"), F.max("row"), F.min("col"), F.max("col")).first()
+        if r0 is None:
+            return self.located(self._cells(0, 1, 0, 1).join(p, ["row", "col"]), *more)
+        if r0 < 0 or c0 < 0 or r1 >= rows or c1 >= cols:
+            raise ValueError("a point lies outside the raster")
+        return self.located(self._cells(r0, r1 + 1, c0, c1 + 1).join(p, ["row", "col"]), *more)
 
     def curves(self, bounds: Bounds | None = None) -> DataFrame:
         """One row a pixel with its whole axis curve, in axis order."""
