@@ -35,6 +35,8 @@ from terragrist.llm.words import mix, shingle_set, utf8_views, word_hashes
 
 #: Documents of one side of a block whose sets are compared in one go.
 BLOCK = 256
+#: Rounds in which signature coordinates are posted at most, and classes for each of them at least.
+ROUNDS, ROUND_ROWS = 4, 5_000
 #: Members of a hub that meet one copy of its signature.
 MEMBERS = 1024
 #: Ids that may be broadcast (16 MB); more are joined by a shuffle.
@@ -187,8 +189,8 @@ def near_duplicates(
     row's own. Rows with a null id are linked with nothing, have a null component_id and are kept. An empty table gives an empty result. Other
     columns of `docs` are not looked at.
     """
-    classes, feats, comps, scratch = _components(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), width, percent, coordinates, matches, seed)
-    members = _in_classes(feats.filter("n > 0 and doc_id is not null").select("doc_id", "n", "fa", "fb"), classes, comps).select("doc_id", "n", "component_id")
+    classes, feats, named, scratch = _components(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), width, percent, coordinates, matches, seed)
+    members = _in_classes(feats.filter("n > 0 and doc_id is not null").select("doc_id", "n", "fa", "fb"), classes, named).select("doc_id", "n", "component_id")
     members = members.unionByName(feats.filter("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id")))
     kept: Column = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     out = scratch.table(members.select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept")), "result")
@@ -207,8 +209,8 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key = list(marks)
     marked = docs.select("*", *[c.alias(x) for x, c in marks.items()])
     texts = docs.select(marks["__text"].alias("doc_id"), F.col(text_col).alias("text"))
-    classes, feats, comps, scratch = _components(texts, width, percent, coordinates, matches, seed)
-    groups = _in_classes(feats.filter("n > 0").select("doc_id", "n", "fa", "fb").distinct(), classes, comps)
+    classes, feats, named, scratch = _components(texts, width, percent, coordinates, matches, seed)
+    groups = _in_classes(feats.filter("n > 0").select("doc_id", "n", "fa", "fb").distinct(), classes, named)
     rows = marked.groupBy(*key).agg(F.count(F.lit(1)).alias("times"))
     rows = scratch.table(rows.join(groups.select(F.col("doc_id").alias("__text"), F.col("component_id").alias("group")), "__text"), "rows")
     firsts = rows.groupBy("group").agg(F.min(F.struct("__no_id", "__id", "__text")).alias("first"))
@@ -219,15 +221,14 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return once.unionByName(marked.join(repeated, key, "left_semi").dropDuplicates(key).select(*docs.columns))
 
 
-def _in_classes(rows: DataFrame, classes: DataFrame, comps: DataFrame) -> DataFrame:
+def _in_classes(rows: DataFrame, classes: DataFrame, named: DataFrame) -> DataFrame:
     """`rows` (doc_id, n, fa, fb) with the smallest id of their component."""
-    of_class = classes.join(comps, "node", "left").select("n", "fa", "fb", "rep", F.coalesce("component", "node").alias("component"))
-    least = of_class.groupBy("component").agg(F.min("rep").alias("component_id"))
-    return rows.join(of_class.join(least, "component"), ["n", "fa", "fb"])
+    of_class = classes.join(named, "node", "left").select("n", "fa", "fb", F.coalesce("component_id", "rep").alias("component_id"))
+    return rows.join(of_class, ["n", "fa", "fb"])
 
 
 def _components(docs: DataFrame, width: int, percent: int, coordinates: int, matches: int | None, seed: int) -> tuple[DataFrame, DataFrame, DataFrame, Scratch]:
-    """(classes, features, components, scratch) of docs (doc_id, text)."""
+    """(classes, features, (node, component_id) of classes with links, scratch) of docs (doc_id, text)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-duplicates")
     p = percent / 100
@@ -249,8 +250,10 @@ def _components(docs: DataFrame, width: int, percent: int, coordinates: int, mat
     star = _star(reps, scratch, matches)
     edges = _links(docs, classes, star, scratch, width, percent)
     comps = scratch.table(connected_components(edges, scratch, "final"), "components")
+    least = scratch.table(comps.join(classes, "node").groupBy("component").agg(F.min("rep").alias("component_id")), "least")
+    named = scratch.table(comps.join(_small(least), "component").select("node", "component_id"), "named")
     scratch.drop("copies", "star", "sets", "hubs", "families", "apart", "first", "second")
-    return classes, feats.drop("sig"), comps, scratch
+    return classes, feats.drop("sig"), named, scratch
 
 
 def _small(ids: DataFrame) -> DataFrame:
@@ -260,16 +263,29 @@ def _small(ids: DataFrame) -> DataFrame:
 
 def _star(reps: DataFrame, scratch: Scratch, matches: int) -> DataFrame:
     """(hub, node, near): the members that meet a hub in a prefix list; near, if they match it in enough coordinates."""
-    tokens = reps.select("node", F.posexplode("sig").alias("at", "value"))
-    tokens = tokens.select("node", F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("token"))
-    shared = scratch.table(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("freq")).filter("freq > 1"), "shared")
-    free()
-    # Any order of values serves, as long as it is the same for all: by frequency in eighths of an octave, then value, in one number.
-    ranked = F.shiftleft(F.floor(F.log2("freq") * 8).cast("long"), 48).bitwiseOR(F.col("token"))
-    lists = tokens.join(shared, "token").groupBy("node").agg(F.sort_array(F.collect_set(ranked)).alias("shared"), F.sum("freq").alias("weight"))
+    # Coordinates go in rounds, so that a part of all values is shuffled at a time; frequencies are grouped counts, not windows.
+    parts, n, first = [], reps.count(), reps.select("sig").first()
+    coordinates = len(first["sig"]) if first else 0
+    each = max(1, -(-coordinates // max(1, min(ROUNDS, n // ROUND_ROWS))))
+    for at in range(0, max(1, coordinates), each):
+        tokens = reps.select("node", F.posexplode(F.slice("sig", at + 1, each)).alias("at", "value"))
+        token = F.shiftleft((F.col("at") + at).cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+        tokens = tokens.select("node", token.alias("token"))
+        shared = scratch.table(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("freq")).filter("freq > 1"), f"shared-{at}")
+        free()
+        # Any order of values serves, as long as it is the same for all: by frequency in eighths of an octave, then value, in one number.
+        ranked = F.shiftleft(F.floor(F.log2("freq") * 8).cast("long"), 48).bitwiseOR(F.col("token"))
+        parts.append(scratch.table(tokens.join(shared, "token").select("node", ranked.alias("ranked"), "freq"), f"ranked-{at}"))
+        scratch.drop(f"shared-{at}")
+        free()
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    lists = rows.repartition("node").groupBy("node").agg(F.sort_array(F.collect_list("ranked")).alias("shared"), F.sum("freq").alias("weight"))
     lists = lists.filter(F.size("shared") >= matches)
     postings = lists.select("node", "weight", F.explode(F.slice("shared", F.lit(1), F.size("shared") - (matches - 1))).alias("token"))
     postings = scratch.table(postings, "postings")
+    scratch.drop(*[f"ranked-{at}" for at in range(0, max(1, coordinates), each)])
     free()
     hubs = postings.groupBy("token").agg(F.max(F.struct("weight", (-F.col("node")).alias("neg"))).alias("best"), F.count(F.lit(1)).alias("size"))
     hubs = hubs.filter("size > 1").select("token", (-F.col("best.neg")).alias("hub"), "size")
@@ -288,7 +304,7 @@ def _star(reps: DataFrame, scratch: Scratch, matches: int) -> DataFrame:
     same = F.aggregate(F.zip_with("sig", "hub_sig", lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
     star = star.withColumn("near", same >= matches).filter("near or size > 2").select("hub", "node", "near")
     star = scratch.table(star, "star")
-    scratch.drop("postings", "shared", "met", "known", "many")
+    scratch.drop("postings", "met", "known", "many")
     return star
 
 
