@@ -107,6 +107,32 @@ def test_fold_deltas_edits_and_regenerations(spark):
     assert chat.fold_events(df.limit(0)).collect() == []
 
 
+def test_random_logs_equal_a_plain_fold(spark):
+    rng = random.Random(12)
+    log = []
+    for c in range(40):
+        log += [(c, seq, rng.choice(["message", "delta", "delta", "edit", "regenerate"]), rng.randrange(4), rng.choice([None, "user", "assistant"]), rng.choice([None, "a", "bc", "<|end|>"])) for seq in range(rng.randrange(25))]
+    want = set()
+    for c in range(40):
+        live: dict = {}
+        for _, seq, kind, m, role, text in [x for x in log if x[0] == c]:
+            if kind == "regenerate":
+                live = {k: v for k, v in live.items() if k <= m}
+            pieces, roles = live.setdefault(m, ([], []))
+            if kind != "delta":
+                pieces.clear()
+            if kind != "regenerate":
+                pieces.append(text or "")
+            roles += [role] if role else []
+        want |= {(c, m, roles[0] if roles else None, "".join(pieces)) for m, (pieces, roles) in live.items()}
+    rng.shuffle(log)
+    df = spark.createDataFrame([(*x, 1) for x in log], "conv_id long, seq long, kind string, message long, role string, text string, cut int")
+    assert {tuple(r) for r in chat.fold_events(df).select("conv_id", "message", "role", "text").collect()} == want
+    long_one = spark.createDataFrame([(1, i, "user" if i % 2 else "assistant", "word & <b> " * 20_000) for i in range(20)], "conv_id long, turn long, role string, text string")
+    (r,) = chat.digests(chat.read_back(chat.render(chat.fold_events(chat.conversation_events(long_one))))).collect()
+    assert (r["n_turns"], r["loss_chars"]) == (20, 10 * 11 * 20_000)
+
+
 def F_(name):
     from pyspark.sql import functions as F
 

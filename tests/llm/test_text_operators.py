@@ -112,6 +112,22 @@ def test_language_id_held_out(spark):
     got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(odd, model).collect()}
     assert [got[i] for i in (1, 2, 3)] == ["und"] * 3 and got[4] in ("xx", "yy")
     assert langid.identify(odd, langid.fit(odd.limit(0))).filter("lang_pred <> 'und'").count() == 0
+    clash = odd.selectExpr("*", "5 AS score", "'x' AS lang_pred")
+    assert langid.identify(clash, model).columns == [*odd.columns, "lang_pred", "score"] and langid.identify(clash.limit(0), model).collect() == []
+
+
+def test_network_equals_direct_convolution():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    n = 5
+    model = langid.ByteCnn(("a", "b", "c"), tuple(rng.normal(size=(w, 256, n)).astype(np.float32) for w in langid.WIDTHS), rng.normal(size=3 * n).astype(np.float32), rng.normal(size=(3 * n, 3)).astype(np.float32), rng.normal(size=3).astype(np.float32))
+    windows = rng.integers(0, 256, (4, langid.WINDOW + 3)).astype(np.uint8)
+    want = []
+    for x in windows:
+        pooled = [max(sum(f[j, x[i + j], c] for j in range(w)) for i in range(langid.WINDOW)) for w, f in zip(langid.WIDTHS, model.filters) for c in range(n)]
+        want.append(np.maximum(np.array(pooled) + model.bias, 0) @ model.out + model.out_bias)
+    assert np.allclose(langid.Predictor(model).logits(windows), want, atol=1e-3)
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
