@@ -34,12 +34,25 @@ FACE_AZIMUTHS = np.array(
         5.930472956509811562, 0.138378484090254847, 0.448714947059150361, 0.158629650112549365, 5.891865957979238535, 2.711123289609793325, 3.294508837434268316, 3.804819692245439833, 3.664438879055192436, 2.361378999196363184,
     ]
 )
-# Home face and position "face:ijk" of base cells 0 to 121.
+# Home face and position (face, i, j, k) of base cells 0 to 121.
 HOMES = (
-    "1:100 2:110 1:000 2:100 0:200 1:110 1:001 2:000 0:100 2:010 1:010 1:011 3:100 3:110 11:200 4:100 0:000 6:010 0:001 2:011 7:001 2:001 0:110 6:001 10:200 6:000 3:000 11:100 4:110 3:010 0:011 4:000 5:010 0:010 7:010 11:110 7:000 10:100 12:200 6:101 7:101 4:001 3:001 3:011 4:010 6:100 11:000 8:001 5:001 14:200 5:000 "
-    "12:100 10:110 4:011 12:110 7:100 11:010 10:000 13:200 10:001 11:001 9:010 8:010 6:200 8:000 9:001 14:100 5:101 16:011 8:101 5:100 12:000 7:200 12:010 10:010 9:000 13:100 16:001 15:011 15:010 16:010 14:110 13:110 5:200 8:100 14:000 9:101 14:001 17:001 12:001 16:000 17:011 15:001 16:101 9:100 15:000 13:000 8:200 "
-    "13:010 17:101 19:010 14:010 19:011 17:010 13:001 17:000 16:100 9:200 15:101 15:100 18:011 18:001 19:001 17:100 19:000 18:010 18:101 19:200 19:100 18:000 19:101 18:100"
-)
+    (1, 1, 0, 0), (2, 1, 1, 0), (1, 0, 0, 0), (2, 1, 0, 0), (0, 2, 0, 0), (1, 1, 1, 0), (1, 0, 0, 1), (2, 0, 0, 0),
+    (0, 1, 0, 0), (2, 0, 1, 0), (1, 0, 1, 0), (1, 0, 1, 1), (3, 1, 0, 0), (3, 1, 1, 0), (11, 2, 0, 0), (4, 1, 0, 0),
+    (0, 0, 0, 0), (6, 0, 1, 0), (0, 0, 0, 1), (2, 0, 1, 1), (7, 0, 0, 1), (2, 0, 0, 1), (0, 1, 1, 0), (6, 0, 0, 1),
+    (10, 2, 0, 0), (6, 0, 0, 0), (3, 0, 0, 0), (11, 1, 0, 0), (4, 1, 1, 0), (3, 0, 1, 0), (0, 0, 1, 1), (4, 0, 0, 0),
+    (5, 0, 1, 0), (0, 0, 1, 0), (7, 0, 1, 0), (11, 1, 1, 0), (7, 0, 0, 0), (10, 1, 0, 0), (12, 2, 0, 0), (6, 1, 0, 1),
+    (7, 1, 0, 1), (4, 0, 0, 1), (3, 0, 0, 1), (3, 0, 1, 1), (4, 0, 1, 0), (6, 1, 0, 0), (11, 0, 0, 0), (8, 0, 0, 1),
+    (5, 0, 0, 1), (14, 2, 0, 0), (5, 0, 0, 0), (12, 1, 0, 0), (10, 1, 1, 0), (4, 0, 1, 1), (12, 1, 1, 0), (7, 1, 0, 0),
+    (11, 0, 1, 0), (10, 0, 0, 0), (13, 2, 0, 0), (10, 0, 0, 1), (11, 0, 0, 1), (9, 0, 1, 0), (8, 0, 1, 0), (6, 2, 0, 0),
+    (8, 0, 0, 0), (9, 0, 0, 1), (14, 1, 0, 0), (5, 1, 0, 1), (16, 0, 1, 1), (8, 1, 0, 1), (5, 1, 0, 0), (12, 0, 0, 0),
+    (7, 2, 0, 0), (12, 0, 1, 0), (10, 0, 1, 0), (9, 0, 0, 0), (13, 1, 0, 0), (16, 0, 0, 1), (15, 0, 1, 1), (15, 0, 1, 0),
+    (16, 0, 1, 0), (14, 1, 1, 0), (13, 1, 1, 0), (5, 2, 0, 0), (8, 1, 0, 0), (14, 0, 0, 0), (9, 1, 0, 1), (14, 0, 0, 1),
+    (17, 0, 0, 1), (12, 0, 0, 1), (16, 0, 0, 0), (17, 0, 1, 1), (15, 0, 0, 1), (16, 1, 0, 1), (9, 1, 0, 0), (15, 0, 0, 0),
+    (13, 0, 0, 0), (8, 2, 0, 0), (13, 0, 1, 0), (17, 1, 0, 1), (19, 0, 1, 0), (14, 0, 1, 0), (19, 0, 1, 1), (17, 0, 1, 0),
+    (13, 0, 0, 1), (17, 0, 0, 0), (16, 1, 0, 0), (9, 2, 0, 0), (15, 1, 0, 1), (15, 1, 0, 0), (18, 0, 1, 1), (18, 0, 0, 1),
+    (19, 0, 0, 1), (17, 1, 0, 0), (19, 0, 0, 0), (18, 0, 1, 0), (18, 1, 0, 1), (19, 2, 0, 0), (19, 1, 0, 0), (18, 0, 0, 0),
+    (19, 1, 0, 1), (18, 1, 0, 0),
+)
 # Faces on which a pentagon is offset clockwise.
 CLOCKWISE = {14: (2, 6), 24: (1, 5), 38: (3, 7), 49: (0, 9), 58: (4, 8), 63: (11, 15), 72: (12, 16), 83: (10, 19), 97: (13, 17), 107: (14, 18)}
 _AP7_ROTATION = math.asin(math.sqrt(3 / 28))
@@ -118,9 +131,8 @@ _DIGIT_OF = {tuple(v): d for d, v in enumerate(_DIGIT_IJ.tolist())}
 @lru_cache(maxsize=1)
 def _bases() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(home faces, home ij, base cell by face and ij + 2, turns by face and ij + 2)."""
-    homes = [h.split(":") for h in HOMES.split()]
-    face = np.array([int(f) for f, _ in homes])
-    ijk = np.array([[int(c) for c in p] for _, p in homes])
+    homes = np.array(HOMES)
+    face, ijk = homes[:, 0], homes[:, 1:]
     ij = ijk[:, :2] - ijk[:, 2:]
     lat, lon = _from_plane(*_plane_of(ij), face, 0)
     centers = _unit_vectors(lat, lon)
@@ -165,7 +177,7 @@ def _bases() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _pentagons() -> frozenset:
-    return frozenset(i for i, h in enumerate(HOMES.split()) if h.endswith("200"))
+    return frozenset(i for i, (_, *ijk) in enumerate(HOMES) if ijk == [2, 0, 0])
 
 
 def latlng_to_cell(lat: np.ndarray, lon: np.ndarray, res: int) -> np.ndarray:
