@@ -213,10 +213,12 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = _in_classes(feats.filter("n > 0").select("doc_id", "n", "fa", "fb").distinct(), classes, named)
     rows = marked.groupBy(*key).agg(F.count(F.lit(1)).alias("times"))
     rows = scratch.table(rows.join(groups.select(F.col("doc_id").alias("__text"), F.col("component_id").alias("group")), "__text"), "rows")
-    firsts = rows.groupBy("group").agg(F.min(F.struct("__no_id", "__id", "__text")).alias("first"))
-    rows = scratch.table(rows.join(firsts, "group").withColumn("gone", F.struct("__no_id", "__id", "__text") != F.col("first")).filter("gone or times > 1").select(*key, "gone"), "marked")
-    few = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    gone, repeated = few(rows.select(*key)), few(rows.filter("not gone").select(*key))
+    # Groups of one row need no decision; those of several are few enough to go to every task, or are joined by a shuffle.
+    firsts = rows.groupBy("group").agg(F.min(F.struct("__no_id", "__id", "__text")).alias("first"), F.count(F.lit(1)).alias("members"), F.max("times").alias("most"))
+    firsts = scratch.table(firsts.filter("members > 1 or most > 1").select("group", "first"), "firsts")
+    rows = scratch.table(rows.join(_small(firsts), "group").withColumn("gone", F.struct("__no_id", "__id", "__text") != F.col("first")).filter("gone or times > 1").select(*key, "gone"), "marked")
+    scratch.drop_all_but("marked")
+    gone, repeated = _small(rows.select(*key)), _small(rows.filter("not gone").select(*key))
     once = marked.join(gone, key, "left_anti").select(*docs.columns)
     return once.unionByName(marked.join(repeated, key, "left_semi").dropDuplicates(key).select(*docs.columns))
 
