@@ -52,14 +52,14 @@ def _corpus(seed, n):
     return [" ".join(rng.choices(words, [9, 6, 1, 5, 2, 1, 1, 1, 1, 1], k=rng.randrange(1, 40))) for _ in range(n)]
 
 
-@pytest.mark.parametrize("order, head", [(2, 1 << 16), (2, 5), (3, 7)])
+@pytest.mark.parametrize("order, head", [(2, 5), (3, 7)])
 def test_equals_a_plain_model(spark, monkeypatch, order, head):
     monkeypatch.setattr(quality, "HEAD", head)
     trusted = [*_corpus(1, 30), None, "", "  "]
     texts = [*_corpus(2, 25), "new words only here", "the", None, "", " \n", "the dog. " * 300, trusted[0], trusted[0]]
     frame = lambda t: spark.createDataFrame([(i, x, "xx") for i, x in enumerate(t)], "doc_id long, text string, lang string")
     scratch = Scratch(spark, "kn")
-    model = quality.train(frame(trusted), scratch, order=order, rounds=2)
+    model = quality.train(frame(trusted), scratch, order=order, rounds=4 - order)
     got = {r["doc_id"]: r["perplexity"] for r in quality.perplexity(frame(texts), model, scratch, "doc_id", "text", "lang").collect()}
     p, perplexity, known = _plain(trusted, order)
     assert len(got) == len(texts)
