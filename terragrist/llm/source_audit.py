@@ -28,8 +28,8 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 COMPACT_ROWS = 1_000_000
 #: Documents whose words a task unnests at once, and bytes of text.
 DOCS_AT_ONCE, BYTES_AT_ONCE = 2048, 16 << 20
-#: Pair sums that one shard is given to compute, about; with more, there are more shards.
-SHARD_PAIRS = 20_000_000
+#: Terms times pairs of sources that one shard is given to compute, about: the number of shards follows the work, as each gives a row a pair.
+SHARD_PAIRS = 4_000_000
 COUNTS = "lang string, source string, term string, n decimal(38,0), docs decimal(38,0)"
 _TEXT, _BIG = pa.string(), pa.decimal128(38, 0)
 _COUNTS = pa.schema([("lang", _TEXT), ("source", _TEXT), ("term", _TEXT), ("n", _BIG), ("docs", _BIG)])
@@ -168,7 +168,7 @@ def divergence(docs: DataFrame, *, least_docs: int = 10, top: int = 10) -> DataF
     sums = scratch.table(by_group.unionByName(vocabulary.select("lang", F.lit(None).cast("string").alias("source"), "n", "docs")), "sums")
 
     work = sums.groupBy("lang").agg(F.count(F.lit(1)).alias("s"), F.max("docs").cast("double").alias("v")).agg(F.sum(F.col("v") * F.col("s") * F.col("s"))).first()[0] or 0.0
-    shards = max(parts, int(work // SHARD_PAIRS) + 1)
+    shards = int(work // SHARD_PAIRS) + 1
     shard = F.pmod(F.xxhash64("lang", "term"), F.lit(shards)).cast("int").alias("shard")
     copies = sums.withColumn("term", F.lit(None).cast("string")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     rows = kept.select("lang", "source", "term", "n", none.alias("docs"), shard).unionByName(copies.select("lang", "source", "term", "n", "docs", "shard"))
