@@ -308,6 +308,26 @@ def _cell_share(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.S
 cell_share = _cell_share.asNondeterministic()
 
 
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
+def covers_each(shapes: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+    """For each polygon WKB of a list, whether it covers the row's point, boundary included; null polygons cover all points, null points are covered by no polygon."""
+    known: dict[bytes, list[Polygon]] = {}
+
+    def one(g, px: float, py: float) -> bool:
+        if g is None:
+            return True
+        if px != px or py != py:
+            return False
+        g = bytes(g)
+        if g not in known:
+            if len(known) >= 256:
+                known.clear()
+            known[g] = polygons(g)
+        return covers(known[g], px, py)
+
+    return pd.Series([None if s is None else [one(g, px, py) for g in s] for s, px, py in zip(shapes, x, y)], dtype=object)
+
+
 @F.pandas_udf(T.DoubleType())
 def polygon_area(wkb: pd.Series) -> pd.Series:
     return pd.Series([None if g is None else area(polygons(bytes(g))) for g in wkb], dtype=float)

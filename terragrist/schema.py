@@ -102,6 +102,14 @@ def invalid_rows(df: DataFrame) -> DataFrame:
     return df.withColumn("fault", row_fault()).filter("fault is not null")
 
 
+def checked(df: DataFrame) -> DataFrame:
+    """The conformed table; a row that breaks a rule raises when it is computed. The rules hang on curve_scale, so that filters on other columns still reach the scan."""
+    out = conform(df)
+    fault = row_fault()
+    told = F.raise_error(F.concat(F.lit("invalid hazard row: "), fault, F.lit(" in "), F.to_json(F.struct(*ROW_KEY)))).cast("double")
+    return out.select(*[F.when(fault.isNull(), F.col(c)).otherwise(told).alias(c) if c == "curve_scale" else F.col(c) for c in COLUMNS])
+
+
 def duplicate_keys(df: DataFrame) -> DataFrame:
     """Row keys that occur more than once, with `n`."""
     return df.groupBy(*ROW_KEY).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
