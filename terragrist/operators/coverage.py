@@ -6,12 +6,13 @@ clipped, whatever the number of their candidates. The share is computed once, in
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from terragrist.functions.cells import coverage_parent_resolution, parent_of_string
 from terragrist.functions.geometry import cell_share
+from terragrist.operators.spatial import box_pairs
 from terragrist.sources.publish import publish
 
 #: A polygon contains a cell if it covers all of its area but for rounding.
@@ -28,7 +29,9 @@ def with_counts(candidates: DataFrame) -> DataFrame:
 
 def shares(candidates: DataFrame, polys: DataFrame, cells: DataFrame, rid: str = "poly_rid", geom: str = "geom_wkb") -> DataFrame:
     """(hex_id, poly_rid, cnt, pct): candidates with their share of the cell, not clamped, zero shares dropped."""
-    j = with_counts(candidates).join(polys.select(F.col(rid).alias("poly_rid"), F.col(geom).alias("g")), "poly_rid").join(cells.select("hex_id", "cell_wkb"), "hex_id")
+    # Dealt by cell into a fixed number of tasks, as pairs are small and their clipping is not; the count and the cells' join then need no shuffle of their own.
+    dealt = candidates.repartition(int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions")), "hex_id")
+    j = with_counts(dealt).join(cells.select("hex_id", "cell_wkb"), "hex_id").join(polys.select(F.col(rid).alias("poly_rid"), F.col(geom).alias("g")), "poly_rid")
     return j.select("hex_id", "poly_rid", "cnt", cell_share("g", "cell_wkb").alias("pct")).filter("pct > 0")
 
 
@@ -74,18 +77,11 @@ def envelopes(polys: DataFrame, group: str) -> DataFrame:
     return polys.groupBy(group).agg(F.min("xmin").alias("xmin"), F.min("ymin").alias("ymin"), F.max("xmax").alias("xmax"), F.max("ymax").alias("ymax"))
 
 
-def boxes_meet(a: str, b: str) -> Column:
-    c = lambda t, n: F.col(f"{t}.{n}")
-    return (c(a, "xmin") <= c(b, "xmax")) & (c(a, "xmax") >= c(b, "xmin")) & (c(a, "ymin") <= c(b, "ymax")) & (c(a, "ymax") >= c(b, "ymin"))
+def border_hexes(cells: DataFrame, edges: DataFrame, countries: DataFrame, country: str) -> DataFrame:
+    """Edge cells, and cells whose bounds meet the bounds of another country, once each. cells and countries carry bounds columns.
 
-
-def border_hexes(cells: DataFrame, edges: DataFrame, countries: DataFrame, country: str, limit: int = 10_000) -> DataFrame:
-    """Edge cells, and cells whose bounds meet the bounds of another country. cells and countries carry bounds columns.
-
-    Countries are a closed list; a longer one than `limit` is refused rather than broadcast.
+    A spatial join, for any number of countries; a cell that many countries meet is one row a country before it is made one.
     """
     others = countries.filter(F.col("adm0_iso") != country)
-    if others.count() > limit:
-        raise ValueError(f"more than {limit} countries")
-    near = cells.alias("c").join(F.broadcast(others.alias("o")), boxes_meet("c", "o"), "left_semi").select("hex_id")
+    near = box_pairs(cells, others, "hex_id", "adm0_iso").select("hex_id")
     return near.unionByName(edges.select("hex_id")).distinct()

@@ -13,7 +13,7 @@ from terragrist.functions import cells, fitting, geometry, hexgrid
 from terragrist.functions.curves import FAMILIES, quantile
 from terragrist.functions.impacts import ImpactSpec, LinearImpact, PiecewiseLinearImpact, SigmoidImpact
 from terragrist.operators import coverage as cov
-from terragrist.operators import indexing, lookup, tiles
+from terragrist.operators import indexing, lookup, spatial, tiles
 from terragrist.operators.portfolio import Assets, Evaluation
 from terragrist.plans import surrogates as s
 from terragrist.sources import raster
@@ -173,6 +173,25 @@ def portfolio_missing(spark, sf_dir):
     return Evaluation(c, Assets(s.assets(spark, sf_dir), cell_col="cell_index", passthrough=())).missing()
 
 
+_UNEVEN = f"{s.with_sql('assets', 'curves')}, uneven AS (SELECT * FROM curves WHERE NOT (cell_index % 7 = 0 AND horizon = 2030) UNION ALL SELECT * REPLACE ('t' AS source_id) FROM curves WHERE cell_index % 10 = 3)"
+
+
+def uneven_curves(spark, sf_dir) -> DataFrame:
+    """Curves of which some lack and some come twice."""
+    c = s.curves(spark, sf_dir)
+    return c.filter("not (cell_index % 7 = 0 and horizon = 2030)").unionByName(c.filter("cell_index % 10 = 3").withColumn("source_id", F.lit("t")))
+
+
+@query(
+    f"{_UNEVEN}, n AS (SELECT asset_id, CAST(count(source_id) AS INTEGER) AS n_curves, CAST(count(DISTINCT CASE WHEN source_id IS NOT NULL THEN struct_pack(h := hazard_name, o := horizon, p := pathway) END) AS INTEGER) AS n_scenarios "
+    "FROM assets LEFT JOIN uneven USING (cell_index) GROUP BY 1) SELECT *, n_curves > n_scenarios AS ambiguous, n_scenarios < 4 AS incomplete FROM n"
+)
+def portfolio_judged(spark, sf_dir):
+    """What the guards say of every asset, as they count it while values are written."""
+    e = Evaluation(uneven_curves(spark, sf_dir), Assets(s.assets(spark, sf_dir), cell_col="cell_index", passthrough=())).return_periods(PERIODS)
+    return e.judged(len(e.scenarios())).select("asset_id", "n_curves", "n_scenarios", "ambiguous", "incomplete")
+
+
 @query(f"{s.with_sql('curves')} SELECT * FROM curves WHERE hazard_name = 'flood' AND horizon = 2050 AND pathway = 'ssp245' AND cell_index = 42")
 def hazard_filter(spark, sf_dir):
     return select_rows(s.curves(spark, sf_dir), HazardQuery("flood", 2050, "ssp245", 42)).drop("source_geometry")
@@ -412,14 +431,15 @@ def needed_union(spark, sf_dir):
     return c.filter("poly_rid % 3 = 0").select("hex_id").unionByName(c.filter("poly_rid % 5 = 0").select("hex_id")).distinct()
 
 
-# Rectangles: polygons from suppliers, square cells from parts, so that overlaps have a closed form.
-_BOXES = """polys AS (SELECT s_suppkey AS poly_rid, s_nationkey AS adm0, CAST(s_suppkey % 10 AS DOUBLE) AS x0, CAST(s_suppkey // 10 % 10 AS DOUBLE) AS y0, s_suppkey % 10 + 1 + s_nationkey % 5 * 0.25 AS x1, s_suppkey // 10 % 10 + 1.5 AS y1 FROM supplier WHERE s_suppkey <= 100),
-squares AS (SELECT p_partkey AS hex, p_partkey % 40 * 0.3 AS cx, p_partkey // 40 % 40 * 0.3 AS cy FROM part WHERE p_partkey <= 1600)"""
+# Rectangles: polygons from suppliers, square cells from parts, so that overlaps have a closed form. 100 polygons and 1600 cells a tile of 12 by 12, tiles upwards.
+_BOXES = """polys AS (SELECT s_suppkey AS poly_rid, s_nationkey AS adm0, CAST(s_suppkey % 10 AS DOUBLE) AS x0, CAST(s_suppkey // 10 % 10 + 12 * ((s_suppkey - 1) // 100) AS DOUBLE) AS y0,
+  CAST(s_suppkey % 10 + 1 + s_nationkey % 5 * 0.25 AS DOUBLE) AS x1, CAST(s_suppkey // 10 % 10 + 1.5 + 12 * ((s_suppkey - 1) // 100) AS DOUBLE) AS y1 FROM supplier),
+squares AS (SELECT p_partkey AS hex, CAST(p_partkey % 40 AS DOUBLE) * CAST(0.3 AS DOUBLE) AS cx, CAST(p_partkey // 40 % 40 AS DOUBLE) * CAST(0.3 AS DOUBLE) + CAST(12 * ((p_partkey - 1) // 1600) AS DOUBLE) AS cy FROM part)"""
 _OVERLAP = "greatest(0.0, least(x1, cx + 0.3) - greatest(x0, cx)) * greatest(0.0, least(y1, cy + 0.3) - greatest(y0, cy))"
 
 
 def _boxes(spark, sf_dir, globe: bool = False):
-    """All suppliers and parts: 100 polygons and 1600 cells a tile of 12 by 12, as in the SQL's only one; more tiles follow to the north, on the `globe` eastwards first.
+    """All suppliers and parts: 100 polygons and 1600 cells a tile of 12 by 12; tiles follow to the north, on the `globe` eastwards first.
 
     Each tile holds as many whatever the table, so work grows with the rows. On the globe tiles are used again after 98.
     """
@@ -437,17 +457,9 @@ def _boxes(spark, sf_dir, globe: bool = False):
     return p.withColumn("geom_wkb", wkb), c.withColumn("cell_wkb", wkb)
 
 
-def _in_squares(boxes: DataFrame) -> DataFrame:
-    """A row for each unit grid square that a box lies in."""
-    lo, hi = (F.floor(F.col(x) - 1e-9).cast("int") for x in ("xmin", "ymin")), (F.floor(F.col(x) + 1e-9).cast("int") for x in ("xmax", "ymax"))
-    (x0, y0), (x1, y1) = lo, hi
-    return boxes.withColumn("gx", F.explode(F.sequence(x0, x1))).withColumn("gy", F.explode(F.sequence(y0, y1)))
-
-
 def _box_candidates(p: DataFrame, c: DataFrame) -> DataFrame:
-    """Cells and polygons that meet, by an equi-join on unit grid squares that both lie in."""
-    a, b = _in_squares(p.drop("geom_wkb")).alias("p"), _in_squares(c.drop("cell_wkb")).alias("c")
-    return a.join(b, (F.col("p.gx") == F.col("c.gx")) & (F.col("p.gy") == F.col("c.gy")) & cov.boxes_meet("p", "c")).select("c.hex_id", "p.poly_rid").distinct()
+    """Cells and polygons that meet."""
+    return spatial.box_pairs(c, p, "hex_id", "poly_rid")
 
 
 @query(f"WITH {_BOXES} SELECT CAST(hex AS VARCHAR) AS hex_id, CAST(adm0 AS VARCHAR) AS adm0_iso, poly_rid AS adm2_id, {_r6(_OVERLAP + ' / 0.09')} AS pct FROM polys, squares WHERE {_OVERLAP} / 0.09 > 1e-9")
@@ -460,7 +472,8 @@ def coverage_exploded(spark, sf_dir):
 @query(f"WITH {_BOXES} SELECT CAST(hex AS VARCHAR) AS hex_id, poly_rid, {_r6(_OVERLAP)} AS area FROM polys, squares WHERE {_OVERLAP} > 1e-9")
 def clip_area(spark, sf_dir):
     p, c = _boxes(spark, sf_dir)
-    j = _box_candidates(p, c).join(p.select("poly_rid", "geom_wkb"), "poly_rid").join(c.select("hex_id", "cell_wkb"), "hex_id")
+    pairs = _box_candidates(p, c).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "hex_id")
+    j = pairs.join(c.select("hex_id", "cell_wkb"), "hex_id").join(p.select("poly_rid", "geom_wkb"), "poly_rid")
     return j.select("hex_id", "poly_rid", geometry.overlap_area("geom_wkb", "cell_wkb").alias("area")).filter("area > 1e-9").withColumn("area", r6("area"))
 
 
@@ -470,9 +483,7 @@ _SHARED = "greatest(0.0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0.
 @query(f"WITH {_BOXES} SELECT a.poly_rid AS a, b.poly_rid AS b, {_r6(_SHARED)} AS area FROM polys a JOIN polys b ON a.adm0 = b.adm0 AND a.poly_rid < b.poly_rid WHERE {_SHARED} > 1e-9")
 def overlay_area(spark, sf_dir):
     p, _ = _boxes(spark, sf_dir)
-    a, b = _in_squares(p.drop("geom_wkb")).alias("a"), _in_squares(p.drop("geom_wkb")).alias("b")
-    same = (F.col("a.gx") == F.col("b.gx")) & (F.col("a.gy") == F.col("b.gy"))
-    pairs = a.join(b, same & (F.col("a.adm0_iso") == F.col("b.adm0_iso")) & (F.col("a.poly_rid") < F.col("b.poly_rid")) & cov.boxes_meet("a", "b")).select(F.col("a.poly_rid").alias("a"), F.col("b.poly_rid").alias("b")).distinct()
+    pairs = spatial.box_pairs(p.withColumnRenamed("poly_rid", "a"), p.withColumnRenamed("poly_rid", "b"), "a", "b", on=["adm0_iso"]).filter("a < b")
     side = lambda n: p.select(F.col("poly_rid").alias(n), F.col("geom_wkb").alias(f"{n}_wkb"))
     out = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", geometry.shared_area("a_wkb", "b_wkb").alias("area"))
     return out.filter("area > 1e-9").withColumn("area", r6("area"))

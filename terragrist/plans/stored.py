@@ -13,7 +13,7 @@ from terragrist.operators.portfolio import Assets, Evaluation, write_quantile, w
 from terragrist.plans import surrogates as s
 from terragrist.plans.queries import _BOXES, _CONTRACT, _OVERLAP, _PORTFOLIO, _RPS, _SHARED, PERIODS, _box_candidates, _boxes, _r6, _rounded, _value_sql, query, r6
 from terragrist.schema import COLUMNS, HazardMetadata, Source
-from terragrist.sources.hazard import HazardQuery, LocalProvider, read_hazard, read_metadata, write_hazard, write_hazard_batches
+from terragrist.sources.hazard import HazardQuery, LocalProvider, read_bucketed, read_hazard, read_metadata, write_bucketed, write_hazard, write_hazard_batches
 from terragrist.sources.inventory import Inventory
 from terragrist.sources.publish import work_folder, write_bytes
 from terragrist.sources.vector import asset_source, measure, read_union, read_vector
@@ -56,6 +56,15 @@ def portfolio_written(spark, sf_dir):
     return _rounded(found).withColumn("unit", F.lit(said["unit"]))
 
 
+@query(f"{s.with_sql('assets', 'curves')} {_PORTFOLIO}, {_RPS} FROM assets JOIN curves USING (cell_index) WHERE horizon = 2050")
+def portfolio_bucketed(spark, sf_dir):
+    """Curves in buckets by cell, which assets join without a shuffle of the curves."""
+    path = f"{work_folder(spark, 'hazard')}/bucketed.parquet"
+    write_bucketed(s.curves(spark, sf_dir), path, _ABOUT, buckets=8)
+    e = Evaluation(read_bucketed(spark, path), Assets(s.assets(spark, sf_dir), cell_col="cell_index", passthrough=("sector",)))
+    return _rounded(e.select(horizons=[2050]).return_periods(PERIODS).evaluate(skewnorm=False, spread=True))
+
+
 @query(f"{s.with_sql('curves')} SELECT cell_index, horizon, pathway, {_r6('least(1.0, greatest(0.0, 0.01 * (' + _value_sql('0.96') + ') + 0.05))')} AS share_rp25, {_r6('least(1.0, greatest(0.0, 0.01 * (' + _value_sql('0.99') + ') + 0.05))')} AS share_rp100 FROM curves")
 def quantiles_written(spark, sf_dir):
     path = f"{work_folder(spark, 'quantiles')}/wide.parquet"
@@ -84,11 +93,11 @@ _RECT = f"WITH {_BOXES} SELECT CAST(poly_rid AS VARCHAR) AS rid, x0 AS xmin, y0
 
 
 def _rectangles(spark, sf_dir):
-    """The supplier rectangles of the first tile, as text."""
+    """The supplier rectangles, as text."""
     p, _ = _boxes(spark, sf_dir)
     edge = lambda a, b: F.concat_ws(" ", a, b)
     x0, y0, x1, y1 = (F.col(c).cast("string") for c in ("xmin", "ymin", "xmax", "ymax"))
-    return p.filter("poly_rid <= 100").withColumn("wkt", F.concat(F.lit("POLYGON (("), F.concat_ws(", ", edge(x0, y0), edge(x1, y0), edge(x1, y1), edge(x0, y1), edge(x0, y0)), F.lit("))")))
+    return p.withColumn("wkt", F.concat(F.lit("POLYGON (("), F.concat_ws(", ", edge(x0, y0), edge(x1, y0), edge(x1, y1), edge(x0, y1), edge(x0, y0)), F.lit("))")))
 
 
 def _bounds(df):
@@ -173,9 +182,8 @@ def portfolio_polygons(spark, sf_dir):
 
 @query(f"WITH {_BOXES}, c AS (SELECT hex, poly_rid, {_OVERLAP} / 0.09 AS pct, cx <= x1 AND cx + 0.3 >= x0 AND cy <= y1 AND cy + 0.3 >= y0 AS near FROM squares, polys) SELECT CAST(hex AS VARCHAR) AS hex_id FROM c WHERE near GROUP BY hex HAVING count(*) = 1 AND max(pct) > 1e-12 AND max(pct) < 1 - 1e-9")
 def edge_hexes(spark, sf_dir):
-    """Cells with one candidate that does not hold all of them. Tiles after the first are left out, as in the SQL's rectangles."""
+    """Cells with one candidate that does not hold all of them."""
     p, c = _boxes(spark, sf_dir)
-    p, c = p.filter("poly_rid <= 100"), c.filter("cast(hex_id as long) <= 1600")
     return cov.edge_hexes(_box_candidates(p, c), p, c)
 
 
@@ -184,17 +192,17 @@ def edge_hexes(spark, sf_dir):
     "SELECT poly_rid AS adm2_rid, CAST(adm0 AS VARCHAR) AS adm0_iso, adm1_id, adm1_name FROM polys LEFT JOIN (SELECT rid, arg_max('d' || (1000 + other), struct_pack(a := area, o := -other)) AS adm1_id, arg_max('District ' || other, struct_pack(a := area, o := -other)) AS adm1_name FROM pairs WHERE area > 1e-12 GROUP BY 1) ON rid = poly_rid"
 )
 def districts(spark, sf_dir):
-    """Every rectangle of the first tile with the one of its country, of each third, that shares most with it."""
+    """Every rectangle with the one of its country, of each third, that shares most with it."""
     p, _ = _boxes(spark, sf_dir)
-    p = p.filter("poly_rid <= 100").select(F.col("poly_rid").alias("adm2_rid"), "adm0_iso", "geom_wkb")
+    p = p.select(F.col("poly_rid").alias("adm2_rid"), "adm0_iso", "geom_wkb")
     one = p.filter("adm2_rid % 3 = 0").select(F.concat(F.lit("d"), (1000 + F.col("adm2_rid")).cast("string")).alias("adm1_id"), F.concat(F.lit("District "), F.col("adm2_rid").cast("string")).alias("adm1_name"), "adm0_iso", "geom_wkb")
     return admin.enrich_districts(p, one).drop("geom_wkb")
 
 
-@query(f"WITH {_BOXES}, country AS (SELECT adm0, min(x0) AS a, min(y0) AS b, max(x1) AS c, max(y1) AS d FROM polys GROUP BY 1) SELECT CAST(hex AS VARCHAR) AS hex_id FROM (SELECT hex, hex % 40 * third AS cx, hex // 40 % 40 * third AS cy, third FROM squares, (SELECT CAST(0.3 AS DOUBLE) AS third)) WHERE hex % 50 = 1 OR EXISTS (SELECT 1 FROM country WHERE adm0 BETWEEN 1 AND 2 AND cx <= c AND cx + third >= a AND cy <= d AND cy + third >= b)")
+@query(f"WITH {_BOXES}, country AS (SELECT adm0, min(x0) AS a, min(y0) AS b, max(x1) AS c, max(y1) AS d FROM polys GROUP BY 1) SELECT CAST(hex AS VARCHAR) AS hex_id FROM (SELECT hex, cx, cy, CAST(0.3 AS DOUBLE) AS third FROM squares) WHERE hex % 50 = 1 OR EXISTS (SELECT 1 FROM country WHERE adm0 BETWEEN 1 AND 2 AND cx <= c AND cx + third >= a AND cy <= d AND cy + third >= b)")
 def border_with_edges(spark, sf_dir):
     p, c = _boxes(spark, sf_dir)
-    p, c = p.filter("poly_rid <= 100 and adm0_iso in ('1', '2', '7')"), c.filter("cast(hex_id as long) <= 1600")
+    p = p.filter("adm0_iso in ('1', '2', '7')")
     return cov.border_hexes(c.drop("cell_wkb"), c.filter("cast(hex_id as long) % 50 = 1").select("hex_id"), cov.envelopes(p, "adm0_iso"), "7")
 
 
@@ -202,7 +210,6 @@ def border_with_edges(spark, sf_dir):
 def cached_cells(spark, sf_dir):
     """Geometries of candidate cells, all of them known."""
     p, c = _boxes(spark, sf_dir)
-    p, c = p.filter("poly_rid <= 100"), c.filter("cast(hex_id as long) <= 1600")
     found = indexing.cell_geometries(_box_candidates(p, c), cache=c).withColumn("e", geometry.extent("cell_wkb"))
     return found.select("hex_id", r6("e.xmin").alias("xmin"), r6("e.ymin").alias("ymin"))
 
