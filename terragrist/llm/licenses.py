@@ -39,27 +39,50 @@ NOTICE_PHRASES = {
 }
 TAG = "spdx license identifier"
 
-#: Lower-case identifiers of an expression to labels. Fixed values; others count if they belong to a family or are references.
+#: Lower-case identifiers of an expression to labels. Fixed values; those of a family and references count too, and others as in _accepted.
 IDENTIFIERS = {"mit": "mit", "apache-2.0": "apache", "isc": "isc", "cc0-1.0": "cc0", "unlicense": "unlicense"}
 FAMILIES = ("agpl", "lgpl", "gpl", "bsd", "mpl", "epl", "cc-by-nc", "cc-by-sa", "cc-by-nd", "cc-by", "apache")
+#: Identifiers without a number that are labels of their own.
+PLAIN = frozenset(("zlib", "0bsd", "wtfpl", "postgresql", "openssl", "ncsa", "x11", "hpnd", "beerware", "curl", "ftl", "ijg", "libpng", "ms-pl", "ms-rl", "ruby", "sleepycat", "tcl", "vim", "w3c", "naist-2003", "fsfap", "json", "none", "noassertion"))
 
 #: Licences whose works may be used freely, for the score of an expression.
-OPEN = frozenset(("mit", "apache", "bsd", "isc", "cc0", "unlicense", "public-domain", "cc-by"))
+OPEN = frozenset(("mit", "apache", "bsd", "isc", "cc0", "unlicense", "public-domain", "cc-by", "zlib", "0bsd", "mit-0", "bsl-1.0", "wtfpl", "postgresql", "ncsa", "x11", "hpnd", "curl", "ftl", "libpng", "artistic-2.0", "python-2.0", "psf-2.0", "ofl-1.1", "blueoak-1.0.0", "upl-1.0"))
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
-_TOKEN = re.compile(r"\(|\)|[a-z0-9.+-]+")
-_TAGGED = re.compile(r"spdx-license-identifier:[ \t]*([a-z0-9.+() \t-]*)")
+_TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.+:-]+")
+_TAGGED = re.compile(r"spdx-license-identifier:[ \t]*([a-z0-9.+():\x20\t-]*)", re.IGNORECASE | re.ASCII)
+_STRENGTH = {"or": 1, "and": 2, "with": 3}
 
 
 def label_of(identifier: str) -> str | None:
-    """The label of a licence identifier; None for any other word."""
+    """The label of a known licence identifier; None for any other word."""
     name = identifier.strip(".-").rstrip("+")
-    if name.startswith(("licenseref-", "documentref-")):
+    if name.startswith(("licenseref-", "documentref-")) or name in PLAIN:
         return name
     return IDENTIFIERS.get(name) or next((f for f in FAMILIES if name == f or name.startswith(f"{f}-")), None)
 
 
+def _accepted(token: str, before: str | None, after: str | None) -> str | None:
+    """The label of an operand, given the tokens around it; None if it is prose.
+
+    Known identifiers always count, and exceptions after WITH. Other words count if the grammar around them holds and they look like identifiers: with
+    a digit or a hyphen, or next to an operator or bracket in capitals or alone behind the tag. What follows them must be an operator, a closing bracket or the end.
+    """
+    name = token.lower().strip(".-:")
+    if not name:
+        return None
+    known = label_of(name) if before is None or before.lower() != "with" else name if "exception" in name else None
+    if known:
+        return known
+    if after is not None and after != ")" and after.lower() not in _STRENGTH:
+        return None
+    alone = before is None and after is None
+    formal = any(t is not None and (t in "()" or t.isupper() and t.lower() in _STRENGTH) for t in (before, after))
+    shaped = bool(re.search(r"[0-9]|[a-z]-[a-z]", name)) and bool(re.search("[a-z]", name))
+    return name.rstrip("+") if shaped or formal or alone else None
+
+
 @dataclass(frozen=True)
 class Expression:
     """A parsed expression: the labels it names and the share of them that is open (OR takes the best branch, AND the worst)."""
@@ -69,16 +92,16 @@ class Expression:
 
 
 def parse_expression(text: str) -> Expression | None:
-    """Shunting-yard over lower-case `a AND (b OR c WITH d)`: WITH binds closest, then AND, then OR.
+    """Shunting-yard over `a AND (b OR c WITH d)`: WITH binds closest, then AND, then OR; operators in any case.
 
-    Reads the longest well-formed head of the text, as a tag may be followed by prose: it ends before the first word that is no known
-    identifier, or after WITH no exception. Exceptions are labels of their own. None if there is no identifier.
+    Reads the longest well-formed head of the text, as a tag may be followed by prose: it ends before the first word that is no operand by
+    _accepted. Exceptions, and identifiers that are not known, are labels of their own. None if there is no identifier.
     """
-    strength = {"or": 1, "and": 2, "with": 3}
     tokens = _TOKEN.findall(text)
     # cut where two operands meet or a bracket closes too much, as prose begins there
     depth, head, operand = 0, [], False
-    for t in tokens:
+    for i, t in enumerate(tokens):
+        low, after = t.lower(), tokens[i + 1] if i + 1 < len(tokens) else None
         if t == "(":
             if operand:
                 break
@@ -87,22 +110,24 @@ def parse_expression(text: str) -> Expression | None:
             if not operand or not depth:
                 break
             depth -= 1
-        elif t in strength:
+        elif low in _STRENGTH:
             if not operand:
                 break
             operand = False
-            head.append(t)
+            head.append((low, None))
             continue
         else:
-            known = "exception" in t if head and head[-1] == "with" else label_of(t)
-            if operand or not known:
+            label = None if operand else _accepted(t, tokens[i - 1] if i else None, after)
+            if label is None:
                 break
             operand = True
-        head.append(t)
-    while head and (head[-1] in strength or head[-1] == "("):
-        depth -= head[-1] == "("
+            head.append((low, label))
+            continue
+        head.append((t, None))
+    while head and (head[-1][0] in _STRENGTH or head[-1][0] == "("):
+        depth -= head[-1][0] == "("
         head.pop()
-    head += [")"] * max(0, depth)
+    head += [(")", None)] * max(0, depth)
 
     values: list[Expression] = []
     ops: list[str] = []
@@ -116,21 +141,20 @@ def parse_expression(text: str) -> Expression | None:
         else:
             values.append(Expression(a.labels | b.labels, max(a.openness, b.openness)))
 
-    for t in head:
-        if t == "(":
+    for t, label in head:
+        if label is not None:
+            values.append(Expression(frozenset([label]), float(label in OPEN)))
+        elif t == "(":
             ops.append(t)
         elif t == ")":
             while ops and ops[-1] != "(":
                 apply()
             if ops:
                 ops.pop()
-        elif t in strength:
-            while ops and ops[-1] != "(" and strength[ops[-1]] >= strength[t]:
+        else:
+            while ops and ops[-1] != "(" and _STRENGTH[ops[-1]] >= _STRENGTH[t]:
                 apply()
             ops.append(t)
-        else:
-            label = t.strip(".-") if ops and ops[-1] == "with" else label_of(t)
-            values.append(Expression(frozenset([label]), float(label in OPEN)))
     while ops:
         if ops[-1] == "(":
             ops.pop()
@@ -172,7 +196,7 @@ class Scanner:
         starts = [line.count(" ", 0, p) for p in (places[0], places[-1])] if places else []
         openness = [float(x in OPEN) for x in more | base]
         if tagged:
-            for m in _TAGGED.finditer(low):
+            for m in _TAGGED.finditer(text):
                 e = parse_expression(m[1])
                 if e:
                     more |= e.labels

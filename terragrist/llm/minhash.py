@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from terragrist.llm.components import connected_components
-from terragrist.llm.shared import Scratch, free
+from terragrist.llm.shared import Scratch, boxed, free, unboxed
 from terragrist.llm.words import mix, shingle_set, utf8_views, word_hashes
 
 #: Documents of one side of a block whose sets are compared in one go.
@@ -205,22 +205,22 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts of the group, the one with the smallest hash; of equal rows one. Texts without words are no copies of anything and all stay. An
     empty table stays empty.
     """
-    marks = {"__text": F.xxhash64(text_col), "__no_id": F.col(id_col).isNull(), "__id": F.coalesce(F.col(id_col).cast("long"), F.lit(0))}
+    marks = {"of": F.xxhash64(text_col), "no_id": F.col(id_col).isNull(), "id": F.coalesce(F.col(id_col).cast("long"), F.lit(0))}
     key = list(marks)
-    marked = docs.select("*", *[c.alias(x) for x, c in marks.items()])
-    texts = docs.select(marks["__text"].alias("doc_id"), F.col(text_col).alias("text"))
+    marked = boxed(docs, **marks)
+    texts = docs.select(marks["of"].alias("doc_id"), F.col(text_col).alias("text"))
     classes, feats, named, scratch = _components(texts, width, percent, coordinates, matches, seed)
     groups = _in_classes(feats.filter("n > 0").select("doc_id", "n", "fa", "fb").distinct(), classes, named)
     rows = marked.groupBy(*key).agg(F.count(F.lit(1)).alias("times"))
-    rows = scratch.table(rows.join(groups.select(F.col("doc_id").alias("__text"), F.col("component_id").alias("group")), "__text"), "rows")
+    rows = scratch.table(rows.join(groups.select(F.col("doc_id").alias("of"), F.col("component_id").alias("group")), "of"), "rows")
     # Groups of one row need no decision; those of several are few enough to go to every task, or are joined by a shuffle.
-    firsts = rows.groupBy("group").agg(F.min(F.struct("__no_id", "__id", "__text")).alias("first"), F.count(F.lit(1)).alias("members"), F.max("times").alias("most"))
+    firsts = rows.groupBy("group").agg(F.min(F.struct("no_id", "id", "of")).alias("first"), F.count(F.lit(1)).alias("members"), F.max("times").alias("most"))
     firsts = scratch.table(firsts.filter("members > 1 or most > 1").select("group", "first"), "firsts")
-    rows = scratch.table(rows.join(_small(firsts), "group").withColumn("gone", F.struct("__no_id", "__id", "__text") != F.col("first")).filter("gone or times > 1").select(*key, "gone"), "marked")
+    rows = scratch.table(rows.join(_small(firsts), "group").withColumn("gone", F.struct("no_id", "id", "of") != F.col("first")).filter("gone or times > 1").select(*key, "gone"), "marked")
     scratch.drop_all_but("marked")
     gone, repeated = _small(rows.select(*key)), _small(rows.filter("not gone").select(*key))
-    once = marked.join(gone, key, "left_anti").select(*docs.columns)
-    return once.unionByName(marked.join(repeated, key, "left_semi").dropDuplicates(key).select(*docs.columns))
+    once = unboxed(marked.join(gone, key, "left_anti"), docs.columns)
+    return once.unionByName(unboxed(marked.join(repeated, key, "left_semi").dropDuplicates(key), docs.columns))
 
 
 def _in_classes(rows: DataFrame, classes: DataFrame, named: DataFrame) -> DataFrame:

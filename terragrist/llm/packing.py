@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Equal rows that are placed as one; more are several such rows, in shards of their own.
+PIECE = 65_536
+
+
 def optimal_buckets(counts: Sequence[int], totals: Sequence[int], longest: Sequence[int], buckets: int) -> list[int]:
     """Last bin of each bucket, such that the sum of padding to each bucket's longest row is least; ties to earlier splits.
 
@@ -71,8 +75,8 @@ def pack(rows: DataFrame, id_col: str, length_col: str, *, buckets: int = 16, to
 
     `bucket_len` is the padded length of the row's bucket, `batch` a number within the bucket. A batch holds
     max(1, token_budget // bucket_len) rows, so a row longer than the budget is a batch of its own. Null lengths count as
-    0. Repeated rows and ids each take a place (null ids too). Rows of a bucket are placed by shard (from the id), then id, then length. An empty table gives an
-    empty result.
+    0. Repeated rows and ids each take a place (null ids too). Rows of a bucket are placed by shard (from the id), then id, then length; of more than
+    `PIECE` equal rows each further piece goes to the next shard. An empty table gives an empty result. Other columns are not looked at.
     """
     r = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(length_col).cast("long"), F.lit(0)).alias("n_tokens"))
     hist = r.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).toArrow()
@@ -86,13 +90,15 @@ def pack(rows: DataFrame, id_col: str, length_col: str, *, buckets: int = 16, to
         inside = F.col("n_tokens") <= bounds[k]
         bucket, size = F.when(inside, k).otherwise(bucket), F.when(inside, F.lit(bounds[k])).otherwise(size)
     shard = F.pmod(F.coalesce(F.col("doc_id") + F.expr(f"doc_id div {shards}"), F.col("n_tokens")), F.lit(shards))
-    # Equal rows are one row with a count until the end, so that one id or many null ids cannot fill a shard.
-    r = r.groupBy("doc_id", "n_tokens").agg(F.count(F.lit(1)).alias("rows"))
-    r = r.select("doc_id", "n_tokens", "rows", bucket.cast("int").alias("bucket"), size.cast("long").alias("bucket_len"), shard.alias("shard"))
+    # Equal rows are one row with a count until the end, in pieces of bounded size, so that one id or many null ids cannot fill a shard or a row.
+    r = r.groupBy("doc_id", "n_tokens").agg(F.count(F.lit(1)).alias("all"))
+    r = r.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(all - 1) div {PIECE}"))))
+    r = r.withColumn("rows", F.least(F.lit(PIECE).cast("long"), F.col("all") - F.col("piece") * PIECE))
+    r = r.select("doc_id", "n_tokens", "piece", "rows", bucket.cast("int").alias("bucket"), size.cast("long").alias("bucket_len"), F.pmod(shard + F.col("piece"), F.lit(shards)).alias("shard"))
     counts = r.groupBy("bucket", "shard").agg(F.sum("rows").alias("n"))
     before = Window.partitionBy("bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("bucket", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    within = Window.partitionBy("bucket", "shard").orderBy("doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("bucket", "shard").orderBy("doc_id", "n_tokens", "piece").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = r.withColumn("end", F.sum("rows").over(within)).join(F.broadcast(offsets), ["bucket", "shard"])  # buckets * shards rows at most
     first = F.col("before") + F.col("end") - F.col("rows")
     placed = placed.withColumn("place", F.explode(F.sequence(first, first + F.col("rows") - 1)))

@@ -9,7 +9,8 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,6 +32,17 @@ def free() -> None:
         session._jvm.System.gc()
 
 
+def boxed(docs: DataFrame, *apart: str, **marks: Column) -> DataFrame:
+    """The rows of `docs` as one column `doc`, beside columns of the operator's own, so that no name can clash, whatever characters it has. Columns `apart` stay beside it."""
+    inside = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns if c not in apart]
+    return docs.select(F.struct(*inside).alias("doc"), *apart, *[c.alias(name) for name, c in marks.items()])
+
+
+def unboxed(rows: DataFrame, columns: list[str], *apart: str) -> DataFrame:
+    """The columns that boxed() was given, in their order."""
+    return rows.select(*[F.col(c) if c in apart else F.col("doc").getField(c).alias(c) for c in columns])
+
+
 class Scratch:
     """Intermediate tables of one operator call, under one folder of their own."""
 

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from terragrist.llm import queries
@@ -59,6 +60,21 @@ def test_empty_corpus(spark, corpus, tmp_path):
         docs = out if set(docs.columns) <= set(out.columns) else docs
 
 
+def test_columns_with_the_names_of_marks_stay_as_they_are(spark, corpus):
+    marks = ["__text", "__id", "__no_id", "__lang", "__score", "lang_pred", "of", "id", "no_id", "doc", "row", "first", "gone", "a.b", "n", "sig", "group"]
+    docs = spark.read.parquet(f"{corpus}/documents.parquet")
+    for k, name in enumerate(marks):
+        docs = docs.withColumn(name, F.concat_ws("-", F.lit(k), F.col("doc_id").cast("string")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, corpus)
+        assert out.columns == docs.columns, name
+        got = out.select(*[F.col(f"`{c}`") for c in ("doc_id", *marks)]).collect()
+        assert len(got) > 50
+        for r in got:
+            tail = "" if r[0] is None else f"-{r[0]}"
+            assert list(r)[1:] == [f"{k}{tail}" for k in range(len(marks))], name
+
+
 def test_every_operator_has_a_query():
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 14)]
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)

@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from terragrist.llm import chat, forest, packing
 
@@ -87,6 +88,19 @@ def test_packing_places_every_row_once(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, n long"), "doc_id", "n").collect() == []
 
 
+def test_many_equal_rows_are_placed_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PIECE", 100)
+    rows = spark.range(25_030).selectExpr("if(id < 25000, null, id) as doc_id", "if(id < 25000, 7, id - 24990) as n_tokens").withColumn("piece", F.lit("clash"))
+    out = packing.pack(rows, "doc_id", "n_tokens", buckets=3, token_budget=70, shards=16)
+    assert out.count() == 25_030 and out.select("bucket", "batch", "slot").distinct().count() == 25_030
+    per = out.groupBy("bucket", "bucket_len").agg(F.max("slot").alias("slot"), F.max("batch").alias("batch"), F.count(F.lit(1)).alias("n")).collect()
+    for r in per:
+        each = max(1, 70 // r["bucket_len"])
+        assert r["slot"] == min(each, r["n"]) - 1 and r["batch"] == -(-r["n"] // each) - 1  # places without gaps
+    # every array that is exploded is of PIECE or of rows / PIECE numbers
+    assert "explode(sequence(0, " in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_fold_deltas_edits_and_regenerations(spark):
     log = [
         (1, 1, "message", 0, "user", "hi"),

@@ -99,6 +99,51 @@ def test_license_expressions():
     assert parse(") and (") is None and parse("") is None
 
 
+def test_no_identifier_is_lost():
+    labels = lambda t: sorted(licenses.parse_expression(t).labels) if licenses.parse_expression(t) else []
+    assert labels("Zlib OR MIT") == ["mit", "zlib"] and labels("0BSD") == ["0bsd"] and labels("Artistic-2.0") == ["artistic-2.0"] and labels("BSL-1.0") == ["bsl-1.0"]
+    assert labels("MIT AND (Zlib OR ISC)") == ["isc", "mit", "zlib"] and licenses.parse_expression("GPL-2.0 AND (Foo OR MIT)").openness == 0.0
+    assert labels("GPL-2.0-only WITH Linux-syscall-note OR MIT") == ["gpl", "linux-syscall-note", "mit"]
+    assert labels("Own-1.0 OR (Other AND MIT)") == ["mit", "other", "own-1.0"] and labels("Foo") == ["foo"]
+    assert labels("Foo is what we use") == [] and labels("mit and others") == ["mit"] and labels("MIT or later versions") == ["mit"] and labels("MIT AND some prose") == ["mit"]
+
+
+def test_random_expressions_equal_a_plain_evaluation():
+    """Trees written with as few brackets as their operators need, and with too many; then all labels and the openness by recursion."""
+    rng = random.Random(12)
+    leaves = [("MIT", "mit"), ("GPL-2.0-only", "gpl"), ("Foo-9", "foo-9"), ("Zlib", "zlib"), ("CC-BY-NC-4.0", "cc-by-nc")]
+
+    def tree(depth):
+        if not depth or rng.random() < 0.3:
+            text, label = rng.choice(leaves)
+            return text, {label}, float(label in licenses.OPEN), 4
+        op = rng.choice(["AND", "OR"])
+        (a, la, oa, sa), (b, lb, ob, sb) = tree(depth - 1), tree(depth - 1)
+        strength = {"OR": 1, "AND": 2}[op]
+        wrap = lambda t, s, least: f"({t})" if s < least or rng.random() < 0.2 else t
+        return f"{wrap(a, sa, strength)} {op} {wrap(b, sb, strength + 1)}", la | lb, (min if op == "AND" else max)(oa, ob), strength
+
+    for _ in range(400):
+        text, labels, openness, _ = tree(4)
+        assert licenses.parse_expression(text) == licenses.Expression(frozenset(labels), openness), text
+
+
+def test_random_texts_equal_a_plain_search(spark):
+    rng = random.Random(13)
+    pieces = ["CC", "by", "nc", "General", "public", "license", "all", "RIGHTS", "reserved", "mit", "é", "bsd", "4", ", ", "\n", "-", "SPDX-License-Identifier: MIT OR Zlib\n"]
+    texts = [None, ""] + [" ".join(rng.choice(pieces) for _ in range(rng.randrange(1, 60))) for _ in range(200)]
+    got = {r[0]: r for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+        found = lambda phrases: [(k, x) for p, x in phrases.items() for k in range(len(words)) if words[k : k + len(p.split())] == p.split()]  # noqa: B023, E731
+        base, more = found(licenses.BASE_PHRASES), found(licenses.NOTICE_PHRASES)
+        tagged = {"mit", "zlib"} if "spdx-license-identifier: mit or zlib" in low else set()
+        at = [k for k, _ in base]
+        assert tuple(got[i])[1:6] == (len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in base})))
+        assert set(got[i]["labels"].split(",")) - {""} == {x for _, x in [*base, *more]} | tagged
+
+
 def test_language_id_held_out(spark):
     rng = random.Random(5)
     syllables = {"xx": ["ba", "ko", "ri"], "yy": ["zu", "éf", "ml"]}
