@@ -12,15 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terragrist.llm import decontaminate, langid, minhash, packing, pii
-from terragrist.llm.shared import Scratch
+from terragrist.llm.shared import Scratch, boxed, unboxed
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is known and at least 0.4 certain."""
-    found = langid.identify(docs, langid.fit(docs), lang_out="__lang", score_out="__score")
-    return found.filter("__lang <> 'und' and __score >= 0.4").select(*docs.columns)
+    found = langid.identify(boxed(docs, "text"), langid.fit(docs))
+    return unboxed(found.filter("lang_pred <> 'und' and score >= 0.4"), docs.columns, "text")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,15 +31,15 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that overlap no benchmark item."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    texts = docs.withColumn("__text", F.xxhash64("text"))  # by text, as ids may be null or come with other texts
-    gone = decontaminate.contaminated_ids(texts, items, id_col="__text")
-    return _without(texts, gone.withColumnRenamed("doc_id", "__text"), "__text").select(*docs.columns)
+    texts = boxed(docs, of=F.xxhash64("text"))  # by text, as ids may be null or come with other texts
+    gone = decontaminate.contaminated_ids(texts.select("of", F.col("doc.text").alias("text")), items, id_col="of")
+    return unboxed(_without(texts, gone.withColumnRenamed("doc_id", "of"), "of"), docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by its kind; n_chars follows."""
-    masked = pii.redact(docs, pii.train(docs))
-    return masked.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    masked = pii.redact(boxed(docs, "text", "n_chars"), pii.train(docs))
+    return unboxed(masked.withColumn("n_chars", F.length("text").cast("long")), docs.columns, "text", "n_chars")
 
 
 def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
