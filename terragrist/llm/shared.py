@@ -32,6 +32,15 @@ def free() -> None:
         session._jvm.System.gc()
 
 
+#: Bytes of text that Spark hands to Python at once.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of this session by bytes: whole texts in batches of 10,000 rows take several copies of 64 MB a task on either side."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def boxed(docs: DataFrame, *apart: str, **marks: Column) -> DataFrame:
     """The rows of `docs` as one column `doc`, beside columns of the operator's own, so that no name can clash, whatever characters it has. Columns `apart` stay beside it."""
     inside = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns if c not in apart]
