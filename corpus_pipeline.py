@@ -12,19 +12,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terragrist.llm import decontaminate, langid, minhash, packing, pii
-from terragrist.llm.shared import Scratch, boxed, unboxed
+from terragrist.llm.shared import Scratch, boxed, small_batches, unboxed
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is known and at least 0.4 certain."""
+    small_batches(spark)
     found = langid.identify(boxed(docs, "text"), langid.fit(docs))
     return unboxed(found.filter("lang_pred <> 'und' and score >= 0.4"), docs.columns, "text")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the row with the smallest id of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    small_batches(spark)
     return minhash.drop_copies(docs)
 
 
@@ -38,6 +40,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by its kind; n_chars follows."""
+    small_batches(spark)
     masked = pii.redact(boxed(docs, "text", "n_chars"), pii.train(docs))
     return unboxed(masked.withColumn("n_chars", F.length("text").cast("long")), docs.columns, "text", "n_chars")
 
