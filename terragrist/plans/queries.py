@@ -16,7 +16,7 @@ from terragrist.operators import coverage as cov
 from terragrist.operators import indexing, lookup, spatial, tiles
 from terragrist.operators.portfolio import Assets, Evaluation
 from terragrist.plans import surrogates as s
-from terragrist.sources import raster
+from terragrist.sources import geotiff, raster
 from terragrist.sources.hazard import HazardQuery, hazard_names, select_rows, sort_rows
 from terragrist.sources.publish import work_folder
 
@@ -348,7 +348,14 @@ def raster_knots(spark, sf_dir):
 @query(f'{s.with_sql("pixels")} SELECT {_PIXEL.replace(", axis_index", "")}, CAST(CAST(value AS REAL) AS DOUBLE) AS value FROM pixels WHERE axis_index = 0 AND "row" BETWEEN 10 AND 49 AND col BETWEEN 4 AND 63 AND value < 90000'.replace('"row", col, ', ""))
 def geotiff_scan(spark, sf_dir):
     path = s.stored_geotiff(spark, sf_dir)
-    found = raster.scan_geotiff(spark, path, (-9.0, 37.5, 6.0, 47.5), mask=F.col("value") < 90000)
+    found = geotiff.read_geotiff(spark, path, (-9.0, 37.5, 6.0, 47.5), mask=F.col("value") < 90000, assumed_crs="EPSG:4326")
+    return found.withColumn("value", F.col("value").cast("double"))
+
+
+@query(f'{s.with_sql("pixels")} SELECT {_PIXEL.replace(", axis_index", "")}, CAST(CAST(value AS REAL) AS DOUBLE) AS value FROM pixels WHERE axis_index = 0 AND col BETWEEN 20 AND 39 AND "row" >= 40'.replace('"row", col, ', ""))
+def geotiff_filtered(spark, sf_dir):
+    """Limits of longitude and latitude that are filters of the query, which the source reads its blocks by."""
+    found = geotiff.read_geotiff(spark, s.stored_geotiff(spark, sf_dir), assumed_crs="EPSG:4326").filter("longitude > -5 and longitude <= 0 and latitude < 40")
     return found.withColumn("value", F.col("value").cast("double"))
 
 

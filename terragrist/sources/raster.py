@@ -10,15 +10,18 @@ import json
 import math
 import struct
 import zlib
-from collections.abc import Iterator
+from collections import OrderedDict
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from terragrist.sources.publish import file_system
+from terragrist.sources.publish import file_system, read_bytes
+from terragrist.sources.ranged import RangedFile, can_range, unpack
 
 Bounds = tuple[float, float, float, float]
 
@@ -79,9 +82,201 @@ class RasterMetadata:
     path: str = ""
 
 
+#: Data types of version 3 as numpy names them.
+_KINDS = {"float32": "f4", "float64": "f8", "int8": "i1", "int16": "i2", "int32": "i4", "int64": "i8", "uint8": "u1", "uint16": "u2", "uint32": "u4", "uint64": "u8"}
+#: Decoded chunks that a task keeps while it samples points.
+CHUNKS_KEPT = 8
+
+
+@dataclass(frozen=True)
+class Codecs:
+    """How the bytes of a chunk become its values: codecs in the order of packing, and the shape within."""
+
+    shape: tuple[int, ...]
+    dtype: str
+    order: str
+    names: tuple[str | None, ...]
+
+    @classmethod
+    def of(cls, shape: tuple[int, ...], kind: str, chain: list[dict]) -> Codecs:
+        """From the codec chain of version 3; raises ValueError for codecs that are not known."""
+        endian, names = "little", []
+        for c in chain:
+            said = c.get("configuration") or {}
+            if c["name"] == "bytes":
+                endian = said.get("endian", "little")
+            elif c["name"] in ("gzip", "zstd", "blosc", "crc32c"):
+                names.append(c["name"])
+            else:
+                raise ValueError(f"chunks in {c['name']} are not supported")
+        return cls(tuple(shape), ("<" if endian == "little" else ">") + _KINDS[kind], "C", tuple(names))
+
+    def bytes_of(self, raw: bytes) -> bytes:
+        for name in reversed(self.names):
+            raw = raw[:-4] if name == "crc32c" else unpack(raw, name)
+        return raw
+
+    def decode(self, raw: bytes) -> np.ndarray:
+        return np.frombuffer(self.bytes_of(raw), dtype=self.dtype).reshape(self.shape, order=self.order)
+
+
+@dataclass(frozen=True)
+class Shards:
+    """Inner chunks of a shard: their codecs, and the index of (offset, bytes) that stands at one end of the file."""
+
+    inner: Codecs
+    grid: tuple[int, ...]
+    index: Codecs
+    at_end: bool
+
+    @property
+    def index_bytes(self) -> int:
+        return 16 * math.prod(self.grid) + 4 * ("crc32c" in self.index.names)
+
+    def places(self, raw: bytes) -> np.ndarray:
+        return np.frombuffer(self.index.bytes_of(raw), dtype=self.index.dtype).reshape(*self.grid, 2)
+
+    def decode(self, raw: bytes, shape: tuple[int, ...], fill: float) -> np.ndarray:
+        n = self.index_bytes
+        places = self.places(raw[-n:] if self.at_end else raw[:n])
+        out = np.full(shape, fill)
+        for at in np.ndindex(*self.grid):
+            o, size = (int(x) for x in places[at])
+            if o != 0xFFFFFFFFFFFFFFFF:
+                out[tuple(slice(k * c, (k + 1) * c) for k, c in zip(at, self.inner.shape))] = self.inner.decode(raw[o : o + size])
+        return out
+
+
+@dataclass(frozen=True)
+class Layout:
+    """Where the chunks of an array stand and what is in them; what a task needs to read them."""
+
+    path: str
+    shape: tuple[int, ...]
+    chunks: tuple[int, ...]
+    prefix: str
+    separator: str
+    fill: float
+    codecs: Codecs
+    shards: Shards | None = None
+
+    @classmethod
+    def of(cls, path: str, info: dict) -> Layout:
+        fill = info.get("fill_value")
+        fill = float("nan") if fill in (None, "NaN") else float(fill)
+        shape = tuple(info["shape"])
+        if info.get("zarr_format") == 3:
+            if info["chunk_grid"]["name"] != "regular" or info.get("storage_transformers"):
+                raise ValueError("only regular grids of chunks are supported")
+            chunks = tuple(info["chunk_grid"]["configuration"]["chunk_shape"])
+            keys = info.get("chunk_key_encoding") or {"name": "default"}
+            said = keys.get("configuration") or {}
+            plain = keys["name"] == "default"
+            chain, kind = info["codecs"], info["data_type"]
+            where = dict(prefix="c" + said.get("separator", "/") if plain else "", separator=said.get("separator", "/" if plain else "."), fill=fill)
+            if chain[0]["name"] != "sharding_indexed":
+                return cls(path, shape, chunks, codecs=Codecs.of(chunks, kind, chain), **where)
+            said = chain[0]["configuration"]
+            inner = Codecs.of(tuple(said["chunk_shape"]), kind, said["codecs"])
+            grid = tuple(c // i for c, i in zip(chunks, inner.shape))
+            index = Codecs.of((), "uint64", said["index_codecs"])
+            return cls(path, shape, chunks, codecs=inner, shards=Shards(inner, grid, index, said.get("index_location", "end") == "end"), **where)
+        codec = info.get("compressor")
+        name = codec["id"] if codec else None
+        if name not in (None, "zlib", "gzip", "zstd", "blosc") or info.get("filters"):
+            raise ValueError(f"chunks in {codec or info.get('filters')} are not supported")
+        chunks = tuple(info["chunks"])
+        return cls(path, shape, chunks, "", info.get("dimension_separator", "."), fill, Codecs(chunks, info["dtype"], info.get("order", "C"), (name,)))
+
+    @property
+    def flat(self) -> bool:
+        return len(self.shape) == 2
+
+    @property
+    def chunk(self) -> tuple[int, int, int]:
+        return (1, *self.chunks) if self.flat else self.chunks
+
+    def key(self, k: int, i: int, j: int) -> str:
+        return self.prefix + self.separator.join(str(x) for x in ((i, j) if self.flat else (k, i, j)))
+
+    def decode(self, raw: bytes | None) -> np.ndarray:
+        """(axis, row, column) values of a chunk; an absent one holds the fill value."""
+        if raw is None:
+            return np.full(self.chunk, self.fill)
+        block = self.shards.decode(raw, self.chunks, self.fill) if self.shards else self.codecs.decode(raw)
+        return block.reshape(self.chunk)
+
+
+class PointReader:
+    """Values at single pixels, for one task: opens only chunks with points, and of a shard only its index and the inner chunks with points."""
+
+    def __init__(self, layout: Layout) -> None:
+        self.layout, self.opened, self.bytes_read = layout, [], 0
+        self._kept: OrderedDict[tuple, Callable[[int, int], np.ndarray]] = OrderedDict()
+
+    def values(self, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+        """(point, axis) values."""
+        n, (ck, cr, cc) = (1 if self.layout.flat else self.layout.shape[0]), self.layout.chunk
+        out = np.empty((len(rows), n))
+        i, j = rows // cr, cols // cc
+        order = np.lexsort((j, i))
+        cuts = np.flatnonzero(np.diff(i[order]) | np.diff(j[order])) + 1
+        for at in np.split(order, cuts) if len(order) else []:
+            a, b = int(i[at[0]]), int(j[at[0]])
+            for k in range(-(-n // ck)):
+                k0, k1 = k * ck, min(n, (k + 1) * ck)
+                out[at, k0:k1] = self._gather(k, a, b, rows[at] - a * cr, cols[at] - b * cc)[:, : k1 - k0]
+        return out
+
+    def _gather(self, k: int, i: int, j: int, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+        get = self._kept.get((k, i, j))
+        if get is None:
+            get = self._kept[k, i, j] = self._open(k, i, j)
+            while len(self._kept) > CHUNKS_KEPT:
+                self._kept.popitem(last=False)
+        else:
+            self._kept.move_to_end((k, i, j))
+        return get(r, c)
+
+    def _open(self, k: int, i: int, j: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        layout = self.layout
+        key = layout.key(k, i, j)
+        file = RangedFile.open(f"{layout.path}/{key}")
+        if file is None:
+            return lambda r, c: np.full((len(r), layout.chunk[0]), layout.fill)
+        self.opened.append(key)
+        if layout.shards is None:
+            with file:
+                block = layout.decode(file.whole())
+            self.bytes_read += file.bytes_read
+            return lambda r, c: block[:, r, c].T
+        shards, n = layout.shards, layout.shards.index_bytes
+        with file:
+            places = shards.places(file.read(file.size - n if shards.at_end else 0, n))
+        self.bytes_read += n
+        inner = (1, *shards.inner.shape) if layout.flat else shards.inner.shape
+        places = places.reshape(1, *places.shape) if layout.flat else places
+
+        def get(r: np.ndarray, c: np.ndarray) -> np.ndarray:
+            out = np.full((len(r), layout.chunk[0]), layout.fill)
+            a, b = r // inner[1], c // inner[2]
+            with RangedFile(f"{layout.path}/{key}") as again:
+                for x, y in sorted({*zip(a.tolist(), b.tolist())}):
+                    at = np.flatnonzero((a == x) & (b == y))
+                    for z in range(places.shape[0]):
+                        o, size = (int(v) for v in places[z, x, y])
+                        if o != 0xFFFFFFFFFFFFFFFF:
+                            block = shards.inner.decode(again.read(o, size)).reshape(inner)
+                            out[at, z * inner[0] : (z + 1) * inner[0]] = block[:, r[at] - x * inner[1], c[at] - y * inner[2]].T
+                self.bytes_read += again.bytes_read
+            return out
+
+        return get
+
+
 @dataclass(frozen=True)
 class ZarrRaster:
-    """A stored array of two or three dimensions (leading axis, row, column), version 2 of the format, plain or zlib chunks."""
+    """A stored array of two or three dimensions (leading axis, row, column), version 2 or 3 of the format; chunks plain or in zlib, gzip, zstd or blosc, version 3 also sharded."""
 
     spark: SparkSession
     path: str
@@ -92,25 +287,26 @@ class ZarrRaster:
     @classmethod
     def open(cls, spark: SparkSession, path: str, metadata: RasterMetadata) -> ZarrRaster:
         path = path.rstrip("/")
-
-        def read(name: str) -> dict:
-            # names that begin with a dot are hidden from Spark's readers, not from its file systems
-            at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
-            stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).open(at)
-            try:
-                return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-            finally:
-                stream.close()
-
-        out = cls(spark, path, metadata, read(".zarray"), read(".zattrs"))
-        if len(out.info["shape"]) not in (2, 3):
+        # names that begin with a dot are hidden from Spark's readers, not from its file systems
+        there = lambda name: (lambda fs, at: fs.exists(at))(*file_system(spark, f"{path}/{name}"))
+        read = lambda name: json.loads(read_bytes(spark, f"{path}/{name}"))
+        if there(".zarray"):
+            info, attributes = read(".zarray"), read(".zattrs")
+        else:
+            info = read("zarr.json")
+            attributes = info.get("attributes") or {}
+            if info.get("dimension_names"):
+                attributes = {"dimensions": info["dimension_names"], **attributes}
+        out = cls(spark, path, metadata, info, attributes)
+        if len(info["shape"]) not in (2, 3):
             raise ValueError("arrays must have two or three dimensions")
-        codec = out.info.get("compressor")
-        if codec and codec["id"] not in ("zlib", "gzip") or out.info.get("filters"):
-            raise ValueError(f"chunks in {codec} are not supported")
+        out.layout()
         out.axis_values()
         return out
 
+    def layout(self) -> Layout:
+        return Layout.of(self.path, self.info)
+
     @property
     def shape(self) -> tuple[int, int, int]:
         s = self.info["shape"]
@@ -132,30 +328,19 @@ class ZarrRaster:
             raise ValueError(f"{len(values)} axis values for an axis of {n}")
         return values
 
-    def _chunks(self) -> tuple[int, int, int]:
-        c = self.info["chunks"]
-        return (1, *c) if len(c) == 2 else tuple(c)
-
     def cells(self, bounds: Bounds | None = None) -> DataFrame:
         """(row, col, axis_index, value) of the window; values that are not finite are null, absent chunks hold the fill value."""
         return self._cells(*pixel_window(self.transform, bounds, *self.shape[1:]))
 
     def _cells(self, r0: int, r1: int, c0: int, c1: int) -> DataFrame:
-        n, (ck, cr, cc) = self.shape[0], self._chunks()
-        sep, flat = self.info.get("dimension_separator", "."), len(self.info["shape"]) == 2
-        dtype, order = np.dtype(self.info["dtype"]), self.info.get("order", "C")
-        fill = self.info.get("fill_value")
-        fill = float("nan") if fill in (None, "NaN") else float(fill)
-        packed = bool(self.info.get("compressor"))
+        layout, n = self.layout(), self.shape[0]
+        ck, cr, cc = layout.chunk
+        flat = layout.flat
 
         def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for k, i, j, raw in zip(*(c.to_pylist() for c in b.columns)):
-                    if raw is None:
-                        block = np.full((ck, cr, cc), fill)
-                    else:
-                        data = zlib.decompress(raw, zlib.MAX_WBITS | 32) if packed else raw
-                        block = np.frombuffer(data, dtype=dtype).reshape((ck, cr, cc), order=order)
+                    block = layout.decode(raw)
                     a0, a1 = max(r0, i * cr), min(r1, (i + 1) * cr)
                     b0, b1 = max(c0, j * cc), min(c1, (j + 1) * cc)
                     k1 = min(n - k * ck, ck)
@@ -166,10 +351,8 @@ class ZarrRaster:
 
         seq = lambda a, b: F.explode(F.sequence(F.lit(a), F.lit(b)))
         grid = self.spark.range(1).select(seq(0, (n - 1) // ck).alias("k")).select("k", seq(r0 // cr, (r1 - 1) // cr).alias("i")).select("k", "i", seq(c0 // cc, (c1 - 1) // cc).alias("j"))
-        key = [F.col(x).cast("string") for x in (("i", "j") if flat else ("k", "i", "j"))]
-        grid = grid.withColumn("key", F.concat_ws(sep, *key))
         schema = "row long, col long, axis_index int, value double"
-        pattern = self._pattern(sep, None if flat else (0, (n - 1) // ck), (r0 // cr, (r1 - 1) // cr), (c0 // cc, (c1 - 1) // cc))
+        pattern = self._pattern(None if flat else (0, (n - 1) // ck), (r0 // cr, (r1 - 1) // cr), (c0 // cc, (c1 - 1) // cc))
         fs, at = file_system(self.spark, pattern)
         if not len(fs.globStatus(at) or []):
             return grid.select("k", "i", "j", F.lit(None).cast("binary").alias("content")).mapInArrow(decode, schema)
@@ -180,10 +363,11 @@ class ZarrRaster:
         absent = grid.join(files.select("k", "i", "j"), ["k", "i", "j"], "left_anti").select("k", "i", "j", F.lit(None).cast("binary").alias("content"))
         return files.mapInArrow(decode, schema).unionByName(absent.mapInArrow(decode, schema))
 
-    def _pattern(self, sep: str, *ranges: tuple[int, int] | None) -> str:
+    def _pattern(self, *ranges: tuple[int, int] | None) -> str:
         """A path pattern of the chunks in these ranges."""
+        layout = self.layout()
         names = ["{" + ",".join(str(x) for x in range(r[0], r[1] + 1)) + "}" for r in ranges if r is not None]
-        return f"{self.path}/{sep.join(names)}"
+        return f"{self.path}/{layout.prefix}{layout.separator.join(names)}"
 
     def scan(self, bounds: Bounds | None = None) -> DataFrame:
         """Pixel centres with axis and metadata columns."""
@@ -198,9 +382,10 @@ class ZarrRaster:
         return cells.select("row", "col", lon.alias("longitude"), lat.alias("latitude"), "axis_index", F.get(values, F.col("axis_index")).alias("axis_value"), "value", *[F.lit(v).alias(k) for k, v in lits.items()], *more)
 
     def points(self, at: DataFrame, longitude: str = "longitude", latitude: str = "latitude") -> DataFrame:
-        """All axis values at points, at the centres of their pixels, with the other columns of `at`; points outside raise.
+        """All axis values at points, at the centres of their pixels, with the other columns of `at`; points outside raise, null points give no rows.
 
-        The points' own window is read, no more.
+        Points are dealt to tasks by their pixels' order, evenly however many share a chunk; a task opens the chunks that it has points in, and no pixel becomes a row
+        but those of points. Of a store that only Spark's readers reach, the points' window is read.
         """
         i = self.transform.inverse()
         _, rows, cols = self.shape
@@ -213,7 +398,28 @@ class ZarrRaster:
             return self.located(self._cells(0, 1, 0, 1).join(p, ["row", "col"]), *more)
         if r0 < 0 or c0 < 0 or r1 >= rows or c1 >= cols:
             raise ValueError("a point lies outside the raster")
-        return self.located(self._cells(r0, r1 + 1, c0, c1 + 1).join(p, ["row", "col"]), *more)
+        if not can_range(self.path):
+            return self.located(self._cells(r0, r1 + 1, c0, c1 + 1).join(p, ["row", "col"]), *more)
+        return self.located(self._sampled(p.filter("row is not null and col is not null")), *more)
+
+    def _sampled(self, points: DataFrame) -> DataFrame:
+        """`points` (row, col, ...) with axis_index and value, a row for each place on the axis."""
+        layout, n = self.layout(), self.shape[0]
+        _, cr, cc = layout.chunk
+
+        def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            reader = PointReader(layout)
+            for whole in batches:
+                for at in range(0, whole.num_rows, 4096):
+                    b = whole.slice(at, 4096)
+                    found = reader.values(b.column("row").to_numpy(), b.column("col").to_numpy()).ravel()
+                    take = pa.array(np.repeat(np.arange(b.num_rows), n))
+                    axis = pa.array(np.tile(np.arange(n, dtype=np.int32), b.num_rows))
+                    yield pa.RecordBatch.from_arrays([*[c.take(take) for c in b.columns], axis, pa.array(found, mask=~np.isfinite(found))], [*b.schema.names, "axis_index", "value"])
+
+        schema = T.StructType([T.StructField(f.name, f.dataType) for f in points.schema.fields]).add("axis_index", T.IntegerType()).add("value", T.DoubleType())
+        by_chunk = [F.floor(F.col("row") / cr), F.floor(F.col("col") / cc), F.col("row"), F.col("col")]
+        return points.repartitionByRange(*by_chunk).sortWithinPartitions(*by_chunk).mapInArrow(sample, schema)
 
     def curves(self, bounds: Bounds | None = None) -> DataFrame:
         """One row a pixel with its whole axis curve, in axis order."""
