@@ -13,8 +13,8 @@ from terragrist.functions.fitting import FitPolicy, fit_curves
 from terragrist.functions.geometry import extent, write_polygon
 from terragrist.functions.hexgrid import polygon_cells
 from terragrist.schema import COLUMNS, ROW_KEY, HazardMetadata, Source, conform
-from terragrist.sources.publish import publish
-from terragrist.sources.raster import Affine, Bounds, ZarrRaster, owning_tile
+from terragrist.sources.publish import file_system, publish, read_bytes, write_bytes
+from terragrist.sources.raster import Affine, Bounds, ZarrRaster, owning_tile, pixel_window, tile_bounds
 
 
 @dataclass(frozen=True)
@@ -79,3 +79,28 @@ def write_tiles(rows: DataFrame, bounds: Bounds, degrees: float, path: str, *, m
     """Canonical rows in one directory `tile=N` a tile, whole or not at all; tiles without rows have none. Gives the tiles with their rows."""
     tiled = with_tiles(rows, bounds, degrees).filter("tile is not null").repartition("tile").sortWithinPartitions("tile", *ROW_KEY)
     return publish(tiled, path, mode=mode, partition_by=("tile",)).groupBy("tile").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def ingest_tiles(raster: ZarrRaster, policy: IngestPolicy, bounds: Bounds, degrees: float, path: str) -> DataFrame:
+    """Canonical rows of a raster tile by tile, each published by itself as `tile=N`; gives (tile, rows) of all tiles.
+
+    A finished tile is noted in a log beside the tiles, so a run that was broken off goes on with the tiles that are left, and one that is run again does nothing. A tile
+    reads only the chunks of its own window; tiles that miss the raster are noted without a job. Pixels go to the tile that owns their centre, so no row comes twice.
+    """
+    spark, path = raster.spark, path.rstrip("/")
+    fs, log = file_system(spark, f"{path}/_finished")
+    known = {int(f.getPath().getName()) for f in fs.listStatus(log)} if fs.exists(log) else set()
+    for n, tile in enumerate(tile_bounds(bounds, degrees)):
+        if n in known:
+            continue
+        rows = 0
+        try:
+            pixel_window(raster.transform, tile, *raster.shape[1:])
+        except ValueError:  # the tile misses the raster
+            pass
+        else:
+            found = with_tiles(canonicalize(raster, policy, tile), bounds, degrees).filter(F.col("tile") == n).drop("tile")
+            rows = publish(found.repartitionByRange(*ROW_KEY).sortWithinPartitions(*ROW_KEY), f"{path}/tile={n}", mode="overwrite").count()
+        write_bytes(spark, f"{path}/_finished/{n}", str(rows).encode())
+    noted = [(int(f.getPath().getName()), int(read_bytes(spark, f.getPath().toString()))) for f in fs.listStatus(log)]
+    return spark.createDataFrame(sorted(noted), "tile int, rows long")

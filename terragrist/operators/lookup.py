@@ -89,14 +89,20 @@ def write_lookup(lookup: DataFrame, path: str, *, sort: bool = False, mode: str
     return publish(lookup, path, mode=mode)
 
 
-def write_partitioned(lookup: DataFrame, path: str, resolution: int, partition_resolution: int = 0, *, mode: str = "errorifexists") -> None:
-    """Hive directories by parent cell; each parent's rows go to few tasks and so to few files."""
+def write_partitioned(lookup: DataFrame, path: str, resolution: int, partition_resolution: int = 0, *, rows_per_file: int = 1_000_000, mode: str = "errorifexists") -> None:
+    """Hive directories by parent cell, whole or not at all.
+
+    Rows are dealt by ranges of parent and cell, as many as their number asks for: a parent with many rows is several sorted ranges and so several tasks and
+    files, and parents with few share a task. No file has more than `rows_per_file` rows.
+    """
     if not 0 <= partition_resolution < resolution <= 15:
         raise ValueError("0 <= partition_resolution < resolution <= 15 must hold")
     name = f"h3_r{partition_resolution}"
     if name not in lookup.columns:
         lookup = lookup.withColumn(name, parent_of_string(F.col("hex_id"), partition_resolution))
-    lookup.repartition(name).write.mode(mode).partitionBy(name).option("compression", "zstd").parquet(path)
+    ranges = -(-max(1, lookup.count()) // rows_per_file)
+    dealt = lookup.repartitionByRange(ranges, name, "hex_id").sortWithinPartitions(name, "hex_id")
+    publish(dealt, path, mode=mode, save=lambda writer, to: writer.option("maxRecordsPerFile", rows_per_file).partitionBy(name).parquet(to))
 
 
 def max_overlap(pairs: DataFrame, key: str, value: str, area: str) -> DataFrame:
@@ -143,8 +149,6 @@ def country_cells(table: DataFrame, iso: str, *, field: str = "adm0_iso") -> Dat
     """Sorted distinct cells of a country: of a lookup those whose best or any path is in it, of exploded coverage those with a share."""
     iso = iso.upper()
     if "coverage" in table.columns:
-        if not field.replace("_", "").isalnum():
-            raise ValueError(f"unsafe field {field!r}")
         hit = (F.col("best_adm0") == iso) | F.exists("coverage", lambda c: c[field] == iso)
     else:
         hit = (F.col(field) == iso) & (F.col("pct") > 0)
