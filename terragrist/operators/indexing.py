@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from terragrist.functions.cells import from_string, max_pixel_spacing_m, pixel_resolution, subsample_offsets, to_string
 from terragrist.functions.geometry import extent, overlap_area, polygon_area
 from terragrist.functions.hexgrid import boundary_wkb, point_to_cell, polygon_cells
+from terragrist.operators.union_area import union_areas
 from terragrist.sources.raster import reduce_cells
 from terragrist.sources.vector import explode_parts, read_vector
 
@@ -90,16 +92,14 @@ def index_file(spark: SparkSession, path: str | list[str], fmt: str, resolution:
 
 
 def resolution_estimates(polys: DataFrame, resolutions: list[int], *, geometry: str = "geom_wkb") -> DataFrame:
-    """(resolution, cell_count, error): cells over all polygons, those of several counted for each, and the area in which the cells and the polygons
-    differ over the polygons' area. Polygons are taken not to overlap each other.
+    """(resolution, cell_count, error): cells over all polygons, those of several counted for each, and the area in which the union of the cells and the
+    union of the polygons differ, over the area of the latter. Polygons may overlap, repeat and cross themselves; without any area there is no row.
     """
-    source = polys.agg(F.sum(polygon_area(geometry)).alias("a"))
-    out = None
-    for r in resolutions:
-        c = polys.select(F.col(geometry).alias("g")).withColumn("cell", F.explode(polygon_cells(r)("g")))
-        each = c.select("cell", overlap_area("g", boundary_wkb("cell")).alias("shared"))
-        cells = each.groupBy("cell").agg(F.sum("shared").alias("shared"), F.count(F.lit(1)).alias("n")).withColumn("whole", polygon_area(boundary_wkb("cell")))
-        t = cells.agg(F.sum("n").alias("cell_count"), F.sum("whole").alias("c"), F.sum("shared").alias("s")).join(source)
-        t = t.select(F.lit(r).alias("resolution"), "cell_count", ((F.col("a") + F.col("c") - 2 * F.col("s")) / F.col("a")).alias("error"))
-        out = t if out is None else out.unionByName(t)
-    return out
+    wanted = F.explode(F.array(*[F.lit(r) for r in resolutions])).alias("resolution")
+    shapes = polys.select(F.col(geometry).alias("g"))
+    found = reduce(DataFrame.unionByName, [shapes.select(F.lit(r).alias("resolution"), F.explode(polygon_cells(r)("g")).alias("cell")) for r in resolutions])
+    counted = found.groupBy("resolution", "cell").agg(F.count(F.lit(1)).alias("n"))
+    cells = counted.select("resolution", boundary_wkb("cell").alias("g"))
+    areas = union_areas(shapes.select(wanted, "g"), cells, by=["resolution"], geometry="g")
+    error = ((F.col("first") + F.col("second") - 2 * F.col("both")) / F.col("first")).alias("error")
+    return counted.groupBy("resolution").agg(F.sum("n").alias("cell_count")).join(areas.filter("first > 0"), "resolution").select("resolution", "cell_count", error)

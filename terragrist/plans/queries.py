@@ -12,9 +12,11 @@ from terragrist import schema
 from terragrist.functions import cells, fitting, geometry, hexgrid
 from terragrist.functions.curves import FAMILIES, quantile
 from terragrist.functions.impacts import ImpactSpec, LinearImpact, PiecewiseLinearImpact, SigmoidImpact
+from terragrist.functions.repair import repaired
 from terragrist.operators import coverage as cov
 from terragrist.operators import indexing, lookup, spatial, tiles
 from terragrist.operators.portfolio import Assets, Evaluation
+from terragrist.operators.union_area import union_areas
 from terragrist.plans import surrogates as s
 from terragrist.sources import geotiff, raster
 from terragrist.sources.hazard import HazardQuery, hazard_names, select_rows, sort_rows
@@ -496,6 +498,36 @@ def overlay_area(spark, sf_dir):
     return out.filter("area > 1e-9").withColumn("area", r6("area"))
 
 
+# All corners lie on a lattice of 0.25 by 0.5, so a union is a number of its cells.
+_CELLS = "cells AS (SELECT DISTINCT adm0, CAST(x0 * 4 AS BIGINT) + i AS x, CAST(y0 * 2 AS BIGINT) + j AS y FROM polys, range(8) a(i), range(3) b(j) WHERE i < (x1 - x0) * 4)"
+
+
+@query(
+    f"WITH {_BOXES}, {_CELLS}, shared AS (SELECT a.adm0, count(*) AS n FROM cells a JOIN cells b ON a.adm0 = b.adm0 AND a.x = b.x + 3 AND a.y = b.y + 1 GROUP BY 1) "
+    "SELECT CAST(adm0 AS VARCHAR) AS adm0_iso, CAST(c.n AS DOUBLE) / 8 AS first, CAST(c.n AS DOUBLE) / 8 AS second, CAST(coalesce(shared.n, 0) AS DOUBLE) / 8 AS both FROM (SELECT adm0, count(*) AS n FROM cells GROUP BY 1) c LEFT JOIN shared USING (adm0)"
+)
+def union_area(spark, sf_dir):
+    """The union of each country's polygons, that of the same ones moved aside, and what both cover."""
+    p, _ = _boxes(spark, sf_dir)
+    moved = p.withColumn("geom_wkb", geometry.box_wkb(F.col("xmin") + 0.75, F.col("ymin") + 0.5, F.col("xmax") + 0.75, F.col("ymax") + 0.5))
+    out = union_areas(p, moved, by=["adm0_iso"])
+    return out.select("adm0_iso", *[r6(c).alias(c) for c in ("first", "second", "both")])
+
+
+_BOW = "p_partkey % 3 > 0"
+
+
+@query(f"SELECT p_partkey, CASE WHEN {_BOW} THEN 2 ELSE 1 END AS n_parts, CAST((1 + p_partkey % 7) * (1 + p_size % 5) AS DOUBLE) / CASE WHEN {_BOW} THEN 2 ELSE 1 END AS area, NOT {_BOW} AS unchanged FROM part")
+def repaired_area(spark, sf_dir):
+    """Bow ties of two of three parts, boxes of the others, made valid."""
+    x, y, w, h = F.col("p_partkey") % 40, F.floor(F.col("p_partkey") / 40) % 40, 1 + F.col("p_partkey") % 7, 1 + F.col("p_size") % 5
+    at = lambda a, b: F.concat_ws(" ", a.cast("string"), b.cast("string"))
+    corners = [at(x, y), F.when(F.expr(_BOW), at(x + w, y + h)).otherwise(at(x + w, y)), F.when(F.expr(_BOW), at(x + w, y)).otherwise(at(x + w, y + h)), at(x, y + h), at(x, y)]
+    p = s.table(spark, sf_dir, "part").select("p_partkey", geometry.wkt_to_wkb(F.concat(F.lit("POLYGON (("), F.concat_ws(", ", *corners), F.lit("))"))).alias("g"))
+    p = p.withColumn("m", repaired("g"))
+    return p.select("p_partkey", F.size(geometry.parts("m")).alias("n_parts"), r6(geometry.polygon_area("m")).alias("area"), (F.col("m") == F.col("g")).alias("unchanged"))
+
+
 @query(f"WITH {_BOXES} SELECT CAST(hex AS VARCHAR) AS hex_id, poly_rid FROM polys, squares WHERE cx + 0.15 BETWEEN x0 AND x1 AND cy + 0.15 BETWEEN y0 AND y1")
 def point_in_polygon(spark, sf_dir):
     p, c = _boxes(spark, sf_dir)
