@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from terragrist.functions.projections import projection_of
+
 Ring = np.ndarray
 Polygon = list[Ring]
 
@@ -472,48 +474,28 @@ def _shared_area(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.
 #: The same, computed once where filters follow.
 shared_area = _shared_area.asNondeterministic()
 
-#: WGS 84 ellipsoid; fixed values.
-_A, _F = 6378137.0, 1 / 298.257223563
-
-
-def to_degrees(points: np.ndarray, epsg: int) -> np.ndarray:
-    """Longitude and latitude of web Mercator (3857) or UTM (326xx, 327xx) coordinates; 4326 and its axis-swapped aliases pass."""
-    if epsg in (4326, 4979):
-        return points
-    x, y = points[:, 0], points[:, 1]
-    if epsg == 3857:
-        return np.degrees(np.stack([x / _A, np.arctan(np.sinh(y / _A))], axis=1))
-    zone, south = epsg % 100, epsg // 100 == 327
-    if epsg // 100 not in (326, 327) or not 1 <= zone <= 60:
-        raise ValueError(f"EPSG:{epsg} is not supported")
-    n = _F / (2 - _F)
-    radius = _A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
-    xi, eta = (y - (1e7 if south else 0.0)) / (0.9996 * radius), (x - 5e5) / (0.9996 * radius)
-    beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
-    delta = (2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15)
-    xi2, eta2 = xi.copy(), eta.copy()
-    for k, b in enumerate(beta, 1):
-        xi2 -= b * np.sin(2 * k * xi) * np.cosh(2 * k * eta)
-        eta2 -= b * np.cos(2 * k * xi) * np.sinh(2 * k * eta)
-    chi = np.arcsin(np.sin(xi2) / np.cosh(eta2))
-    lat = chi + sum(d * np.sin(2 * k * chi) for k, d in enumerate(delta, 1))
-    lon = np.radians(6 * zone - 183) + np.arctan2(np.sinh(eta2), np.cos(xi2))
-    return np.degrees(np.stack([lon, lat], axis=1))
-
-
-def reproject(data: bytes, epsg: int) -> bytes:
+
+def to_degrees(points: np.ndarray, crs: str | int | dict | None) -> np.ndarray:
+    """Longitude and latitude of coordinates in a system that projections.projection_of knows."""
+    projection = projection_of(crs)
+    return points if projection is None else projection.points(points)
+
+
+def reproject(data: bytes, crs: str | int | dict | None) -> bytes:
     """WKB in degrees."""
     kind, parts_ = read_wkb(data)
-    move = lambda r: to_degrees(r, epsg)
+    move = lambda r: to_degrees(r, crs)
     moved = [[move(r) for r in p] for p in parts_] if "Polygon" in kind else [move(p) for p in parts_]
     return write_wkb(kind, moved)
 
 
-def reprojected(epsg: int):
-    """A function of a WKB column."""
+def reprojected(crs: str | int | dict | None):
+    """A function of a WKB column; the column itself where the system is in degrees."""
+    if projection_of(crs) is None:
+        return lambda wkb: F.col(wkb) if isinstance(wkb, str) else wkb
 
     @F.pandas_udf(T.BinaryType())
     def run(wkb: pd.Series) -> pd.Series:
-        return pd.Series([None if g is None else reproject(bytes(g), epsg) for g in wkb], dtype=object)
+        return pd.Series([None if g is None else reproject(bytes(g), crs) for g in wkb], dtype=object)
 
     return run

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import shutil
 import subprocess
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terragrist.functions.geometry import geojson
+from terragrist.functions.geometry import geojson, reprojected
+from terragrist.sources.vector import geo_metadata
 
 GEOMETRY_NAMES = ("geometry", "geom", "wkb_geometry", "the_geom")
 
@@ -42,6 +43,15 @@ class Layer:
     zoom: ZoomRange
     properties: tuple[str, ...] | None = None
     geometry: str | None = None
+    #: The reference system of the geometries, a code or a description; None for degrees.
+    crs: str | int | Mapping | None = None
+
+    @classmethod
+    def from_parquet(cls, spark: SparkSession, path: str, name: str, zoom: ZoomRange, properties: tuple[str, ...] | None = None) -> Layer:
+        """A layer of Parquet files, whose footer says which column holds the geometry and in which reference system."""
+        rows = spark.read.option("mergeSchema", "true").parquet(path)
+        geometry, crs = geometry_and_crs(geo_metadata(spark, path), rows.columns)
+        return cls(name, rows, zoom, properties, geometry, crs)
 
 
 def geometry_column(columns: Sequence[str], named: str | None = None) -> str:
@@ -53,6 +63,13 @@ def geometry_column(columns: Sequence[str], named: str | None = None) -> str:
     raise ValueError(f"no geometry column in {list(columns)}")
 
 
+def geometry_and_crs(said: Mapping | None, columns: Sequence[str]) -> tuple[str, str | Mapping | None]:
+    """(geometry column, reference system) of a file: the primary column of its footer if there is such a column, else by name; no system where the footer names none."""
+    primary = (said or {}).get("primary_column")
+    column = primary if isinstance(primary, str) and primary in columns else geometry_column(columns)
+    return column, (((said or {}).get("columns") or {}).get(column) or {}).get("crs")
+
+
 def property_columns(columns: Sequence[str], geometry: str, allowed: Sequence[str] | None) -> list[str]:
     out = [c for c in columns if c.lower() not in (geometry.lower(), "bbox")]
     return out if allowed is None else [c for c in out if c in set(allowed)]
@@ -65,12 +82,12 @@ def feature(geometry: Column, properties: Column, layer: str, zoom: ZoomRange) -
 
 
 def layer_features(layer: Layer, precision: int = 6) -> DataFrame:
-    """(feature) of rows with a geometry; null properties are written as null."""
+    """(feature) of rows with a geometry, in degrees; null properties are written as null."""
     df = layer.rows
     g = geometry_column(df.columns, layer.geometry)
     props = property_columns(df.columns, g, layer.properties)
     text = F.to_json(F.struct(*[F.col(p) for p in props]), {"ignoreNullFields": "false"}) if props else F.lit("{}")
-    return df.filter(F.col(g).isNotNull()).select(feature(geojson(F.col(g), F.lit(precision)), text, layer.name, layer.zoom).alias("feature"))
+    return df.filter(F.col(g).isNotNull()).select(feature(geojson(reprojected(layer.crs)(F.col(g)), F.lit(precision)), text, layer.name, layer.zoom).alias("feature"))
 
 
 def features(layers: Sequence[Layer], precision: int = 6) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from terragrist import schema
-from terragrist.functions import cells, fitting, geometry, hexgrid
+from terragrist.functions import cells, fitting, geometry, hexgrid, projections
 from terragrist.functions.curves import FAMILIES, quantile
 from terragrist.functions.impacts import ImpactSpec, LinearImpact, PiecewiseLinearImpact, SigmoidImpact
 from terragrist.functions.repair import repaired
@@ -541,6 +542,27 @@ def foreign_exists(spark, sf_dir):
     return cov.border_hexes(c.drop("cell_wkb"), c.select("hex_id").limit(0), cov.envelopes(p, "adm0_iso"), "7")
 
 
+def _polar_sql() -> str:
+    """Latitude of the south polar system, by the same series."""
+    p = projections.projection_of(3031)
+    at, n = math.radians(71), p.f / (2 - p.f)
+    chi = f"(pi() / 2 - 2 * atan(sqrt(x * x + y * y) / {p.axis * p._m(at) / p._t(at)!r}::DOUBLE))"
+    weights = (2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45, 7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45, 56 * n**3 / 15 - 136 * n**4 / 35, 4279 * n**4 / 630)
+    return f"degrees(-({chi}" + "".join(f" + {w!r}::DOUBLE * sin({2 * k} * {chi})" for k, w in enumerate(weights, 1)) + "))"
+
+
+@query(
+    f"SELECT event_id, {_r6('degrees(x / 6378137)')} AS web_lon, {_r6('degrees(pi() / 2 - 2 * atan(exp(-y / 6378137)))')} AS web_lat, {_r6('degrees(atan2(x, y))')} AS polar_lon, {_r6(_polar_sql())} AS polar_lat "
+    "FROM (SELECT event_id, CAST(user_id % 3001 AS DOUBLE) * 1000 - 1500250 AS x, CAST(event_id % 2903 AS DOUBLE) * 1000 - 1450125 AS y FROM events)"
+)
+def projected_points(spark, sf_dir):
+    """Places of all events in web Mercator and in a polar system, in degrees."""
+    e = s.table(spark, sf_dir, "events")
+    at = e.select("event_id", ((F.col("user_id") % 3001).cast("double") * 1000 - 1500250).alias("x"), ((F.col("event_id") % 2903).cast("double") * 1000 - 1450125).alias("y"))
+    (web_lon, web_lat), (polar_lon, polar_lat) = (projections.lonlat("x", "y", code) for code in (3857, "EPSG:3031"))
+    return at.select("event_id", *[r6(c).alias(n) for n, c in (("web_lon", web_lon), ("web_lat", web_lat), ("polar_lon", polar_lon), ("polar_lat", polar_lat))])
+
+
 @query("SELECT l_suppkey, arg_max(l_partkey, struct_pack(a := area, k := -l_partkey)) AS l_partkey, max(area) AS area FROM (SELECT l_suppkey, l_partkey, sum(CAST(l_quantity AS BIGINT)) AS area FROM lineitem GROUP BY ALL) GROUP BY 1")
 def maxoverlap_parent(spark, sf_dir):
     pairs = s.table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.sum(F.col("l_quantity").cast("long")).alias("area"))

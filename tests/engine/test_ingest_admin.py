@@ -33,7 +33,7 @@ def test_projections():
     assert geometry.to_degrees(np.array([[500000.0, 4649776.22482]]), 32633) == pytest.approx(np.array([[15.0, 42.0]]), abs=1e-6)
     assert geometry.to_degrees(np.array([[1113194.9079, 5160979.4443]]), 3857) == pytest.approx(np.array([[10.0, 42.0]]), abs=1e-5)
     with pytest.raises(ValueError):
-        geometry.to_degrees(np.zeros((1, 2)), 2154)
+        geometry.to_degrees(np.zeros((1, 2)), 27572)
     assert geometry.to_geojson(geometry.reproject(geometry.from_wkt("POINT (500000 4649776.22482)"), 32633), 4) == '{"type":"Point","coordinates":[15.0,42.0]}'
 
 
