@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import math
 import numbers
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -147,3 +149,100 @@ def valid_curve(prefix: str = "curve_") -> Column:
     fitted = (col("kind") == "fitted") & col("atom_probability").isNull() & col("atom_location").isNull()
     hurdle = (col("kind") == "hurdle") & finite(col("atom_location")) & finite(col("atom_probability")) & (col("atom_probability") > 0) & (col("atom_probability") < 1)
     return col("type").isin(*FAMILIES) & finite(col("location")) & finite(col("scale")) & (col("scale") > 0) & shape & (fitted | hurdle)
+
+
+def _row_at(value: Any, row_index: int) -> Mapping[str, Any]:
+    if isinstance(row_index, bool) or not isinstance(row_index, int):
+        raise TypeError("row_index must be a whole number")
+    if isinstance(value, Row):
+        value = value.asDict()
+    rows = 1 if isinstance(value, Mapping) else getattr(value, "num_rows", None)
+    if rows is None:
+        raise TypeError("a curve is read from a mapping, a row of Spark or an Arrow table")
+    if not 0 <= row_index < rows:
+        raise IndexError(f"row {row_index} of {rows}")
+    return value if isinstance(value, Mapping) else value.slice(row_index, 1).to_pylist()[0]
+
+
+@dataclass(frozen=True)
+class Curve:
+    """One curve of a stored row. The same rules hold as for rows of a store; values are computed by Spark, with the expressions that tables use."""
+
+    kind: str
+    type: str
+    shape: float | None
+    location: float
+    scale: float
+    atom_probability: float | None = None
+    atom_location: float | None = None
+
+    def __post_init__(self) -> None:
+        number = lambda x: isinstance(x, numbers.Real) and not isinstance(x, bool) and math.isfinite(x)
+        atom = (self.atom_probability, self.atom_location)
+        if self.kind not in ("fitted", "hurdle") or self.type not in FAMILIES:
+            raise ValueError(f"unknown curve {self.kind} {self.type}")
+        if not number(self.location) or not number(self.scale) or self.scale <= 0:
+            raise ValueError("a curve needs a finite location and a positive scale")
+        if self.type not in SHAPELESS and not number(self.shape) or self.type in ("weibull_min", "weibull_max") and self.shape <= 0:
+            raise ValueError(f"a {self.type} curve needs a shape" + ", over 0" * self.type.startswith("weibull"))
+        if self.kind == "fitted" and atom != (None, None):
+            raise ValueError("a fitted curve has no atom")
+        if self.kind == "hurdle" and not (number(atom[0]) and 0 < atom[0] < 1 and number(atom[1])):
+            raise ValueError("a hurdle curve needs an atom with a probability within (0, 1) and a finite location")
+
+    @classmethod
+    def from_row(cls, value: Any, row_index: int = 0, *, prefix: str = "curve_") -> Curve:
+        """The curve of a mapping, of a Row, or of one row of an Arrow table."""
+        row = _row_at(value, row_index)
+        names = list(cls.__dataclass_fields__)
+        missing = [f"{prefix}{n}" for n in names if f"{prefix}{n}" not in row]
+        if missing:
+            raise ValueError(f"the row has no column {missing[0]!r}")
+        found = (row[f"{prefix}{n}"] for n in names)
+        return cls(*[v.as_py() if hasattr(v, "as_py") else v for v in found])
+
+    def columns(self, prefix: str = "curve_") -> dict[str, Column]:
+        """The parameters as literal columns, for the expressions of this module."""
+        return {f"{prefix}{n}": F.lit(getattr(self, n)).cast("string" if n in ("kind", "type") else "double") for n in self.__dataclass_fields__}
+
+    def quantiles(self, spark: SparkSession, probabilities: Sequence[float]) -> list[float]:
+        """Values at non-exceedance probabilities."""
+        one = spark.range(1).select(*[c.alias(n) for n, c in self.columns().items()])
+        return list(one.select(*[quantile(p, skewnorm=self.type == "skewnorm").alias(f"v{i}") for i, p in enumerate(probabilities)]).first())
+
+    def return_values(self, spark: SparkSession, periods: Sequence[float]) -> list[float]:
+        return self.quantiles(spark, return_period_probabilities(periods))
+
+
+@dataclass(frozen=True)
+class TabulatedCurve:
+    """A curve known at some non-exceedance probabilities, in order, straight between them and level beyond the first and last."""
+
+    probabilities: tuple[float, ...]
+    values: tuple[float, ...]
+
+    def __post_init__(self) -> None:
+        p, v = self.probabilities, self.values
+        if len(p) != len(v) or len(p) < 2:
+            raise ValueError("a tabulated curve needs two knots or more, with a value each")
+        if any(a >= b for a, b in zip(p, p[1:])) or not 0 <= p[0] or p[-1] > 1:
+            raise ValueError("probabilities must rise within [0, 1]")
+        if any(a > b for a, b in zip(v, v[1:])):
+            raise ValueError("values must not fall with their probability")
+
+    @classmethod
+    def from_return_periods(cls, periods: Sequence[float], values: Sequence[float], tail: str = "upper") -> TabulatedCurve:
+        """Of return periods of exceedance (upper) or of falling short (lower), in any order."""
+        if tail not in ("upper", "lower"):
+            raise ValueError("tail must be upper or lower")
+        at = return_period_probabilities(periods)
+        knots = sorted((p if tail == "upper" else 1 - p, float(v)) for p, v in zip(at, values))
+        return cls(tuple(p for p, _ in knots), tuple(v for _, v in knots))
+
+    def quantile(self, probability: Column | float) -> Column:
+        """The value at a probability, in generated code; null where the probability is null or not within [0, 1]."""
+        p = probability if isinstance(probability, Column) else F.lit(float(probability))
+        out = F.when(p < 0, None).when(p <= self.probabilities[0], F.lit(self.values[0]))
+        for p0, p1, v0, v1 in zip(self.probabilities, self.probabilities[1:], self.values, self.values[1:]):
+            out = out.when(p <= p1, F.lit(v0) + (p - p0) * ((v1 - v0) / (p1 - p0)))
+        return out.when(p <= 1, F.lit(self.values[-1]))

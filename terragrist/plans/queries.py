@@ -406,10 +406,21 @@ def fit_genextreme(spark, sf_dir):
     return fitting.fit_curves(k, ["l_suppkey"], fitting.FitPolicy("genextreme", max_normalized_rmse=1.0, on_failure="skip"))
 
 
-@query("SELECT CAST(b AS INTEGER) AS tile, -10.0 + 4 * (b % 5) AS x0, 30.0 + 4 * (b // 5) AS y0, least(8.0, -10.0 + 4 * (b % 5 + 1)) AS x1, least(41.0, 30.0 + 4 * (b // 5 + 1)) AS y1 FROM range(15) t(b)")
+@query(
+    f"{s.with_sql('points')}, area AS (SELECT floor(min(longitude)) AS a, floor(min(latitude)) AS b, ceil(max(longitude)) AS c, ceil(max(latitude)) AS d, CAST(ceil((c - a) / 7) AS BIGINT) AS nx, CAST(ceil((d - b) / 7) AS BIGINT) AS ny FROM points), "
+    "grid AS (SELECT area.*, unnest(range(nx * ny)) AS k FROM area), owned AS (SELECT least(ny - 1, CAST(floor((latitude - b) / 7) AS BIGINT)) * nx + least(nx - 1, CAST(floor((longitude - a) / 7) AS BIGINT)) AS k, count(*) AS n FROM points, area GROUP BY 1) "
+    "SELECT CAST(k AS INTEGER) AS tile, CAST(a + 7 * (k % nx) AS DOUBLE) AS x0, CAST(b + 7 * (k // nx) AS DOUBLE) AS y0, CAST(least(c, a + 7 * (k % nx + 1)) AS DOUBLE) AS x1, CAST(least(d, b + 7 * (k // nx + 1)) AS DOUBLE) AS y1, coalesce(n, 0) AS n FROM grid LEFT JOIN owned USING (k)"
+)
 def tile_grid(spark, sf_dir):
-    rows = [(i, *t) for i, t in enumerate(raster.tile_bounds((-10.0, 30.0, 8.0, 41.0), 4.0))]
-    return spark.createDataFrame(rows, "tile int, x0 double, y0 double, x1 double, y1 double")
+    """The tiles of the area of all points, with the points that each owns."""
+    p = s.points(spark, sf_dir)
+    area = p.agg(F.floor(F.min("longitude")), F.floor(F.min("latitude")), F.ceil(F.max("longitude")), F.ceil(F.max("latitude"))).first()
+    if area[0] is None:
+        return spark.createDataFrame([], "tile int, x0 double, y0 double, x1 double, y1 double, n long")
+    bounds = tuple(float(x) for x in area)
+    grid = spark.createDataFrame([(i, *t) for i, t in enumerate(raster.tile_bounds(bounds, 7.0))], "tile int, x0 double, y0 double, x1 double, y1 double")
+    owned = p.groupBy(raster.owning_tile("longitude", "latitude", bounds, 7.0).alias("tile")).agg(F.count(F.lit(1)).alias("n"))
+    return grid.join(owned, "tile", "left").select("tile", "x0", "y0", "x1", "y1", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query(f"{s.with_sql('points')} SELECT CAST(greatest(0, least(16, floor((latitude + 85) / 10))) * 36 + greatest(0, least(35, floor((longitude + 180) / 10))) AS INTEGER) AS tile, count(*) AS n FROM points GROUP BY 1")

@@ -142,16 +142,22 @@ def vector_parquet(spark, sf_dir):
     return e.select(F.col("rid").cast("string").alias("rid"), "e.xmin", "e.ymin", "e.xmax", "e.ymax", F.col("part").cast("int").alias("part"))
 
 
-@query("SELECT * FROM (VALUES ('flood', 'depth', 'a/ssp585/2050/x', 'metres'), ('flood', 'depth', 'a/ssp585/2030/x', 'metres'), ('wind', 'speed', 'w/ssp245', 'm/s')) t(hazard_type, indicator_id, path, units)")
+@query("SELECT p_brand AS hazard_type, 'parts' AS indicator_id, lower(replace(p_brand, '#', '')) || '/ssp585/' || y || '/' || p_size AS path, 'u' || p_size AS units FROM (SELECT DISTINCT p_brand, p_size FROM part), (VALUES (2030), (2050)) t(y)")
 def inventory_paths(spark, sf_dir):
+    """A resource for each brand, with the sizes of its parts as a parameter; written as an inventory, read, selected and resolved for all sizes and two years."""
     path = f"{work_folder(spark, 'inventory')}/inventory.json"
-    depth = {"hazard_type": "flood", "indicator_id": "depth", "path": "a/{scenario}/{year}/{kind}", "units": "metres", "params": {"kind": ["x", "y"]}, "scenarios": [{"id": "ssp585", "years": [2030, 2050]}]}
-    speed = {"hazard_type": "wind", "indicator_id": "speed", "path": "w/{scenario}", "units": "m/s", "scenarios": [{"id": "ssp245", "years": [2050]}]}
-    write_bytes(spark, path, json.dumps({"resources": [depth, speed]}).encode())
+    rows = s.table(spark, sf_dir, "part").groupBy("p_brand").agg(F.collect_set("p_size").alias("size"))
+    folder = F.concat(F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))), F.lit("/{scenario}/{year}/{size}"))
+    years = F.array(F.struct(F.lit("ssp585").alias("id"), F.array(F.lit(2030), F.lit(2050)).alias("years")))
+    resource = F.struct(F.col("p_brand").alias("hazard_type"), F.lit("parts").alias("indicator_id"), folder.alias("path"), F.struct("size").alias("params"), years.alias("scenarios"))
+    said = [r[0] for r in rows.select(F.to_json(resource)).collect()]  # one a brand
+    write_bytes(spark, path, ('{"resources": [' + ",".join(said) + "]}").encode())
     found = Inventory.read(spark, path)
-    flood, (wind,) = found.select(hazard_type="flood", units="metres"), found.find(indicator_id="speed")
-    rows = [(r.hazard_type, r.indicator_id, p, r.units) for r, p in ((flood, flood.resolve("ssp585", 2050, kind="x")), (flood, flood.resolve("ssp585", 2030, kind="x")), (wind, wind.resolve("ssp245", 2050)))]
-    return spark.createDataFrame(rows, "hazard_type string, indicator_id string, path string, units string")
+    out = []
+    for r in found.find(indicator_id="parts"):
+        one = found.select(hazard_type=r.hazard_type)
+        out += [(r.hazard_type, r.indicator_id, one.choose("ssp585", y, size=n).path, f"u{n}") for n in one.parameters["size"] for y in one.scenarios["ssp585"]]
+    return spark.createDataFrame(out, "hazard_type string, indicator_id string, path string, units string")
 
 
 _SITES = """sites AS (SELECT event_id AS asset_id, longitude, latitude, CAST((floor(longitude / 10) + 18) * 100 + floor((latitude + 90) / 10) AS BIGINT) AS cell_index FROM points),

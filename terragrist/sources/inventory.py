@@ -6,7 +6,10 @@ import json
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+from terragrist.operators.ingest import IngestPolicy, canonicalize
+from terragrist.sources.raster import Bounds, RasterMetadata, ZarrRaster
 
 
 @dataclass(frozen=True)
@@ -19,6 +22,12 @@ class Resource:
     units: str = ""
     parameters: Mapping[str, tuple] = field(default_factory=dict)
     scenarios: Mapping[str, tuple[int, ...]] = field(default_factory=dict)
+    #: Beside the array stand its coordinates, so it is `indicator` in a group.
+    with_coordinates: bool = False
+
+    def choose(self, scenario: str, year: int, **parameters) -> Selection:
+        """One array of the resource; the checks are those of resolve()."""
+        return Selection(self, scenario, year, self.resolve(scenario, year, **parameters))
 
     def resolve(self, scenario: str, year: int, **parameters) -> str:
         """The path of one array. Scenario, year and the exact set of parameters must be listed."""
@@ -37,6 +46,16 @@ class Resource:
             raise ValueError(f"the path has an unresolved field {e}") from None
 
 
+@dataclass(frozen=True)
+class Selection:
+    """One array of an inventory."""
+
+    resource: Resource
+    scenario: str
+    year: int
+    path: str
+
+
 @dataclass(frozen=True)
 class Inventory:
     resources: tuple[Resource, ...]
@@ -46,7 +65,7 @@ class Inventory:
         out = []
         for r in data["resources"]:
             scenarios = {s["id"]: tuple(s["years"]) for s in r.get("scenarios", ())}
-            out.append(Resource(r["hazard_type"], r["indicator_id"], r["path"], r.get("indicator_model_id", r.get("model", "")) or "", r.get("group_id", "") or "", r.get("units", "") or "", {k: tuple(v) for k, v in (r.get("params") or {}).items()}, scenarios))
+            out.append(Resource(r["hazard_type"], r["indicator_id"], r["path"], r.get("indicator_model_id", r.get("model", "")) or "", r.get("group_id", "") or "", r.get("units", "") or "", {k: tuple(v) for k, v in (r.get("params") or {}).items()}, scenarios, bool(r.get("store_netcdf_coords"))))
         return cls(tuple(out))
 
     @classmethod
@@ -66,3 +85,32 @@ class Inventory:
         if len(found) != 1:
             raise LookupError(f"{len(found)} resources match {fields}; choices: {[(r.hazard_type, r.indicator_id, r.model) for r in found or self.resources]}")
         return found[0]
+
+
+@dataclass(frozen=True)
+class InventoryProvider:
+    """The arrays of an inventory below `root`, a folder of any store that Spark reads; credentials are those of the session's file system."""
+
+    spark: SparkSession
+    inventory: Inventory
+    root: str
+
+    @classmethod
+    def read(cls, spark: SparkSession, inventory: str, root: str) -> InventoryProvider:
+        return cls(spark, Inventory.read(spark, inventory), root)
+
+    def find(self, **fields: str | None) -> list[Resource]:
+        return self.inventory.find(**fields)
+
+    def select(self, **fields: str | None) -> Resource:
+        return self.inventory.select(**fields)
+
+    def open(self, chosen: Selection) -> ZarrRaster:
+        """The array with its metadata; chunks are read when rows are asked for."""
+        r = chosen.resource
+        path = f"{self.root.rstrip('/')}/{chosen.path.strip('/')}" + "/indicator" * r.with_coordinates
+        return ZarrRaster.open(self.spark, path, RasterMetadata(r.hazard_type, r.indicator_id, chosen.scenario, chosen.year, r.units, chosen.path))
+
+    def canonicalize(self, chosen: Selection, policy: IngestPolicy, bounds: Bounds | None = None) -> DataFrame:
+        """Canonical rows of the array, or of a window of it."""
+        return canonicalize(self.open(chosen), policy, bounds)

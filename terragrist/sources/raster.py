@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from terragrist.functions.curves import TabulatedCurve
 from terragrist.sources.publish import file_system, read_bytes
 from terragrist.sources.ranged import RangedFile, can_range, unpack
 
@@ -426,12 +427,24 @@ class ZarrRaster:
         knots = F.sort_array(F.collect_list(F.struct("axis_index", "axis_value", "value")))
         return self.scan(bounds).groupBy("row", "col", "longitude", "latitude").agg(knots.alias("knots"))
 
+    def _check_periods(self) -> None:
+        if "return period" not in self.axis_name().lower():
+            raise ValueError(f"axis {self.axis_name()!r} is no return period")
+
+    def return_period_distribution(self, longitude: float, latitude: float, *, tail: str = "upper") -> TabulatedCurve:
+        """The curve of one pixel, straight between its finite values. Raises if there are fewer than two of these, or if the axis is no return period."""
+        self._check_periods()
+        at = self.spark.createDataFrame([(float(longitude), float(latitude))], "longitude double, latitude double")
+        knots = self.points(at).filter("value is not null").select(F.col("axis_value").cast("double"), "value").collect()  # as many as the axis has
+        if len(knots) < 2:
+            raise ValueError(f"{self.metadata.path or self.path} has {len(knots)} finite values there; a curve needs two")
+        return TabulatedCurve.from_return_periods([k for k, _ in knots], [v for _, v in knots], tail)
+
     def knots(self, bounds: Bounds | None = None, tail: str = "upper") -> DataFrame:
         """(row, col, probability, value) for fitting; the axis must be a return period."""
         from terragrist.functions.fitting import knot_probability
 
-        if "return period" not in self.axis_name().lower():
-            raise ValueError(f"axis {self.axis_name()!r} is no return period")
+        self._check_periods()
         return self.scan(bounds).filter("value is not null").select("row", "col", knot_probability(F.col("axis_value").cast("double"), tail).alias("probability"), "value")
 
 
