@@ -12,8 +12,9 @@ from pyspark.sql.window import Window
 
 from terragrist.functions.cells import coverage_parent_resolution, parent_of_string
 from terragrist.functions.geometry import cell_share
+from terragrist.operators.indexing import cell_geometries
 from terragrist.operators.spatial import box_pairs
-from terragrist.sources.publish import publish
+from terragrist.sources.publish import publish, work_folder
 
 #: A polygon contains a cell if it covers all of its area but for rounding.
 TOUCH = 1e-9
@@ -72,6 +73,55 @@ def write_exploded_coverage(coverage: DataFrame, path: str, *, mode: str = "erro
     return coverage_stats(written).first().asDict()
 
 
+def write_coverage(
+    candidates: DataFrame, polys: DataFrame, out: str, *, path: list[str], resolution: int, parent_resolution: int | None = None, cache: DataFrame | None = None, mode: str = "errorifexists"
+) -> dict[str, int | str]:
+    """Writes (hex_id, path.., pct) of every candidate with a share, whole or not at all, and gives counts of what was done.
+
+    From resolution 6 on by parents: a cell with one candidate whose parent (two resolutions coarser, or `parent_resolution`) lies in its polygon has share 1 and gets no geometry. Below, all
+    cells are measured. Geometries come from `cache` (hex_id, cell_wkb) where it has them. Candidates must be distinct; cells or polygons that are null are left out.
+
+    Counts: `single` and `competing` cells, `competing_ops` pairs of the latter, `edge_singles`, cells that their only polygon does not contain, `needed_hexes` (these and competing ones), `coverage_rows`,
+    `partial_pct_rows`; by parents also `parent_touch` pairs, `parent_geoms`, `interior_parents` and `boundary_parents` pairs, `boundary_children`.
+    """
+    if parent_resolution is None:
+        parent_resolution = coverage_parent_resolution(resolution)
+    if not 0 <= resolution <= 15 or parent_resolution is not None and not 0 <= parent_resolution < resolution:
+        raise ValueError("resolutions must lie within 0 and 15, that of parents below that of cells")
+    folder = work_folder(candidates.sparkSession, "coverage")
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    known = candidates.select("hex_id", "poly_rid").filter("hex_id is not null and poly_rid is not null").join(polys.select("poly_rid"), "poly_rid", "left_semi")
+    c = kept(with_counts(known), "counted")
+    singles, competing = c.filter("cnt = 1"), c.filter("cnt > 1").select("hex_id", "poly_rid")
+    n = c.agg(F.count_if(F.col("cnt") == 1).alias("single"), F.count_if(F.col("cnt") > 1).alias("competing_ops"), F.count_distinct(F.when(F.col("cnt") > 1, F.col("hex_id"))).alias("competing")).first().asDict()
+    stats: dict[str, int | str] = {"mode": "flat" if parent_resolution is None else "hierarchical", **n}
+    whole = None
+    if parent_resolution is not None:
+        singles = singles.withColumn("parent", parent_of_string(F.col("hex_id"), parent_resolution))
+        touch = kept(singles.select("parent", "poly_rid").distinct(), "touch")
+        parents = cell_geometries(touch, "parent").withColumnRenamed("hex_id", "parent")
+        inside = cell_share("g", "cell_wkb") >= 1 - TOUCH
+        classes = touch.join(parents, "parent").join(polys.select("poly_rid", F.col("geom_wkb").alias("g")), "poly_rid").select("parent", "poly_rid", F.coalesce(inside, F.lit(False)).alias("interior"))
+        classes = kept(classes, "classes")
+        stats |= classes.agg(F.count(F.lit(1)).alias("parent_touch"), F.count_distinct("parent").alias("parent_geoms"), F.count_if("interior").alias("interior_parents"), F.count_if(~F.col("interior")).alias("boundary_parents")).first().asDict()
+        marked = kept(singles.join(classes, ["parent", "poly_rid"]).select("hex_id", "poly_rid", "interior"), "marked")
+        whole, singles = marked.filter("interior").select("hex_id", "poly_rid", F.lit(1.0).alias("pct")), marked.filter("not interior")
+        stats["boundary_children"] = singles.count()
+    measured = singles.select("hex_id", "poly_rid").unionByName(competing)
+    contains = (F.col("cnt") == 1) & (F.col("pct") >= 1 - TOUCH)
+    found = kept(shares(measured, polys, cell_geometries(measured, cache=cache)).withColumn("pct", F.when(contains, 1.0).otherwise(F.col("pct"))), "shares")
+    stats["edge_singles"] = (stats["single"] if whole is None else stats["boundary_children"]) - found.filter(contains).count()
+    stats["needed_hexes"] = stats["edge_singles"] + stats["competing"]
+    rows = found.select("hex_id", "poly_rid", "pct")
+    rows = (rows if whole is None else rows.unionByName(whole)).join(polys.select("poly_rid", *path), "poly_rid").select("hex_id", *path, "pct")
+    told = write_exploded_coverage(rows, out, mode=mode)
+    return stats | {k: told[k] for k in ("coverage_rows", "partial_pct_rows")}
+
+
 def envelopes(polys: DataFrame, group: str) -> DataFrame:
     """Bounds of each group from bounds columns."""
     return polys.groupBy(group).agg(F.min("xmin").alias("xmin"), F.min("ymin").alias("ymin"), F.max("xmax").alias("xmax"), F.max("ymax").alias("ymax"))

@@ -193,6 +193,21 @@ def edge_hexes(spark, sf_dir):
     return cov.edge_hexes(_box_candidates(p, c), p, c)
 
 
+@query(
+    f"WITH {_BOXES}, c AS (SELECT hex, {_OVERLAP} / 0.09 AS pct, count(*) OVER (PARTITION BY hex) AS cnt FROM squares, polys WHERE cx <= x1 AND cx + 0.3 >= x0 AND cy <= y1 AND cy + 0.3 >= y0) "
+    "SELECT 'flat' AS mode, count(*) FILTER (WHERE cnt = 1) AS single, count(DISTINCT hex) FILTER (WHERE cnt > 1) AS competing, count(*) FILTER (WHERE cnt > 1) AS competing_ops, count(*) FILTER (WHERE cnt = 1 AND pct < 1 - 1e-9) AS edge_singles, "
+    "count(DISTINCT hex) FILTER (WHERE cnt > 1 OR pct < 1 - 1e-9) AS needed_hexes, count(*) FILTER (WHERE pct > 1e-9) AS coverage_rows, count(*) FILTER (WHERE pct > 1e-9 AND pct < 1 - 1e-9) AS partial_pct_rows FROM c"
+)
+def coverage_written(spark, sf_dir):
+    """What the coverage writer counts, and the rows that it wrote but for slivers of rounding."""
+    p, c = _boxes(spark, sf_dir)
+    path = f"{work_folder(spark, 'written')}/coverage.parquet"
+    told = cov.write_coverage(_box_candidates(p, c), p, path, path=["adm0_iso"], resolution=5, cache=c)
+    rows = spark.read.parquet(path).filter("pct > 1e-9").agg(F.count(F.lit(1)).alias("coverage_rows"), F.count_if(F.col("pct") < 1 - 1e-9).alias("partial_pct_rows"))
+    counts = ("single", "competing", "competing_ops", "edge_singles", "needed_hexes")
+    return rows.select(F.lit(told["mode"]).alias("mode"), *[F.lit(told[k]).cast("long").alias(k) for k in counts], "coverage_rows", "partial_pct_rows")
+
+
 @query(
     f"WITH {_BOXES}, one AS (SELECT * FROM polys WHERE poly_rid % 3 = 0), pairs AS (SELECT a.poly_rid AS rid, b.poly_rid AS other, {_SHARED} AS area FROM polys a JOIN one b ON a.adm0 = b.adm0) "
     "SELECT poly_rid AS adm2_rid, CAST(adm0 AS VARCHAR) AS adm0_iso, adm1_id, adm1_name FROM polys LEFT JOIN (SELECT rid, arg_max('d' || (1000 + other), struct_pack(a := area, o := -other)) AS adm1_id, arg_max('District ' || other, struct_pack(a := area, o := -other)) AS adm1_name FROM pairs WHERE area > 1e-12 GROUP BY 1) ON rid = poly_rid"

@@ -95,7 +95,7 @@ def test_provider_opens_and_canonicalizes(spark, tmp_path):
     chosen = provider.select(hazard_type="river").choose("ssp585", 2050)
     raster = provider.open(chosen)
     assert raster.metadata == RasterMetadata("river", "depth", "ssp585", 2050, "metres", "river/ssp585_2050") and raster.path.endswith("/indicator")
-    rows = provider.canonicalize(chosen, IngestPolicy(5, "flood", "tests", "1", FitPolicy("gumbel_r", max_normalized_rmse=1.0, on_failure="skip")), bounds=(10.5, 49.0, 11.5, 49.5))
+    rows = provider.canonicalize(chosen, IngestPolicy(5, "flood", "tests", "1", FitPolicy("gumbel_r", min_knots=3, max_normalized_rmse=1.0, on_failure="skip")), bounds=(10.5, 49.0, 11.5, 49.5))
     found = rows.select("hazard_name", "horizon", "pathway").distinct().collect()
     assert rows.columns == COLUMNS and [tuple(r) for r in found] == [("flood", 2050, "ssp585")]
     assert provider.open(provider.select(hazard_type="coast").choose("ssp245", 2030)).shape == (3, 4, 4)
