@@ -1,36 +1,40 @@
 """Text quality by an interpolated modified Kneser-Ney model of word n-grams, trained on trusted text.
 
-N-grams of all trusted text are counted and turned into probabilities by joins of written tables: counts, continuation counts,
-context totals. All of these grow with the corpus and stay in shards. A document's log probability is then a sum over its
-n-grams, because the interpolated model can be written with gains:
+Training takes one shuffle for each length of n-gram, from the longest down. A task sends the distinct n-grams of a batch of texts with their
+counts, sorted by hash and cut into shards (ranges of hashes). A shard sums them, and tells the shards of the next shorter n-grams what they
+need: how many different words stand before an n-gram, and how often and with how many words of counts 1, 2, 3 or more each context goes on.
+So the model is a table of integers, with a row for each shard, and no probability is rounded.
 
-    log p(w | context) = log p(unknown word) + gain(w) + sum over longer n-grams of gain(n-gram) + weight(context)
+Documents are tokenised once, into blocks of a batch of texts each. A block asks the shards for the counts of its distinct n-grams, the shards
+answer, and the block works out each word's probability from the answers:
 
-where n-grams and contexts that trusted text does not have add 0. So every document is exploded to (document, n-gram, times), joined with
-the gains, and summed. Tables and documents go through this in `rounds`, each for one range of n-gram hashes, so
-that no more than a part of all n-grams is on disk at a time.
+    p(w | context) = rest(count of context + w) / total(context) + off(context) / total(context) * p(w | shorter context)
+
+What is shuffled grows with the distinct n-grams of blocks, not with words times documents, and frequent n-grams need no care: a block asks
+for each once. Blocks go through this in `rounds`, so that no more than a part of them is on disk at a time.
 
 A document's perplexity is compared with a quantile of trusted documents of its language that the model was not trained on.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terragrist.llm.shared import Scratch, free
+from terragrist.llm.shared import Scratch, free, small_batches
 from terragrist.llm.words import column_words
 
 #: Trusted ids that may be broadcast (16 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Languages whose limits may be broadcast (4 MB or so); more are joined by a shuffle.
 BROADCAST_LANGUAGES = 100_000
-#: The most frequent n-grams of trusted text go to every task (1 MB): they are in most documents and need no shuffle.
-HEAD = 1 << 16
+#: Bytes of text for each shard: some two million n-grams asked for, 16 MB.
+SHARD_BYTES = 16 << 20
 #: Stands before the first word of a text.
 START = np.uint64(0x5BF0_3635_A5F4_1D27)
 
@@ -60,17 +64,11 @@ def before(gram: np.ndarray, first: np.ndarray, start: np.uint64) -> np.ndarray:
 
 
 def _joined(context: np.ndarray, tail: np.ndarray, k: int) -> np.ndarray:
-    """Hash of a k-gram. Hashes of words are well mixed, so turning one and adding the other bit by bit will do; see _gram, too."""
+    """Hash of a k-gram. Hashes of words are well mixed, so turning one and adding the other bit by bit will do."""
     turn = np.uint64(2 * k + 1)
     return ((context << turn) | (context >> (np.uint64(64) - turn))) ^ tail
 
 
-def _gram(k: int) -> Column:
-    """The same of the columns context and tail."""
-    turned = F.shiftleft("context", 2 * k + 1).bitwiseOR(F.shiftrightunsigned("context", 63 - 2 * k))
-    return turned.bitwiseXOR(F.col("tail")).alias("gram")
-
-
 def starts(order: int) -> list[np.uint64]:
     """The hash of k START words, k = 1 to `order`."""
     out = [np.array([START])]
@@ -79,30 +77,121 @@ def starts(order: int) -> list[np.uint64]:
     return [x[0] for x in out]
 
 
-def _in_range(gram: np.ndarray, part: int, parts: int) -> np.ndarray:
-    return (gram >> np.uint64(40)) % np.uint64(parts) == np.uint64(part)
+def _gram_of(chain: np.ndarray) -> np.ndarray:
+    """Hashes of k-grams from their chains: the contexts (of k - 1 words, k - 2, ..., one) and the last word."""
+    out = chain[-1]
+    for k, context in enumerate(chain[-2::-1], 2):
+        out = _joined(context, out, k)
+    return out
+
+
+def _start_chain(k: int) -> np.ndarray:
+    """The chain of k START words, the only k-gram that goes before words but ends at none."""
+    s = starts(k)
+    return np.array([*s[k - 2 :: -1], START] if k > 1 else s, np.uint64)
+
+
+def _columns(blob: pa.Scalar, n: int, kind: type = np.uint64) -> np.ndarray:
+    return np.frombuffer(blob.as_buffer(), kind).reshape(n, -1)
+
+
+def _side_by_side(blobs: pa.ChunkedArray, n: int) -> np.ndarray:
+    return np.concatenate([np.empty((n, 0), np.uint64), *(_columns(b, n) for b in blobs)], axis=1)
+
+
+def _shard(gram: np.ndarray, bits: int) -> np.ndarray:
+    return gram >> np.uint64(64 - bits)
+
 
+def _cut(gram: np.ndarray, columns: np.ndarray, bits: int) -> Iterator[tuple[int, bytes]]:
+    """(shard, its columns as bytes) of sorted n-grams."""
+    shard = _shard(gram, bits)
+    at = np.flatnonzero(np.concatenate([np.ones(min(1, len(shard)), bool), shard[1:] != shard[:-1]]))
+    for lo, hi in zip(at, [*at[1:], len(shard)]):
+        yield int(shard[lo]), np.ascontiguousarray(columns[:, lo:hi]).tobytes()
 
-def _long(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
 
+#: A message to a shard. `kind` 0: chains of n-grams and their counts; 1: contexts with total, and with the number of words of counts 1, 2, 3 or more.
+MESSAGE = "shard long, kind int, body binary"
+#: A shard of one level. `counts`: for each n-gram its count, and below the longest also total and numbers of words as a context.
+LEVEL = "shard long, chain binary, counts binary, ones long, twos long, threes long, fours long, known long, total long"
 
-def count_ngrams(texts: DataFrame, k: int, part: int = 0, parts: int = 1) -> DataFrame:
-    """(context, tail, n) of the k-grams, k > 1, of texts (one column) whose hash is in one range; each task sends a row for each n-gram of a batch."""
+
+def _messages(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    shard, kind, body = zip(*rows) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(kind, pa.int32()), pa.array(body, pa.binary())], ["shard", "kind", "body"])
+
+
+def count_ngrams(texts: DataFrame, order: int, bits: int, part: int = 0, parts: int = 1) -> DataFrame:
+    """Messages with the distinct n-grams of each batch of texts (one column), for one in `parts` of the shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start = starts(k)[k - 2]
+        start = starts(order)
         for batch in batches:
             rows, words = column_words(batch.column(0))
-            *_, tail, gram = grams(rows, words, k)
-            mine = np.flatnonzero(_in_range(gram, part, parts))
-            context = before(tail, new_text(rows), start)
-            _, at, n = np.unique(gram[mine], return_index=True, return_counts=True)
-            at = mine[at]
-            yield pa.RecordBatch.from_arrays([_long(context[at]), _long(tail[at]), pa.array(n.astype(np.int64))], ["context", "tail", "n"])
+            every, first = grams(rows, words, order), new_text(rows)
+            gram, at, n = np.unique(every[-1], return_index=True, return_counts=True)
+            mine = _shard(gram, bits) % np.uint64(parts) == np.uint64(part)
+            gram, at, n = gram[mine], at[mine], n[mine]
+            contexts = [before(every[k - 2], first, start[k - 2])[at] for k in range(order, 1, -1)]
+            yield _messages([(s, 0, b) for s, b in _cut(gram, np.array([*contexts, words[at], n.astype(np.uint64)]), bits)])
+
+    return texts.mapInArrow(run, MESSAGE)
+
+
+def _sum_messages(k: int, top: bool):
+    """The row of a shard of k-grams from all messages to it."""
+
+    def run(key: tuple[pa.Scalar, ...], messages: pa.Table) -> pa.Table:
+        kind = messages["kind"].to_numpy()
+        said = _side_by_side(messages["body"].filter(pa.array(kind == 0)), k + 1)
+        context = _side_by_side(messages["body"].filter(pa.array(kind == 1)), 5)
+        gram, at = np.unique(np.concatenate([_gram_of(said[:k]), context[0]]), return_inverse=True)
+        mine, others = at[: said.shape[1]], at[said.shape[1] :]
+        chain = np.repeat(_start_chain(k)[:, None], len(gram), axis=1)
+        chain[:, mine] = said[:k]
+        counts = np.zeros((1 if top else 5, len(gram)), np.int64)
+        np.add.at(counts[0], mine, said[k].view(np.int64))
+        for i in range(1, len(counts)):
+            np.add.at(counts[i], others, context[i].view(np.int64))
+        n = counts[0]
+        tallies = [int((n == i).sum()) for i in (1, 2, 3, 4)] + [int((n > 0).sum()), int(n.sum())]
+        values = [key[0].as_py(), chain.tobytes(), counts.tobytes(), *tallies]
+        names = [c.split()[0] for c in LEVEL.split(", ")]
+        kinds = [pa.binary() if "binary" in c else pa.int64() for c in LEVEL.split(", ")]
+        return pa.table([pa.array([v], t) for v, t in zip(values, kinds)], names)
+
+    return run
+
+
+def _tell_below(k: int, top: bool, bits: int):
+    """Messages of shards of k-grams to those of (k - 1)-grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c, n in zip(batch.column(0), batch.column(1)):
+                chain, n = _columns(c, k), _columns(n, 1 if top else 5, np.int64)[0]
+                chain, n = chain[:, n > 0], n[n > 0]
+                gram, at, different = np.unique(_gram_of(chain[1:]), return_index=True, return_counts=True)
+                rows = [(s, 0, b) for s, b in _cut(gram, np.array([*chain[1:, at], different.astype(np.uint64)]), bits)]
+                order = np.argsort(chain[0])
+                context, at = np.unique(chain[0][order], return_index=True)
+                n = n[order]
+                sums = [np.add.reduceat(x.astype(np.int64), at) if len(at) else np.empty(0, np.int64) for x in (n, n == 1, n == 2, n > 2)]
+                yield _messages(rows + [(s, 1, b) for s, b in _cut(context, np.array([context, *(x.view(np.uint64) for x in sums)]), bits)])
+
+    return run
+
 
-    counted = texts.mapInArrow(run, "context long, tail long, n long")
-    return counted.groupBy("context", "tail").agg(F.sum("n").alias("n"))
+def _packed(k: int):
+    """(shard, gram, counts) of the shards of a level: hashes in place of chains."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gram = [_gram_of(_columns(c, k)).tobytes() for c in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gram, pa.binary()), batch.column(2)], ["shard", "gram", "counts"])
+
+    return run
 
 
 def discounts(ones: int, twos: int, threes: int, fours: int) -> tuple[float, float, float]:
@@ -115,98 +204,55 @@ def discounts(ones: int, twos: int, threes: int, fours: int) -> tuple[float, flo
     return tuple(min(max(v, 0.1), float(top)) for v, top in zip(raw, (1, 2, 3)))
 
 
-def _discount(n: Column, d: tuple[float, float, float]) -> Column:
-    return F.when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2])
-
-
-def _tally(level: DataFrame) -> tuple[float, float, float]:
-    return discounts(*(int(x or 0) for x in level.agg(*[F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2, 3, 4)]).first()))
+class Model:
+    """`shards`: (level, shard, gram, counts), a row for each shard of each length of n-grams; `discounts`: by length; `total`, `unknown`: of
+    single words, the sum of their counts, and the probability of a word that trusted text does not have (1 without trusted text)."""
 
+    def __init__(self, shards: DataFrame | None, bits: int, discounts: list[tuple[float, float, float]], total: int, unknown: float) -> None:
+        self.shards, self.bits, self.discounts, self.total, self.unknown = shards, bits, discounts, total, unknown
 
-class Head:
-    """The most frequent n-grams, sorted, with gain and weight."""
+    @property
+    def order(self) -> int:
+        return len(self.discounts)
 
-    def __init__(self, gram: np.ndarray, gain: np.ndarray, weight: np.ndarray) -> None:
-        order = np.argsort(gram)
-        self.gram, self.gain, self.weight = gram[order], gain[order], weight[order]
 
-    @classmethod
-    def of(cls, table: pa.Table) -> Head:
-        return cls(table["gram"].to_numpy().view(np.uint64), table["gain"].to_numpy().astype(float), table["weight"].to_numpy().astype(float))
+def text_bytes(docs: DataFrame, text_col: str) -> int:
+    return docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
 
-    def find(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place in the head, whether it is there) of each n-gram."""
-        if not len(self.gram):
-            return np.zeros(len(gram), np.int64), np.zeros(len(gram), bool)
-        at = np.minimum(np.searchsorted(self.gram, gram), len(self.gram) - 1)
-        return at, self.gram[at] == gram
 
+def rounds_for(size: int, most: int = 8, least_bytes: int = 16 << 20) -> int:
+    """Rounds by the bytes of all texts: at most `most`, and none for less than `least_bytes`. They change how much is on disk at a time, no results."""
+    return max(1, min(most, size // least_bytes))
 
-class Model:
-    """`gains`: (gram, gain, weight) rows of n-grams seen and of their contexts; `unknown`: log probability of a word that trusted text does not have."""
 
-    def __init__(self, gains: list[DataFrame], unknown: float, order: int, head: Head) -> None:
-        self.gains, self.unknown, self.order, self.head = gains, unknown, order, head
+def bits_for(size: int) -> int:
+    """2^bits shards for so many bytes of text. They change how much a task holds, no results."""
+    return max(1, (size // SHARD_BYTES).bit_length())
 
 
-def rounds_for(docs: DataFrame, text_col: str, most: int = 8, least_bytes: int = 16 << 20) -> int:
-    """Rounds by the size of all texts: at most `most`, and none for less than `least_bytes`. They change how much is on disk at a time, no results."""
-    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
-    return max(1, min(most, size // least_bytes))
+def _grouped(messages: DataFrame, k: int, top: bool) -> DataFrame:
+    return messages.groupBy("shard").applyInArrow(_sum_messages(k, top), LEVEL)
 
 
-def train(trusted: DataFrame, scratch: Scratch, text_col: str = "text", *, order: int = 2, rounds: int = 8) -> Model:
-    """Gains of all n-grams of up to `order` words of the trusted texts, in `rounds` tables by ranges of hashes."""
+def train(trusted: DataFrame, scratch: Scratch, text_col: str = "text", *, order: int = 2, rounds: int = 2, bits: int = 3) -> Model:
+    """Counts of all n-grams of up to `order` words of the trusted texts, in 2^`bits` shards; the longest are counted in `rounds`."""
     texts = trusted.select(F.col(text_col).cast("string").alias("text"))
-    levels: dict[int, list[DataFrame]] = {}
-    for k in range(order, 1, -1):
-        levels[k] = []
-        for r in range(rounds):
-            level = count_ngrams(texts, k, r, rounds)
-            if k < order:  # lower levels count the different words seen before
-                own = [x.groupBy(F.col("tail").alias("gram")).agg(F.count(F.lit(1)).alias("n")) for x in levels[k + 1]]
-                level = level.select("context", "tail", _gram(k)).join(_sum(own, "gram"), "gram").select("context", "tail", "n")
-            levels[k].append(scratch.table(level.sortWithinPartitions("context", "tail"), f"level-{k}-{r}"))
-            free()
-    words = _union([x.groupBy(F.col("tail").alias("gram")).agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("times")) for x in levels[2]])
-    words = scratch.table(words.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("times").alias("times")), "level-1")
-    free()
-    d = _tally(words)
-    known, total, given = words.agg(F.count(F.lit(1)), F.sum("n"), F.sum(_discount(F.col("n"), d))).first()
-    if not known:
-        return Model([], 0.0, order, Head(np.empty(0, np.uint64), np.empty(0), np.empty(0)))
-    unknown = given / total / (known + 1)
-    lower = [scratch.table(words.select("gram", "times", F.log((F.col("n") - _discount(F.col("n"), d)) / float(total) + F.lit(unknown)).alias("lp")), "lp-1")]
-    parts: list[list[DataFrame]] = [[x.select("gram", (F.col("lp") - F.log(F.lit(unknown))).cast("float").alias("gain"), F.lit(0.0).cast("float").alias("weight"), "times")] for x in lower]
-    for k in range(2, order + 1):
-        d = _tally(_union(levels[k]))
-        off = _discount(F.col("n"), d)
-        contexts = [x.groupBy("context").agg(F.sum("n").alias("total"), F.sum(off).alias("off")) for x in levels[k]]
-        contexts = _union(contexts).groupBy("context").agg(F.sum("total").cast("double").alias("total"), F.log(F.sum("off") / F.sum("total")).alias("weight"))
-        contexts = scratch.table(contexts, f"contexts-{k}")
+    level = [scratch.table(_grouped(count_ngrams(texts, order, bits, r, rounds), order, True), f"level-{order}-{r}") for r in range(rounds)]
+    shards, given = [], []
+    for k in range(order, 0, -1):
+        every = _union(level)
+        ones, twos, threes, fours, known, total = every.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("ones", "twos", "threes", "fours", "known", "total")]).first()
+        given.insert(0, discounts(ones, twos, threes, fours))
+        packed = every.select("shard", "chain", "counts").mapInArrow(_packed(k), "shard long, gram binary, counts binary")
+        shards.append(scratch.table(packed, f"shards-{k}").withColumn("level", F.lit(k)))
+        if k > 1:
+            level = [scratch.table(_grouped(every.select("chain", "counts").mapInArrow(_tell_below(k, k == order, bits), MESSAGE), k - 1, False), f"level-{k - 1}-0")]
+        scratch.drop(*[f"level-{k}-{r}" for r in range(rounds if k == order else 1)])
         free()
-        gained, here = [], []
-        below = _union(lower).select(F.col("gram").alias("tail"), F.col("lp").alias("below"))
-        for r, level in enumerate(levels[k]):
-            p = level.select(_gram(k), "context", "tail", "n", (F.col("n") - off).alias("rest")).join(contexts, "context").join(below, "tail")
-            p = p.withColumn("lp", F.log(F.col("rest") / F.col("total") + F.exp(F.col("weight") + F.col("below"))))
-            keep = ["lp"] if k < order else []
-            p = scratch.table(p.select("gram", (F.col("lp") - F.col("weight") - F.col("below")).cast("float").alias("gain"), F.col("n").alias("times"), *keep), f"gains-{k}-{r}")
-            scratch.drop(f"level-{k}-{r}")
-            gained.append(p.select("gram", "gain", F.lit(0.0).cast("float").alias("weight"), "times"))
-            here.append(p.select("gram", "lp") if keep else None)
-            free()
-        parts.append(gained)
-        parts.append([contexts.select(F.col("context").alias("gram"), F.lit(0.0).cast("float").alias("gain"), F.col("weight").cast("float").alias("weight"), F.col("total").cast("long").alias("times"))])
-        lower = here
-    every = _union([t for part in parts for t in part])
-    top = scratch.table(every.orderBy(F.desc("times"), "gram").limit(HEAD).select("gram").distinct(), "top")
-    head = every.join(F.broadcast(top), "gram").groupBy("gram").agg(F.sum("gain").alias("gain"), F.sum("weight").alias("weight")).toArrow()  # HEAD rows at most
-    return Model([_union([x[r] if len(x) > 1 else x[0].filter(_of_range(r, rounds)) for x in parts]) for r in range(rounds)], float(np.log(unknown)), order, Head.of(head))
-
-
-def _of_range(part: int, parts: int) -> Column:
-    return F.pmod(F.shiftrightunsigned("gram", 40), F.lit(parts)) == part
+    if not known:
+        return Model(None, bits, given, 0, 1.0)
+    off = np.dot(given[0], [ones, twos, known - ones - twos])
+    return Model(_union(shards), bits, given, total, float(off) / total / (known + 1))
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
@@ -216,83 +262,127 @@ def _union(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _sum(counts: list[DataFrame], key: str) -> DataFrame:
-    return _union(counts).groupBy(key).agg(F.sum("n").alias("n"))
+#: Rows of one batch: its distinct words, sorted, and the place among these of each word in turn.
+BLOCK = "block long, doc_id array<long>, lang array<string>, words array<long>, vocabulary binary, places binary"
+ANSWER = "block long, level int, shard long, body binary"
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A block for each batch of (doc_id, lang, text). Its number is drawn by chance and stands once the block is written."""
+    for batch in batches:
+        if not len(batch):
+            continue
+        rows, words = column_words(batch.column(2))
+        vocabulary, places = np.unique(words, return_inverse=True)
+        one = [[uuid.uuid4().int >> 65], [batch.column(0).to_pylist()], [batch.column(1).to_pylist()], [np.bincount(rows, minlength=len(batch)).tolist()]]
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64())]
+        arrays = [pa.array(v, t) for v, t in zip(one, kinds)]
+        arrays += [pa.array([x], pa.binary()) for x in (vocabulary.tobytes(), places.astype(np.uint32).tobytes())]
+        yield pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in BLOCK.split(", ")])
+
+
+def _block_grams(words: np.ndarray, vocabulary: pa.Scalar, places: pa.Scalar, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(row of each word, its n-grams by length) of a block with so many words in each row."""
+    rows = np.repeat(np.arange(len(words)), words)
+    return rows, grams(rows, _columns(vocabulary, 1)[0][_columns(places, 1, np.uint32)[0]], order)
+
+
+def _asked(every: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """The n-grams of each length that a block asks for, sorted: those at its words, and START words as contexts."""
+    for k, gram in enumerate(every, 1):
+        yield np.unique(np.append(gram, starts(k)[-1]) if k < len(every) else gram)
 
 
-def _document_ngrams(order: int, part: int, parts: int, head: Head):
-    """(key, gram, times, as_context) of each text (column 1) for one range of hashes, without the head; key (column 0) tells texts apart."""
+def _ask(order: int, bits: int):
+    """(block, level, shard, body) with the n-grams that each block asks for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before_text = np.array(starts(order))
         for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            rows, words = column_words(batch.column(1))
-            if not len(rows):
-                continue
-            last = np.concatenate([rows[1:] != rows[:-1], [True]])
-            firsts = np.flatnonzero(new_text(rows))
-            parts_of: list[tuple[np.ndarray, ...]] = []
-            for k, g in enumerate(grams(rows, words, order), 1):
-                mine = np.flatnonzero(_in_range(g, part, parts))
-                mine = mine[~head.find(g[mine])[1]]
-                # by text, then by what of the hash fits beside it: should that split an n-gram in two, both halves count
-                mine = mine[np.argsort((rows[mine].astype(np.uint64) << np.uint64(40)) | (g[mine] & np.uint64((1 << 40) - 1)))]
-                doc, gram = rows[mine], g[mine]
-                new = np.flatnonzero(np.concatenate([np.ones(min(1, len(mine)), bool), (doc[1:] != doc[:-1]) | (gram[1:] != gram[:-1])]))
-                times = np.diff(new, append=len(mine))
-                context = times - np.add.reduceat(last[mine], new, dtype=np.int64) if k < order and len(new) else np.zeros(len(new), np.int64)
-                parts_of.append((doc[new], gram[new], times, context))
-                if k < order and _in_range(before_text[k - 1 : k], part, parts)[0] and not head.find(before_text[k - 1 : k])[1][0]:
-                    one = np.ones(len(firsts), np.int64)
-                    parts_of.append((rows[firsts], np.full(len(firsts), before_text[k - 1]), one - 1, one))
-            doc, gram, times, context = (np.concatenate(x) for x in zip(*parts_of))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[doc]), _long(gram), pa.array(times.astype(np.int32)), pa.array(context.astype(np.int32))], ["key", "gram", "times", "as_context"])
+            for block, words, vocabulary, places in zip(*batch.columns):
+                every = _block_grams(np.array(words.as_py(), np.int64), vocabulary, places, order)[1]
+                rows = [(k, s, b) for k, gram in enumerate(_asked(every), 1) for s, b in _cut(gram, gram[None], bits)] if len(every[0]) else []
+                level, shard, body = zip(*rows) if rows else ((), (), ())
+                arrays = [pa.array([block.as_py()] * len(rows), pa.int64()), pa.array(level, pa.int32()), pa.array(shard, pa.int64()), pa.array(body, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, ["block", "level", "shard", "body"])
 
     return run
 
 
-def _count_words(order: int, head: Head):
-    """(key, doc_id, lang, words, gained): words of each text, and what the head's n-grams give it."""
+def _answer(order: int):
+    """Counts of the n-grams that blocks ask one shard for, zeros for unknown ones, in the order asked."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before_text = np.array(starts(order))
-        for batch in batches:
-            rows, words = column_words(batch.column(3))
-            count = np.bincount(rows, minlength=len(batch))
-            gained = np.zeros(len(batch))
-            last = np.concatenate([rows[1:] != rows[:-1], np.ones(min(1, len(rows)), bool)])
-            for k, g in enumerate(grams(rows, words, order), 1):
-                at, there = head.find(g)
-                value = head.gain[at[there]] + (head.weight[at[there]] * ~last[there] if k < order else 0.0)
-                gained += np.bincount(rows[there], weights=value, minlength=len(batch))
-                at, there = head.find(before_text[k - 1 : k])
-                if k < order and there[0]:
-                    gained += head.weight[at[0]] * (count > 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(count.astype(np.int64)), pa.array(gained)], ["key", "doc_id", "lang", "words", "gained"])
+    def run(key: tuple[pa.Scalar, ...], asked: pa.Table, shard: pa.Table) -> pa.Table:
+        n = 5 if key[0].as_py() < order else 1
+        wanted = [_columns(b, 1)[0] for b in asked["body"]]
+        every = np.concatenate([np.empty(0, np.uint64), *wanted])
+        counts = np.zeros((n, len(every)), np.int64)
+        if shard.num_rows and len(every):
+            gram, have = _columns(shard["gram"][0], 1)[0], _columns(shard["counts"][0], n, np.int64)
+            at = np.minimum(np.searchsorted(gram, every), len(gram) - 1)
+            counts[:] = have[:, at] * (gram[at] == every)
+        ends = np.cumsum([len(w) for w in wanted])
+        body = [np.ascontiguousarray(counts[:, e - len(w) : e]).tobytes() for w, e in zip(wanted, ends)]
+        return pa.table([asked["block"], asked["level"], asked["shard"], pa.array(body, pa.binary())], ["block", "level", "shard", "body"])
+
+    return run
+
+
+def _read(given: list[tuple[float, float, float]], total: int, unknown: float):
+    """(doc_id, lang, perplexity) of the rows of one block from the answers to it."""
+    order = len(given)
+
+    def counts_of(answers: pa.Table, k: int) -> np.ndarray:
+        n = 5 if k < order else 1
+        mine = np.flatnonzero(answers["level"].to_numpy() == k)
+        mine = mine[np.argsort(answers["shard"].to_numpy()[mine])]
+        return np.concatenate([np.empty((n, 0), np.int64), *(_columns(answers["body"][int(i)], n, np.int64) for i in mine)], axis=1)
+
+    def rest(n: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
+        return n - np.array([0.0, *d])[np.minimum(n, 3)]
+
+    def run(key: tuple[pa.Scalar, ...], block: pa.Table, answers: pa.Table) -> pa.Table:
+        words = np.array(block["words"][0].as_py(), np.int64)
+        perplexity = np.full(len(words), np.nan)
+        if words.any():
+            rows, every = _block_grams(words, block["vocabulary"][0], block["places"][0], order)
+            first, start = new_text(rows), starts(order)
+            p = np.full(len(rows), unknown)
+            context = np.empty((5, 0), np.int64)
+            for k, asked in enumerate(_asked(every), 1):
+                counts, at = counts_of(answers, k) if total else np.zeros((5, len(asked)), np.int64), np.searchsorted(asked, every[k - 1])
+                n = counts[0][at]
+                if k == 1:
+                    p += rest(n, given[0]) / max(1, total)
+                else:
+                    seen, off = context[1], np.array(given[k - 1]) @ context[2:]
+                    p = np.where(seen > 0, (rest(n, given[k - 1]) + off * p) / np.maximum(seen, 1), p)
+                if k < order:
+                    context = counts[:, before(at, first, np.searchsorted(asked, start[k - 1]))]
+            with np.errstate(invalid="ignore", divide="ignore"):
+                perplexity = np.exp(-np.bincount(rows, weights=np.log(p), minlength=len(words)) / words)
+        columns = [block["doc_id"][0].values, block["lang"][0].values, pa.array(perplexity, mask=words == 0)]
+        return pa.table(columns, ["doc_id", "lang", "perplexity"])
 
     return run
 
 
-def perplexity(docs: DataFrame, model: Model, scratch: Scratch, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+def perplexity(docs: DataFrame, model: Model, scratch: Scratch, id_col: str, text_col: str, lang_col: str, rounds: int = 1) -> DataFrame:
     """(doc_id, lang, perplexity) of each row, over its whole text; null for texts without words."""
     doc_id, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
-    # Rows of one id and text share a key: their sums and their words grow alike, and what counts is the ratio.
-    rows = docs.select(F.xxhash64(doc_id, text).alias("key"), doc_id.alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), text.alias("text"))
-    base = scratch.table(rows.mapInArrow(_count_words(model.order, model.head), "key long, doc_id long, lang string, words long, gained double"), "words")
-    sums, parts = [], 2 * len(model.gains)  # documents have several times the n-grams of the model, so they go in smaller parts
-    for r in range(parts):
-        gains = model.gains[r % len(model.gains)].filter(_of_range(r, parts))
-        found = rows.select("key", "text").mapInArrow(_document_ngrams(model.order, r, parts, model.head), "key long, gram long, times int, as_context int")
-        part = found.join(gains.drop("times").hint("shuffle_hash"), "gram").groupBy("key").agg(F.sum(F.col("times") * F.col("gain").cast("double") + F.col("as_context") * F.col("weight").cast("double")).alias("gained"))
-        sums.append(scratch.table(part, f"sums-{r}"))
+    rows = docs.select(doc_id.alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), text.alias("text"))
+    read = _read(model.discounts, model.total, model.unknown)
+    out = []
+    for r in range(rounds):
+        mine = rows.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == r)
+        blocks = scratch.table(mine.mapInArrow(_blocks, BLOCK), f"blocks-{r}")
+        asked = blocks.select("block", "words", "vocabulary", "places").mapInArrow(_ask(model.order, model.bits), ANSWER)
+        if model.shards is not None:
+            asked = asked.groupBy("level", "shard").cogroup(model.shards.groupBy("level", "shard")).applyInArrow(_answer(model.order), ANSWER)
+        scored = blocks.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(read, "doc_id long, lang string, perplexity double")
+        out.append(scratch.table(scored, f"scored-{r}"))
+        scratch.drop(f"blocks-{r}")
         free()
-    if not sums:
-        return base.select("doc_id", "lang", F.when(F.col("words") > 0, 1.0).alias("perplexity"))
-    sums.append(base.select("key", "gained", "words"))
-    total = _union([x if "words" in x.columns else x.withColumn("words", F.lit(0).cast("long")) for x in sums]).groupBy("key").agg(F.sum("gained").alias("gained"), F.sum("words").alias("all_words"))
-    out = base.drop("gained").join(total, "key")
-    return out.select("doc_id", "lang", F.when(F.col("words") > 0, F.exp(-F.lit(model.unknown) - F.col("gained") / F.col("all_words"))).alias("perplexity"))
+    return _union(out)
 
 
 def classify(
@@ -308,14 +398,16 @@ def classify(
     perplexity 1; without held-out text every document with words is kept, with a null threshold. Repeated rows are each answered and each
     count; rows with a null id are never trusted; other columns are not looked at.
     """
+    small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "quality")
     ids = trusted_ids.toDF("doc_id").select(F.col("doc_id").cast("long")).filter("doc_id is not null").distinct()
     ids = scratch.table(ids.withColumn("held", F.pmod(F.xxhash64("doc_id"), F.lit(held_out)) == 0), "trusted")
     near = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rounds = rounds or rounds_for(docs, text_col)
-    model = train(texts.join(near.filter("not held"), "doc_id", "left_semi"), scratch, order=order, rounds=rounds)
-    scored = scratch.table(perplexity(docs, model, scratch, id_col, text_col, lang_col), "scored")
+    size = text_bytes(docs, text_col)
+    rounds = rounds or rounds_for(size)
+    model = train(texts.join(near.filter("not held"), "doc_id", "left_semi"), scratch, order=order, rounds=min(rounds, 2), bits=bits_for(size))
+    scored = perplexity(docs, model, scratch, id_col, text_col, lang_col, rounds)
     known = scored.join(near.filter("held"), "doc_id", "left_semi")
     limits = scratch.table(known.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10000).alias("own")), "limits")
     limits = F.broadcast(limits) if limits.count() <= BROADCAST_LANGUAGES else limits  # one language may hold most rows
