@@ -91,8 +91,26 @@ def _start_chain(k: int) -> np.ndarray:
     return np.array([*s[k - 2 :: -1], START] if k > 1 else s, np.uint64)
 
 
+def _bytes(columns: np.ndarray) -> bytes:
+    """Columns with all first bytes of one together, then its second ones, and so on: the many that are zero then take no room in a shuffle."""
+    n, size = columns.shape
+    return np.ascontiguousarray(columns).view(np.uint8).reshape(n, size, columns.itemsize).transpose(0, 2, 1).tobytes()
+
+
 def _columns(blob: pa.Scalar, n: int, kind: type = np.uint64) -> np.ndarray:
-    return np.frombuffer(blob.as_buffer(), kind).reshape(n, -1)
+    """The columns that _bytes() was given."""
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(blob.as_buffer(), np.uint8).reshape(n, size, -1)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(kind).reshape(n, planes.shape[2])
+
+
+def _sorted_bytes(gram: np.ndarray) -> bytes:
+    """Sorted hashes as steps from one to the next, which have fewer digits."""
+    return _bytes(np.diff(gram, prepend=np.uint64(0))[None])
+
+
+def _sorted(blob: pa.Scalar) -> np.ndarray:
+    return np.cumsum(_columns(blob, 1)[0], dtype=np.uint64)
 
 
 def _side_by_side(blobs: pa.ChunkedArray, n: int) -> np.ndarray:
@@ -103,12 +121,12 @@ def _shard(gram: np.ndarray, bits: int) -> np.ndarray:
     return gram >> np.uint64(64 - bits)
 
 
-def _cut(gram: np.ndarray, columns: np.ndarray, bits: int) -> Iterator[tuple[int, bytes]]:
-    """(shard, its columns as bytes) of sorted n-grams."""
+def _cut(gram: np.ndarray, columns: np.ndarray | None, bits: int) -> Iterator[tuple[int, bytes]]:
+    """(shard, its columns as bytes) of sorted n-grams; without columns, its n-grams."""
     shard = _shard(gram, bits)
     at = np.flatnonzero(np.concatenate([np.ones(min(1, len(shard)), bool), shard[1:] != shard[:-1]]))
     for lo, hi in zip(at, [*at[1:], len(shard)]):
-        yield int(shard[lo]), np.ascontiguousarray(columns[:, lo:hi]).tobytes()
+        yield int(shard[lo]), _sorted_bytes(gram[lo:hi]) if columns is None else _bytes(columns[:, lo:hi])
 
 
 #: A message to a shard. `kind` 0: chains of n-grams and their counts; 1: contexts with total, and with the number of words of counts 1, 2, 3 or more.
@@ -156,7 +174,7 @@ def _sum_messages(k: int, top: bool):
             np.add.at(counts[i], others, context[i].view(np.int64))
         n = counts[0]
         tallies = [int((n == i).sum()) for i in (1, 2, 3, 4)] + [int((n > 0).sum()), int(n.sum())]
-        values = [key[0].as_py(), chain.tobytes(), counts.tobytes(), *tallies]
+        values = [key[0].as_py(), _bytes(chain), _bytes(counts), *tallies]
         names = [c.split()[0] for c in LEVEL.split(", ")]
         kinds = [pa.binary() if "binary" in c else pa.int64() for c in LEVEL.split(", ")]
         return pa.table([pa.array([v], t) for v, t in zip(values, kinds)], names)
@@ -188,7 +206,7 @@ def _packed(k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gram = [_gram_of(_columns(c, k)).tobytes() for c in batch.column(1)]
+            gram = [_sorted_bytes(_gram_of(_columns(c, k))) for c in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gram, pa.binary()), batch.column(2)], ["shard", "gram", "counts"])
 
     return run
@@ -237,8 +255,10 @@ def _grouped(messages: DataFrame, k: int, top: bool) -> DataFrame:
 def train(trusted: DataFrame, scratch: Scratch, text_col: str = "text", *, order: int = 2, rounds: int = 2, bits: int = 3) -> Model:
     """Counts of all n-grams of up to `order` words of the trusted texts, in 2^`bits` shards; the longest are counted in `rounds`."""
     texts = trusted.select(F.col(text_col).cast("string").alias("text"))
-    level = [scratch.table(_grouped(count_ngrams(texts, order, bits, r, rounds), order, True), f"level-{order}-{r}") for r in range(rounds)]
-    shards, given = [], []
+    level, shards, given = [], [], []
+    for r in range(rounds):
+        level.append(scratch.table(_grouped(count_ngrams(texts, order, bits, r, rounds), order, True), f"level-{order}-{r}"))
+        free()
     for k in range(order, 0, -1):
         every = _union(level)
         ones, twos, threes, fours, known, total = every.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("ones", "twos", "threes", "fours", "known", "total")]).first()
@@ -277,14 +297,14 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = [[uuid.uuid4().int >> 65], [batch.column(0).to_pylist()], [batch.column(1).to_pylist()], [np.bincount(rows, minlength=len(batch)).tolist()]]
         kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64())]
         arrays = [pa.array(v, t) for v, t in zip(one, kinds)]
-        arrays += [pa.array([x], pa.binary()) for x in (vocabulary.tobytes(), places.astype(np.uint32).tobytes())]
+        arrays += [pa.array([x], pa.binary()) for x in (_sorted_bytes(vocabulary), _bytes(places.astype(np.uint32)[None]))]
         yield pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in BLOCK.split(", ")])
 
 
 def _block_grams(words: np.ndarray, vocabulary: pa.Scalar, places: pa.Scalar, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """(row of each word, its n-grams by length) of a block with so many words in each row."""
     rows = np.repeat(np.arange(len(words)), words)
-    return rows, grams(rows, _columns(vocabulary, 1)[0][_columns(places, 1, np.uint32)[0]], order)
+    return rows, grams(rows, _sorted(vocabulary)[_columns(places, 1, np.uint32)[0]], order)
 
 
 def _asked(every: list[np.ndarray]) -> Iterator[np.ndarray]:
@@ -300,7 +320,7 @@ def _ask(order: int, bits: int):
         for batch in batches:
             for block, words, vocabulary, places in zip(*batch.columns):
                 every = _block_grams(np.array(words.as_py(), np.int64), vocabulary, places, order)[1]
-                rows = [(k, s, b) for k, gram in enumerate(_asked(every), 1) for s, b in _cut(gram, gram[None], bits)] if len(every[0]) else []
+                rows = [(k, s, b) for k, gram in enumerate(_asked(every), 1) for s, b in _cut(gram, None, bits)] if len(every[0]) else []
                 level, shard, body = zip(*rows) if rows else ((), (), ())
                 arrays = [pa.array([block.as_py()] * len(rows), pa.int64()), pa.array(level, pa.int32()), pa.array(shard, pa.int64()), pa.array(body, pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, ["block", "level", "shard", "body"])
@@ -313,15 +333,15 @@ def _answer(order: int):
 
     def run(key: tuple[pa.Scalar, ...], asked: pa.Table, shard: pa.Table) -> pa.Table:
         n = 5 if key[0].as_py() < order else 1
-        wanted = [_columns(b, 1)[0] for b in asked["body"]]
+        wanted = [_sorted(b) for b in asked["body"]]
         every = np.concatenate([np.empty(0, np.uint64), *wanted])
         counts = np.zeros((n, len(every)), np.int64)
         if shard.num_rows and len(every):
-            gram, have = _columns(shard["gram"][0], 1)[0], _columns(shard["counts"][0], n, np.int64)
+            gram, have = _sorted(shard["gram"][0]), _columns(shard["counts"][0], n, np.int64)
             at = np.minimum(np.searchsorted(gram, every), len(gram) - 1)
             counts[:] = have[:, at] * (gram[at] == every)
         ends = np.cumsum([len(w) for w in wanted])
-        body = [np.ascontiguousarray(counts[:, e - len(w) : e]).tobytes() for w, e in zip(wanted, ends)]
+        body = [_bytes(counts[:, e - len(w) : e]) for w, e in zip(wanted, ends)]
         return pa.table([asked["block"], asked["level"], asked["shard"], pa.array(body, pa.binary())], ["block", "level", "shard", "body"])
 
     return run
@@ -370,21 +390,24 @@ def perplexity(docs: DataFrame, model: Model, scratch: Scratch, id_col: str, tex
     """(doc_id, lang, perplexity) of each row, over its whole text; null for texts without words."""
     doc_id, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
     rows = docs.select(doc_id.alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), text.alias("text"))
-    read = _read(model.discounts, model.total, model.unknown)
     out = []
     for r in range(rounds):
         mine = rows.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == r)
         blocks = scratch.table(mine.mapInArrow(_blocks, BLOCK), f"blocks-{r}")
-        asked = blocks.select("block", "words", "vocabulary", "places").mapInArrow(_ask(model.order, model.bits), ANSWER)
-        if model.shards is not None:
-            asked = asked.groupBy("level", "shard").cogroup(model.shards.groupBy("level", "shard")).applyInArrow(_answer(model.order), ANSWER)
-        scored = blocks.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(read, "doc_id long, lang string, perplexity double")
-        out.append(scratch.table(scored, f"scored-{r}"))
+        out.append(scratch.table(_scored(blocks, model), f"scored-{r}"))
         scratch.drop(f"blocks-{r}")
         free()
     return _union(out)
 
 
+def _scored(blocks: DataFrame, model: Model) -> DataFrame:
+    asked = blocks.select("block", "words", "vocabulary", "places").mapInArrow(_ask(model.order, model.bits), ANSWER)
+    if model.shards is not None:
+        asked = asked.groupBy("level", "shard").cogroup(model.shards.groupBy("level", "shard")).applyInArrow(_answer(model.order), ANSWER)
+    read = _read(model.discounts, model.total, model.unknown)
+    return blocks.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(read, "doc_id long, lang string, perplexity double")
+
+
 def classify(
     docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, quantile: float = 0.99, order: int = 2, held_out: int = 5, rounds: int | None = None
 ) -> DataFrame:
