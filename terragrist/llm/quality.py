@@ -255,18 +255,20 @@ def _grouped(messages: DataFrame, k: int, top: bool) -> DataFrame:
 def train(trusted: DataFrame, scratch: Scratch, text_col: str = "text", *, order: int = 2, rounds: int = 2, bits: int = 3) -> Model:
     """Counts of all n-grams of up to `order` words of the trusted texts, in 2^`bits` shards; the longest are counted in `rounds`."""
     texts = trusted.select(F.col(text_col).cast("string").alias("text"))
-    level, shards, given = [], [], []
+    level, tallies, shards, given = [], [], [], []
     for r in range(rounds):
         level.append(scratch.table(_grouped(count_ngrams(texts, order, bits, r, rounds), order, True), f"level-{order}-{r}"))
+        tallies.append(_tallies(level[-1]))
         free()
     for k in range(order, 0, -1):
         every = _union(level)
-        ones, twos, threes, fours, known, total = every.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("ones", "twos", "threes", "fours", "known", "total")]).first()
+        ones, twos, threes, fours, known, total = np.sum(tallies, axis=0).tolist()
         given.insert(0, discounts(ones, twos, threes, fours))
         packed = every.select("shard", "chain", "counts").mapInArrow(_packed(k), "shard long, gram binary, counts binary")
         shards.append(scratch.table(packed, f"shards-{k}").withColumn("level", F.lit(k)))
         if k > 1:
             level = [scratch.table(_grouped(every.select("chain", "counts").mapInArrow(_tell_below(k, k == order, bits), MESSAGE), k - 1, False), f"level-{k - 1}-0")]
+            tallies = [_tallies(level[0])]
         scratch.drop(*[f"level-{k}-{r}" for r in range(rounds if k == order else 1)])
         free()
     if not known:
@@ -275,6 +277,10 @@ def train(trusted: DataFrame, scratch: Scratch, text_col: str = "text", *, order
     return Model(_union(shards), bits, given, total, float(off) / total / (known + 1))
 
 
+def _tallies(level: DataFrame) -> list[int]:
+    return list(level.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("ones", "twos", "threes", "fours", "known", "total")]).first())
+
+
 def _union(tables: list[DataFrame]) -> DataFrame:
     out = tables[0]
     for t in tables[1:]:
@@ -394,9 +400,9 @@ def perplexity(docs: DataFrame, model: Model, scratch: Scratch, id_col: str, tex
     for r in range(rounds):
         mine = rows.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == r)
         blocks = scratch.table(mine.mapInArrow(_blocks, BLOCK), f"blocks-{r}")
+        free()  # Spark holds on to the last query, so what the round before has shuffled goes only now
         out.append(scratch.table(_scored(blocks, model), f"scored-{r}"))
         scratch.drop(f"blocks-{r}")
-        free()
     return _union(out)
 
 
