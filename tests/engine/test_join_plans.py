@@ -1,11 +1,6 @@
 """Joins whose sides look small to Spark but are not: nothing is broadcast that was not counted."""
 
-from pyspark.sql import functions as F
-
-from terragrist.functions.impacts import ImpactSpec
-from terragrist.operators.portfolio import Assets, Evaluation
 from terragrist.plans import queries as q
-from terragrist.plans import surrogates as s
 
 SF = "/root/testdata/sf0.001"
 
@@ -17,3 +12,9 @@ def _plan(df) -> str:
 def test_assets_are_not_broadcast_by_an_estimate(spark):
     plan = _plan(q.portfolio_scenarios_all(spark, SF))
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_neither_are_those_of_impacts_and_guards(spark):
+    for name in ("impact_context", "portfolio_judged"):
+        plan = _plan(q.QUERIES[name](spark, SF))
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan, name
