@@ -18,3 +18,9 @@ def test_neither_are_those_of_impacts_and_guards(spark):
     for name in ("impact_context", "portfolio_judged"):
         plan = _plan(q.QUERIES[name](spark, SF))
         assert "SortMergeJoin" in plan and "Broadcast" not in plan, name
+
+
+def test_geometries_are_not_broadcast_by_an_estimate(spark):
+    for name in ("coverage_of_cells", "coverage_exploded"):
+        plan = _plan(q.QUERIES[name](spark, SF))
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan, name
