@@ -91,3 +91,14 @@ def test_failed_fit_raises(spark):
     rows = [(1, p, 5.0) for p in (0.5, 0.8, 0.9, 0.99)]
     with pytest.raises(Exception, match="curve fit failed"):
         fitting.fit_curves(spark.createDataFrame(rows, "k int, probability double, value double"), ["k"], fitting.FitPolicy()).collect()
+
+
+def test_skew_normal_values_are_found_once_for_equal_curves_and_in_few_steps(monkeypatch):
+    """A bisection asked for the distribution function of every row 70 times."""
+    asked, cdf = [], curves.skewnorm_cdf
+    monkeypatch.setattr(curves, "skewnorm_cdf", lambda x, a: asked.append(len(x)) or cdf(x, a))
+    q, a = np.tile([1e-12, 0.001, 0.5, 0.99], 1000), np.repeat([-30.0, -4.0, 0.0, 1.5], 1000)
+    found = curves.skewnorm_ppf(q, a)
+    assert sum(asked) < 16 * 70
+    assert np.allclose(cdf(found, a)[q > 1e-6], q[q > 1e-6], rtol=1e-12, atol=1e-15)
+    assert curves.skewnorm_ppf(np.array([0.0, 1.0]), np.array([2.0, 2.0])).tolist() == [-np.inf, np.inf]
