@@ -12,6 +12,8 @@ from terragrist.functions.cells import parent_of_string
 from terragrist.sources.publish import publish
 
 PATH = ["adm0_iso", "adm1_id", "adm1_name", "adm2_id", "adm2_name"]
+#: Rows of coverage in a task that sorts them by cell.
+ROWS_PER_TASK = 500_000
 
 
 def conform_coverage(df: DataFrame) -> DataFrame:
@@ -62,9 +64,11 @@ def lookup_contract(exploded: DataFrame, resolution: int, *, include_coverage: b
     """One row per cell: best path, parents at resolutions 3 to 7 (null if finer than the cell), rolled-up shares and counts of
     the best path, interior flags, and optionally all paths. Cells of a best path without adm0 have no rollup and drop out.
 
-    The coverage is shuffled by cell once; shares, counts, list and best path are windows within a cell, which has few rows.
+    The coverage is shuffled by cell once; shares, counts, list and best path are windows within a cell, which has few rows. The rows are counted first, so
+    that tasks are as many as their number asks for (`ROWS_PER_TASK`) and what a task sorts does not grow with the table.
     """
-    c = conform_coverage(exploded).repartition("hex_id")
+    c = conform_coverage(exploded)
+    c = c.repartition(max(-(-c.count() // ROWS_PER_TASK), int(c.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "hex_id")
     cell = Window.partitionBy("hex_id")
     capped = lambda *by: F.least(F.lit(1.0), F.sum("pct").over(Window.partitionBy("hex_id", *by)))
     distinct = lambda x: F.size(F.collect_set(x).over(cell))
