@@ -24,3 +24,13 @@ def test_geometries_are_not_broadcast_by_an_estimate(spark):
     for name in ("coverage_of_cells", "coverage_exploded"):
         plan = _plan(q.QUERIES[name](spark, SF))
         assert "SortMergeJoin" in plan and "Broadcast" not in plan, name
+
+
+def test_points_and_clips_are_dealt_and_not_broadcast(spark):
+    for name in ("point_in_polygon", "clip_area"):
+        plan = _plan(q.QUERIES[name](spark, SF))
+        assert "REPARTITION_BY_NUM" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan, name
+
+
+def test_polygons_are_mended_in_many_tasks(spark):
+    assert "REPARTITION_BY_NUM" in _plan(q.repaired_area(spark, SF))
