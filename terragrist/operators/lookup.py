@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from terragrist.functions.cells import parent_of_string
-from terragrist.sources.publish import publish
+from terragrist.sources.publish import publish, work_folder
 
 PATH = ["adm0_iso", "adm1_id", "adm1_name", "adm2_id", "adm2_name"]
-#: Rows of coverage in a task that sorts them by cell.
+#: Rows of coverage in a task that sorts them by cell, and of a lookup in a task that sorts and writes them.
 ROWS_PER_TASK = 500_000
 
 
@@ -87,9 +87,17 @@ def lookup_contract(exploded: DataFrame, resolution: int, *, include_coverage: b
 
 
 def write_lookup(lookup: DataFrame, path: str, *, sort: bool = False, mode: str = "errorifexists") -> DataFrame:
-    """Writes a lookup whole or not at all; sorted by parent cell and cell if asked, which narrows the key ranges of files."""
+    """Writes a lookup whole or not at all; sorted by parent cell and cell if asked, which narrows the key ranges of files.
+
+    What is to be sorted is written to the shared folder first, as choosing ranges would do its windows a second time. Its rows are counted there, so that ranges
+    are as many as their number asks for (`ROWS_PER_TASK`): by bytes of the shuffle, which packs ids well, a task would get many times what it can hold.
+    """
     if sort:
-        lookup = lookup.repartitionByRange("h3_r3", "hex_id").sortWithinPartitions("h3_r3", "hex_id")
+        on_the_way = f"{work_folder(lookup.sparkSession, 'unsorted')}/lookup.parquet"
+        lookup.write.parquet(on_the_way)
+        lookup = lookup.sparkSession.read.schema(lookup.schema).parquet(on_the_way)
+        ranges = -(-max(1, lookup.count()) // ROWS_PER_TASK)
+        lookup = lookup.repartitionByRange(ranges, "h3_r3", "hex_id").sortWithinPartitions("h3_r3", "hex_id")
     return publish(lookup, path, mode=mode)
 
 
