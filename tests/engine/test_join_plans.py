@@ -34,3 +34,8 @@ def test_points_and_clips_are_dealt_and_not_broadcast(spark):
 
 def test_polygons_are_mended_in_many_tasks(spark):
     assert "REPARTITION_BY_NUM" in _plan(q.repaired_area(spark, SF))
+
+
+def test_coverage_reads_its_polygons_once(spark):
+    plan = _plan(q.coverage_exploded(spark, SF)).split("Initial Plan")[0]
+    assert plan.count("SortMergeJoin") == 3  # boxes, cells, polygons with what is told of them

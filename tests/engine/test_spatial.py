@@ -94,3 +94,21 @@ def test_districts_and_borders_equal_all_pairs(spark):
     cells = left.select(F.col("id").cast("string").alias("hex_id"), *spatial.BOUNDS)
     near = {r[0] for r in border_hexes(cells, cells.filter("hex_id = '7'").select("hex_id"), countries, "3").collect()}
     assert near == {str(i) for i, k in brute(two, one) if k != 3} | {"7"}
+
+
+def test_few_pairs_are_looked_at(spark):
+    """Each box meets about one other; squares that hold as many as a block may would have all of them meet hundreds."""
+    rng = np.random.default_rng(4)
+    a, b = (np.concatenate([p, p + rng.uniform(1, 2, (2000, 2))], axis=1) for p in (rng.uniform(0, 100, (2000, 2)) for _ in range(2)))
+    left, right = table(spark, a, rng)[1], table(spark, b, rng)[1].withColumnRenamed("id", "other")
+    l, r, keys = spatial.dealt(left, right, "id", "other")
+    assert l.join(r, keys).count() <= 40 * len(a)
+    assert sorted(map(tuple, spatial.box_pairs(left, right, "id", "other").collect())) == brute(a, b)
+
+
+def test_boxes_are_read_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "ROWS_PER_FILE", 100, raising=False)
+    rng = np.random.default_rng(5)
+    left = table(spark, boxes(rng, 1000, 10, 0.1, 1), rng)[1].coalesce(1)
+    for d in spatial.dealt(left, left.withColumnRenamed("id", "other"), "id", "other")[:2]:
+        assert len(d.inputFiles()) == 10
