@@ -55,3 +55,15 @@ def test_without_candidates(spark, tmp_path):
     none = indexing.polygon_candidates(polys.filter("poly_rid < 3"), 6).limit(0)
     stats = coverage.write_coverage(none, polys, str(tmp_path / "e"), path=["adm0_iso"], resolution=6)
     assert stats.pop("mode") == "hierarchical" and set(stats.values()) == {0}
+
+
+def test_cached_geometries_come_by_one_join(spark):
+    cells = indexing.polygon_candidates(_polygons(spark).filter("poly_rid < 3"), 5)
+    made = {r["hex_id"]: bytes(r["cell_wkb"]) for r in indexing.cell_geometries(cells).collect()}
+    first, second = sorted(made)[:2]
+    cache = spark.createDataFrame([(first, b"own"), (second, None), ("elsewhere", b"no")], "hex_id string, cell_wkb binary")
+    found = indexing.cell_geometries(cells.select("hex_id").unionByName(spark.createDataFrame([(None,)], "hex_id string")), cache=cache)
+    got = {r["hex_id"]: r["cell_wkb"] and bytes(r["cell_wkb"]) for r in found.collect()}
+    assert got == made | {first: b"own", second: None, None: None} and len(made) > 3
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("SortMergeJoin") == 1 and "Broadcast" not in plan
