@@ -6,10 +6,13 @@
    nothing and go. A class that shares c values can reach T matches only if it meets its partner among its
    c - T + 1 rarest shared ones (prefix filter), and not at all if c < T; the long lists of frequent values
    are thus skipped and only looked at again when signatures are compared.
-3. In each remaining list the class with the most frequent values is the hub. Members are compared with the hub,
-   first by the count of matching coordinates (at least T), then on full shingle sets. Members of a list that this
-   leaves in different components are then compared with each other on full sets, in blocks of bounded size.
-   So a list whose members all join its hub costs its length, not its square, and no link is left out.
+3. In each remaining list the class with the most frequent values is the hub, and its members are its family. Sketches,
+   the lowest bits of each coordinate (64 bytes), tell which members are alike: those that agree in fewer than T
+   coordinates tell of signatures that do so, so no pair with T equal coordinates is passed over. A member is compared on
+   full shingle sets with one hub that it is like. Members of a family that this leaves in different components are then
+   compared with each other, in blocks of bounded size: by sketches, and only those that are alike, in the largest family that
+   both are in, send their sets (kilobytes) and are compared on them. So a list whose members all join its hub
+   costs its length, not its square, a set is sent to one family or few, and no link is left out.
 4. Links become components.
 
 The chance that a pair at exactly the similarity s is missed is P(Binomial(K, s) < T): with K = 128, T = 77 and
@@ -21,10 +24,13 @@ A class is known by the number of its first row, written with the features, so i
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import operator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,8 +39,12 @@ from terragrist.llm.components import connected_components
 from terragrist.llm.shared import Scratch, boxed, free, unboxed
 from terragrist.llm.words import mix, shingle_set, utf8_views, word_hashes
 
-#: Documents of one side of a block whose sets are compared in one go.
-BLOCK = 256
+#: Documents of one side of a block whose sets, or whose sketches, are compared in one go.
+BLOCK, SKETCH_BLOCK = 256, 1024
+#: Bits of each coordinate in a sketch.
+PLANES = 4
+#: Sides of a block's rows: on the left such as have been compared with the hub, too; on the right such as stand on the left as well.
+TRIED_LEFT, LEFT, RIGHT, APART_RIGHT = -1, 0, 1, 2
 #: Rounds in which signature coordinates are posted at most, and classes for each of them at least.
 ROUNDS, ROUND_ROWS = 4, 5_000
 #: Members of a hub that meet one copy of its signature.
@@ -94,6 +104,29 @@ def _sets(width: int):
     return run
 
 
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, sketch) of (node, sig): the lowest bits of each coordinate, a plane after the other in words of 64 coordinates."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        lists = batch.column(1)
+        sig = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+        words = -(-sig.shape[1] // 64)
+        bits = np.zeros((len(sig), PLANES, 64 * words), dtype=np.uint8)
+        for b in range(PLANES):
+            bits[:, b, : sig.shape[1]] = (sig >> b) & 1
+        flat = np.packbits(bits, axis=2).reshape(len(sig), -1).view(np.int64)
+        sketch = pa.ListArray.from_arrays(np.arange(0, flat.size + 1, flat.shape[1], dtype=np.int32), flat.ravel())
+        yield pa.RecordBatch.from_arrays([batch.column(0), sketch], ["node", "sketch"])
+
+
+def _different(a: str, b: str, coordinates: int) -> Column:
+    """Coordinates in which two sketches differ."""
+    words = -(-coordinates // 64)
+    planes = lambda w: [F.col(a)[p * words + w].bitwiseXOR(F.col(b)[p * words + w]) for p in range(PLANES)]
+    return reduce(operator.add, (F.bit_count(reduce(Column.bitwiseOR, planes(w))) for w in range(words)))
+
+
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of each left set (rows) and each right set (columns), by an inverted list of the left."""
     out = np.zeros((len(left), len(right)), dtype=np.int64)
@@ -119,13 +152,44 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _in_blocks(value: str, read: Callable, compare: Callable, names: tuple[str, ...]):
+    """The columns `names` of what compare() finds in the rows of each block; rows come sorted by block key, left rows (sides up to 0) first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = ("family", "side", "node", "comp")
+        key, rows = None, {x: [] for x in (*columns, value)}
+        found: list[tuple[int, ...]] = []
+        told = lambda: pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(len(names))], list(names))
+        for batch in batches:
+            keys = list(zip(*(batch.column(x).to_pylist() for x in ("family", "lb", "rb"))))
+            cols = {x: batch.column(x).to_pylist() for x in columns}
+            raw = read(batch.column(value))
+            for i, now in enumerate(keys):
+                if now != key:
+                    found += compare(rows)
+                    key, rows = now, {x: [] for x in (*columns, value)}
+                for x in columns:
+                    rows[x].append(cols[x][i])
+                rows[value].append(raw[i])
+            yield told()
+            found = []
+        found += compare(rows)
+        yield told()
+
+    return run
+
+
+def _sides(rows: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    side = np.asarray(rows["side"])
+    return np.asarray(rows["node"]), np.asarray(rows["comp"]), np.flatnonzero(side <= 0), np.flatnonzero(side > 0)
+
+
 def _verify(percent: int):
-    """Links of blocks; rows come sorted by block key, left rows (side 0) first."""
+    """Links of blocks, by full sets, that join the same components as all links do."""
 
     def links(rows: dict) -> Iterator[tuple[int, int]]:
-        side = np.asarray(rows["side"])
-        ids, comp, sets = np.asarray(rows["node"]), np.asarray(rows["comp"]), rows["shingles"]
-        le, ri = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        ids, comp, le, ri = _sides(rows)
+        sets = rows["shingles"]
         if not len(le) or not len(ri):
             return
         a, b = [sets[i] for i in le], [sets[i] for i in ri]
@@ -133,45 +197,69 @@ def _verify(percent: int):
         inter = _overlaps(a, b)
         union = na[:, None] + nb[None, :] - inter
         good = (100 * inter >= percent * union) & (comp[le][:, None] != comp[ri][None, :])
-        seen = set()
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent[up]
+            return x
+
+        # Links that join nothing new within the block go: at most one for each row stays, not one for each pair.
         for i, j in zip(*np.nonzero(good)):
-            pair = (comp[le[i]], comp[ri[j]])
-            if pair not in seen:
-                seen.add(pair)
+            u, v = root(comp[le[i]]), root(comp[ri[j]])
+            if u != v:
+                parent[u] = v
                 yield int(ids[le[i]]), int(ids[ri[j]])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("side", "node", "comp", "shingles")
-        key, rows = None, {x: [] for x in names}
-        found: list[tuple[int, int]] = []
-        for batch in batches:
-            keys = list(zip(*(batch.column(x).to_pylist() for x in ("family", "lb", "rb"))))
-            cols = {x: batch.column(x).to_pylist() for x in names[:3]}
-            raw = batch.column("shingles")
-            for i, now in enumerate(keys):
-                if now != key:
-                    found += links(rows)
-                    key, rows = now, {x: [] for x in names}
-                for x in names[:3]:
-                    rows[x].append(cols[x][i])
-                rows["shingles"].append(np.frombuffer(raw[i].as_buffer(), dtype="<u8"))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["u", "v"])
-            found = []
-        found += links(rows)
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["u", "v"])
+    return _in_blocks("shingles", lambda c: [np.frombuffer(x.as_buffer(), dtype="<u8") for x in c], links, ("u", "v"))
 
-    return run
 
+def _alike(most: int, length: int):
+    """(family, node, side) of the rows of blocks that are alike one of the other side: sketches differ in at most `most` coordinates, components differ,
+    and no larger family has both. `sketch` has the sketch in its first `length` numbers, then the row's families, the largest first."""
 
-def _block_links(left: DataFrame, right: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """left and right: (family, doc_id, comp, n_left, n_right), the latter two the family's rows on each side."""
-    nl, nr = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("n_left", "n_right"))
+    def members(rows: dict) -> Iterator[tuple[int, int, int]]:
+        ids, comp, le, ri = _sides(rows)
+        if not len(le) or not len(ri):
+            return
+        family, side = rows["family"][0], np.asarray(rows["side"])
+        sketch = np.stack([x[:length] for x in rows["sketch"]]).reshape(len(ids), PLANES, -1).view(np.uint64)  # of a signed number the bits of its absolute value are counted
+        of = np.full((len(ids), max(len(x) for x in rows["sketch"]) - length), -1, dtype=np.int64)
+        for i, x in enumerate(rows["sketch"]):
+            of[i, : len(x) - length] = x[length:]
+        right, hit = sketch[ri], np.zeros(len(ri), dtype=bool)
+        for i in le:
+            differ = np.bitwise_count(np.bitwise_or.reduce(right ^ sketch[i], axis=1)).sum(axis=1, dtype=np.int64)
+            # Of two that are apart from the hub each is on both sides: the pair counts once.
+            alike = (differ <= most) & (comp[ri] != comp[i]) & ((side[ri] == APART_RIGHT) <= (ids[ri] > ids[i]))
+            if side[i] == TRIED_LEFT:
+                alike &= ids[ri] != family
+            at = np.flatnonzero(alike)
+            if len(at):
+                shared = np.isin(of[ri[at]], rows["sketch"][i][length:])
+                at = at[of[ri[at], shared.argmax(axis=1)] == family]
+            if len(at):
+                hit[at] = True
+                yield family, int(ids[i]), LEFT
+        for j in ri[hit]:
+            yield family, int(ids[j]), RIGHT
+
+    return _in_blocks("sketch", lambda c: np.split(c.flatten().to_numpy(zero_copy_only=False), np.cumsum(pc.list_value_length(c).to_numpy(zero_copy_only=False))[:-1]), members, ("family", "node", "side"))
+
+
+def _blocks(left: DataFrame, right: DataFrame, values: DataFrame, block: int) -> DataFrame:
+    """left and right: (family, node, comp, side, n_left, n_right), the latter two the family's rows on each side. values: a column for each node."""
+    nl, nr = (F.ceil(F.col(c) / block).cast("int") for c in ("n_left", "n_right"))
     own = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    rows = left.select("family", "node", "comp", own(nl).alias("lb"), every(nr).alias("rb"), F.lit(0).alias("side"))
-    rows = rows.unionByName(right.select("family", "node", "comp", every(nl).alias("lb"), own(nr).alias("rb"), F.lit(1).alias("side")))
-    rows = rows.join(sets, "node").repartition("family", "lb", "rb").sortWithinPartitions("family", "lb", "rb", "side", "node")
-    return rows.mapInArrow(_verify(percent), "u long, v long")
+    rows = left.select("family", "node", "comp", own(nl).alias("lb"), every(nr).alias("rb"), "side")
+    rows = rows.unionByName(right.select("family", "node", "comp", every(nl).alias("lb"), own(nr).alias("rb"), "side"))
+    return rows.join(values, "node").repartition("family", "lb", "rb").sortWithinPartitions("family", "lb", "rb", "side", "node")
+
+
+def _block_links(left: DataFrame, right: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v): links of rows of the left with rows of the right, see _blocks()."""
+    return _blocks(left, right, sets, BLOCK).mapInArrow(_verify(percent), "u long, v long")
 
 
 def near_duplicates(
@@ -249,12 +337,12 @@ def _components(docs: DataFrame, width: int, percent: int, coordinates: int, mat
     copies = sized.select("row", "n", "fa", "fb").join(classes, ["n", "fa", "fb"]).filter("row <> node").select(F.col("row").alias("node"))
     reps = reps.join(_small(scratch.table(copies, "copies")), "node", "left_anti")
 
-    star = _star(reps, scratch, matches)
-    edges = _links(docs, classes, star, scratch, width, percent)
+    star, sketches = _star(reps, scratch, coordinates, matches)
+    edges = _links(docs, classes, star, sketches, scratch, width, percent, coordinates, matches)
     comps = scratch.table(connected_components(edges, scratch, "final"), "components")
     least = scratch.table(comps.join(classes, "node").groupBy("component").agg(F.min("rep").alias("component_id")), "least")
     named = scratch.table(comps.join(_small(least), "component").select("node", "component_id"), "named")
-    scratch.drop("copies", "star", "sets", "hubs", "families", "apart", "first", "second")
+    scratch.drop("copies", "star", "sketches", "first", "second")
     return classes, feats.drop("sig"), named, scratch
 
 
@@ -263,13 +351,12 @@ def _small(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def _star(reps: DataFrame, scratch: Scratch, matches: int) -> DataFrame:
-    """(hub, node, near): the members that meet a hub in a prefix list; near, if they match it in enough coordinates."""
+def _star(reps: DataFrame, scratch: Scratch, coordinates: int, matches: int) -> tuple[DataFrame, DataFrame]:
+    """(hub, node, near), (node, sketch): the members that meet a hub in a prefix list; near, if their sketches agree in enough coordinates."""
     # Coordinates go in rounds, so that a part of all values is shuffled at a time; frequencies are grouped counts, not windows.
-    parts, n, first = [], reps.count(), reps.select("sig").first()
-    coordinates = len(first["sig"]) if first else 0
+    parts, n = [], reps.count()
     each = max(1, -(-coordinates // max(1, min(ROUNDS, n // ROUND_ROWS))))
-    for at in range(0, max(1, coordinates), each):
+    for at in range(0, coordinates, each):
         tokens = reps.select("node", F.posexplode(F.slice("sig", at + 1, each)).alias("at", "value"))
         token = F.shiftleft((F.col("at") + at).cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
         tokens = tokens.select("node", token.alias("token"))
@@ -287,54 +374,77 @@ def _star(reps: DataFrame, scratch: Scratch, matches: int) -> DataFrame:
     lists = lists.filter(F.size("shared") >= matches)
     postings = lists.select("node", "weight", F.explode(F.slice("shared", F.lit(1), F.size("shared") - (matches - 1))).alias("token"))
     postings = scratch.table(postings, "postings")
-    scratch.drop(*[f"ranked-{at}" for at in range(0, max(1, coordinates), each)])
+    scratch.drop(*[f"ranked-{at}" for at in range(0, coordinates, each)])
     free()
     hubs = postings.groupBy("token").agg(F.max(F.struct("weight", (-F.col("node")).alias("neg"))).alias("best"), F.count(F.lit(1)).alias("size"))
     hubs = hubs.filter("size > 1").select("token", (-F.col("best.neg")).alias("hub"), "size")
     star = postings.join(hubs, "token").filter("node <> hub").groupBy("hub", "node").agg(F.max("size").alias("size"))
-    # Signatures decide on pairs that stand alone in their lists; members of longer lists stay, for each other's sake.
+    # Sketches decide on pairs that stand alone in their lists; members of longer lists stay, for each other's sake.
     star = scratch.table(star, "met")
     ids = scratch.table(star.select("node").unionByName(star.select(F.col("hub").alias("node"))).distinct(), "known")
-    sig = reps.join(_small(ids), "node", "left_semi").select("node", "sig")
+    sketches = reps.join(_small(ids), "node", "left_semi").select("node", "sig").mapInArrow(_sketches, "node long, sketch array<long>")
+    sketches = scratch.table(sketches, "sketches")
     # The members of a hub are dealt to as many copies of it as they need.
     copies = star.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("copies"))
-    hub_sig = sig.select(F.col("node").alias("hub"), F.col("sig").alias("hub_sig")).join(copies, "hub")
-    hub_sig = hub_sig.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    hubs = sketches.select(F.col("node").alias("hub"), F.col("sketch").alias("hub_sketch")).join(copies, "hub")
+    hubs = hubs.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     many = scratch.table(copies.filter("copies > 1"), "many")
     star = star.join(_small(many), "hub", "left").withColumn("copy", F.pmod(F.xxhash64("node"), F.coalesce("copies", F.lit(1))).cast("int")).drop("copies")
-    star = star.join(sig, "node").join(hub_sig.drop("copies"), ["hub", "copy"])
-    same = F.aggregate(F.zip_with("sig", "hub_sig", lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
-    star = star.withColumn("near", same >= matches).filter("near or size > 2").select("hub", "node", "near")
-    star = scratch.table(star, "star")
+    star = star.join(sketches, "node").join(hubs.drop("copies"), ["hub", "copy"])
+    near = _different("sketch", "hub_sketch", coordinates) <= coordinates - matches
+    star = scratch.table(star.withColumn("near", near).filter("near or size > 2").select("hub", "node", "near"), "star")
     scratch.drop("postings", "met", "known", "many")
-    return star
+    free()
+    return star, sketches
 
 
-def _links(docs: DataFrame, classes: DataFrame, star: DataFrame, scratch: Scratch, width: int, percent: int) -> DataFrame:
-    """(u, v): confirmed links between classes that connect whatever links of any two members of a list connect."""
-    family = star.select(F.col("hub").alias("family"), "node").unionByName(star.select(F.col("hub").alias("family"), F.col("hub").alias("node")).distinct())
-    nodes = family.select("node").distinct().join(classes, "node").select("node", F.col("rep").alias("doc_id"), "n", "fa", "fb")
-    nodes = scratch.table(nodes, "nodes")
+def _sets_of(nodes: DataFrame, docs: DataFrame, classes: DataFrame, scratch: Scratch, width: int) -> DataFrame:
+    """(node, shingles): the full sets of `nodes` (node)."""
+    nodes = scratch.table(nodes.distinct().join(classes, "node").select("node", F.col("rep").alias("doc_id"), "n", "fa", "fb"), "nodes")
     texts = docs.join(_small(nodes.select("doc_id").distinct()), "doc_id", "left_semi")
     sets = texts.mapInArrow(_sets(width), "doc_id long, n long, fa long, fb long, shingles binary")
     sets = scratch.table(sets.join(_small(nodes), ["doc_id", "n", "fa", "fb"]).select("node", "shingles"), "sets")
+    scratch.drop("nodes")
+    return sets
 
+
+def _links(docs: DataFrame, classes: DataFrame, star: DataFrame, sketches: DataFrame, scratch: Scratch, width: int, percent: int, coordinates: int, matches: int) -> DataFrame:
+    """(u, v): confirmed links between classes that connect whatever links of any two members of a list connect."""
     near = star.filter("near")
-    sizes = scratch.table(near.groupBy("hub").agg(F.count(F.lit(1)).alias("n_right")).withColumn("n_left", F.lit(1)), "hubs")
-    right = near.join(_small(sizes), "hub").select(F.col("hub").alias("family"), "node", F.col("node").alias("comp"), "n_left", "n_right")
-    left = sizes.select(F.col("hub").alias("family"), F.col("hub").alias("node"), F.col("hub").alias("comp"), "n_left", "n_right")
+    sizes = scratch.table(near.groupBy("hub").agg(F.count(F.lit(1)).alias("size")), "hubs")
+    best = near.join(_small(sizes), "hub").groupBy("node").agg(F.max(F.struct("size", (-F.col("hub")).alias("neg"))).alias("best"))
+    best = scratch.table(best.select("node", (-F.col("best.neg")).alias("hub")), "best")
+    sizes = scratch.table(best.groupBy("hub").agg(F.count(F.lit(1)).alias("n_right")).withColumn("n_left", F.lit(1)), "centres")
+    right = best.join(_small(sizes), "hub").select(F.col("hub").alias("family"), "node", F.col("node").alias("comp"), F.lit(RIGHT).alias("side"), "n_left", "n_right")
+    left = sizes.select(F.col("hub").alias("family"), F.col("hub").alias("node"), F.col("hub").alias("comp"), F.lit(LEFT).alias("side"), "n_left", "n_right")
+    sets = _sets_of(best.select("node").unionByName(sizes.select(F.col("hub").alias("node"))), docs, classes, scratch, width)
     first = scratch.table(_block_links(left, right, sets, percent), "first")
+    scratch.drop("sets", "hubs", "centres")
     free()
 
-    comps = connected_components(first, scratch, "round")
-    family = family.join(comps, "node", "left").select("family", "node", F.coalesce("component", "node").alias("comp"))
+    comps = scratch.table(connected_components(first, scratch, "round"), "joined")
+    tried = best.select("node", F.col("hub").alias("family"), F.lit(True).alias("tried"))
+    family = star.select(F.col("hub").alias("family"), "node").unionByName(star.select(F.col("hub").alias("family"), F.col("hub").alias("node")).distinct())
+    family = family.join(comps, "node", "left").join(tried, ["node", "family"], "left").select("family", "node", F.coalesce("component", "node").alias("comp"), F.coalesce("tried", F.lit(False)).alias("tried"))
     family = scratch.table(family, "families")
     of_hub = family.filter("node = family").select("family", F.col("comp").alias("hub_comp"))
-    family = family.join(_small(of_hub), "family")
-    sizes = family.groupBy("family").agg(F.count(F.lit(1)).alias("n_right"), F.count_if(F.col("comp") != F.col("hub_comp")).alias("n_left")).filter("n_left > 1 or n_left = 1 and n_right > 2")
+    family = family.join(_small(of_hub), "family").withColumn("apart", F.col("comp") != F.col("hub_comp"))
+    sizes = family.groupBy("family").agg(F.count(F.lit(1)).alias("n_right"), F.count_if("apart").alias("n_left"), F.count_if(F.col("apart") & F.col("tried")).alias("n_tried"))
+    sizes = sizes.filter("n_left > 1 or n_left = 1 and (n_right > 2 or n_tried = 0)").drop("n_tried")
     family = family.join(_small(scratch.table(sizes, "apart")), "family")
-    second = _block_links(family.filter("comp <> hub_comp").drop("hub_comp"), family.drop("hub_comp"), sets, percent)
-    second = scratch.table(second, "second")
-    scratch.drop("nodes")
+    # Sketches go first, as they are small: the sets of a family's members are many times larger, and most members are like nobody.
+    lists = family.groupBy("node").agg(F.sort_array(F.collect_list(F.struct((-F.col("n_right")).alias("neg"), "family"))).getField("family").alias("of"))
+    values = sketches.join(lists, "node").select("node", F.concat("sketch", "of").alias("sketch"))
+    left = family.filter("apart").withColumn("side", F.when(F.col("tried"), TRIED_LEFT).otherwise(LEFT))
+    right = family.withColumn("side", F.when(F.col("apart"), APART_RIGHT).otherwise(RIGHT))
+    alike = _blocks(left, right, values, SKETCH_BLOCK).mapInArrow(_alike(coordinates - matches, PLANES * -(-coordinates // 64)), "family long, node long, side long")
+    alike = scratch.table(alike.distinct(), "alike")
+    scratch.drop("families", "apart", "best")
+    free()
+    sizes = alike.groupBy("family").agg(F.count_if(F.col("side") == LEFT).alias("n_left"), F.count_if(F.col("side") == RIGHT).alias("n_right"))
+    members = alike.join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).join(_small(scratch.table(sizes, "paired")), "family")
+    sets = _sets_of(alike.select("node"), docs, classes, scratch, width)
+    second = scratch.table(_block_links(members.filter(F.col("side") == LEFT), members.filter(F.col("side") == RIGHT), sets, percent), "second")
+    scratch.drop("sets", "joined", "alike", "paired")
     free()
     return first.unionByName(second)

@@ -115,3 +115,36 @@ def test_a_very_long_text(spark):
     rows = [(1, " ".join(words)), (2, " ".join([*words[:-9], *["new"] * 9])), (3, "x" * 3_000_000)]
     got = {r[0]: r[2] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: 1, 2: 1, 3: 3}
+
+
+def test_sets_are_sent_to_few_families(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = []
+    for g in range(6):  # texts around the threshold, with words of other groups
+        for _ in range(70):
+            words = [f"g{g}w{i}" for i in range(100)]
+            for _ in range(rng.choice([1, 2, 4, 6, 8, 10, 14, 20])):
+                words[rng.randrange(100)] = f"g{rng.randrange(6)}w{rng.randrange(100)}"
+            rows.append((len(rows), " ".join(words)))
+    sent, links, compare = [], [], minhash._block_links
+
+    def counted(left, right, *more):
+        sent.append(left.count() + right.count())
+        links.append((found := compare(left, right, *more)).count())
+        return found
+
+    monkeypatch.setattr(minhash, "_block_links", counted)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()}
+    assert got == _brute(rows, 2)
+    assert sum(sent) <= 4 * len(rows) and sum(links) <= sum(sent)
+
+
+def test_sketches_count_equal_coordinates(spark):
+    rng = random.Random(8)
+    a = [[rng.randrange(-(2**31), 2**31) for _ in range(100)] for _ in range(40)]
+    b = [[x if rng.random() < 0.7 else x + rng.choice([1, 2, 4, 8, 16]) for x in row] for row in a]
+    sig = spark.createDataFrame([(i, [max(-(2**31), min(2**31 - 1, y)) for y in x]) for i, x in enumerate(a + b)], "node long, sig array<int>")
+    sketch = sig.mapInArrow(minhash._sketches, "node long, sketch array<long>")
+    pairs = sketch.filter("node < 40").join(sketch.selectExpr("node - 40 AS node", "sketch AS other"), "node")
+    got = {r[0]: r[1] for r in pairs.select("node", minhash._different("sketch", "other", 100)).collect()}
+    assert got == {i: sum((x ^ y) & 15 != 0 for x, y in zip(a[i], b[i])) for i in range(40)}
